@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
+from .pii import op1_pii
+from .pq import op4_pq
 from .simhash import op9_simhash
+from .telephony import op6_telephony
+from .toxicity import op5_toxicity
+from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_mixing, op9_simhash, op10_packing]
+    found = [op1_pii, op2_warc, op4_pq, op5_toxicity, op6_telephony, op7_mixing, op8_chat, op9_simhash, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL}
