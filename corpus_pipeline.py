@@ -1,25 +1,58 @@
-"""The corpus pipeline: near-copies go, sources are mixed, documents are packed."""
+"""The corpus pipeline: toxic documents and near-copies go, personal data get pseudonyms,
+sources are mixed to their weights, and what is left is packed into sequences.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the
+columns of documents. A stage's output is written and read again before the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.common import stored, table
 from siltstone.llm.mixing import mixed_documents
 from siltstone.llm.packing import packed_documents
+from siltstone.llm.pii import pseudonymised
 from siltstone.llm.simhash import without_near_duplicates
+from siltstone.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, calls toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest doc_id stays."""
+    return without_near_duplicates(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts get pseudonyms; n_chars follows the new text."""
+    d = pseudonymised(docs)
+    counted = F.when(F.col("pii_replaced") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.withColumn("n_chars", counted).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return packed_documents(docs)
+
 
-STAGES = [
-    ("simhash_near_dedup", lambda spark, docs, sf_dir: without_near_duplicates(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixed_documents(docs)),
-    ("packing", lambda spark, docs, sf_dir: packed_documents(docs)),
-]
+STAGES = [("toxicity", toxicity), ("simhash", simhash), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
+#: A trained classifier and a tokenizer are no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
