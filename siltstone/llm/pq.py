@@ -3,8 +3,8 @@
 A bounded sample of vectors gives coarse centroids and, for the residuals to them, a
 codebook in each subspace. Every vector is in the inverted list of its label and nearest
 centroid, as residual codes with its quantisation error. A query probes every list in which
-a vector within the link distance can be: one whose border with the query's own cell is no
-further than that distance. In a list, distances are sums of table look-ups; by the
+a vector within the link distance can be: those to whose cell no border is further than
+that distance. In a list, distances are sums of table look-ups; by the
 triangle inequality a code further away than link distance plus its quantisation error is
 no link, the others are compared by exact cosine in double precision. So recall is that of
 brute force, whatever the quality of the fit.
@@ -64,7 +64,6 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centroids = kmeans(sample, lists)
-        self.gaps = np.sqrt(distances(self.centroids, self.centroids))
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         self.width = -(-sample.shape[1] // SUBSPACES)
         self.books = [kmeans(s, CODES, 2 + m) for m, s in enumerate(self.split(rest))]
@@ -81,11 +80,23 @@ class Index:
         return lists, np.array(codes).T.astype(np.uint8), np.sqrt(error)
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): every list that can hold a vector within reach of a row."""
-        d = distances(x, self.centroids)
-        own = d.argmin(1)
-        near = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * self.gaps[own] + SLACK
-        near[np.arange(len(x)), own] = True
+        """(row, list): every list that can hold a vector within reach of a row.
+
+        A vector in the list of c is no further from c than from each of m rivals, so than
+        from them on average; to get there from x it must cross the plane where both are
+        equal, which the margin and the distance of c to the rivals' mean tell.
+        """
+        c = self.centroids
+        d = distances(x, c)
+        order = np.argsort(d, axis=1)
+        near = np.ones(d.shape, bool)
+        for m in (1, 2, 4, 8):
+            if m <= len(c):
+                rivals = order[:, :m]
+                middle = c[rivals].mean(1)
+                margin = d - np.take_along_axis(d, rivals, 1).mean(1)[:, None]
+                near &= margin <= 2 * reach * np.sqrt(distances(middle, c)) + SLACK
+        near[np.arange(len(x)), order[:, 0]] = True
         return np.nonzero(near)
 
     def tables(self, x: np.ndarray, number: int) -> list[np.ndarray]:
@@ -96,8 +107,11 @@ class Index:
 def unit(vectors: pd.Series, width: int) -> np.ndarray:
     """Unit rows in double precision, padded with zeros to a common width."""
     x = np.zeros((len(vectors), width))
-    for k, v in enumerate(vectors):
-        x[k, : len(v)] = v
+    if len(vectors) and all(len(v) == width for v in vectors):
+        x[:] = np.stack(vectors.to_list())
+    else:
+        for k, v in enumerate(vectors):
+            x[k, : len(v)] = v
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -105,7 +119,7 @@ def entries(embeddings: DataFrame) -> DataFrame:
     """Rows with usable, the 128-bit key of label and vector, and what they are compared by."""
     v = F.col("embedding")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    e = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), v.cast("array<double>").alias("v"), sound.alias("usable"))
+    e = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), sound.alias("usable"))
     return e.select("vec_id", "label", "v", "usable", F.when(F.col("usable"), F.xxhash64("label", "v")).alias("k1"), F.when(F.col("usable"), F.xxhash64("v", F.lit("second"), "label")).alias("k2"))
 
 
@@ -113,7 +127,7 @@ def fitted(vectors: DataFrame, n: int) -> tuple[Index, int]:
     """An index from a bounded sample of `vectors`, those with the least hash; and the width."""
     width = vectors.agg(F.max(F.size("v"))).first()[0]
     sample = vectors.select("rep", "v", F.xxhash64("k1", "k2").alias("h")).orderBy("h", "rep").limit(SAMPLE).toPandas()
-    lists = int(max(1, min(LISTS, round(n**0.5), len(sample) // 16)))
+    lists = int(max(1, min(LISTS, round(n**0.5 / 2), len(sample) // 16)))
     return Index(unit(sample["v"], width), lists), width
 
 
@@ -138,15 +152,23 @@ def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            row, number = shared.value.probes(unit(b["v"], width), reach)
-            got = b.iloc[row]
-            yield pd.DataFrame({"rep": got["rep"], "n": got["n"], "k1": got["k1"], "label": got["label"], "dim": got["v"].map(len), "list": number, "v": got["v"]})
+            for at in range(0, len(b), 1024):
+                got = b.iloc[at : at + 1024]
+                row, number = shared.value.probes(unit(got["v"], width), reach)
+                got = got.iloc[row]
+                yield pd.DataFrame({"rep": got["rep"], "n": got["n"], "k1": got["k1"], "label": got["label"], "dim": got["v"].map(len), "list": number, "v": got["v"]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in probe(batches):
+            yield b[["label", "dim", "list"]]
 
     where = ["label", "dim", "list"]
     by = [*where, "block", "part"]
-    indexed = stored(reps.mapInPandas(index, "rep long, n long, k1 long, label string, dim int, list int, codes binary, error double, v array<double>"), "index")
-    probed = stored(reps.mapInPandas(probe, "rep long, n long, k1 long, label string, dim int, list int, v array<double>"), "probes")
-    sizes = stored(indexed.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(probed.groupBy(where).agg(F.ceil(F.count("*") / QUERIES).alias("parts")), where), "lists")
+    vector = reps.schema["v"].dataType.simpleString()
+    indexed = stored(reps.mapInPandas(index, "rep long, n long, k1 long, label string, dim int, list int, codes binary, error double, v " + vector), "index")
+    probed = reps.mapInPandas(probe, "rep long, n long, k1 long, label string, dim int, list int, v " + vector)
+    probes = reps.mapInPandas(count, "label string, dim int, list int")
+    sizes = stored(indexed.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(probes.groupBy(where).agg(F.ceil(F.count("*") / QUERIES).alias("parts")), where), "lists")
 
     def piece(own: str) -> F.Column:
         return F.pmod(F.xxhash64("k1", "rep"), F.col(own)).cast("int")
