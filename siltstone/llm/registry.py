@@ -12,13 +12,14 @@ from .packing import op10_packing
 from .pii import op1_pii
 from .pq import op4_pq
 from .simhash import op9_simhash
+from .suffixes import op3_suffixes
 from .telephony import op6_telephony
 from .toxicity import op5_toxicity
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_warc, op4_pq, op5_toxicity, op6_telephony, op7_mixing, op8_chat, op9_simhash, op10_packing]
+    found = [op1_pii, op2_warc, op3_suffixes, op4_pq, op5_toxicity, op6_telephony, op7_mixing, op8_chat, op9_simhash, op10_packing]
     return {f.__name__: f for f in found}
 
 
