@@ -64,7 +64,7 @@ def _tokens(source: str) -> list[tuple[str, Any]]:
 
 
 #: Binary operators from the loosest to the tightest.
-_LEVELS = [["or"], ["and"], ["==", "!=", "<", ">", "<=", ">=", "in"], ["+", "-", "~"], ["*", "%"]]
+_LEVELS = [["or"], ["and"], ["==", "!=", "<", ">", "<=", ">=", "in"], ["~"], ["+", "-"], ["*", "%"]]
 _BINARY: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "~": lambda a, b: _text(a) + _text(b), "*": lambda a, b: int(a) * int(b), "%": lambda a, b: int(a) % int(b),
