@@ -34,7 +34,7 @@ FOLDS = 5
 SMOOTHING = 1.0
 PENALTY, STEPS, RATE = 1e-3, 400, 0.05
 #: Bytes that are hashed at a time; a batch of longer texts is cut into such groups.
-GROUP = 1 << 22
+GROUP = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
