@@ -151,3 +151,17 @@ TRIAL = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     trial = spark.createDataFrame(TRIAL, "conv_id long, turn long, role string, text string")
     return read_back(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(trial)))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+m AS (SELECT *, len(text) - len(replace(text, '\', '')) + (len(text) - len(replace(text, '</', ''))) // 2
+  + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: CASE WHEN len(x) = 3 THEN 2 ELSE len(x) END)), 0) AS extra FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(len('### ' || role || ': ') + len(text) + extra + len('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import op8_chat
+from .chat import OP8_SQL, op8_chat
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .pii import op1_pii
-from .pq import op4_pq
+from .pq import OP4_SQL, op4_pq
 from .simhash import op9_simhash
-from .suffixes import op3_suffixes
+from .suffixes import OP3_SQL, op3_suffixes
 from .telephony import op6_telephony
 from .toxicity import op5_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op3_suffixes": OP3_SQL, "op4_pq": OP4_SQL, "op7_mixing": OP7_SQL, "op8_chat": OP8_SQL}
