@@ -132,13 +132,16 @@ def fitted(vectors: DataFrame, n: int) -> tuple[Index, int]:
 
 
 def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their keys, entries (k1, k2, rep, n), links between entries (a, b, n_a, n_b))."""
+    """(rows with their keys, entries (k1, k2, rep, n), and per entry and group its links: k1, rep, root, m).
+
+    m counts the vectors an entry links with, root is an entry that links lead to.
+    """
     spark = embeddings.sparkSession
     rows = stored(entries(spread(embeddings)), "vectors")
     reps = stored(rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "entries")
     n = reps.count()
     if not n:
-        return rows, reps, spark.createDataFrame([], "a long, b long, n_a long, n_b long")
+        return rows, reps, spark.createDataFrame([], "k1 long, rep long, root long, m long")
     model, width = fitted(reps, n)
     shared = spark.sparkContext.broadcast(model)
     # From the cosine in exact arithmetic; SLACK covers rounding.
@@ -181,44 +184,63 @@ def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
     q = q.select(*[F.col(c).alias(c) for c in (*by, "rep", "n", "k1", "v")])  # its own columns, though both sides come from one table of lists
 
     def compare(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        """Per entry with links here: how many vectors it links with, and the least entry of its component here."""
         found = []
         if len(queries) and len(entries):
             model = shared.value
             y, error = unit(entries["v"], width), entries["error"].to_numpy()
             codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-            ids, many, key = entries["rep"].to_numpy(), entries["n"].to_numpy(), entries["k1"].to_numpy()
+            reps, keys = (np.concatenate([queries[c].to_numpy(), entries[c].to_numpy()]) for c in ("rep", "k1"))
             for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                z = unit(part["v"], width)
+                z = unit(queries["v"].iloc[at : at + 256], width)
                 d = sum(t[:, codes[:, m]] for m, t in enumerate(model.tables(z, int(entries["list"].iloc[0]))))
                 i, j = np.nonzero(np.sqrt(d) <= reach + error + SLACK)
-                own, rep = part["k1"].to_numpy()[i], part["rep"].to_numpy()[i]
-                # Each pair is met from both sides; it is kept once.
-                once = (rep < ids[j]) | (rep == ids[j]) & (own < key[j])
-                i, j = i[once], j[once]
-                linked = np.einsum("ij,ij->i", z[i], y[j]) >= cosine
-                i, j = i[linked], j[linked]
-                found.append(pd.DataFrame({"a": part["rep"].to_numpy()[i], "b": ids[j], "n_a": part["n"].to_numpy()[i], "n_b": many[j]}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "n_a", "n_b")})
-
-    pairs = q.groupBy(by).cogroup(x.groupBy(by)).applyInPandas(compare, "a long, b long, n_a long, n_b long")
-    return rows, reps, stored(pairs, "links")
+                q, e = at + i, len(queries) + j
+                # Each pair is met from both sides; it counts once.
+                once = (reps[q] < reps[e]) | (reps[q] == reps[e]) & (keys[q] < keys[e])
+                linked = once & (np.einsum("ij,ij->i", z[i], y[j]) >= cosine)
+                found.append((q[linked], e[linked]))
+        if not any(len(q) for q, _ in found):
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("k1", "rep", "root", "m")})
+        q, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        n = np.concatenate([queries["n"].to_numpy(), entries["n"].to_numpy()])
+        many = np.bincount(q, n[e], len(n)) + np.bincount(e, n[q], len(n))
+        root, before = reps.copy(), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            least = np.minimum(root[q], root[e])
+            np.minimum.at(root, q, least)
+            np.minimum.at(root, e, least)
+        got = np.flatnonzero(many)
+        return pd.DataFrame({"k1": keys[got], "rep": reps[got], "root": root[got], "m": many[got].astype(np.int64)})
+
+    # A row per entry and group that it has links in, not one per link: a group of near-copies stays linear.
+    told = q.groupBy(by).cogroup(x.groupBy(by)).applyInPandas(compare, "k1 long, rep long, root long, m long")
+    return rows, reps, stored(told, "links")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of embeddings: vec_id, n_links, component_id, kept."""
-    rows, reps, pairs = links(embeddings, cosine)
-    many = pairs.select(F.col("a").alias("rep"), F.col("n_b").alias("m")).union(pairs.select("b", "n_a")).groupBy("rep").agg(F.sum("m").alias("m"))
-    found = components(pairs, "a", "b").withColumnRenamed("node", "rep")
-    told = reps.select("k1", "k2", "rep", "n").join(many, "rep", "left").join(found, "rep", "left").select("k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rows, reps, linked = links(embeddings, cosine)
+    many = linked.groupBy("k1", "rep").agg(F.sum("m").alias("m"))
+    found = components(linked, "rep", "root").withColumnRenamed("node", "rep")
+    told = reps.select("k1", "k2", "rep", "n").join(many, ["k1", "rep"], "left").join(found, "rep", "left").select("k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     told = stored(told, "told")  # plain shuffles on both sides of the join: a vector with many copies is split
-    linked = rows.where("usable").select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    sound = rows.where("usable").select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return sound.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op4_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-OP4_SQL = None  # components of links are no plain SQL; tested against brute force
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id
+"""
