@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,23 +42,36 @@ GRAM = 25
 WIDTH = LENGTH - GRAM + 1  # grams in a string
 SIDE = LENGTH - GRAM  # bytes on either side of an anchor that its strings reach
 CONTEXT = GRAM + 2 * SIDE
-PACK_BYTES = 3 << 20
+PACK_BYTES = 3 << 19
+SLICE = 1 << 19  # strings whose anchors are found at a time
+BUCKET_BYTES = 1 << 23  # of text for each range of hashes
+SORT_BYTES = 1 << 19  # of contexts whose suffixes are sorted at a time
 HASH_BITS, BASE = 48, 0x9E3779B97F4A7C15
 HOT = 20_000
 PACK_ROWS = 1 << 16  # a row's number and a hash are 64 bits
-PACK = "pack string, ids binary, known binary, ends binary, bytes binary"
+PACK = "pack string, size long, ids binary, known binary, ends binary, bytes binary"
 
 
-def _zip(a: np.ndarray) -> bytes:
+@cache
+def _compressor(level: int):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(level=level)
 
 
-def _unzip(b: bytes, kind: str) -> np.ndarray:
+@cache
+def _decompressor():
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    return zstandard.ZstdDecompressor()
+
+
+def _zip(a: np.ndarray, level: int = 1) -> bytes:
+    return _compressor(level).compress(np.ascontiguousarray(a).tobytes())
+
+
+def _unzip(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(_decompressor().decompress(b), kind)
 
 
 def _columns(a: np.ndarray) -> np.ndarray:
@@ -146,13 +160,21 @@ class Texts:
         self.ends, self.ids = np.frombuffer(row["ends"], "<i8"), np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], "?")
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, place, row, first string, last string) of each anchor; strings by where they start."""
+    def anchors(self) -> tuple[np.ndarray, ...]:
+        """(hash, place, row, first string, last string) of each anchor; strings by where they start.
+
+        A slice at a time; an anchor that two slices share comes twice, each with its own strings.
+        """
         n = len(self.bytes) - LENGTH + 1
-        none = np.zeros(0, np.int64)
+        parts = [self._slice(a, min(a + SLICE, n)) for a in range(0, max(n, 1), SLICE)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _slice(self, a: int, z: int) -> tuple[np.ndarray, ...]:
+        """Anchors of the strings that start from a to z - 1."""
+        n = z - a
         if n <= 0:
-            return none.astype(np.uint64), none, none, none, none
-        x = self.bytes.astype(np.uint64) + np.uint64(1)
+            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+        x = self.bytes[a : z + LENGTH - 1].astype(np.uint64) + np.uint64(1)
         h8, power, width = x, BASE, 1
         for _ in range(3):  # hashes of 2, 4, 8 bytes
             h8 = h8[:-width] * np.uint64(power) + h8[width:]
@@ -171,13 +193,17 @@ class Texts:
         offset = np.zeros(n, np.int64)
         for o in range(WIDTH - 1, -1, -1):
             offset[g[o : o + n] == least] = o
-        row = np.searchsorted(self.ends, np.arange(n), side="right")
-        sound = (np.arange(n) + LENGTH <= self.ends[row]) & self.known[row]
-        i = np.flatnonzero(sound)
-        place = i + offset[i]
-        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (row[i][1:] != row[i][:-1]) | (i[1:] != i[:-1] + 1)))[: len(i)] if len(i) else none
-        last = np.append(first[1:], len(i)) - 1 if len(i) else none
-        return least[i[first]], place[first], row[i[first]], i[first], i[last]
+        start = np.arange(a, z)
+        row = np.searchsorted(self.ends, start, side="right")
+        i = np.flatnonzero((start + LENGTH <= self.ends[row]) & self.known[row])
+        if not len(i):
+            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+        place, own = i + offset[i], row[i]
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (own[1:] != own[:-1]) | (i[1:] != i[:-1] + 1)))
+        last = np.append(first[1:], len(i)) - 1
+        # Least hashes are small; dealt anew they are even over all ranges.
+        h = least[i[first]] * np.uint64(BASE) & np.uint64((1 << HASH_BITS) - 1)
+        return h, place[first] + a, own[first], i[first] + a, i[last] + a
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -188,8 +214,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
         def row() -> pd.DataFrame:
             ends = np.cumsum([len(t) for t in texts]).astype("<i8")
-            one = (uuid.uuid4().hex, np.array(ids, "<i8").tobytes(), np.array(known, bool).tobytes(), ends.tobytes(), _zip(np.frombuffer(b"".join(texts), np.uint8)))
-            return pd.DataFrame([one], columns=["pack", "ids", "known", "ends", "bytes"])
+            one = (uuid.uuid4().hex, size, np.array(ids, "<i8").tobytes(), np.array(known, bool).tobytes(), ends.tobytes(), _zip(np.frombuffer(b"".join(texts), np.uint8), 6))
+            return pd.DataFrame([one], columns=["pack", "size", "ids", "known", "ends", "bytes"])
 
         for b in batches:
             for doc_id, known_id, text in zip(b["doc_id"], b["known"], b["text"], strict=True):
@@ -244,14 +270,14 @@ def _shared(limit: int):
     return run
 
 
-CONTEXTS = "bucket int, pack string, docs binary, places binary, low binary, high binary, text binary"
+CONTEXTS = "bucket int, pack string, many int, data binary"
 
 
 def _contexts(buckets: int):
     def run(key: tuple, packs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if not len(packs) or not len(shared):
             return pd.DataFrame(columns=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
-        p = Texts(packs.iloc[0])
+        p, name = Texts(packs.iloc[0]), packs["pack"].iloc[0]
         hashes = np.concatenate([_numbers(x) for x in shared["hashes"]])
         order = np.argsort(hashes)
         hashes, hot = hashes[order], np.concatenate([_unzip(x, "u1") for x in shared["hot"]])[order]
@@ -286,7 +312,7 @@ def _contexts(buckets: int):
         out = []
         if covered.any():
             spans = np.stack([pos - high, pos - low + LENGTH], axis=1)[covered]
-            out.append((-1, packs["pack"].iloc[0], b"", _zip(spans.astype("<i8")), b"", b"", b""))
+            out.append((-1 - int(spans[0, 0]) % buckets, name, len(spans), _zip(spans.astype("<i8"))))
         rest = ~covered
         code = np.concatenate([h[cold], _string_hash(text[len(cold) :])])
         bucket = _dealt(code, buckets)
@@ -294,7 +320,8 @@ def _contexts(buckets: int):
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
             part = order[a:z]
-            out.append((int(bucket[part[0]]), packs["pack"].iloc[0], _zip(docs[part].astype("<i8")), _zip(pos[part].astype("<i8")), _zip(low[part].astype(np.uint8)), _zip(high[part].astype(np.uint8)), _zip(text[part])))
+            data = [docs[part].astype("<i8"), pos[part].astype("<i8"), low[part].astype(np.uint8), high[part].astype(np.uint8), text[part]]
+            out.append((int(bucket[part[0]]), name, len(part), _zip(np.concatenate([np.ascontiguousarray(x).view(np.uint8).ravel() for x in data]))))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
 
     return run
@@ -310,36 +337,63 @@ def _string_hash(text: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - HASH_BITS)
 
 
+def _first_documents(text: np.ndarray, low: np.ndarray, high: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For every string of the contexts, one context's after another's, from the highest offset
+    down, the least of docs whose context has it.
+    """
+    many = high - low + 1
+    of = np.repeat(np.arange(len(low)), many)
+    offset = high[of] - (np.arange(many.sum()) - (np.cumsum(many) - many)[of])
+    group = equal_prefixes(text.ravel(), of * CONTEXT + SIDE - offset)
+    first = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, group, docs[of])
+    return first[group]
+
+
 def _compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     """Of the contexts that met, for each pack the spans that a smaller document has too."""
-    docs, low, high = np.concatenate([_unzip(x, "<i8") for x in b["docs"]]), *(np.concatenate([_unzip(x, "u1") for x in b[c]]).astype(np.int64) for c in ("low", "high"))
-    places = [_unzip(x, "<i8") for x in b["places"]]
-    pos = np.concatenate(places)
-    text = np.concatenate([_unzip(x, "u1").reshape(-1, CONTEXT) for x in b["text"]])
-    keys = np.ascontiguousarray(np.concatenate([text, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)], axis=1)).view(f"V{CONTEXT + 2}").ravel()
+    if key[0] < 0:  # spans that are known already
+        return pd.DataFrame({"pack": b["pack"], "spans": b["data"]})
+    docs, places, low, high, text = [], [], [], [], []
+    for many, data in zip(b["many"], b["data"], strict=True):
+        raw = _unzip(data, "u1")
+        docs.append(raw[: 8 * many].view("<i8"))
+        places.append(raw[8 * many : 16 * many].view("<i8"))
+        low.append(raw[16 * many : 17 * many])
+        high.append(raw[17 * many : 18 * many])
+        text.append(raw[18 * many :].reshape(many, CONTEXT))
+    sent, docs, pos = [len(x) for x in docs], np.concatenate(docs), np.concatenate(places)
+    low, high, text = np.concatenate(low), np.concatenate(high), np.concatenate(text)
+    keys = np.ascontiguousarray(np.concatenate([text, low[:, None], high[:, None]], axis=1)).view(f"V{CONTEXT + 2}").ravel()
     _, which, inverse = np.unique(keys, return_index=True, return_inverse=True)
     inverse = inverse.ravel()
+    del keys
     least = np.full(len(which), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, docs)
-    # All strings of the distinct contexts, by where they start in the text of contexts.
-    lo, hi = low[which], high[which]
+    lo, hi, text = low[which].astype(np.int64), high[which].astype(np.int64), text[which]
     many = hi - lo + 1
-    of = np.repeat(np.arange(len(which)), many)
     begin = np.cumsum(many) - many
-    offset = hi[of] - (np.arange(many.sum()) - begin[of])
-    group = equal_prefixes(text[which].ravel(), of * CONTEXT + SIDE - offset)
-    first = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, group, least[of])
+    first = np.empty(many.sum(), np.int64)
+    # Equal strings have the same bytes in the middle of their contexts, so they stay together here.
+    parts = -(-text.size // SORT_BYTES)
+    part = (_string_hash(text[:, SIDE : SIDE + GRAM]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[a:z]
+        if len(own):
+            n = many[own]
+            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            first[at] = _first_documents(text[own], lo[own], hi[own], least[own])
     # And of every context that was sent.
     many = many[inverse]
     row = np.repeat(np.arange(len(docs)), many)
     k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    covered = first[group[begin[inverse[row]] + k]] < docs[row]
-    start = pos[row] - high[row] + k
-    sender = np.repeat(np.arange(len(places)), [len(x) for x in places])[row]
-    start, sender = start[covered], sender[covered]
+    covered = first[begin[inverse[row]] + k] < docs[row]
+    start = (pos[row] - high[row] + k)[covered]
+    sender = np.repeat(np.arange(len(sent)), sent)[row][covered]
     out = []
-    cuts = np.searchsorted(sender, np.arange(len(places) + 1))
+    cuts = np.searchsorted(sender, np.arange(len(sent) + 1))
     for n, pack in enumerate(b["pack"]):
         s = np.sort(start[cuts[n] : cuts[n + 1]])
         if len(s):
@@ -380,14 +434,12 @@ def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFra
     hot: anchors of more documents are sent string by string.
     """
     packs = stored(packed(docs), "packs")
-    n = packs.count()
-    buckets = max(8, n)  # what a range holds follows what a pack holds
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
     prints = packs.mapInPandas(_prints(buckets), "bucket int, pack string, hashes binary, many binary")
     shared = prints.groupBy("bucket").applyInPandas(_shared(hot), "pack string, hashes binary, hot binary")
-    met = stored(packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInPandas(_contexts(buckets), CONTEXTS), "contexts")
-    far = met.where("bucket >= 0").groupBy("bucket").applyInPandas(_compare, "pack string, spans binary")
-    near = met.where("bucket < 0").select("pack", F.col("places").alias("spans"))
-    spans = far.union(near).select(F.col("pack").alias("pack"), F.col("spans").alias("spans"))
+    met = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInPandas(_contexts(buckets), CONTEXTS)
+    spans = stored(met.groupBy("bucket").applyInPandas(_compare, "pack string, spans binary"), "spans")
     found = packs.groupBy("pack").cogroup(spans.groupBy("pack")).applyInPandas(_remove(texts), RESULT)
     return found if texts else found.drop("kept")
 

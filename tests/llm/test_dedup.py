@@ -146,3 +146,26 @@ def test_pq_against_brute_force(spark):
     comp = classes(sorted({v[0] for v in vectors}), [(a[1], b[1]) for a, b in linked])
     assert got == sorted((i, n[k], comp[i], comp[i] == i) for k, (i, _, _) in enumerate(vectors))
     assert pq.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_anchors_by_slices(monkeypatch):
+    """Every string has one anchor, wherever the slices are cut, and the anchor depends on the string alone."""
+    rng = random.Random(6)
+    raw = bytes(rng.choice(b"ab c") for _ in range(3000))
+    ends = np.array([10, 700, 1400, 3000], "<i8")
+    raw = raw[:700] + raw[10:710] + raw[1400:]
+    row = {"bytes": suffixes._zip(np.frombuffer(raw, np.uint8)), "ends": ends.tobytes(), "ids": np.arange(4).astype("<i8").tobytes(), "known": np.array([1, 1, 1, 0], bool).tobytes()}
+    seen = []
+    for size in (1 << 19, 97):
+        monkeypatch.setattr(suffixes, "SLICE", size)
+        found = {}
+        for h, place, own, first, last in zip(*suffixes.Texts(row).anchors()):
+            for start in range(first, last + 1):
+                assert start not in found and start <= place <= start + 25
+                found[start] = (int(h), int(place), int(own))
+        seen.append(found)
+    assert seen[0] == seen[1] and sorted(seen[0]) == list(range(10, 651)) + list(range(700, 1351))
+    by = {}
+    for start, (h, place, _) in seen[0].items():
+        by.setdefault(raw[start : start + 50], set()).add((h, place - start))
+    assert all(len(x) == 1 for x in by.values())
