@@ -42,7 +42,7 @@ GRAM = 25
 WIDTH = LENGTH - GRAM + 1  # grams in a string
 SIDE = LENGTH - GRAM  # bytes on either side of an anchor that its strings reach
 CONTEXT = GRAM + 2 * SIDE
-PACK_BYTES = 3 << 19
+PACK_BYTES = 1 << 22
 SLICE = 1 << 19  # strings whose anchors are found at a time
 BUCKET_BYTES = 1 << 23  # of text for each range of hashes
 SORT_BYTES = 1 << 19  # of contexts whose suffixes are sorted at a time
@@ -86,6 +86,15 @@ def _numbers(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Bytes of 64-bit numbers, those of one place together."""
+    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
 # --- suffix order -----------------------------------------------------------------------
 
 
@@ -97,6 +106,11 @@ def _names(*letters: np.ndarray) -> np.ndarray:
         if len(code) and (int(code.max()) + 1) * top >= 1 << 62:
             code = np.unique(code, return_inverse=True)[1]
         code = code * top + x
+    most = int(code.max()) + 1 if len(code) else 0
+    if most <= 8 * len(code):  # few tuples: ranked by a table of those that there are
+        there = np.zeros(most, bool)
+        there[code] = True
+        return (np.cumsum(there) - 1)[code]
     return np.unique(code, return_inverse=True)[1]
 
 
@@ -125,18 +139,20 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     a0, a1 = t[zero] * top + rank[zero + 1], t[one] * top + rank[one + 1]
     pairs = _names(np.concatenate([t[zero], t[two]]), np.concatenate([t[zero + 1], t[two + 1]]))
     b0, b2 = pairs[: len(zero)] * top + rank[zero + 2], pairs[len(zero) :] * top + rank[two + 2]
-    s0, s1, s2, z0 = np.sort(a0), np.sort(a1), np.sort(b2), np.sort(b0)
-    among = np.sort(names)
+    # Everything is looked up in order, so that neighbours are found next to each other.
+    o0, o1, o2, among = np.argsort(a0), np.argsort(a1), np.argsort(b2), np.argsort(names)
+    s0, s1, s2 = a0[o0], a1[o1], b2[o2]
     out = np.zeros(n, np.int64)
-    out[zero] = np.searchsorted(s0, a0) + np.searchsorted(s1, a0) + np.searchsorted(s2, b0)
-    out[one] = np.searchsorted(among, rank[one]) + np.searchsorted(s0, a1)
-    out[two] = np.searchsorted(among, rank[two]) + np.searchsorted(z0, b2)
+    out[zero[o0]] = np.searchsorted(s0, s0) + np.searchsorted(s1, s0) + np.searchsorted(s2, b0[o0])
+    out[sample[among]] = np.searchsorted(names[among], names[among])
+    out[one[o1]] += np.searchsorted(s0, s1)
+    out[two[o2]] += np.searchsorted(np.sort(b0), s2)
     return out
 
 
 def equal_prefixes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """A number for each start; starts have the same one if the next `length` bytes are equal."""
-    rank = suffix_ranks(text.astype(np.int64) + 1, length)[starts]
+    rank = suffix_ranks(_names(text) + 1, length)[starts]
     order = np.argsort(rank, kind="stable")
     windows = np.lib.stride_tricks.sliding_window_view(text, length)
     new = np.ones(len(order), bool)
@@ -320,8 +336,8 @@ def _contexts(buckets: int):
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
             part = order[a:z]
-            data = [docs[part].astype("<i8"), pos[part].astype("<i8"), low[part].astype(np.uint8), high[part].astype(np.uint8), text[part]]
-            out.append((int(bucket[part[0]]), name, len(part), _zip(np.concatenate([np.ascontiguousarray(x).view(np.uint8).ravel() for x in data]))))
+            data = [_planes(docs[part]), _planes(pos[part]), low[part].astype(np.uint8), high[part].astype(np.uint8), text[part]]
+            out.append((int(bucket[part[0]]), name, len(part), _zip(np.concatenate([x.ravel() for x in data]), 3)))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
 
     return run
@@ -344,7 +360,11 @@ def _first_documents(text: np.ndarray, low: np.ndarray, high: np.ndarray, docs:
     many = high - low + 1
     of = np.repeat(np.arange(len(low)), many)
     offset = high[of] - (np.arange(many.sum()) - (np.cumsum(many) - many)[of])
-    group = equal_prefixes(text.ravel(), of * CONTEXT + SIDE - offset)
+    # Without the bytes that no string of a context has, and in dense letters.
+    column = np.arange(CONTEXT)
+    used = (column >= (SIDE - high)[:, None]) & (column < (SIDE - low + LENGTH)[:, None])
+    size = high - low + LENGTH
+    group = equal_prefixes(text[used], (np.cumsum(size) - size - SIDE + high)[of] + SIDE - offset)
     first = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, group, docs[of])
     return first[group]
@@ -357,8 +377,8 @@ def _compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     docs, places, low, high, text = [], [], [], [], []
     for many, data in zip(b["many"], b["data"], strict=True):
         raw = _unzip(data, "u1")
-        docs.append(raw[: 8 * many].view("<i8"))
-        places.append(raw[8 * many : 16 * many].view("<i8"))
+        docs.append(_whole(raw[: 8 * many]))
+        places.append(_whole(raw[8 * many : 16 * many]))
         low.append(raw[16 * many : 17 * many])
         high.append(raw[17 * many : 18 * many])
         text.append(raw[18 * many :].reshape(many, CONTEXT))
