@@ -14,7 +14,7 @@ from siltstone.llm.common import stored, table
 from siltstone.llm.mixing import mixed_documents
 from siltstone.llm.packing import packed_documents
 from siltstone.llm.pii import pseudonymised
-from siltstone.llm.simhash import without_near_duplicates
+from siltstone.llm.similar import without_similar
 from siltstone.llm.toxicity import without_toxic
 
 
@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest doc_id stays."""
-    return without_near_duplicates(docs)
+    """Of each group of near-copies (five-word shingles, Jaccard similarity >= 0.8) the document with the smallest doc_id stays."""
+    return without_similar(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Names a row by its content, so that it can be found again.
+KEY = "_row_key"
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with KEY: from doc_id, text and a hash of all columns but maps."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    return docs.withColumn(KEY, F.concat_ws(":", F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(hashed)))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs that each component of found (KEY, doc_id, fp, component) keeps.
+
+    It is the one with the least doc_id (null comes last), then the least fp, then the least
+    KEY. So a component without ids keeps a row too, and rows that share a doc_id stay if their
+    components differ. Rows that are equal throughout are one.
+    """
+    keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", KEY))[KEY].alias(KEY)).select(KEY).distinct()
+    return docs.join(keep, KEY, "left_semi").dropDuplicates([KEY])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected edge list of long ids: (node, component).
 
