@@ -97,10 +97,15 @@ class RecordReader:
             return None
         self.block.append(piece)
         self.length += len(END) + len(piece)
-        if self.length < int(self.headers.get("content-length", 0)):
+        need = int(self.headers.get("content-length", 0))
+        if self.length < need:
             return None
         h, block = self.headers, END.encode().join(self.block)
+        block, rest = block[:need], block[need:]
         self.headers = None
+        # A block that ends in CRLF makes a cut before its end, and the next header stands in the same piece.
+        if (start := rest.find(b"WARC/")) >= 0:
+            self.headers, self.block, self.length = _named(rest[start:]), [], -len(END)
         kind, fields, payload = h.get("warc-type"), {}, b""
         if "http" in h.get("content-type", ""):
             _, _, payload = block.partition(END.encode())

@@ -90,6 +90,15 @@ def test_captures(spark):
     assert warc.captures(d.limit(0)).count() == 0
 
 
+def test_payloads_that_end_in_line_ends(spark):
+    ends = ["\r\n", "\r", "\n", "\r\n\r\n", "\r\n\r\n\r\n", "\r\n\r", "\r\n\n"]
+    pages = [(k, "u", "<html>" + "x" * n + end) for k, (n, end) in enumerate((n, end) for n in (3, 150) for end in ends)]
+    pages += [(i + 50, u, html) for i, u, html in pages] + [(200, "u", "\r\n")]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.captures(d.coalesce(1)).collect()], key=str)
+    assert got == brute(pages)
+
+
 def test_archives_are_warc(spark, tmp_path):
     d = spark.createDataFrame([(1, "http://a/", "x" * 150), (2, "http://b/", "x" * 150)], "page_id long, url string, html string")
     warc.write_archives(d.coalesce(1), f"file://{tmp_path}/w")
