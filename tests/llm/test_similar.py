@@ -42,3 +42,14 @@ def test_stage_against_brute_force(spark, hot):
     assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
     assert corpus_pipeline.simhash(spark, d.limit(0), "").count() == 0
     assert len(set(want.values())) < len({t for _, t in docs})
+
+
+def test_rows_without_or_with_shared_ids(spark):
+    """A group without ids keeps a row, a null id comes last and still joins a group, rows that share an id stay if their texts differ."""
+    base = [f"w{k}" for k in range(100)]
+    text = lambda n, at: " ".join(base[:at] + ["new"] * n + base[at + n :])
+    a, b, c = text(0, 0), text(1, 50), text(2, 50)
+    rows = [(None, "alone in this table of few rows"), (None, b), (7, a), (9, c), (5, "one text under the id five here"), (5, "quite another text under that same id"), (None, "twice without any id at all"), (None, "twice without any id at all"), (2, " ".join(base[::-1])), (2, a)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.simhash(spark, d, "").collect()), key=str)
+    assert got == sorted([rows[0], (2, a), rows[4], rows[5], rows[6], rows[8]], key=str)
