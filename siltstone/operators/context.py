@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions.text import head, line_range, lines_of
 from .symbols import callees, callers, related_tests
@@ -164,13 +166,41 @@ def architecture(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: Da
 
 
 def running_sections(rows: DataFrame, key: str, order: str, label: Column, content: Column, budget: int, room: int = LEAST_ROOM) -> DataFrame:
-    """The same fold over the ordered rows of each key of any table."""
-    s = F.struct(order, label.alias("label"), content.alias("content"))
-    d = rows.groupBy(key).agg(F.array_sort(F.collect_list(s)).alias("all"))
-    none = F.lit(None).cast("int")
-    sections = F.transform("all", lambda x: _section(x["label"], F.lit(""), none, none, x["content"]))
-    f = fit(sections, budget, room)
-    return d.select(key, F.size("all").alias("n_sections"), f.alias("f")).select(key, "n_sections", F.size("f.sections").alias("n_kept"), F.col("f.chars").alias("total_chars"), F.col("f.exceeded").alias("budget_exceeded"))
+    """The same fold over the ordered rows of each key of any table, counts only.
+
+    Rows are sorted by key and order (then label and content) and streamed past as lengths, so
+    a key may have any number of them; those of one key pass through one task. A null content
+    counts as empty.
+    """
+    kept = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), label.alias("label"), content.alias("content")).repartition("key").sortWithinPartitions("key", "order", "label", "content").select("key", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            done = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or k != last:
+                    if state:
+                        done.append((last, *state))
+                    last, state = k, [0, 0, 0, False]
+                left = budget - state[2]
+                state[0] += 1
+                if n > left and left < room:
+                    state[3] = True
+                else:
+                    state[1] += 1
+                    state[2] += n if n <= left else max(0, left - MARGIN) + len(MARK)
+            kind = batch.schema.field(0).type
+            yield _rows(done, kind)
+        if state:
+            yield _rows([(last, *state)], kind)
+
+    def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], t) for c, t in enumerate(kinds)], ["key", "n_sections", "n_kept", "total_chars", "budget_exceeded"])
+
+    out = StructType([StructField("key", kept.schema["key"].dataType), *[StructField(c, IntegerType()) for c in ("n_sections", "n_kept", "total_chars")], StructField("budget_exceeded", BooleanType())])
+    return kept.mapInArrow(fold, out).withColumnRenamed("key", key)
 
 
 def previous(rows: DataFrame, key: str, order: str) -> Column:

@@ -121,6 +121,20 @@ def test_budget_fold(spark):
     assert tuple(run(900, 500, 50))[2:] == (2, 950, True)  # skipped; a later short one fits
 
 
+def test_budget_fold_streams(spark):
+    """No array of a key's rows is built; order, null keys and keys over several batches count as before."""
+    d = spark.createDataFrame([(2**60 + 1, k, "x" * (7 * k % 50)) for k in range(30_000)] + [(2**60 + 1, -1, "y" * 900), (None, 2, "x" * 2000), (None, 1, "x" * 900), (3, 1, "")], "g long, k int, c string")
+    out = context.running_sections(d, "g", "k", F.lit("s"), F.col("c"), 1000)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    chars, kept, over = 900, 1, False
+    for n in (7 * k % 50 for k in range(30_000)):
+        if n <= 1000 - chars:
+            chars, kept = chars + n, kept + 1
+        else:
+            over = True
+    assert {tuple(r) for r in out.collect()} == {(2**60 + 1, 30_001, kept, chars, over), (None, 2, 1, 900, True), (3, 1, 1, 0, False)}
+
+
 def test_evaluation(spark):
     cols = "finding_id string, file string, cwe string, vulnerability_type string, validation_status string"
     x = spark.createDataFrame([("1", "a", "CWE-1", "X", "validated"), ("2", "a", "CWE-9", "inject", "validated"), ("3", "a", "CWE-1", "X", "unvalidated"), ("4", "b", "CWE-1", "X", "validated"), ("5", "a", "CWE-1", "X", "rejected"), ("6", "a", None, "", "validated")], cols)
