@@ -2,46 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, made, new_path, shared_dir, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the cluster names none (tests, a laptop) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for a table that is one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as no column of df has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    A lost executor costs nothing but the tasks it ran, and later reads prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
 
+def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
+    """df with, per entry of sums, the total of a value over all rows before this one in `order`.
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for a table that is one small file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    Rows are range-sorted and stored; totals of the ranges (one row each) are summed, then the
+    rows of a range, so no task sees more than a range. order must tell rows apart. Values are
+    taken as they are (null counts as 0).
+    """
+    value = {k: F.col(v) if isinstance(v, str) else v for k, v in sums.items()}
+    part = fresh(df, "run_part")
+    d = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    zero = {k: F.coalesce(v, F.lit(0)) for k, v in value.items()}
+    totals = d.groupBy(part).agg(*[F.sum(v).alias(f"{k}_t") for k, v in zero.items()])
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    begin = totals.select(F.col(part), *[F.coalesce(F.sum(f"{k}_t").over(w), F.lit(0)).alias(f"{k}_b") for k in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.join(begin, part)
+    return out.select(*df.columns, *[(F.col(f"{k}_b") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in zero.items()])
 
 
 #: Names a row by its content, so that it can be found again.

@@ -10,7 +10,8 @@ only distinct fingerprints take part: copies are one node.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; equal
 texts share a fingerprint; repeated rows stay separate rows of the result; a null doc_id
-never names a component; an empty table gives an empty result; other columns play no part.
+never names a component (one of null ids only has a null component_id), but its row links
+like any other; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, spread, stored, table
+from .common import KEY, components, least_rows, spread, stored, table, with_key
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Generator polynomial of the [23, 12] Golay code.
@@ -100,37 +101,59 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row1[i], c1[i] << BLOCK | c2[j], home
 
 
+def homes(fps: np.ndarray) -> np.ndarray:
+    """The home of each fingerprint: the anchor whose cell it lies in."""
+    patterns, _, begin = coset_patterns()
+    x, y = fps & (2**BLOCK - 1), (fps >> BLOCK) & (2**BLOCK - 1)
+    return (x ^ patterns[begin[syndrome(x)]]) << BLOCK | (y ^ patterns[begin[syndrome(y)]])
+
+
 def _reach(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         fps = batch["fp"].to_numpy("int64")
         for at in range(0, len(fps), 1024):
             part = fps[at : at + 1024]
-            row, anchor, home = anchors(part)
-            yield pd.DataFrame({"anchor": anchor, "fp": part[row], "home": home})
+            row, anchor, _ = anchors(part)
+            yield pd.DataFrame({"anchor": anchor, "fp": part[row]})
+
+
+def _home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"anchor": homes(batch["other"].to_numpy("int64")), "other": batch["other"]})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (fp, other) of distinct fingerprints, column fp of fps, within the threshold."""
-    reached = fps.select("fp").mapInPandas(_reach, "anchor long, fp long, home boolean")
-    homes = reached.where("home").select("anchor", F.col("fp").alias("other"))
-    return reached.select("anchor", "fp").join(homes, "anchor").where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD) & (F.col("fp") != F.col("other"))).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other"))
+    reached = fps.select("fp").mapInPandas(_reach, "anchor long, fp long")
+    home = fps.select(F.col("fp").alias("other")).mapInPandas(_home, "anchor long, other long")
+    met = reached.join(home, "anchor").where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD) & (F.col("fp") != F.col("other")))
+    return met.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other"))
+
+
+def grouped(docs: DataFrame, *more: str) -> DataFrame:
+    """Per row of docs: doc_id, the columns `more`, fp (signed), component (its least fingerprint), component_id.
+
+    Fingerprints are the nodes, so rows without ids join what they lie between, and an id with
+    two texts is two nodes; component_id, the least doc_id of the component, is looked up last.
+    """
+    prints = stored(spread(docs.select("doc_id", "text", *more)).select("doc_id", *more, fingerprints("text").alias("fp")), "fingerprints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes).distinct(), "fp", "other").withColumnRenamed("node", "fp")
+    named = stored(nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    first = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "first")
+    named = stored(named.join(first, "component").select("fp", "component", "component_id"), "components")
+    return prints.join(named, "fp").select("doc_id", *more, "fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, fp (signed), component_id."""
-    prints = stored(spread(docs.select("doc_id", "text")).select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    pairs = links(nodes)
-    a, b = nodes.select("fp", F.col("node").alias("a")), nodes.select(F.col("fp").alias("other"), F.col("node").alias("b"))
-    found = components(pairs.distinct().join(a, "fp").join(b, "other"), "a", "b")
-    named = stored(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which each component keeps one: the document with the smallest doc_id."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs of which each component keeps one, see least_rows."""
+    keyed = with_key(docs)
+    return least_rows(keyed, grouped(keyed, KEY)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ their sets agree in all rows of a band; pairs that meet are held against each ot
 whole sets, so no link is wrong. Of the pairs with a similarity of 0.8, a share of
 (1 - 0.8^5)^32 = 3e-6 meets nowhere; of those with a higher one, less.
 
+Nodes also meet by the anchor-point covering of simhash.py: their five-word SimHash
+fingerprints differ in at most 2 bits. That alone can't reach a similarity of 0.8, where some
+10 of 64 bits differ, so it comes beside the bands, and both kinds of candidates are held
+against each other by their whole sets.
+
 Of the nodes that meet in a band, each is first held against one, the hub. Links only matter
 between components, so after that only pairs from different components are left to check:
 a large group around one text costs a number of pairs that grows with its size. Of the
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import KEY, components, least_rows, spread, stored, with_key
+from .simhash import links
 
 SHINGLE, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS = 32, 5
@@ -84,14 +90,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]))
+def bits(found: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">i8")[0])
+
+
+@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("bits", LongType()), StructField("bands", ArrayType(LongType()))]))
 def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     from xxhash import xxh64_intdigest
 
     for batch in texts:
         sets = [shingles(t if isinstance(t, str) else None) for t in batch]
         fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"fp": fps, "bands": [bands(s) for s in sets]})
+        yield pd.DataFrame({"fp": fps, "bits": np.array([bits(s) for s in sets], np.int64), "bands": [bands(s) for s in sets]})
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -123,9 +139,23 @@ def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
+def _covered(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose SimHash fingerprints (column bits) are linked by the covering.
+
+    Of the nodes with one fingerprint the least stands for it: the others are paired with that one.
+    """
+    nodes = rows.where(F.size("bands") > 0).groupBy("fp").agg(F.first("bits").alias("bits"))
+    first = stored(nodes.groupBy("bits").agg(F.min("fp").alias("rep")), "simhashes")
+    pairs = links(first.select(F.col("bits").alias("fp"))).distinct()
+    apart = pairs.join(first.select(F.col("bits").alias("fp"), F.col("rep").alias("a")), "fp").join(first.select(F.col("bits").alias("other"), F.col("rep").alias("b")), "other")
+    same = nodes.join(first, "bits").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    return same.union(apart.select("a", "b"))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Per row of docs (key, doc_id, text): key, doc_id, fp, component."""
-    rows = stored(spread(docs).select(KEY, "doc_id", "text", prints("text").alias("p")).select(KEY, "doc_id", "text", "p.fp", "p.bands"), "prints")
+    rows = stored(spread(docs).select(KEY, "doc_id", "text", prints("text").alias("p")).select(KEY, "doc_id", "text", "p.fp", "p.bits", "p.bands"), "prints")
+    near = stored(_covered(rows), "covered")
     reached = stored(rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("band", "value")), "reached")
     # The hub of a band's value is the node with the most company: of near-copies of one text, that text.
     many = reached.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
@@ -133,8 +163,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     ranked = stored(met.join(met.groupBy("fp").agg(F.sum("n").alias("company")), "fp").select("band", "value", "fp", "company"), "ranked")
     hubs = stored(ranked.groupBy("band", "value").agg(F.max(F.struct("company", "fp"))["fp"].alias("hub")), "hubs")
     met = stored(ranked.join(hubs, ["band", "value"]).select("band", "value", "hub", "fp"), "members")
-    texts = stored(rows.select("fp", "text").join(met.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
-    edges = verified(met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), texts)
+    some = met.select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    texts = stored(rows.select("fp", "text").join(some, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    tried = met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).union(near)
+    edges = verified(tried.distinct(), texts)
     # What is in another component than its hub is held against the others that it meets.
     whose = _named(texts.select("fp"), edges)
     whose = stored(whose, "whose")

@@ -8,31 +8,32 @@ and archives may have any size and lie in any store that Spark reads. Content-Le
 which ends are inside a payload.
 
 Defined cases: a null html is an empty payload; payloads under 100 bytes never revisit; of
-equal longer payloads that with the least page_id is the response; equal rows (page_id and
-html) are equal captures, assembled once and returned as often as they were written; a null
-page_id or url is stored as absent and read back as null; an empty table gives an empty
-result; other columns play no part.
+equal longer payloads that with the least page_id is the response; equal rows (page_id, url
+and html) are equal captures, assembled once and returned as often as they were written; a
+null page_id or url is stored as absent and read back as null; an empty table gives an empty
+result; other columns play no part. An archive that ends within a record, or holds something
+between records, stops the reader with an error that names the file; a response whose payload
+isn't what its digest says is read with intact = false.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import new_path, stored, table
 
 LEAST = 100
 CRLF = "\r\n"
 END = CRLF + CRLF
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + END
-RECORD = "file string, record_id string, type string, uri string, concurrent_to string, refers_to string, digest string, payload_bytes long, payload_digest string, fields map<string,string>"
+RECORD = "file string, record_id string, type string, uri string, concurrent_to string, refers_to string, digest string, payload_bytes long, payload_digest string, intact boolean, fields map<string,string>"
 
 
 def _uuid(*parts: Column | str) -> Column:
@@ -55,22 +56,24 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write page_id, url and html of pages as WARC records under path."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    heads = p.select("page_id", "digest", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= LEAST)
+    heads = p.select(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")).alias("first"), "digest", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= LEAST)
     # Only payloads that occur again; stored, so that the join's sides are plain shuffles and a hot payload is split.
-    again = stored(heads.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"), "payloads")
+    again = stored(heads.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "payloads")
     p = p.join(again, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    this, first = _uuid("capture", page, "digest"), _uuid("capture", F.col("first_id").cast("string"), "digest")
+    # A row is named by its page, url and payload; a null url and an empty one are two names.
+    told = lambda page, url: (F.coalesce(F.col(page).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(url)), F.lit("")), F.col("digest"))
+    row = told("page_id", "url")
+    this, first = _uuid("capture", *row), _uuid("capture", *told("first_id", "first_url"))
     uri, digest = _header("WARC-Target-URI", F.col("url")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     together = F.concat(F.lit("WARC-Concurrent-To: "), this)
     get = F.concat(F.lit("GET "), F.regexp_replace(F.coalesce("url", F.lit("/")), r"[\r\n]", " "), F.lit(" HTTP/1.1" + END))
     about = F.concat_ws(CRLF, _header("pageId", F.col("page_id").cast("string")), F.lit("software: siltstone"))
     answer = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     records = F.array(
-        _record("request", _uuid("request", page, "digest"), "application/http; msgtype=request", get, uri, together),
+        _record("request", _uuid("request", *row), "application/http; msgtype=request", get, uri, together),
         _record(F.when(revisit, "revisit").otherwise("response"), this, "application/http; msgtype=response", answer, uri, digest, F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), first)), F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        _record("metadata", _uuid("metadata", page, "digest"), "application/warc-fields", about, uri, together),
+        _record("metadata", _uuid("metadata", *row), "application/warc-fields", about, uri, together),
     )
     p.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
@@ -86,14 +89,21 @@ class RecordReader:
     def __init__(self, payloads: bool):
         self.file, self.headers, self.block, self.length, self.payloads = None, None, [], 0, payloads
 
+    def close(self) -> None:
+        """Nothing comes after this: a record that isn't whole is an error."""
+        if self.headers is not None:
+            raise ValueError(f"{self.file}: record {self.headers.get('warc-record-id')} ends after {max(0, self.length)} of {self.headers.get('content-length')} bytes")
+
     def feed(self, file: str, piece: bytes) -> tuple | None:
         if file != self.file:
-            self.file, self.headers = file, None
+            self.close()
+            self.file = file
         if self.headers is None:
             start = piece.find(b"WARC/")
-            if start < 0:
-                return None
-            self.headers, self.block, self.length = _named(piece[start:]), [], -len(END)
+            if piece[: start if start >= 0 else None].strip():
+                raise ValueError(f"{file}: no record where one should begin: {piece[:60]!r}")
+            if start >= 0:
+                self.headers, self.block, self.length = _named(piece[start:]), [], -len(END)
             return None
         self.block.append(piece)
         self.length += len(END) + len(piece)
@@ -104,7 +114,10 @@ class RecordReader:
         block, rest = block[:need], block[need:]
         self.headers = None
         # A block that ends in CRLF makes a cut before its end, and the next header stands in the same piece.
-        if (start := rest.find(b"WARC/")) >= 0:
+        start = rest.find(b"WARC/")
+        if rest[: start if start >= 0 else None].strip():
+            raise ValueError(f"{file}: no record where one should begin: {rest[:60]!r}")
+        if start >= 0:
             self.headers, self.block, self.length = _named(rest[start:]), [], -len(END)
         kind, fields, payload = h.get("warc-type"), {}, b""
         if "http" in h.get("content-type", ""):
@@ -112,7 +125,8 @@ class RecordReader:
         elif kind == "metadata":
             fields = _named(block)
         digest = (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None
-        row = (file, h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), digest, len(payload), hashlib.sha256(payload).hexdigest() if kind == "response" else digest, fields)
+        sha = hashlib.sha256(payload).hexdigest() if kind == "response" else digest
+        row = (file, h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), digest, len(payload), sha, digest is None or sha == digest, fields)
         return (*row, payload) if self.payloads else row
 
 
@@ -127,6 +141,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
             rows = [r for f, v in zip(batch["file"], batch["value"], strict=True) if (r := reader.feed(f, v))]
             if rows:
                 yield pd.DataFrame(rows, columns=names)
+        reader.close()
 
     raw = spark.read.option("lineSep", END).text(path)
     return raw.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value")).mapInPandas(parse, schema)
@@ -151,7 +166,7 @@ def transactions(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """Write pages as archives, read them back: a row per page as the archives tell it."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(pages, path)
     t = stored(transactions(read_records(spark, path)), "transactions").where(F.col("response").isNotNull())
     page = F.col("metadata.fields").getItem("pageid").cast("long").alias("page_id")

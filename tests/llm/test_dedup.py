@@ -81,6 +81,36 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_simhash_without_ids(spark):
+    """What only a row without id lies between is linked; an id with two texts is two nodes; no row is lost."""
+    base = [f"w{k}" for k in range(300)]
+    near = {}
+    for k in range(300):  # texts one word apart, by their fingerprints
+        t = " ".join([*base[:k], "other", *base[k + 1 :]])
+        near.setdefault(simhash.fingerprint(t), t)
+    fps = list(near)
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    a, b, c = next((x, y, z) for x in fps for y in fps for z in fps if x != y and y != z and far(x, y) <= 2 and far(y, z) <= 2 and far(x, z) > 2)
+    rows = [(7, near[a]), (None, near[b]), (9, near[c]), (3, "one text of an id"), (3, "quite another text of that id"), (None, "no id at all here"), (None, "no id at all here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("clash")).withColumn("least", F.lit(0))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(7, 7), (None, 7), (9, 7), (3, 3), (3, 3), (None, None), (None, None)], key=str)
+    kept = simhash.without_near_duplicates(d)
+    assert kept.columns == d.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), k, rng.randrange(9) or None) for k in range(500)]
+    d = spark.createDataFrame(rows, "a int, b int, v int").withColumn("run_part", F.lit(1))
+    got = {r.b: (r.n, r.s) for r in common.running(d, ["a", "b"], {"n": F.lit(1), "s": "v"}).collect()}
+    n = s = 0
+    for _, b, v in sorted(rows, key=lambda x: x[:2]):
+        assert got[b] == (n, s)
+        n, s = n + 1, s + (v or 0)
+    assert common.running(d.limit(0), ["a", "b"], {"n": F.lit(1)}).count() == 0
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -1,10 +1,17 @@
+import os
+import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import pii, warc
 
+from . import plain_pii
+
+FOLDER = "/root/testdata/sf0.001"
+
 
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
@@ -47,15 +54,65 @@ def test_what_is_not_valid_stays(spark):
 def test_permutation(spark):
     """Different values of a format stay different, and every number of a small domain is reached once."""
     d = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
-    assert d.select(pii.permuted_digits(F.col("d"), "t").alias("p")).distinct().count() == 100
+    assert d.select(pii.permuted_digits("k", F.col("d"), "t").alias("p")).distinct().count() == 100
     days = spark.sql("SELECT explode(sequence(DATE'1999-01-01', DATE'2003-12-31')) AS d")
-    got = days.select(pii._day(F.col("d")).alias("p"))
+    got = days.select(pii._day("k", F.col("d")).alias("p"))
     assert got.distinct().count() == days.count() and got.where("p < '1800-01-01' OR p > '2199-12-31'").count() == 0
 
 
+def made(rng):
+    """A value of some kind, or something close to one."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    card = d(rng.choice([12, 13, 15, 15, 15, 18]))
+    card += str(-plain_pii.luhn(card + "0") % 10)
+    bban = rng.choice(["ABCD", ""]) + d(16)
+    check = 98 - int("".join(str(int(c, 36)) for c in bban + "GB00")) % 97
+    return rng.choice([
+        card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:16]}", d(16), f"GB{check:02d}{bban}", "GB00" + bban, f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(300)}", "1.2.3.4",
+        f"{d(3)}-{d(2)}-{d(4)}", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{d(4)}", f"+1 {rng.randrange(200, 999)}.{rng.randrange(200, 999)}.{d(4)}", f"+353 {d(3)} {d(4)}", f"+971 {d(2)} {d(3)} {d(4)}", f"+49-{d(3)}-{d(4)}{d(1)}", f"+7 {d(3)} {d(3)} {d(2)}",
+        f"{rng.randrange(1700, 2300)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}", f"{rng.randrange(1, 33):02d}.{rng.randrange(1, 14):02d}.{rng.randrange(1800, 2200)}", f"{rng.randrange(1, 33):02d}/{rng.randrange(1, 33):02d}/{rng.randrange(1800, 2200)}",
+        f"{h(6)}.x@{h(4)}.Example.com", f'token = "{h(40)}"', f"key={h(32)}", 'token = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"', "AKIA" + d(8) + "ABCDEFGH", "AKIA" + "A" * 15,
+    ])
+
+
+def test_against_plain_python(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["", "é ", "a "]).join(rng.choice([made(rng), made(rng), "words, and", "12 3", "("]) + rng.choice([" ", ", ", "\n", "; "]) for _ in range(rng.randrange(12)))) for k in range(500)]
+    got = {r.doc_id: (r.text, r.pii_replaced) for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), key="another").collect()}
+    assert got == {k: plain_pii.pseudonymised(t, "another") for k, t in rows}
+    assert sum(n for _, n in got.values()) > 500 and all(re.search(pii.HINT, m[0]) for _, t in rows for m in plain_pii.MATCH.finditer(t))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_query_against_plain_python(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.pii_replaced) for r in pii.op1_pii(spark, FOLDER).collect()}
+    assert got == {k: plain_pii.pseudonymised(t) for k, t in docs.items()}
+
+
+def test_secret_without_digit_pairs(spark):
+    got = texts(spark, [(1, 'token = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"'), (2, "+353 123 4567"), (3, "+971 50 123 4567")])
+    assert got[1].pii_replaced == 1 and "a1b2c3d4" not in got[1].text
+    assert got[2].text.startswith("+353 ") and got[3].text.startswith("+971 ")
+
+
+def test_key_is_a_setting(spark):
+    d = spark.createDataFrame([(1, CARD)], "doc_id long, text string")
+    plain = pii.pseudonymised(d).first().text
+    spark.conf.set(pii.KEY_SETTING, "k2")
+    try:
+        assert pii.pseudonymised(d).first().text == pii.pseudonymised(d, key="k2").first().text != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_extra_columns_and_empty(spark):
-    d = spark.createDataFrame([(1, CARD, 5, "x")], "doc_id long, text string, pii_replaced int, found string")
-    assert pii.pseudonymised(d).first().found == "x"
+    d = spark.createDataFrame([(1, CARD, 5, "x", "y", "z")], "doc_id long, text string, pii_replaced int, found string, pii_found string, PII_new string")
+    got = pii.pseudonymised(d)
+    assert got.columns == [*d.columns, "pii_replaced_"] and tuple(got.first())[2:] == (5, "x", "y", "z", 1) and got.first().text != CARD
+    again = spark.createDataFrame([(1, f"{CARD} {CARD}"), (1, f"{CARD} {CARD}")], "doc_id long, text string")
+    assert len({r.text for r in pii.pseudonymised(again).collect()}) == 1
     assert pii.pseudonymised(d.limit(0)).count() == 0
     long = "word " * 200_000 + CARD
     assert texts(spark, [(1, long)])[1].pii_replaced == 1
@@ -90,6 +147,37 @@ def test_captures(spark):
     assert warc.captures(d.limit(0)).count() == 0
 
 
+def test_urls_ids_and_repeats(spark):
+    x = "x" * 120
+    pages = [(1, "u1", x), (1, "u2", x), (2, "u1", x), (2, "u1", x), (2, None, x), (2, "", x), (None, "n", x), (None, "m", "short")]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = warc.captures(d).collect()
+    assert sorted([(r.page_id, r.url) for r in got], key=str) == sorted([(i, u) for i, u, _ in pages], key=str)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(pages)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_warc_query(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()]
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op2_warc(spark, FOLDER).collect()], key=str) == brute(pages)
+
+
+def test_damaged_archives(spark, tmp_path):
+    import gzip
+
+    d = spark.createDataFrame([(1, "http://a/", "x" * 150)], "page_id long, url string, html string")
+    warc.write_archives(d.coalesce(1), f"file://{tmp_path}/w")
+    raw = b"".join(zlib.decompress(p.read_bytes(), 31) for p in sorted((tmp_path / "w").glob("part-*.gz")))
+    for name, bad in (("cut", raw[:-30]), ("junk", b"oops" + raw), ("between", raw.replace(b"\r\n\r\nWARC/1.1", b"\r\n\r\nstray\r\n\r\nWARC/1.1"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.gz").write_bytes(gzip.compress(bad))
+        with pytest.raises(Exception, match="ends after|should begin"):
+            warc.read_records(spark, f"file://{tmp_path}/{name}").collect()
+    (tmp_path / "changed").mkdir()
+    (tmp_path / "changed" / "a.gz").write_bytes(gzip.compress(raw.replace(b"xxx", b"xyx", 1)))
+    assert sorted((r.type, r.intact) for r in warc.read_records(spark, f"file://{tmp_path}/changed").collect()) == [("metadata", True), ("request", True), ("response", False)]
+
+
 def test_payloads_that_end_in_line_ends(spark):
     ends = ["\r\n", "\r", "\n", "\r\n\r\n", "\r\n\r\n\r\n", "\r\n\r", "\r\n\n"]
     pages = [(k, "u", "<html>" + "x" * n + end) for k, (n, end) in enumerate((n, end) for n in (3, 150) for end in ends)]
