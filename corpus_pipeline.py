@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import delete, fresh, made, stored, table
 from siltstone.llm.mixing import mixed_documents
 from siltstone.llm.packing import packed_documents
 from siltstone.llm.pii import pseudonymised
@@ -30,9 +30,10 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts get pseudonyms; n_chars follows the new text."""
-    d = pseudonymised(docs)
-    counted = F.when(F.col("pii_replaced") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return d.withColumn("n_chars", counted).select(*docs.columns)
+    count = fresh(docs, "pii_replaced")
+    d = pseudonymised(docs, count=count)
+    counted = F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.withColumn("n_chars", counted).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
-#: A trained classifier and a tokenizer are no SQL; the tests hold run() against a brute-force version.
+#: A trained classifier and a tokenizer are no SQL; tests/llm/test_pipeline.py holds run() against a plain version of each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage kept for itself goes once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), len(made)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        delete(spark, made[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
