@@ -35,13 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
     A lost executor costs nothing but the tasks it ran, and later reads prune columns.
+    options: of the writer.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
+    df.write.options(**options).parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
