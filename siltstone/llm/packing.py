@@ -1,20 +1,32 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
-Documents of one length, and sequences with one gap, are interchangeable. The sorted
-order of documents and gaps is therefore kept as runs of equal sizes: at most `capacity`
-document runs whatever the input, so the table of runs is bounded. A round sweeps gaps and
-documents in size order, each gap taking its best fit (the largest waiting document that
-fits); several claims on one run are settled by rank, the ranks of a run going to the
-sequences of a run in order; then gaps are updated and the next round begins. The rows
-themselves are never gathered: each piece gets its rank within its length by distributed
-prefix counts, and finds its sequence in the rank intervals that the rounds left.
-
-Defined cases: a null or empty text is the single end token; equal rows are packed
-separately; an empty table gives an empty result; other columns play no part.
+Documents of one length are interchangeable, and so are sequences with one gap. What rounds
+work on is therefore tables of runs of equal sizes: a row per length that still has documents
+(`capacity` at most, whatever the input), and a row per gap and run of neighbouring
+sequences. A round is a Spark job over these tables:
+
+1. documents and gaps are range-sorted together by size, and prefix sums count documents up
+   and gaps down: a gap's best fit, the nearest smaller document that no gap before it takes,
+   is its predecessor at the same height of that count;
+2. each height interval is swept on its own for such neighbours;
+3. conflicts, several gaps on one length, are settled by rank: the documents of a length go
+   to its gaps in order, one each, and what is left fills the same sequences with as many more
+   of that length as fit;
+4. gaps are updated, and the next round begins. When no gap fits any document, sequences are
+   opened for the longest documents, as many as the tokens left would fill.
+
+The driver only looks at three totals of a round. The rows themselves are never gathered:
+each piece gets its rank within its length by distributed prefix counts, and finds its
+sequence by a join with the rank intervals that the rounds left.
+
+Defined cases: a null or empty text is the single end token; equal rows, and rows without or
+with one doc_id, are packed separately; an empty table gives an empty result; other columns
+play no part.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -26,13 +38,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spread, stored, table
+from .common import shared_dir, spread, stored, table
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-BUCKETS = 256
-REMEMBERED = 500_000
+REMEMBERED, LONGEST_WORD = 500_000, 64
+BLOCK_BITS = 16  # ranks are looked up in blocks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters for which str.lower and the pattern below do what the tokenizer does.
 _LETTERS = "a-zß-öø-ÿ"
@@ -45,21 +57,22 @@ _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit bytes, exactly as the tokenizer gives them.
 
-    The vocabulary splits a text at white space and into parts before it merges bytes, so the
-    words of plain Latin text are encoded once and remembered; any other text goes to the
-    tokenizer whole.
+    VOCABULARY splits a text at white space and into parts before it merges bytes, so with it
+    the words of plain Latin text are encoded once and remembered; any other text, and every
+    text with another vocabulary, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.by_words = os.path.basename(path) == VOCABULARY
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+        if not self.by_words or "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         try:
@@ -68,10 +81,13 @@ class Encoder:
             pass
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        for w in words:
-            if w not in self.words:
-                self.words[w] = b"".join([self.part(x) for x in _PARTS.findall(w)])
-        return b"".join([self.words[w] for w in words])
+        return b"".join([self.words.get(w) or self.word(w) for w in words])
+
+    def word(self, w: str) -> bytes:
+        ids = b"".join([self.part(x) for x in _PARTS.findall(w)])
+        if len(w) <= LONGEST_WORD:
+            self.words[w] = ids
+        return ids
 
     def part(self, x: str) -> bytes:
         if (ids := self.parts.get(x)) is None:
@@ -79,7 +95,9 @@ class Encoder:
                 self.parts.clear()
             # The model sees each byte as a printable character: ASCII as itself.
             shown = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTES)
-            ids = self.parts[x] = np.array([t.id for t in self.merge(shown)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.merge(shown)], "<u4").tobytes()
+            if len(x) <= LONGEST_WORD:
+                self.parts[x] = ids
         return ids
 
 
@@ -94,8 +112,6 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,76 +128,133 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return spread(docs.select("doc_id", "text")).mapInPandas(cut, PIECES)
 
 
-def pack_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rounds over runs. counts: documents by length. Returns (length, rank, many, sequence, offset):
-    the documents of that length with ranks rank .. rank+many-1 go to the sequences from
-    sequence on, one each, at offset.
+STATE = "kind string, size long, at long, many long, length long, copies long, start long"
+SEGMENT = 256  # sizes that prefix sums take together
+
+
+def _opened(docs: DataFrame, need: int, first: int, capacity: int) -> DataFrame:
+    """Rows of STATE: sequences from `first` on for the longest of docs (size, at, many), the documents put there, and those left.
+
+    All documents over half a sequence get one each, of the others the longest `need` in all.
+    """
+    longest = Window.orderBy(F.desc("size"))  # a row per length: `capacity` rows at most
+    before = F.sum("many").over(longest) - F.col("many")
+    d = docs.withColumn("before", before)
+    d = d.withColumn("open", F.when(F.col("size") * 2 > capacity, F.col("many")).otherwise(F.greatest(F.lit(0), F.least("many", F.lit(need) - F.col("before")))))
+    seq = (F.lit(first) + F.sum("open").over(longest) - F.col("open")).alias("seq")
+    d = d.select("size", "at", "many", "open", seq)
+    row = lambda kind, size, at, many, length=None, copies=None, start=None: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if v is None else v).cast("long").alias(n) for n, v in (("size", size), ("at", at), ("many", many), ("length", length), ("copies", copies), ("start", start))])
+    put = row("put", F.lit(capacity), F.col("seq"), F.col("open"), F.col("size"), F.lit(1), F.col("at"))
+    left = row("doc", F.col("size"), F.col("at") + F.col("open"), F.col("many") - F.col("open"))
+    gap = row("gap", F.lit(capacity) - F.col("size"), F.col("seq"), F.col("open"))
+    return d.select(F.explode(F.array(put, left, gap)).alias("r")).select("r.*").where("many > 0 AND size > 0")
+
+
+def _swept(state: DataFrame) -> DataFrame:
+    """One round: the documents (kind doc) and gaps (kind gap) left, and what was put where (kind put).
+
+    put: `many` sequences from `at` on, whose gap was `size`, get `copies` documents of `length`
+    each, those with ranks from `start` on.
+    """
+    runs = state.where("kind <> 'put'").select("size", (F.col("kind") == "gap").cast("int").alias("gap"), "at", "many")
+    signed = F.when(F.col("gap") == 1, -F.col("many")).otherwise(F.col("many"))
+    runs = runs.withColumn("part", F.floor(F.col("size") / SEGMENT)).withColumn("signed", signed)
+    parts = runs.groupBy("part").agg(F.sum("signed").alias("total"))
+    base = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))  # capacity / SEGMENT rows
+    inside = Window.partitionBy("part").orderBy("size", "gap", "at")
+    h = runs.join(base, "part").withColumn("h1", F.col("base") + F.sum("signed").over(inside)).withColumn("h0", F.col("h1") - F.col("signed"))
+    h = h.select("size", "gap", "at", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi"))
+    # Every run is cut where any other begins or ends, so that equal heights are one interval.
+    cuts = h.select(F.explode(F.array("lo", "hi")).alias("cut")).distinct()
+    cuts = cuts.select("cut", F.row_number().over(Window.orderBy("cut")).alias("k"), F.lead("cut").over(Window.orderBy("cut")).alias("next"))  # two a run
+    low, high = cuts.select(F.col("cut").alias("lo"), F.col("k").alias("k0")), cuts.select(F.col("cut").alias("hi"), F.col("k").alias("k1"))
+    pieces = h.join(low, "lo").join(high, "hi").withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1))).join(cuts, "k")
+    nearest = Window.partitionBy("k").orderBy("size", "gap", "at")
+    before = pieces.withColumn("length", F.when(F.lag("gap").over(nearest) == 0, F.lag("size").over(nearest))).where("gap = 1")
+    # The pieces of a gap run that got documents of one length are neighbours; heights fall as sequences rise.
+    met = before.groupBy("size", "at", "length").agg(F.min(F.col("at") + F.col("hi") - F.col("next")).alias("seq"), F.sum(F.col("next") - F.col("cut")).alias("n"))
+    docs = runs.where("gap = 0").select(F.col("size").alias("length"), F.col("at").alias("start"), F.col("many").alias("there"))
+    met = met.select("size", "seq", "n", "length").join(docs, "length", "full")
+    of = Window.partitionBy("length").orderBy("size", "seq")
+    upto = of.rowsBetween(Window.unboundedPreceding, -1)
+    more = F.when(F.col("n").isNotNull(), F.floor(F.col("size") / F.col("length")) - 1).otherwise(0)
+    m = met.withColumn("t", more).withColumn("ones", F.sum("n").over(Window.partitionBy("length"))).withColumn("one", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    m = m.withColumn("asked", F.coalesce(F.sum(F.col("n") * F.col("t")).over(upto), F.lit(0)))
+    spare = F.col("there") - F.coalesce("ones", F.lit(0))
+    m = m.withColumn("given", F.greatest(F.lit(0), F.least(F.coalesce(F.col("n") * F.col("t"), F.lit(0)), spare - F.col("asked"))))
+    m = m.withColumn("full", F.when(F.col("t") > 0, F.floor(F.col("given") / F.col("t"))).otherwise(0)).withColumn("rest", F.when(F.col("t") > 0, F.col("given") % F.col("t")).otherwise(0))
+    m = m.withColumn("all_given", F.sum("given").over(Window.partitionBy("length"))).withColumn("last", F.row_number().over(of) == F.count(F.lit(1)).over(Window.partitionBy("length")))
+    names = ("size", "at", "many", "length", "copies", "start")
+
+    def row(when: str, kind: str, *values: str) -> str:
+        inner = ", ".join(f"'{n}', CAST({v} AS BIGINT)" for n, v in zip(names, values, strict=True))
+        return f"CASE WHEN {when} THEN named_struct('kind', '{kind}', {inner}) END"
+
+    hit = "n IS NOT NULL AND length IS NOT NULL"
+    second = "start + ones + asked"
+    rows = [
+        row("n IS NOT NULL AND length IS NULL", "gap", "size", "seq", "n", "NULL", "NULL", "NULL"),
+        row(hit, "put", "size", "seq", "n", "length", "1", "start + one"),
+        row(f"{hit} AND full > 0", "put", "size - length", "seq", "full", "length", "t", second),
+        row(f"{hit} AND rest > 0", "put", "size - length", "seq + full", "1", "length", "rest", f"{second} + full * t"),
+        row(hit, "gap", "size - length * (t + 1)", "seq", "full", "NULL", "NULL", "NULL"),
+        row(hit, "gap", "size - length * (rest + 1)", "seq + full", "CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
+        row(hit, "gap", "size - length", "seq + full + CASE WHEN rest > 0 THEN 1 ELSE 0 END", "n - full - CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
+        row("last AND length IS NOT NULL", "doc", "length", "start + coalesce(ones, 0) + coalesce(all_given, 0)", "there - coalesce(ones, 0) - coalesce(all_given, 0)", "NULL", "NULL", "NULL"),
+    ]
+    return m.select(F.explode(F.expr(f"filter(array({', '.join(rows)}), x -> x IS NOT NULL)")).alias("r")).select("r.*").where("many > 0 AND size > 0")
+
+
+def pack_runs(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """counts: length, n (documents of it, a row each). Returns length, start, many, copies, sequence, offset:
+
+    documents of that length with ranks from start on go to `many` sequences from `sequence`
+    on, `copies` to each, the first at offset.
     """
-    left = {n: c for n, c in counts.items() if c > 0}
-    rank = dict.fromkeys(left, 0)
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, many
-    out, sequences = [], 0
-
-    def place(length: int, many: int, sequence: int, gap: int) -> None:
-        out.append((length, rank[length], many, sequence, capacity - gap))
-        rank[length] += many
-        left[length] -= many
-
-    while any(left.values()):
-        # Sequences are opened for the longest documents: for all over half a sequence, else
-        # for as many as the tokens left would fill.
-        need = max(1, -(-sum(n * c for n, c in left.items()) // capacity))
-        for n in sorted((n for n, c in left.items() if c), reverse=True):
-            many = left[n] if 2 * n > capacity else min(need, left[n])
-            if many <= 0:
-                break
-            place(n, many, sequences, capacity)
-            if n < capacity:
-                gaps.append((capacity - n, sequences, many))
-            sequences, need = sequences + many, need - many
-        matched = True
-        while matched and any(left.values()):
-            matched, after = False, []
-            waiting = sorted((n for n, c in left.items() if c), reverse=True)  # the shortest is last
-            stack: list[int] = []
-            for gap, sequence, many in sorted(gaps):
-                while waiting and waiting[-1] <= gap:
-                    stack.append(waiting.pop())
-                while many and stack:
-                    n = stack[-1]
-                    k = min(many, left[n])
-                    place(n, k, sequence, gap)
-                    matched = True
-                    if gap > n:
-                        after.append((gap - n, sequence, k))
-                    sequence, many = sequence + k, many - k
-                    if not left[n]:
-                        stack.pop()
-                if many:
-                    after.append((gap, sequence, many))
-            gaps = after
-    return out
+    shared_dir(counts.sparkSession)
+    state = counts.select(F.lit("doc").alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("at"), F.col("n").cast("long").alias("many"), *[F.lit(None).cast("long").alias(c) for c in ("length", "copies", "start")]).checkpoint()
+    kept, sequences, opening = [], 0, True
+    while True:
+        t = state.where("kind = 'doc'").agg(F.sum("many").alias("left"), F.sum(F.col("size") * F.col("many")).alias("tokens")).first()
+        if not t["left"]:
+            break
+        docs = state.where("kind = 'doc'")
+        if opening:
+            opened = _opened(docs.select("size", "at", "many"), max(1, -(-int(t["tokens"]) // capacity)), sequences, capacity)
+            state = opened.unionByName(state.where("kind = 'gap'")).coalesce(1).checkpoint()
+        else:
+            state = _swept(state).coalesce(1).checkpoint()
+        put = state.where("kind = 'put'").agg(F.sum("many").alias("n"), F.max(F.col("at") + F.col("many")).alias("top")).first()
+        if put["n"]:
+            kept.append(state.where("kind = 'put'"))
+            sequences = max(sequences, int(put["top"]))
+        opening = not opening and not put["n"]
+    none = counts.sparkSession.createDataFrame([], STATE)
+    found = none
+    for k in kept:
+        found = found.unionByName(k)
+    return found.select("length", "start", "many", "copies", F.col("at").alias("sequence"), (F.lit(capacity) - F.col("size")).alias("offset"))
 
 
 def pack(table_of_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length."""
-    p = stored(table_of_pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")), "pieces")
-    sums = p.groupBy("length", "bucket").agg(F.count("*").alias("many"))
-    counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    runs = sorted(pack_runs(counts, capacity))
-    plan = p.sparkSession.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 5))
-    offsets = sums.select("length", "bucket", F.coalesce(F.sum("many").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
-    ranked = p.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def find(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        runs = plan.value
-        at = np.searchsorted((runs[:, 0] << 44) + runs[:, 1], (length.to_numpy("int64") << 44) + rank.to_numpy("int64"), side="right") - 1
-        return pd.DataFrame({"sequence_id": runs[at, 3] + rank.to_numpy("int64") - runs[at, 1], "offset": runs[at, 4]})
-
-    found = ranked.select(*table_of_pieces.columns, find("length", "rank").alias("at"))
-    return found.select(*table_of_pieces.columns, "at.sequence_id", "at.offset")
+    # A row's bucket is the partition that made it, so no key, however frequent, is in one bucket.
+    p = stored(table_of_pieces.withColumn("pk_bucket", F.spark_partition_id()), "pieces")
+    sums = stored(p.groupBy("length", "pk_bucket").agg(F.count("*").alias("many")), "lengths")
+    runs = stored(pack_runs(sums.groupBy("length").agg(F.sum("many").alias("n")), capacity), "runs")
+    before = F.sum("many").over(Window.partitionBy("length").orderBy("pk_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("length", "pk_bucket", F.coalesce(before, F.lit(0)).alias("pk_before"))
+    inside = Window.partitionBy("length", "pk_bucket").orderBy("doc_id", "piece")
+    ranked = p.join(offsets, ["length", "pk_bucket"]).withColumn("pk_rank", F.col("pk_before") + F.row_number().over(inside) - 1).withColumn("pk_block", F.shiftright("pk_rank", BLOCK_BITS))
+    stop = F.col("start") + F.col("many") * F.col("copies")
+    # A run is met by the blocks of ranks that it reaches into: N / 2^16 rows more than there are runs.
+    blocks = runs.select("length", F.col("start").alias("r_start"), stop.alias("r_stop"), "copies", "sequence", F.col("offset").alias("r_offset"))
+    blocks = blocks.withColumn("pk_block", F.explode(F.sequence(F.shiftright("r_start", BLOCK_BITS), F.shiftright(F.col("r_stop") - 1, BLOCK_BITS))))
+    found = ranked.join(blocks, ["length", "pk_block"]).where("pk_rank >= r_start AND pk_rank < r_stop")
+    nth = F.col("pk_rank") - F.col("r_start")
+    sequence = F.col("sequence") + F.floor(nth / F.col("copies"))
+    offset = F.col("r_offset") + nth % F.col("copies") * F.col("length")
+    return found.select(*[found[c] for c in table_of_pieces.columns], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

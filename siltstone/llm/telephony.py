@@ -8,9 +8,13 @@ resampled by a rational factor with linear interpolation in integers.
 samples, or the data bytes of ADPCM blocks of 192 (each after its own 4-byte header). Which
 of the three is told by a CRC of the payload, so equal payloads have equal media.
 
+The PCM is stored too, in parts of some SLICE coded bytes, so that a medium of any length is
+decoded, written and measured a part at a time; features come from the stored PCM, read back.
+
 Defined cases: a null text is an empty one; an empty payload is 192 pad bytes; media that
-are null or no telephony WAV decode to null; repeated rows stay separate rows and have
-equal media; an empty table gives an empty result; other columns play no part.
+are null or no telephony WAV have one part, with null PCM, and null features; repeated rows
+stay separate rows and have equal media; an empty table gives an empty result; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spread, stored, table
 
@@ -31,6 +36,9 @@ UNIT, PAD, TAIL = 192, b"\x20", 16
 RATE, UP, DOWN = 8000, 2, 1
 ALAW, MULAW, ADPCM = 6, 7, 0x11  # format tags of WAV
 BLOCK_HEADER = 4
+SLICE = 1 << 19  # coded bytes of a part
+#: Audio compresses better in large pages.
+PAGES = {"parquet.page.size": str(1 << 23), "parquet.compression.codec.zstd.level": "9"}
 #: Index changes of IMA ADPCM, fixed values of the format.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 #: Step sizes of IMA ADPCM, fixed values of the format.
@@ -133,21 +141,34 @@ def decode(parsed: list[tuple[int, int, bytes] | None]) -> list[np.ndarray | Non
     return out
 
 
-def resample(pcm: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """up/down times as many samples, linear between neighbours, the last one held."""
+def resample(pcm: np.ndarray, up: int = UP, down: int = DOWN, after: int | None = None) -> np.ndarray:
+    """up/down times as many samples, linear between neighbours; behind the last one comes `after`, or it is held."""
     n = len(pcm) * up // down
     at = np.arange(n, dtype=np.int64) * down
     left, rest = at // up, at % up
-    x = np.append(pcm, pcm[-1:]).astype(np.int32)
+    x = np.append(pcm, pcm[-1:] if after is None else np.array([after], pcm.dtype)).astype(np.int32)
     return ((x[left] * (up - rest) + x[left + 1] * rest) // up).astype("<i2")
 
 
-def _chunks(values: Iterable, limit: int = 4_000_000) -> Iterator[list]:
-    """Lists of values of about `limit` bytes, so that a batch of long media is decoded in parts."""
+def slices(parsed: tuple[int, int, bytes], size: int = SLICE, down: int = DOWN) -> Iterator[tuple[tuple[int, int, bytes], int | None]]:
+    """(part, the sample that follows it) of one medium; parts hold whole blocks and a multiple of `down` samples."""
+    tag, block, data = parsed
+    unit = block * down if tag == ADPCM else down
+    step = max(1, size // unit) * unit
+    end = max(1, len(data) // block * block if tag == ADPCM else len(data))
+    for at in range(0, end, step):
+        after = None
+        if at + step < end:
+            after = struct.unpack_from("<h", data, at + step)[0] if tag == ADPCM else int((mulaw_table() if tag == MULAW else alaw_table())[data[at + step]])
+        yield (tag, block, data[at : min(at + step, end)]), after
+
+
+def _chunks(values: Iterable[tuple], size_of, limit: int = 4_000_000) -> Iterator[list]:
+    """Lists of values of about `limit` bytes, so that a batch of long media is worked on in parts."""
     part, size = [], 0
     for v in values:
         part.append(v)
-        size += len(v) if v is not None else 0
+        size += size_of(v)
         if size > limit:
             yield part
             part, size = [], 0
@@ -155,20 +176,40 @@ def _chunks(values: Iterable, limit: int = 4_000_000) -> Iterator[list]:
         yield part
 
 
-def decoded(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with a column pcm: resampled 16-bit PCM of the telephony WAV in `column`, null for anything else."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import BinaryType
+def payload_digests(parsed: tuple[int, int, bytes]) -> tuple[int, str, int]:
+    """Length, SHA-256 and CRC-32 of the tail of the payload that a medium stores, a slice at a time."""
+    sha, n, tail = hashlib.sha256(), 0, b""
+    for part, _ in slices(parsed):
+        x = payload_of(part)
+        sha.update(x)
+        n, tail = n + len(x), (tail + x[-TAIL:])[-TAIL:]
+    return n, sha.hexdigest(), zlib.crc32(tail)
+
+
+MEDIA = "doc_id long, n_bytes long, media binary"
+PCM = "id long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tag int, part int, pcm binary"
+
+
+def decoded(media: DataFrame) -> DataFrame:
+    """Rows of PCM from media (id, doc_id, n_bytes, media): what the coded bytes say, and resampled 16-bit PCM by parts."""
+    names = [x.split()[0] for x in PCM.split(", ")]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts(batch: pd.DataFrame) -> Iterator[tuple]:
+            for row, doc_id, n, m in zip(batch["id"], batch["doc_id"], batch["n_bytes"], batch["media"], strict=True):
+                p = parse_wav(m)
+                about = (row, doc_id, n, *(payload_digests(p) if p else (None, None, None)), len(m) if m is not None else None, hashlib.sha256(m).hexdigest() if m is not None else None, p[0] if p else None)
+                for k, (x, after) in enumerate(slices(p) if p else [(None, None)]):
+                    yield about, k, x, after
 
-    @F.pandas_udf(BinaryType())
-    def pcm(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = []
-            for part in _chunks(batch):
-                found += [x if x is None else resample(x).tobytes() for x in decode([parse_wav(m) for m in part])]
-            yield pd.Series(found, dtype=object)
+            for chunk in _chunks(parts(batch), lambda v: len(v[2][2]) if v[2] else 1):
+                found = decode([x for _, _, x, _ in chunk])
+                rows = [(*about, k, None if pcm is None else resample(pcm, after=after).tobytes()) for (about, k, _, after), pcm in zip(chunk, found, strict=True)]
+                whole = {c: "Int64" for c, kind in (x.split() for x in PCM.split(", ")) if kind in ("long", "int")}
+                yield pd.DataFrame(rows, columns=names).astype(whole)
 
-    return media.withColumn("pcm", pcm(F.col(column)))
+    return media.select("id", "doc_id", "n_bytes", "media").mapInPandas(run, PCM)
 
 
 def stored_payloads(docs: DataFrame) -> DataFrame:
@@ -176,43 +217,51 @@ def stored_payloads(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                raw = text.encode() if isinstance(text, str) else b""
-                out.append((doc_id, len(raw), encode(raw + PAD * (-len(raw) % UNIT if raw else UNIT))))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media"]).astype({"doc_id": "Int64"})
+            for chunk in _chunks(zip(batch["doc_id"], batch["text"], strict=True), lambda v: len(v[1]) if isinstance(v[1], str) else 1):
+                out = []
+                for doc_id, text in chunk:
+                    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                    out.append((doc_id, len(raw), encode(raw + PAD * (-len(raw) % UNIT if raw else UNIT))))
+                yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media"]).astype({"doc_id": "Int64"})
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(make, "doc_id long, n_bytes long, media binary")
+    return spread(docs.select("doc_id", "text")).mapInPandas(make, MEDIA)
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def features(pcm: DataFrame) -> DataFrame:
+    """What the stored audio says, per medium: digests, and of its PCM format, rate, samples, mean square, zero crossings, CRC-32 of its parts' CRC-32s."""
+    about = [x.split()[0] for x in PCM.split(", ")][:9]
 
+    def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x in b["pcm"]:
+                v = np.frombuffer(x or b"", "<i2")
+                negative = v < 0
+                square = sum(int((v[a : a + SLICE].astype(np.int64) ** 2).sum()) for a in range(0, len(v), SLICE))
+                out.append((len(v), square, int((negative[1:] != negative[:-1]).sum()), *((bool(negative[0]), bool(negative[-1])) if len(v) else (None, None)), zlib.crc32(v.tobytes())))
+            yield pd.concat([b[[*about, "part"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "square", "crossings", "first", "last", "crc"])], axis=1)
 
-def feature(tag: int, pcm: np.ndarray) -> str:
-    """Of resampled PCM: format, samples, mean square, zero crossings, CRC-32."""
-    name = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}[tag]
-    square = int((pcm.astype(np.int64) ** 2).sum()) // max(1, len(pcm))
-    negative = pcm < 0
-    return f"{name}:{RATE * UP // DOWN}:{len(pcm)}:{square}:{int((negative[1:] != negative[:-1]).sum())}:{zlib.crc32(pcm.tobytes()):08x}"
+    schema = ", ".join(PCM.split(", ")[:10]) + ", n long, square long, crossings long, first boolean, last boolean, crc long"
+    d = pcm.mapInPandas(measure, schema)
+    part = F.struct("part", "n", "square", "crossings", "first", "last", "crc")
+    g = d.groupBy("id").agg(*[F.first(c).alias(c) for c in about[1:]], F.array_sort(F.collect_list(part)).alias("parts"))  # a medium's parts: its length over SLICE
 
+    def total(c: str) -> F.Column:
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x[c])
 
-def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes say: payload, digests and the features of the decoded audio."""
+    seams = F.size(F.filter(F.zip_with(F.slice("parts", F.lit(1), F.size("parts") - 1), F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), lambda a, b: a["last"] != b["first"]), lambda x: x))
+    name = F.when(F.col("tag") == MULAW, "mulaw").when(F.col("tag") == ALAW, "alaw").when(F.col("tag") == ADPCM, "adpcm")
+    crcs = F.array_join(F.transform("parts", lambda x: x["crc"].cast("string")), ",")
+    g = g.withColumn("samples", total("n"))
+    shown = F.concat_ws(":", name, F.lit(str(RATE * UP // DOWN)), F.col("samples").cast("string"), F.expr("CAST(aggregate(parts, 0L, (s, x) -> s + x.square) DIV greatest(1L, samples) AS STRING)"), (total("crossings") + seams).cast("string"), F.lower(F.lpad(F.hex(F.crc32(crcs)), 8, "0")))
+    return g.select(*about[1:8], F.when(name.isNotNull(), shown).alias("feature"))
 
-    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = 0
-            for part in _chunks(batch["media"]):
-                rows = batch.iloc[at : at + len(part)]
-                at += len(part)
-                parsed, out = [parse_wav(m) for m in part], []
-                for doc_id, n, m, p, x in zip(rows["doc_id"], rows["n_bytes"], part, parsed, decode(parsed), strict=True):
-                    payload = payload_of(p)
-                    out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(m), hashlib.sha256(m).hexdigest(), feature(p[0], resample(x))))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return media.mapInPandas(read, FEATURES)
+def heard(docs: DataFrame) -> DataFrame:
+    """Texts stored as telephony audio, read back and decoded to stored PCM: features of each document."""
+    media = stored(stored_payloads(docs).withColumn("id", F.monotonically_increasing_id()), "media", **PAGES)
+    return features(stored(decoded(media), "pcm", **PAGES))
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(stored(stored_payloads(table(spark, sf_dir, "documents")), "media"))
+    return heard(table(spark, sf_dir, "documents"))
