@@ -1,9 +1,11 @@
 """Chat formatting: conversations through a compiled template, and back.
 
 Rows are sorted by conversation and turn within their partition and stream through the
-template; what is held is one turn, not one conversation, so a conversation of a third of
-all rows is no burden. Output comes as parts of a conversation of about PART characters,
-each with the spans under the loss mask.
+template; what is held is one turn, not one conversation. A conversation is written by one
+task all the same, since a template may count its turns and its digest is one stream: one of a
+third of all rows takes that task as long as its text is, but no more memory. Output comes as
+parts of a conversation of about PART characters, each with the spans under the loss mask.
+Reading back takes each part once, whatever the length of a turn.
 
 The template marks turns; the filter `guard` escapes, with a backslash, backslashes and
 whatever could be read as a mark inside texts and roles, and `unguarded` undoes it.
@@ -110,7 +112,50 @@ def _frames(rows: Iterator[tuple], columns: list[str], at_once: int = 1 << 22) -
         yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^<\\]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+class TurnReader:
+    """Digest of the turns in formatted text that comes in parts; holds what may be part of a mark."""
+
+    END = "</turn>\n"
+
+    def __init__(self):
+        self.turns, self.n, self.rest, self.seen, self.inside = hashlib.sha256(), 0, "", 0, False
+
+    def _say(self, text: str) -> None:
+        self.turns.update(text.encode("utf-8", "surrogatepass"))
+
+    def feed(self, text: str) -> None:
+        rest, at = self.rest + text, 0
+        while True:
+            if not self.inside:
+                # The name ends at the first ': ' whose colon isn't escaped.
+                stop = rest.find(": ", max(at, self.seen))
+                while stop >= 0 and _odd(rest, stop):
+                    stop = rest.find(": ", stop + 1)
+                if stop < 0:
+                    self.seen = max(at, len(rest) - 1) - at
+                    break
+                if rest[at : at + 4] != "### ":
+                    raise ValueError(f"output that isn't a turn: {rest[at : at + 80]!r}")
+                self._say(role_of(rest[at + 4 : stop]) + "\n")
+                self.inside, at, self.seen = True, stop + 2, 0
+            stop = rest.find(self.END, at)
+            if stop < 0:
+                whole = max(at, len(rest) - len(self.END) + 1)
+                whole -= whole > at and _odd(rest, whole)
+                self._say(unguarded(rest[at:whole]))
+                at = whole
+                break
+            self._say(unguarded(rest[at:stop]) + "\n")
+            self.n, self.inside, at = self.n + 1, False, stop + len(self.END)
+        self.rest = rest[at:]
+
+
+def _odd(text: str, stop: int) -> bool:
+    """True if an odd number of backslashes stands before stop: the last one escapes what is there."""
+    k = stop
+    while k and text[k - 1] == "\\":
+        k -= 1
+    return (stop - k) % 2 == 1
 
 
 def read_back(parts: DataFrame) -> DataFrame:
@@ -119,26 +164,21 @@ def read_back(parts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
             for conv, rows in groupby(_rows(batches, "part", "text", "loss"), key=lambda r: r[0]):
-                turns, n, chars, rest = hashlib.sha256(), 0, 0, ""
+                reader, chars = TurnReader(), 0
                 masked, loss, held = hashlib.sha256(), 0, ""
                 for _, _, text, spans in rows:
                     chars += len(text)
                     for s in spans:
                         held += text[s["start"] : s["stop"]]
                         # A backslash at a part's end belongs with what follows it.
-                        odd = (len(held) - len(held.rstrip("\\"))) % 2
+                        odd = _odd(held, len(held))
                         plain, held = unguarded(held[: len(held) - odd]), held[len(held) - odd :]
                         loss += len(plain)
                         masked.update(plain.encode("utf-8", "surrogatepass"))
-                    rest += text
-                    at = 0
-                    while m := _TURN.match(rest, at):
-                        turns.update(f"{role_of(m[1])}\n{unguarded(m[2])}\n".encode("utf-8", "surrogatepass"))
-                        n, at = n + 1, m.end()
-                    rest = rest[at:]
-                if rest or held:
-                    raise ValueError(f"conversation {conv}: output that isn't a turn: {(rest or held)[:80]!r}")
-                yield conv, n, turns.hexdigest(), loss, masked.hexdigest(), chars
+                    reader.feed(text)
+                if reader.rest or reader.inside or held:
+                    raise ValueError(f"conversation {conv}: output that isn't a turn: {(reader.rest or held)[:80]!r}")
+                yield conv, reader.n, reader.turns.hexdigest(), loss, masked.hexdigest(), chars
 
         yield from _frames(found(), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 

@@ -129,7 +129,6 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 STATE = "kind string, size long, at long, many long, length long, copies long, start long"
-SEGMENT = 256  # sizes that prefix sums take together
 
 
 def _opened(docs: DataFrame, need: int, first: int, capacity: int) -> DataFrame:
@@ -158,32 +157,32 @@ def _swept(state: DataFrame) -> DataFrame:
     """
     runs = state.where("kind <> 'put'").select("size", (F.col("kind") == "gap").cast("int").alias("gap"), "at", "many")
     signed = F.when(F.col("gap") == 1, -F.col("many")).otherwise(F.col("many"))
-    runs = runs.withColumn("part", F.floor(F.col("size") / SEGMENT)).withColumn("signed", signed)
-    parts = runs.groupBy("part").agg(F.sum("signed").alias("total"))
-    base = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))  # capacity / SEGMENT rows
-    inside = Window.partitionBy("part").orderBy("size", "gap", "at")
-    h = runs.join(base, "part").withColumn("h1", F.col("base") + F.sum("signed").over(inside)).withColumn("h0", F.col("h1") - F.col("signed"))
-    h = h.select("size", "gap", "at", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi"))
+    upto_here = F.sum(signed).over(Window.orderBy("size", "gap", "at"))  # a row per run of equal sizes, never per document
+    h = runs.select("size", "gap", "at", upto_here.alias("h1"), (upto_here - signed).alias("h0")).select("size", "gap", "at", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi"))
     # Every run is cut where any other begins or ends, so that equal heights are one interval.
-    cuts = h.select(F.explode(F.array("lo", "hi")).alias("cut")).distinct()
-    cuts = cuts.select("cut", F.row_number().over(Window.orderBy("cut")).alias("k"), F.lead("cut").over(Window.orderBy("cut")).alias("next"))  # two a run
+    height = Window.orderBy("cut")
+    cuts = h.select(F.explode(F.array("lo", "hi")).alias("cut")).distinct().select("cut", F.row_number().over(height).alias("k"), F.lead("cut").over(height).alias("next"))
     low, high = cuts.select(F.col("cut").alias("lo"), F.col("k").alias("k0")), cuts.select(F.col("cut").alias("hi"), F.col("k").alias("k1"))
     pieces = h.join(low, "lo").join(high, "hi").withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1))).join(cuts, "k")
     nearest = Window.partitionBy("k").orderBy("size", "gap", "at")
     before = pieces.withColumn("length", F.when(F.lag("gap").over(nearest) == 0, F.lag("size").over(nearest))).where("gap = 1")
     # The pieces of a gap run that got documents of one length are neighbours; heights fall as sequences rise.
     met = before.groupBy("size", "at", "length").agg(F.min(F.col("at") + F.col("hi") - F.col("next")).alias("seq"), F.sum(F.col("next") - F.col("cut")).alias("n"))
-    docs = runs.where("gap = 0").select(F.col("size").alias("length"), F.col("at").alias("start"), F.col("many").alias("there"))
-    met = met.select("size", "seq", "n", "length").join(docs, "length", "full")
+    none = F.lit(None).cast("long")
+    docs = runs.where("gap = 0").select(none.alias("size"), none.alias("seq"), none.alias("n"), F.col("size").alias("length"), F.col("at").alias("start"), F.col("many").alias("there"))
+    met = met.select("size", "seq", "n", "length", none.alias("start"), none.alias("there")).unionByName(docs)
+    # The documents of a length come first (null size), then its gaps: their ranks settle who gets which.
     of = Window.partitionBy("length").orderBy("size", "seq")
-    upto = of.rowsBetween(Window.unboundedPreceding, -1)
-    more = F.when(F.col("n").isNotNull(), F.floor(F.col("size") / F.col("length")) - 1).otherwise(0)
-    m = met.withColumn("t", more).withColumn("ones", F.sum("n").over(Window.partitionBy("length"))).withColumn("one", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    m = m.withColumn("asked", F.coalesce(F.sum(F.col("n") * F.col("t")).over(upto), F.lit(0)))
-    spare = F.col("there") - F.coalesce("ones", F.lit(0))
-    m = m.withColumn("given", F.greatest(F.lit(0), F.least(F.coalesce(F.col("n") * F.col("t"), F.lit(0)), spare - F.col("asked"))))
+    upto, whole = of.rowsBetween(Window.unboundedPreceding, -1), of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = F.when(F.col("n").isNotNull(), F.floor(F.col("size") / F.col("length")) - 1).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    m = met.withColumn("t", t).select(
+        "size", "seq", "n", "length", "t", F.max("start").over(whole).alias("start"), F.max("there").over(whole).alias("there"), zero(F.sum("n").over(whole)).alias("ones"), zero(F.sum("n").over(upto)).alias("one"),
+        zero(F.sum(F.col("n") * F.col("t")).over(upto)).alias("asked"), zero(F.sum(F.col("n") * F.col("t")).over(whole)).alias("all_asked"),
+    )
+    spare = F.col("there") - F.col("ones")
+    m = m.withColumn("given", F.greatest(F.lit(0), F.least(zero(F.col("n") * F.col("t")), spare - F.col("asked")))).withColumn("all_given", F.least("all_asked", spare))
     m = m.withColumn("full", F.when(F.col("t") > 0, F.floor(F.col("given") / F.col("t"))).otherwise(0)).withColumn("rest", F.when(F.col("t") > 0, F.col("given") % F.col("t")).otherwise(0))
-    m = m.withColumn("all_given", F.sum("given").over(Window.partitionBy("length"))).withColumn("last", F.row_number().over(of) == F.count(F.lit(1)).over(Window.partitionBy("length")))
     names = ("size", "at", "many", "length", "copies", "start")
 
     def row(when: str, kind: str, *values: str) -> str:
@@ -200,7 +199,7 @@ def _swept(state: DataFrame) -> DataFrame:
         row(hit, "gap", "size - length * (t + 1)", "seq", "full", "NULL", "NULL", "NULL"),
         row(hit, "gap", "size - length * (rest + 1)", "seq + full", "CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
         row(hit, "gap", "size - length", "seq + full + CASE WHEN rest > 0 THEN 1 ELSE 0 END", "n - full - CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
-        row("last AND length IS NOT NULL", "doc", "length", "start + coalesce(ones, 0) + coalesce(all_given, 0)", "there - coalesce(ones, 0) - coalesce(all_given, 0)", "NULL", "NULL", "NULL"),
+        row("size IS NULL", "doc", "length", "start + ones + all_given", "there - ones - all_given", "NULL", "NULL", "NULL"),
     ]
     return m.select(F.explode(F.expr(f"filter(array({', '.join(rows)}), x -> x IS NOT NULL)")).alias("r")).select("r.*").where("many > 0 AND size > 0")
 
@@ -212,23 +211,22 @@ def pack_runs(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     on, `copies` to each, the first at offset.
     """
     shared_dir(counts.sparkSession)
-    state = counts.select(F.lit("doc").alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("at"), F.col("n").cast("long").alias("many"), *[F.lit(None).cast("long").alias(c) for c in ("length", "copies", "start")]).checkpoint()
+    state = counts.select(F.lit("doc").alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("at"), F.col("n").cast("long").alias("many"), *[F.lit(None).cast("long").alias(c) for c in ("length", "copies", "start")]).coalesce(1).checkpoint()
     kept, sequences, opening = [], 0, True
-    while True:
-        t = state.where("kind = 'doc'").agg(F.sum("many").alias("left"), F.sum(F.col("size") * F.col("many")).alias("tokens")).first()
-        if not t["left"]:
-            break
-        docs = state.where("kind = 'doc'")
+    n, put, top = (F.when(F.col("kind") == kind, v) for kind, v in (("doc", F.col("many")), ("put", F.col("many")), ("put", F.col("at") + F.col("many"))))
+    totals = [F.sum(n).alias("left"), F.sum(n * F.col("size")).alias("tokens"), F.sum(put).alias("put"), F.max(top).alias("top")]
+    t = state.agg(*totals).first()
+    while t["left"]:
         if opening:
-            opened = _opened(docs.select("size", "at", "many"), max(1, -(-int(t["tokens"]) // capacity)), sequences, capacity)
+            opened = _opened(state.where("kind = 'doc'").select("size", "at", "many"), max(1, -(-int(t["tokens"]) // capacity)), sequences, capacity)
             state = opened.unionByName(state.where("kind = 'gap'")).coalesce(1).checkpoint()
         else:
             state = _swept(state).coalesce(1).checkpoint()
-        put = state.where("kind = 'put'").agg(F.sum("many").alias("n"), F.max(F.col("at") + F.col("many")).alias("top")).first()
-        if put["n"]:
+        t = state.agg(*totals).first()
+        if t["put"]:
             kept.append(state.where("kind = 'put'"))
-            sequences = max(sequences, int(put["top"]))
-        opening = not opening and not put["n"]
+            sequences = max(sequences, int(t["top"]))
+        opening = not opening and not t["put"]
     none = counts.sparkSession.createDataFrame([], STATE)
     found = none
     for k in kept:

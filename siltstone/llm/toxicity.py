@@ -6,8 +6,11 @@ features that tell the classes apart best (by chi-square) are kept, and a logist
 regression is fitted over them, each scaled by its ratio.
 
 The fit is on a bounded sample: at most TRAIN_ROWS labelled documents, those with the least
-md5 of their doc_id. Scores cover whole texts of all rows. Weights are one array of 2^20
-numbers, so what is broadcast is bounded.
+md5 of their doc_id, a text each (of a doc_id with several the least). Of their n-grams those
+in fewer than LEAST_ROWS of these documents are left out, and of the rest the FEATURES with the
+highest chi-square are kept: a document whose toxic words are all rarer than these is not
+found (README has held-out figures for several values). Scores cover whole texts of all rows.
+Weights are one array of 2^20 numbers, so what is broadcast is bounded.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept;
 a doc_id with several labels is toxic if any says so; null labels are no labels; without
@@ -24,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import fresh, spread, stored, table
 
 SIZES = (3, 4, 5)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES = 2048
+FEATURES, LEAST_ROWS = 2048, 3
 FOLDS = 5
 SMOOTHING = 1.0
 PENALTY, STEPS, RATE = 1e-3, 400, 0.05
@@ -78,7 +81,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """(toxic, text) of at most `rows` labelled documents outside the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", "text")
+    # At most `rows` ids are broadcast; of repeated ids one text comes back, so the sample is bounded in rows.
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "text")
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +101,10 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": f, "clean": n[0, f], "toxic": n[1, f]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(number of each hash or -1, weight by number, intercept)."""
-    train = spread(training_rows(docs, labels, rows))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    train = stored(training_rows(docs, labels, rows).repartition(cores), "training")
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     wanted = np.full(1 << BITS, -1, np.int32)
@@ -107,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     a, b = F.col("toxic"), F.col("clean")
     c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
     chi = F.pow(a * d - b * c, 2) / ((a + b) * (c + d + 1.0))
-    best = train.mapInPandas(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3").select("feature", a, b, chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    best = train.mapInPandas(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"clean + toxic >= {LEAST_ROWS}").select("feature", a, b, chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(features).collect()
     p = np.array([r["toxic"] for r in best], float) + SMOOTHING
     q = np.array([r["clean"] for r in best], float) + SMOOTHING
     ratio = np.log(p / (toxic + 2 * SMOOTHING)) - np.log(q / (clean + 2 * SMOOTHING))
@@ -125,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
 
     got = train.mapInPandas(rows_of, "toxic int, features binary").toPandas()  # `rows` rows of FEATURES numbers at most
     got = got.sort_values(["toxic", "features"], kind="stable")  # the order of rows doesn't depend on partitions
-    features = [np.frombuffer(x, "<i2") for x in got["features"]]
-    row = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    col = np.concatenate(features).astype(np.int64) if features else np.zeros(0, np.int64)
+    each = [np.frombuffer(x, "<i2") for x in got["features"]]
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    col = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
     return wanted, *logistic(row, col, got["toxic"].to_numpy(float), ratio)
 
 
@@ -163,9 +169,9 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float], spark: SparkSession) ->
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column toxicity_score; the classifier is fitted on labels and docs."""
+    """docs with a column toxicity_score (underscores behind it if docs has one); the classifier is fitted on labels and docs."""
     spark = docs.sparkSession
-    return spread(docs).withColumn("toxicity_score", scorer(fit(docs, labels, rows), spark)(F.col("text")))
+    return spread(docs).withColumn(fresh(docs, "toxicity_score"), scorer(fit(docs, labels, rows), spark)(F.col("text")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
