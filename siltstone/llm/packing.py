@@ -149,59 +149,65 @@ def _opened(docs: DataFrame, need: int, first: int, capacity: int) -> DataFrame:
     return d.select(F.explode(F.array(put, left, gap)).alias("r")).select("r.*").where("many > 0 AND size > 0")
 
 
+#: One round. Rows of runs and their cuts only; heights fall as sequences rise, so the parts of a gap run that got
+#: documents of one length are neighbours. The documents of a length come first in `ranked` (null size), then its gaps.
+SWEEP = """
+WITH runs AS (
+  SELECT size, kind = 'gap' AS gap, at, many, IF(kind = 'gap', -many, many) AS signed FROM {state} WHERE kind <> 'put'),
+heights AS (
+  SELECT size, gap, at, least(h, h - signed) AS lo, greatest(h, h - signed) AS hi
+  FROM (SELECT *, sum(signed) OVER (ORDER BY size, gap, at) AS h FROM runs)),
+cuts AS (
+  SELECT cut, row_number() OVER (ORDER BY cut) AS k, lead(cut) OVER (ORDER BY cut) AS next
+  FROM (SELECT DISTINCT explode(array(lo, hi)) AS cut FROM heights)),
+spans AS (
+  SELECT size, gap, at, hi, explode(sequence(a.k, b.k - 1)) AS k FROM heights JOIN cuts a ON lo = a.cut JOIN cuts b ON hi = b.cut),
+parts AS (
+  SELECT s.*, c.cut, c.next, CASE WHEN NOT lag(gap) OVER w THEN lag(size) OVER w END AS length
+  FROM spans s JOIN cuts c ON s.k = c.k WINDOW w AS (PARTITION BY s.k ORDER BY size, gap, at)),
+met AS (
+  SELECT size, min(at + hi - next) AS seq, sum(next - cut) AS n, length, NULL AS start, NULL AS there FROM parts WHERE gap GROUP BY size, at, length
+  UNION ALL SELECT NULL, NULL, NULL, size, at, many FROM runs WHERE NOT gap),
+ranked AS (
+  SELECT size, seq, n, length, max(start) OVER whole AS start, max(there) OVER whole AS there, t,
+    coalesce(sum(n) OVER whole, 0) AS ones, coalesce(sum(n) OVER upto, 0) AS one, coalesce(sum(n * t) OVER upto, 0) AS asked, coalesce(sum(n * t) OVER whole, 0) AS all_asked
+  FROM (SELECT *, IF(n IS NULL, 0, size div length - 1) AS t FROM met)
+  WINDOW whole AS (PARTITION BY length), upto AS (PARTITION BY length ORDER BY size, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shared AS (
+  SELECT *, least(all_asked, there - ones) AS all_given, greatest(0, least(coalesce(n * t, 0), there - ones - asked)) AS given FROM ranked),
+settled AS (
+  SELECT *, IF(t > 0, given div t, 0) AS full, IF(t > 0, given % t, 0) AS rest, IF(t > 0 AND given % t > 0, 1, 0) AS one_more, n IS NOT NULL AND length IS NOT NULL AS hit FROM shared)
+SELECT r.* FROM (SELECT explode(CASE WHEN hit THEN array({hit}) WHEN size IS NULL THEN array({doc}) ELSE array({gap}) END) AS r FROM settled)
+WHERE r.many > 0 AND r.size > 0
+"""
+
+
+def _row(kind: str, *values: str) -> str:
+    """A struct of STATE in SQL."""
+    names = ("size", "at", "many", "length", "copies", "start")
+    fields = [f"CAST({v} AS BIGINT) AS {n}" for n, v in zip(names, [*values, *["NULL"] * (len(names) - len(values))], strict=True)]
+    return f"struct('{kind}' AS kind, {', '.join(fields)})"
+
+
+HIT = ", ".join([
+    _row("put", "size", "seq", "n", "length", "1", "start + one"),
+    _row("put", "size - length", "seq", "full", "length", "t", "start + ones + asked"),
+    _row("put", "size - length", "seq + full", "one_more", "length", "rest", "start + ones + asked + full * t"),
+    _row("gap", "size - length * (t + 1)", "seq", "full"),
+    _row("gap", "size - length * (rest + 1)", "seq + full", "one_more"),
+    _row("gap", "size - length", "seq + full + one_more", "n - full - one_more"),
+])
+SWEEP = SWEEP.replace("{hit}", HIT).replace("{doc}", _row("doc", "length", "start + ones + all_given", "there - ones - all_given")).replace("{gap}", _row("gap", "size", "seq", "n"))
+
+
 def _swept(state: DataFrame) -> DataFrame:
     """One round: the documents (kind doc) and gaps (kind gap) left, and what was put where (kind put).
 
     put: `many` sequences from `at` on, whose gap was `size`, get `copies` documents of `length`
-    each, those with ranks from `start` on.
+    each, those with ranks from `start` on. The table is a few rows per length, so one partition
+    holds it and a round has no shuffle.
     """
-    runs = state.where("kind <> 'put'").select("size", (F.col("kind") == "gap").cast("int").alias("gap"), "at", "many")
-    signed = F.when(F.col("gap") == 1, -F.col("many")).otherwise(F.col("many"))
-    upto_here = F.sum(signed).over(Window.orderBy("size", "gap", "at"))  # a row per run of equal sizes, never per document
-    h = runs.select("size", "gap", "at", upto_here.alias("h1"), (upto_here - signed).alias("h0")).select("size", "gap", "at", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi"))
-    # Every run is cut where any other begins or ends, so that equal heights are one interval.
-    height = Window.orderBy("cut")
-    cuts = h.select(F.explode(F.array("lo", "hi")).alias("cut")).distinct().select("cut", F.row_number().over(height).alias("k"), F.lead("cut").over(height).alias("next"))
-    low, high = cuts.select(F.col("cut").alias("lo"), F.col("k").alias("k0")), cuts.select(F.col("cut").alias("hi"), F.col("k").alias("k1"))
-    pieces = h.join(low, "lo").join(high, "hi").withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1))).join(cuts, "k")
-    nearest = Window.partitionBy("k").orderBy("size", "gap", "at")
-    before = pieces.withColumn("length", F.when(F.lag("gap").over(nearest) == 0, F.lag("size").over(nearest))).where("gap = 1")
-    # The pieces of a gap run that got documents of one length are neighbours; heights fall as sequences rise.
-    met = before.groupBy("size", "at", "length").agg(F.min(F.col("at") + F.col("hi") - F.col("next")).alias("seq"), F.sum(F.col("next") - F.col("cut")).alias("n"))
-    none = F.lit(None).cast("long")
-    docs = runs.where("gap = 0").select(none.alias("size"), none.alias("seq"), none.alias("n"), F.col("size").alias("length"), F.col("at").alias("start"), F.col("many").alias("there"))
-    met = met.select("size", "seq", "n", "length", none.alias("start"), none.alias("there")).unionByName(docs)
-    # The documents of a length come first (null size), then its gaps: their ranks settle who gets which.
-    of = Window.partitionBy("length").orderBy("size", "seq")
-    upto, whole = of.rowsBetween(Window.unboundedPreceding, -1), of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = F.when(F.col("n").isNotNull(), F.floor(F.col("size") / F.col("length")) - 1).otherwise(0)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    m = met.withColumn("t", t).select(
-        "size", "seq", "n", "length", "t", F.max("start").over(whole).alias("start"), F.max("there").over(whole).alias("there"), zero(F.sum("n").over(whole)).alias("ones"), zero(F.sum("n").over(upto)).alias("one"),
-        zero(F.sum(F.col("n") * F.col("t")).over(upto)).alias("asked"), zero(F.sum(F.col("n") * F.col("t")).over(whole)).alias("all_asked"),
-    )
-    spare = F.col("there") - F.col("ones")
-    m = m.withColumn("given", F.greatest(F.lit(0), F.least(zero(F.col("n") * F.col("t")), spare - F.col("asked")))).withColumn("all_given", F.least("all_asked", spare))
-    m = m.withColumn("full", F.when(F.col("t") > 0, F.floor(F.col("given") / F.col("t"))).otherwise(0)).withColumn("rest", F.when(F.col("t") > 0, F.col("given") % F.col("t")).otherwise(0))
-    names = ("size", "at", "many", "length", "copies", "start")
-
-    def row(when: str, kind: str, *values: str) -> str:
-        inner = ", ".join(f"'{n}', CAST({v} AS BIGINT)" for n, v in zip(names, values, strict=True))
-        return f"CASE WHEN {when} THEN named_struct('kind', '{kind}', {inner}) END"
-
-    hit = "n IS NOT NULL AND length IS NOT NULL"
-    second = "start + ones + asked"
-    rows = [
-        row("n IS NOT NULL AND length IS NULL", "gap", "size", "seq", "n", "NULL", "NULL", "NULL"),
-        row(hit, "put", "size", "seq", "n", "length", "1", "start + one"),
-        row(f"{hit} AND full > 0", "put", "size - length", "seq", "full", "length", "t", second),
-        row(f"{hit} AND rest > 0", "put", "size - length", "seq + full", "1", "length", "rest", f"{second} + full * t"),
-        row(hit, "gap", "size - length * (t + 1)", "seq", "full", "NULL", "NULL", "NULL"),
-        row(hit, "gap", "size - length * (rest + 1)", "seq + full", "CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
-        row(hit, "gap", "size - length", "seq + full + CASE WHEN rest > 0 THEN 1 ELSE 0 END", "n - full - CASE WHEN rest > 0 THEN 1 ELSE 0 END", "NULL", "NULL", "NULL"),
-        row("size IS NULL", "doc", "length", "start + ones + all_given", "there - ones - all_given", "NULL", "NULL", "NULL"),
-    ]
-    return m.select(F.explode(F.expr(f"filter(array({', '.join(rows)}), x -> x IS NOT NULL)")).alias("r")).select("r.*").where("many > 0 AND size > 0")
+    return state.sparkSession.sql(SWEEP, state=state.coalesce(1))
 
 
 def pack_runs(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
