@@ -5,10 +5,10 @@ work on is therefore tables of runs of equal sizes: a row per length that still
 (`capacity` at most, whatever the input), and a row per gap and run of neighbouring
 sequences. A round is a Spark job over these tables:
 
-1. documents and gaps are range-sorted together by size, and prefix sums count documents up
-   and gaps down: a gap's best fit, the nearest smaller document that no gap before it takes,
-   is its predecessor at the same height of that count;
-2. each height interval is swept on its own for such neighbours;
+1. documents and gaps are sorted together by size;
+2. a sweep over them in that order gives each gap its best fit, the nearest smaller document
+   that no gap before it takes (a stack of runs in a task of its own; a run is as many
+   documents or gaps of one size as there are, so it is short whatever the input);
 3. conflicts, several gaps on one length, are settled by rank: the documents of a length go
    to its gaps in order, one each, and what is left fills the same sequences with as many more
    of that length as fit;
@@ -149,25 +149,31 @@ def _opened(docs: DataFrame, need: int, first: int, capacity: int) -> DataFrame:
     return d.select(F.explode(F.array(put, left, gap)).alias("r")).select("r.*").where("many > 0 AND size > 0")
 
 
-#: One round. Rows of runs and their cuts only; heights fall as sequences rise, so the parts of a gap run that got
-#: documents of one length are neighbours. The documents of a length come first in `ranked` (null size), then its gaps.
-SWEEP = """
-WITH runs AS (
-  SELECT size, kind = 'gap' AS gap, at, many, IF(kind = 'gap', -many, many) AS signed FROM {state} WHERE kind <> 'put'),
-heights AS (
-  SELECT size, gap, at, least(h, h - signed) AS lo, greatest(h, h - signed) AS hi
-  FROM (SELECT *, sum(signed) OVER (ORDER BY size, gap, at) AS h FROM runs)),
-cuts AS (
-  SELECT cut, row_number() OVER (ORDER BY cut) AS k, lead(cut) OVER (ORDER BY cut) AS next
-  FROM (SELECT DISTINCT explode(array(lo, hi)) AS cut FROM heights)),
-spans AS (
-  SELECT size, gap, at, hi, explode(sequence(a.k, b.k - 1)) AS k FROM heights JOIN cuts a ON lo = a.cut JOIN cuts b ON hi = b.cut),
-parts AS (
-  SELECT s.*, c.cut, c.next, CASE WHEN NOT lag(gap) OVER w THEN lag(size) OVER w END AS length
-  FROM spans s JOIN cuts c ON s.k = c.k WINDOW w AS (PARTITION BY s.k ORDER BY size, gap, at)),
-met AS (
-  SELECT size, min(at + hi - next) AS seq, sum(next - cut) AS n, length, NULL AS start, NULL AS there FROM parts WHERE gap GROUP BY size, at, length
-  UNION ALL SELECT NULL, NULL, NULL, size, at, many FROM runs WHERE NOT gap),
+def _nearest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sweep, over runs in order of size (documents before gaps): each gap meets the nearest smaller document that no gap before it took."""
+    open_, found = [], []
+    for batch in batches:
+        for size, gap, at, many in zip(*[batch[c].tolist() for c in ("size", "gap", "at", "many")], strict=True):
+            if not gap:
+                open_.append([size, many])
+                continue
+            while many and open_:
+                length, left = open_[-1]
+                n = min(many, left)
+                found.append((size, at, n, length))
+                at, many, open_[-1][1] = at + n, many - n, left - n
+                if left == n:
+                    open_.pop()
+            if many:
+                found.append((size, at, many, None))
+    yield pd.DataFrame(found, columns=["size", "seq", "n", "length"]).astype({"length": "Int64"})
+
+
+#: What follows a sweep: conflicts by rank, and gaps anew. The documents of a length come first in `ranked` (null size), then its gaps.
+SETTLE = """
+WITH met AS (
+  SELECT size, seq, n, length, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS there FROM {swept}
+  UNION ALL SELECT NULL, NULL, NULL, size, at, many FROM {state} WHERE kind = 'doc'),
 ranked AS (
   SELECT size, seq, n, length, max(start) OVER whole AS start, max(there) OVER whole AS there, t,
     coalesce(sum(n) OVER whole, 0) AS ones, coalesce(sum(n) OVER upto, 0) AS one, coalesce(sum(n * t) OVER upto, 0) AS asked, coalesce(sum(n * t) OVER whole, 0) AS all_asked
@@ -197,17 +203,20 @@ HIT = ", ".join([
     _row("gap", "size - length * (rest + 1)", "seq + full", "one_more"),
     _row("gap", "size - length", "seq + full + one_more", "n - full - one_more"),
 ])
-SWEEP = SWEEP.replace("{hit}", HIT).replace("{doc}", _row("doc", "length", "start + ones + all_given", "there - ones - all_given")).replace("{gap}", _row("gap", "size", "seq", "n"))
+SETTLE = SETTLE.replace("{hit}", HIT).replace("{doc}", _row("doc", "length", "start + ones + all_given", "there - ones - all_given")).replace("{gap}", _row("gap", "size", "seq", "n"))
 
 
 def _swept(state: DataFrame) -> DataFrame:
     """One round: the documents (kind doc) and gaps (kind gap) left, and what was put where (kind put).
 
     put: `many` sequences from `at` on, whose gap was `size`, get `copies` documents of `length`
-    each, those with ranks from `start` on. The table is a few rows per length, so one partition
-    holds it and a round has no shuffle.
+    each, those with ranks from `start` on. The table is a few rows per length, however many
+    documents there are, so one partition holds it.
     """
-    return state.sparkSession.sql(SWEEP, state=state.coalesce(1))
+    one = state.coalesce(1)
+    runs = one.where("kind <> 'put'").select("size", (F.col("kind") == "gap").alias("gap"), "at", "many").sortWithinPartitions("size", "gap", "at")
+    swept = runs.mapInPandas(_nearest, "size long, seq long, n long, length long")
+    return state.sparkSession.sql(SETTLE, swept=swept, state=one)
 
 
 def pack_runs(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
