@@ -13,16 +13,18 @@ summary FOLDER       a table of the experiments below a folder
 from __future__ import annotations
 
 import argparse
-import tempfile
+import json
 import time
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import findings, records, rules, symbols
+from .operators import findings, recon, records, rules, symbols
 from .plans import pipeline, reports
 from .sources import files as src
 from .sources import sinks
+from .sources.scratch import shared_dir, write_files
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -33,22 +35,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--experiment", default="experiment")
     p.add_argument("--no-validation", action="store_true")
     p.add_argument("--no-index", action="store_true")
+    p.add_argument("--truth", help="reviewed cases, JSON lines")
+    p.add_argument("--truth-complete", action="store_true", help="the cases cover the tree, so precision can be told")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("siltstone").getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltstone-"))
+    shared_dir(spark)
     policy = src.read_policy(spark, a.policy) if a.policy else []
     at, out = a.paths[0], a.paths[-1]
     if a.command == "scan":
-        began = time.monotonic()
-        s = pipeline.run(spark, at, policy, a.experiment, not a.no_validation, not a.no_index)
+        began, started = time.monotonic(), datetime.now(UTC).isoformat(timespec="milliseconds")
+        truth = src.read_ground_truth(spark, a.truth) if a.truth else None
+        s = pipeline.run(spark, at, policy, a.experiment, not a.no_validation, not a.no_index, truth, a.truth_complete)
         sinks.write_json(s.candidates, f"{out}/candidates")
         sinks.write_json(s.raw, f"{out}/raw_findings")
         sinks.write_json(s.findings.where("is_canonical"), f"{out}/findings")
         sinks.write_partitioned(s.findings.where("is_canonical"), f"{out}/by_status")
         sinks.append_usage(s.usage, f"{out}/usage")
-        outcomes = findings.evaluation(s.findings.where("is_canonical").select("finding_id", F.lit("uncertain").alias("outcome")))
-        sinks.write_json(findings.metrics(s.findings, s.usage, outcomes, a.experiment, round(time.monotonic() - began, 3)), f"{out}/metrics.json")
+        sinks.write_json(findings.outcome_ids(s.outcomes), f"{out}/outcomes")
+        result = findings.evaluation(s.outcomes, a.truth_complete)
+        sinks.write_json(findings.metrics(s.findings, s.usage, result, a.experiment, round(time.monotonic() - began, 3), s.seconds), f"{out}/metrics.json")
+        java = s.files.where(F.col("file").endswith(".java"))
+        found = src.lesson_modules(java), recon.components(java), recon.endpoints(java), rules.pattern_hits(src.lines(java))
+        sinks.write_json(recon.document(*found), f"{out}/reconnaissance")
+        write_files(spark, out, {"architecture_map.md": reports.architecture_report(*found)})
+        sinks.write_json(spark.sql("SELECT :e AS experiment_id, :r AS source_root, parse_json(:p) AS phases, :s AS started_at, date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSXXX\") AS finished_at", args={"e": a.experiment, "r": at, "p": json.dumps(s.seconds), "s": started}), f"{out}/run")
     elif a.command in ("candidates", "index", "manifest"):
         f = src.read_files(spark, at, () if a.command == "manifest" else pipeline.SUFFIXES, policy, any_case=True)
         if a.command == "manifest":
@@ -59,10 +69,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             classes = symbols.index(f.where(F.col("file").endswith(".java"))).checkpoint()
             sinks.write_json(classes, f"{out}/classes")
             sinks.write_json(symbols.edges(symbols.methods(classes)), f"{out}/edges")
+            sinks.write_json(symbols.summary(classes), f"{out}/summary")
     elif a.command == "convert":
         texts = spark.read.text(at, wholetext=True).withColumnRenamed("value", "report")
         sarif = F.get_json_object("report", "$.runs").isNotNull()
-        raw = src.sarif_results(texts.where(sarif)).unionByName(src.json_results(texts.where(~sarif)).drop("is_vulnerable"), allowMissingColumns=True)
+        raw = src.sarif_results(texts.where(sarif)).unionByName(findings.claimed(src.json_results(texts.where(~sarif))).drop("is_vulnerable"), allowMissingColumns=True)
         sinks.write_json(findings.normalised(raw, a.experiment), out)
     elif a.command == "dedup":
         good, bad = src.read_findings(spark, at)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions.text import head, line_range, lines_of
+from .recon import first_few
 from .symbols import callees, callers, related_tests
 
 BUDGET = 32_000
@@ -85,9 +86,20 @@ def _section(label: Column, file: Column, first: Column, last: Column, content:
     return F.struct(label.alias("label"), file.alias("file"), first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), content.alias("content"))
 
 
-def _code(rows: DataFrame, texts: DataFrame, file: str = "m_file") -> DataFrame:
+def method_text(lines: Column, first: Column, last: Column, annotations: Column, visibility: Column, returned: Column, name: Column, parameters: Column) -> Column:
+    """Lines of a method; where its file has none of them, what the index knows of it."""
+    marks = F.when(F.size(annotations) > 0, F.concat(F.array_join(F.transform(annotations, lambda a: a["raw"]), " "), F.lit("\n"))).otherwise("")
+    known = F.concat(F.lit("// [source file unavailable on disk]\n"), marks, visibility, F.lit(" "), returned, F.lit(" "), name, F.lit("("), parameters, F.lit(") { /* ... */ }"))
+    code = F.coalesce(line_range(lines, first, last), F.lit(""))
+    return F.when(code != "", code).otherwise(known)
+
+
+def _code(rows: DataFrame, texts: DataFrame, ms: DataFrame, file: str = "m_file") -> DataFrame:
+    """rows (a method each: m_class, m_ord, m_from, m_to in `file`) with its code."""
     t = texts.select(F.col("file").alias(file), "lines")
-    return rows.join(t, file, "left").withColumn("code", F.coalesce(line_range(F.col("lines"), F.col("m_from"), F.col("m_to")), F.lit(""))).drop("lines").where("code <> ''")
+    about = ms.select(F.col("file").alias(file), F.col("class_ord").alias("m_class"), F.col("method_ord").alias("m_ord"), F.struct("annotations", "visibility", "return_type", "name", "parameters").alias("about"))
+    code = method_text(F.col("lines"), F.col("m_from"), F.col("m_to"), *[F.col(f"about.{c}") for c in ("annotations", "visibility", "return_type", "name", "parameters")])
+    return rows.join(about, [file, "m_class", "m_ord"]).join(t, file, "left").withColumn("code", code).drop("lines", "about")
 
 
 def assembled(candidates: DataFrame, files: DataFrame, classes: DataFrame, ms: DataFrame, edge: DataFrame, recon: DataFrame | None = None, budget: int = BUDGET, room: int = LEAST_ROOM) -> DataFrame:
@@ -123,16 +135,17 @@ def assembled(candidates: DataFrame, files: DataFrame, classes: DataFrame, ms: D
     named = c.where("m IS NOT NULL")
     spot = ms.groupBy("class_name", "name").agg(F.min(F.struct("file", "class_ord", "method_ord", "start_line", "end_line")).alias("d"))
     up = callers(edge, named.select(F.col("m.name").alias("method"))).join(spot, (F.col("caller_class") == F.col("class_name")) & (F.col("caller_method") == F.col("name")))
-    up = _code(up.select("method", "depth", "caller_class", "caller_method", F.col("file").alias("m_file"), F.col("d.start_line").alias("m_from"), F.col("d.end_line").alias("m_to")), texts)
+    up = _code(up.select("method", "depth", "caller_class", "caller_method", F.col("d.file").alias("m_file"), F.col("d.class_ord").alias("m_class"), F.col("d.method_ord").alias("m_ord"), F.col("d.start_line").alias("m_from"), F.col("d.end_line").alias("m_to")), texts, ms)
     up = named.join(up, F.col("m.name") == F.col("method"))
     add(2, up, F.format_string("%02d %s.%s", "depth", "caller_class", "caller_method"), _section(F.format_string("caller_L%d_%s.%s", "depth", "caller_class", "caller_method"), F.col("m_file"), F.col("m_from"), F.col("m_to"), F.col("code")))
     down = callees(edge, ms, named.select(F.col("t.name").alias("class_name"), F.col("m.name").alias("method")))
-    down = _code(down.select("class_name", "method", "callee", "in_class", F.col("file").alias("m_file"), F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to")), texts)
+    down = _code(down.select("class_name", "method", "callee", "in_class", F.col("file").alias("m_file"), F.col("class_ord").alias("m_class"), F.col("method_ord").alias("m_ord"), F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to")), texts, ms)
     down = named.join(down, (F.col("t.name") == F.col("class_name")) & (F.col("m.name") == F.col("method")))
     add(3, down, F.col("callee"), _section(F.format_string("callee_L0_%s.%s", "in_class", "callee"), F.col("m_file"), F.col("m_from"), F.col("m_to"), F.col("code")))
     ends = ms.where("endpoint IS NOT NULL").select(F.col("file").alias("m_file"), F.col("class_ord").alias("e_class"), F.col("method_ord").alias("e_ord"), F.col("name").alias("e_name"), "calls", "endpoint", F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to"))
     mine = (F.col("file") == F.col("m_file")) & (F.col("t.class_ord") == F.col("e_class"))
-    lead = _code(named.join(ends, mine & (F.col("e_name") != F.col("m.name")) & F.array_contains("calls", F.col("m.name"))), texts)
+    lead = named.join(ends, mine & (F.col("e_name") != F.col("m.name")) & F.array_contains("calls", F.col("m.name")))
+    lead = _code(lead.withColumn("m_class", F.col("e_class")).withColumn("m_ord", F.col("e_ord")), texts, ms)
     add(4, lead, F.format_string("%05d", "e_ord"), _section(F.concat(F.lit("source_endpoint_"), F.col("e_name")), F.col("file"), F.col("m_from"), F.col("m_to"), F.col("code")))
     add(5, named.where("m.endpoint IS NOT NULL"), F.lit(""), _section(F.lit("endpoint_info"), F.col("file"), F.col("m.start_line"), F.col("m.start_line"), F.format_string("HTTP %s %s (%s)", "m.endpoint.http_method", "m.endpoint.path", "m.endpoint.annotation")))
     listed = c.where("m.endpoint IS NULL").join(ends, mine).groupBy("candidate_id", "file", "t").agg(F.array_sort(F.collect_list(F.struct("e_ord", F.format_string("  %s %s → %s()", "endpoint.http_method", "endpoint.path", "e_name").alias("x")))).alias("all"))
@@ -157,11 +170,11 @@ def assembled(candidates: DataFrame, files: DataFrame, classes: DataFrame, ms: D
 
 def architecture(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: DataFrame) -> DataFrame:
     """category, summary: lessons, counts, and the files with patterns of the category."""
-    lessons = modules.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+    lessons = modules.agg(F.count("*").alias("n")).crossJoin(modules.select("name").distinct().orderBy("name").limit(LESSONS).agg(F.array_sort(F.collect_list("name")).alias("names")))
     n = comps.agg(F.count("*").alias("c")).crossJoin(ends.agg(F.count("*").alias("e"))).crossJoin(hits.agg(F.count("*").alias("p")))
-    by = hits.groupBy("category").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("file")).alias("files"))
+    by = hits.groupBy("category").agg(F.count("*").alias("k")).join(first_few(hits, ["category"], "file", CATEGORY_FILES, "files"), "category")
     d = by.crossJoin(F.broadcast(lessons.crossJoin(n)))  # one row
-    text = F.concat_ws("\n", F.when(F.col("n") > 0, F.format_string("Lessons (%d): %s", "n", F.array_join(F.slice("names", 1, LESSONS), ", "))), F.format_string("Components: %d | Endpoints: %d | Patterns: %d", "c", "e", "p"), F.format_string("Files with '%s' patterns (%d hits): %s", "category", "k", F.array_join(F.slice("files", 1, CATEGORY_FILES), ", ")))
+    text = F.concat_ws("\n", F.when(F.col("n") > 0, F.format_string("Lessons (%d): %s", "n", F.array_join("names", ", "))), F.format_string("Components: %d | Endpoints: %d | Patterns: %d", "c", "e", "p"), F.format_string("Files with '%s' patterns (%d hits): %s", "category", "k", F.array_join("files", ", ")))
     return d.select("category", text.alias("summary"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import findings as f
 from ..functions.text import blank_to, clean_path, strip
 from ..schemas import FINDING_COLUMNS
+from .order import running
 
 
 def normalised(raw: DataFrame, experiment: str, root: str = "", tool: str = "custom-harness", harness_version: str = "v1", model: str = "unknown", prompt_version: str = "unknown") -> DataFrame:
@@ -35,6 +36,11 @@ def normalised(raw: DataFrame, experiment: str, root: str = "", tool: str = "cus
 ACCESS_CONTROL = ["CWE-284", "CWE-639", "CWE-862"]
 
 
+def claimed(raw: DataFrame) -> DataFrame:
+    """raw without the rows that say is_vulnerable: false; no word about it counts as a claim."""
+    return raw.where(F.coalesce("is_vulnerable", F.lit(True))) if "is_vulnerable" in raw.columns else raw
+
+
 def verified(raw: DataFrame, files: DataFrame) -> DataFrame:
     """Raw findings whose texts are there and whose evidence stands in their file; lines are set to where it stands.
 
@@ -57,13 +63,23 @@ def deduplicated(findings: DataFrame, order: str | Column = "finding_id") -> Dat
     """findings with dedup_key, is_canonical and duplicate_of (the canonical finding of the key).
 
     Canonical is the best by status, confidence, length of evidence and steps of data flow;
-    ties go to the first in `order`. One shuffle by key.
+    ties go to the first in `order`. The best of a key is a minimum over a few numbers and ids,
+    combined before the shuffle, and joined back; so a key may have any number of findings.
     """
     key = f.dedup_key(*[F.col(c) for c in ("vulnerability_type", "cwe", "file", "function", "start_line", "sink", "evidence")])
     rank = f.choose(F.col("validation_status"), f.STATUS_RANK, 1)
-    best = Window.partitionBy("dedup_key").orderBy(F.desc(rank), F.desc("confidence"), F.desc(F.length(F.coalesce("evidence", F.lit("")))), F.desc(F.size(F.coalesce("data_flow", F.array().cast("array<string>")))), order)
-    d = findings.withColumn("dedup_key", key).withColumn("place", F.row_number().over(best)).withColumn("first_id", F.first("finding_id").over(best))
-    return d.withColumn("is_canonical", F.col("place") == 1).withColumn("duplicate_of", F.when(F.col("place") > 1, F.col("first_id")).otherwise(F.col("duplicate_of"))).drop("place", "first_id")
+    steps = F.size(F.coalesce("data_flow", F.array().cast("array<string>")))
+    by = F.col(order) if isinstance(order, str) else order
+    best = F.struct((-rank).alias("a"), F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("b"), (-F.length(F.coalesce("evidence", F.lit("")))).alias("c"), (-steps).alias("d"), by.alias("e"), F.col("finding_id").alias("id"))
+    d = findings.withColumn("dedup_key", key).withColumn("dedup_best", best)
+    first = d.groupBy("dedup_key").agg(F.min("dedup_best").alias("dedup_first"))
+    d = d.join(first, "dedup_key")
+    here = F.col("dedup_best") == F.col("dedup_first")
+    # Only findings that tie in all of this, id included, are numbered; both branches read the same shuffles.
+    top = d.where(here).withColumn("dedup_nth", F.row_number().over(Window.partitionBy("dedup_key").orderBy("dedup_best")))
+    both = top.unionByName(d.where(~here).withColumn("dedup_nth", F.lit(0)))
+    canonical = F.col("dedup_nth") == 1
+    return both.withColumn("is_canonical", canonical).withColumn("duplicate_of", F.when(canonical, F.col("duplicate_of")).otherwise(F.col("dedup_first.id"))).select(*findings.columns, "dedup_key", "is_canonical")
 
 
 def validator_result(response: Column) -> Column:
@@ -124,22 +140,28 @@ def labelled(findings: DataFrame, truth: DataFrame, coverage_complete: bool = Fa
 
 
 def evaluation(outcomes: DataFrame, coverage_complete: bool = False) -> DataFrame:
-    """One row: counts and ids of each outcome, and precision where coverage is complete."""
-    ids = lambda o: F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.col("finding_id"))))
+    """One row: counts of each outcome, and precision where coverage is complete. Ids by outcome are `outcome_ids`."""
     n = lambda o: F.count_if(F.col("outcome") == o)
-    d = outcomes.agg(n("tp").alias("true_positives"), n("fp").alias("false_positives"), n("uncertain").alias("uncertain"), ids("tp").alias("tp_findings"), ids("fp").alias("fp_findings"), ids("uncertain").alias("uncertain_findings"))
+    d = outcomes.agg(n("tp").alias("true_positives"), n("fp").alias("false_positives"), n("uncertain").alias("uncertain"))
     judged = F.col("true_positives") + F.col("false_positives")
     precision = F.when(F.lit(coverage_complete) & (judged > 0), F.round(F.col("true_positives") / judged, 4))
     return d.withColumn("estimated_precision", precision).withColumn("precision_type", F.when(F.col("estimated_precision").isNotNull(), "local_ground_truth").otherwise("unavailable"))
 
 
+def outcome_ids(outcomes: DataFrame) -> DataFrame:
+    """(outcome, finding_id): the findings of each outcome, as a table that may be as long as the findings."""
+    return outcomes.select("outcome", "finding_id")
+
+
 def ratio(n: Column, d: Column, digits: int, scale: float = 1.0) -> Column:
     return F.when(d > 0, F.round(n / d * F.lit(scale), digits)).otherwise(F.lit(0.0))
 
 
 def usage_rollup(usage: DataFrame, *by: str) -> DataFrame:
-    """Calls, tokens, cache hits, retries and latency of usage rows, by columns or in all."""
+    """Calls, tokens, cache hits, retries and latency of usage rows, by columns or in all; no total is input and output."""
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0))
+    both = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    usage = usage.withColumn("total_tokens", F.when(F.coalesce("total_tokens", F.lit(0)) == 0, both).otherwise(F.col("total_tokens")))
     measured = F.coalesce("token_measurement", F.lit("character_estimate"))
     d = usage.groupBy(*by).agg(
         F.count("*").alias("llm_calls"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("total_tokens").alias("total_tokens"),
@@ -183,5 +205,5 @@ def truth_candidates(files: DataFrame) -> DataFrame:
     d = place.select("file", name.alias("lesson"), module_of(F.col("file")).alias("module"), F.when(sql, "SQL Injection").otherwise("Insecure Deserialization").alias("vulnerability_type"), F.when(sql, "CWE-89").otherwise("CWE-502").alias("cwe"), F.array("file").alias("relevant_files"),
         F.when(sql, "String concatenation into raw SQL query executed against database").otherwise("Untrusted byte stream deserialized without class allowlisting").alias("expected_vulnerable_behavior"),
         F.when(sql, telling_line(F.col("content"), ["SELECT", "executeQuery", "createNativeQuery"])).otherwise(telling_line(F.col("content"), ["ObjectInputStream", "readObject"])).alias("validation_evidence"), F.lit(0.95).alias("confidence"), F.lit("heuristic").alias("review_status"))
-    order = Window.orderBy(F.split("file", "/"))  # one row per case file: few
-    return d.withColumn("ground_truth_id", F.format_string("GT-WG-%03d", F.row_number().over(order)))
+    d = running(d, [F.split("file", "/"), F.col("file")], {"nth": F.lit(1)})
+    return d.withColumn("ground_truth_id", F.format_string("GT-WG-%03d", F.col("nth") + 1)).drop("nth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import endpoint_path, lines_of
@@ -76,7 +76,29 @@ def totals(rows: DataFrame, *by: str) -> DataFrame:
     return sets.select(of.alias("of"), value.alias("value"), "n")
 
 
+def first_few(rows: DataFrame, by: list[str], value: str, most: int, name: str = "first") -> DataFrame:
+    """Per group of `by`: how many distinct values there are (n_values), and the first `most` of them in order.
+
+    Distinct values are numbered within their group and the group's hash slices first, so no
+    task holds more than `most` values of a slice.
+    """
+    slices = 64
+    d = rows.select(*by, F.col(value).alias("v")).distinct().withColumn("cut", F.pmod(F.xxhash64("v"), F.lit(slices)))
+    near = Window.partitionBy(*by, "cut").orderBy("v")
+    n = d.groupBy(*by).agg(F.count("*").cast("int").alias("n_values"))
+    top = d.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= most).groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("v")), 1, most).alias(name))
+    return n.join(top, by)
+
+
 def top_files(hits: DataFrame, most: int = 5) -> DataFrame:
     """Per pattern: hits, distinct files, the first few of them and how many more there are."""
-    d = hits.groupBy("category", "pattern").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("file")).alias("files"))
-    return d.select("category", "pattern", "hits", F.size("files").alias("n_files"), F.slice("files", 1, most).alias("first_files"), F.greatest(F.lit(0), F.size("files") - most).alias("more"))
+    n = hits.groupBy("category", "pattern").agg(F.count("*").alias("hits"))
+    d = n.join(first_few(hits, ["category", "pattern"], "file", most, "first_files"), ["category", "pattern"])
+    return d.select("category", "pattern", "hits", F.col("n_values").alias("n_files"), "first_files", F.greatest(F.lit(0), F.col("n_values") - most).alias("more"))
+
+
+def document(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: DataFrame) -> DataFrame:
+    """What reconnaissance found as one table of JSON records: section (lesson, component, endpoint, pattern, total) and record."""
+    part = lambda d, name: d.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    sums = comps.select(F.lit("components").alias("of")).unionByName(ends.select(F.lit("endpoints").alias("of"))).unionByName(hits.select(F.lit("patterns").alias("of"))).groupBy("of").agg(F.count("*").alias("n"))
+    return part(modules, "lesson").unionByName(part(comps, "component")).unionByName(part(ends, "endpoint")).unionByName(part(hits, "pattern")).unionByName(part(sums, "total"))

@@ -27,8 +27,9 @@ def record_problems(lines: DataFrame) -> DataFrame:
     absolute = file.startswith("/") | file.startswith("\\") | (F.substring(file, 2, 1) == ":")
     ident = F.when(kind == "candidate", get("candidate_id")).when(kind == "finding", get("finding_id")).otherwise(get("id"))
     d = d.withColumn("kind", kind).withColumn("ident", ident)
-    again = F.row_number().over(Window.partitionBy("ident").orderBy("line_no")) > 1
-    d = d.withColumn("again", F.col("ident").isNotNull() & again)
+    # Lines without an id are dealt by their number: they repeat nothing.
+    mine = Window.partitionBy("ident", F.when(F.col("ident").isNull(), F.col("line_no"))).orderBy("line_no")
+    d = d.withColumn("again", F.col("ident").isNotNull() & (F.row_number().over(mine) > 1))
     finding, candidate = F.col("kind") == "finding", F.col("kind") == "candidate"
     share = get("confidence", "double")
     checks: list[tuple[Column, str]] = [(F.col("v").isNull(), "invalid JSON syntax"), (F.col("v").isNotNull() & F.col("keys").isNull(), "record is not a JSON object")]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.findings import starts_with_any
 from ..functions.text import path_parts, strip
+from ..sources.scratch import stored
+from .order import running
 
 
 @dataclass(frozen=True)
@@ -165,13 +167,13 @@ def numbered(hits: DataFrame, prefix: str = "CAND-WG-", file: str = "file") -> D
     """hits with candidate_id, a running number in the order of path parts, line and rule.
 
     Numbers inside a file come from a window over the file; where a file begins comes from
-    the counts of the files before it, so no task sees all hits.
+    the counts of the files before it, range-sorted, so no task sees all hits or all files. Hits
+    are stored first, since both need them.
     """
-    order = path_parts(F.col(file))
-    counts = hits.groupBy(file).agg(F.count("*").alias("n"))
-    begin = counts.select(file, (F.sum("n").over(Window.orderBy(order, file)) - F.col("n")).alias("before"))
+    found = stored(hits, "hits")
+    begin = running(found.groupBy(file).agg(F.count("*").alias("n")), [path_parts(F.col(file)), F.col(file)], {"before": "n"}).drop("n")
     inside = F.row_number().over(Window.partitionBy(file).orderBy("line_no", "rule_ord"))
-    return hits.join(begin, file).withColumn("candidate_id", F.format_string(f"{prefix}%04d", F.col("before") + inside)).drop("before")
+    return found.join(begin, file).withColumn("candidate_id", F.format_string(f"{prefix}%04d", F.col("before") + inside)).drop("before")
 
 
 def pattern_hits(lines: DataFrame, patterns: dict[str, list[tuple[str, str]]] | None = None, file: str = "file") -> DataFrame:

@@ -6,6 +6,8 @@ deterministic and needs no network; real answers come in as rows of responses in
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, tokens_estimated
 from ..operators import context, findings, recon, rules, symbols
+from ..schemas import GROUND_TRUTH
 from ..sources.files import ExclusionRule, lesson_modules, lines, read_files
 
-# The prompt of each category, else baseline.
-PROMPTS = {"database": "sqli", "html_template": "xss", "command_execution": "command-injection", "file_handling": "path-traversal", "xml_parsing": "xxe", "deserialization": "deserialization", "http_client": "ssrf", "authorization": "access-control"}
+# The prompt and the skills of each category, else baseline without skills.
+RESOURCES = {
+    "database": ("sqli", ["sqli"]), "html_template": ("xss", ["xss"]), "command_execution": ("command-injection", ["command-injection"]), "file_handling": ("path-traversal", ["path-traversal"]),
+    "xml_parsing": ("xxe", ["xxe"]), "deserialization": ("deserialization", ["deserialization"]), "http_client": ("ssrf", ["ssrf"]), "authorization": ("access-control", ["access-control"]),
+    "authentication": ("baseline", ["authentication"]), "session": ("baseline", ["authentication"]), "business_logic": ("baseline", ["business-logic"]),
+}
+DEFAULT_PROMPT, DEFAULT_VERSION = "Audit this code for security vulnerabilities.", "baseline-audit-v1.0"
 SUFFIXES = tuple(sorted({s for r in rules.SOURCE_RULES for s in r.suffixes}))
 
 
@@ -31,6 +39,8 @@ class Scan:
     raw: DataFrame
     findings: DataFrame
     usage: DataFrame
+    outcomes: DataFrame
+    seconds: dict[str, float]
 
 
 def discover(spark: SparkSession, files: DataFrame, ms: DataFrame | None = None, classes: DataFrame | None = None, catalog: list[rules.Rule] = rules.SOURCE_RULES) -> DataFrame:
@@ -50,18 +60,54 @@ def discover(spark: SparkSession, files: DataFrame, ms: DataFrame | None = None,
 
 def prompt_version(category: Column) -> Column:
     name = F.lit("baseline")
-    for k, v in PROMPTS.items():
+    for k, (v, _) in RESOURCES.items():
         name = F.when(category == k, v).otherwise(name)
     return F.concat(name, F.lit("-v1.0"))
 
 
+def analysis_prompts(spark: SparkSession, prompts: DataFrame, specific: bool = True) -> DataFrame:
+    """(category, template, version) for each known category and null (any other). prompts: name, skill, text.
+
+    A category's template is its prompt, else the baseline prompt, else a fixed line; behind it
+    stand its skills, those that there are. Not specific: the baseline for all.
+    """
+    wanted = [(c, p, k) for c, (p, k) in RESOURCES.items()] + [(None, "baseline", [])] if specific else [(None, "baseline", [])]
+    w = spark.createDataFrame([(k, c, p, s) for k, (c, p, s) in enumerate(wanted)], "k int, category string, prompt string, skills array<string>")
+    named = prompts.where("NOT skill").groupBy("name").agg(F.max("text").alias("text"))
+    skill = prompts.where("skill").groupBy("name").agg(F.max("text").alias("more"))
+    base = named.where("name = 'baseline'").select(F.col("text").alias("base"))
+    d = w.join(named, w["prompt"] == named["name"], "left").drop("name").join(base, how="left")  # one row or none
+    each = w.select("k", F.posexplode("skills").alias("nth", "name")).join(skill, "name").select("k", F.struct("nth", F.concat(F.lit("\n=== SECURITY SKILL: "), "name", F.lit(" ===\n"), "more").alias("text")).alias("s"))
+    added = each.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]).alias("added"))
+    template = F.array_join(F.concat(F.array(F.coalesce("text", "base", F.lit(DEFAULT_PROMPT))), F.coalesce("added", F.array().cast("array<string>"))), "\n")
+    version = F.concat("prompt", F.lit("-v1.0")) if specific else F.lit(DEFAULT_VERSION)
+    return d.join(added, "k", "left").select("category", template.alias("template"), version.alias("version"))
+
+
+def with_prompts(contexts: DataFrame, templates: DataFrame) -> DataFrame:
+    """contexts with prompt_version and full_prompt: template, candidate, place, code context."""
+    t = templates.withColumn("t_category", F.coalesce("category", F.lit("")))
+    known = [r["t_category"] for r in t.select("t_category").collect()]  # the categories of RESOURCES
+    key = F.when(F.col("category").isin(known), F.col("category")).otherwise("")
+    d = contexts.withColumn("t_category", key).join(F.broadcast(t.drop("category")), "t_category", "left")
+    place = F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("None")))
+    full = F.concat("template", F.lit("\n\nCandidate ID: "), "candidate_id", F.lit("\nTarget File: "), place, F.lit("\n\n=== CODE CONTEXT ===\n"), "prompt", F.lit("\n"))
+    return d.select(*contexts.columns, F.col("version").alias("prompt_version"), full.alias("full_prompt"))
+
+
+def validation_prompts(found: DataFrame, context: Column, template: str) -> DataFrame:
+    """found with full_prompt: what a validator is asked, the finding as JSON and its code context in it."""
+    finding = F.to_json(F.struct(*[F.col(c) for c in found.columns]), {"ignoreNullFields": "false", "pretty": "true"})
+    return found.withColumn("full_prompt", F.concat(F.lit(template + "\n\n=== FINDING TO VALIDATE ===\n"), finding, F.lit("\n\n=== CODE CONTEXT ===\n"), F.coalesce(context, F.lit("")), F.lit("\n")))
+
+
 def stub_answers(candidates: DataFrame) -> DataFrame:
     """The fixed answer of the model stub: an injection finding for database candidates, nothing else."""
     return candidates.where((F.col("category") == "database") & ~F.col("is_rejected")).select(
-        F.lit("SQL Injection").alias("vulnerability_type"), F.lit("CWE-89").alias("cwe"), F.lit("high").alias("severity"), F.lit("0.92").alias("confidence"), F.lit("username parameter").alias("source"),
-        F.lit("Statement.executeQuery").alias("sink"), F.array(F.lit("parameter received"), F.lit("concatenated into SQL")).alias("data_flow"), F.lit("Untrusted input concatenated into SQL query.").alias("description"),
-        "file", F.col("line").cast("string").alias("start_line"), F.lit(None).cast("string").alias("end_line"), F.col("snippet").alias("evidence"), F.lit("Attacker passes `' OR '1'='1`.").alias("attack_scenario"),
-        F.lit("None").alias("security_control"), F.lit("Use PreparedStatement").alias("recommendation"), prompt_version(F.col("category")).alias("prompt_version"),
+        F.lit("SQL Injection").alias("vulnerability_type"), F.lit("CWE-89").alias("cwe"), F.lit("high").alias("severity"), F.lit("0.92").alias("confidence"), F.lit("request input").alias("source"),
+        F.lit("Statement.executeQuery").alias("sink"), F.array(F.lit("input arrives"), F.lit("it is put into the statement")).alias("data_flow"), F.lit("Input becomes part of a statement's text.").alias("description"),
+        "file", F.col("line").cast("string").alias("start_line"), F.lit(None).cast("string").alias("end_line"), F.col("snippet").alias("evidence"), F.lit("A quote in the input ends the literal.").alias("attack_scenario"),
+        F.lit("None").alias("security_control"), F.lit("Bind the input as a parameter").alias("recommendation"), prompt_version(F.col("category")).alias("prompt_version"),
     )
 
 
@@ -74,21 +120,43 @@ def usage_rows(contexts: DataFrame, model: str = "stub") -> DataFrame:
     return d.select(F.col("candidate_id").alias("request_id"), F.lit(model).alias("model"), F.lit("investigation").alias("phase"), F.lit("investigator").alias("agent"), asked.alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), (asked + 1).alias("total_tokens"), F.lit(0.0).alias("latency_seconds"), F.lit(0).cast("long").alias("retry_count"), F.lit("character_estimate").alias("token_measurement"), cached.alias("is_cached"))
 
 
-def run(spark: SparkSession, root: str, policy: list[ExclusionRule] | None = None, experiment: str = "experiment", validate: bool = True, indexed: bool = True) -> Scan:
-    """Scan a source tree with the model stub. Each relation that others use is checkpointed once."""
+def run(
+    spark: SparkSession, root: str, policy: list[ExclusionRule] | None = None, experiment: str = "experiment", validate: bool = True, indexed: bool = True,
+    truth: DataFrame | None = None, coverage_complete: bool = False, answers: Callable[[DataFrame], DataFrame] = stub_answers,
+) -> Scan:
+    """Scan a source tree. Each relation that others use is checkpointed once, and its phase timed.
+
+    answers: from candidates to raw findings, the model stub by default. truth: reviewed cases;
+    without any, a finding that isn't rejected is uncertain.
+    """
+    seconds, began = {}, time.monotonic()
+
+    def done(phase: str) -> None:
+        nonlocal began
+        seconds[phase], began = round(time.monotonic() - began, 3), time.monotonic()
+
     files = read_files(spark, root, SUFFIXES, policy, any_case=True).checkpoint()
     java = files.where(F.col("file").endswith(".java"))
+    hits = rules.pattern_hits(lines(java))
+    about = context.architecture(lesson_modules(java), recon.components(java), recon.endpoints(java), hits).checkpoint()
+    done("reconnaissance")
     classes = symbols.index(java).checkpoint()
     ms = symbols.methods(classes).checkpoint()
     edge = symbols.edges(ms)
+    done("indexing")
     candidates = discover(spark, files, ms if indexed else None, classes if indexed else None).checkpoint()
-    hits = rules.pattern_hits(lines(java))
-    about = context.architecture(lesson_modules(java), recon.components(java), recon.endpoints(java), hits)
+    done("candidate_discovery")
     contexts = context.assembled(candidates, files, classes, ms, edge, about).checkpoint()
-    raw = findings.verified(stub_answers(candidates), files)
+    raw = findings.verified(findings.claimed(answers(candidates)), files)
     found = findings.normalised(raw, experiment, tool="ai-assisted-sast", harness_version="v1.0", model="stub")
+    done("investigation")
     if validate:
-        answers = found.select("finding_id", F.lit("validated").alias("status"), F.lit(0.95).alias("confidence"), F.lit("Clear unparameterized SQL concatenation.").alias("reason")).dropDuplicates(["finding_id"])
-        found = findings.judged(found, answers)
+        said = found.select("finding_id", F.lit("validated").alias("status"), F.lit(0.95).alias("confidence"), F.lit("The statement is put together from input.").alias("reason")).dropDuplicates(["finding_id"])
+        found = findings.judged(found, said)
+    done("validation")
     found = findings.deduplicated(found).checkpoint()
-    return Scan(files, classes, ms, edge, candidates, contexts, raw, found, usage_rows(contexts))
+    done("deduplication")
+    cases = truth if truth is not None else spark.createDataFrame([], GROUND_TRUTH)
+    outcomes = findings.labelled(found.where("is_canonical"), findings.standing_truth(cases, files), coverage_complete).select("finding_id", "outcome").checkpoint()
+    done("ground_truth_eval")
+    return Scan(files, classes, ms, edge, candidates, contexts, raw, found, usage_rows(contexts), outcomes, seconds)

@@ -6,10 +6,7 @@ the meaning, for another engine to run.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import findings as f
@@ -18,20 +15,7 @@ from ..operators import context, findings, recon, records, rules, symbols
 from ..sources import files as src
 from ..sources.sinks import bucket
 from ..sources.tables import spread, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def keep(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[run.__name__] = run
-        if sql:
-            SQL[run.__name__] = sql
-        return run
-
-    return keep
-
+from .registry import QUERIES, SQL, query
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"))
@@ -126,12 +110,12 @@ _PATTERNS = ",\n ".join("('{}', '{}', '{}')".format(c, n, p.replace("'", "''"))
 WITH cut AS (SELECT CAST(page_id AS VARCHAR) || '.html' AS file, regexp_split_to_array(coalesce(html, ''), '\r\n|\n|\r') AS ls FROM pages),
 lines AS (SELECT file, unnest(ls) AS line FROM cut), catalog(category, pattern, regex) AS (VALUES {_PATTERNS}),
 s AS (SELECT file, {_STRIP.format("line")} AS line FROM lines)
-SELECT category, pattern, count(*) AS hits, CAST(count(DISTINCT file) AS INTEGER) AS n_files, CAST(greatest(0, count(DISTINCT file) - 5) AS INTEGER) AS more
+SELECT category, pattern, count(*) AS hits, CAST(count(DISTINCT file) AS INTEGER) AS n_files, CAST(greatest(0, count(DISTINCT file) - 5) AS INTEGER) AS more, array_to_string(list_sort(list(DISTINCT file))[1:5], ',') AS first_files
 FROM s, catalog WHERE line <> '' AND NOT starts_with(line, '//') AND NOT starts_with(line, '*') AND regexp_matches(line, regex) GROUP BY category, pattern""")
 def pattern_summary(spark: SparkSession, d: str) -> DataFrame:
     """Security patterns over page sources."""
     pages = spread(table(spark, d, "pages")).select(F.format_string("%d.html", "page_id").alias("file"), F.coalesce("html", F.lit("")).alias("content"))
-    return recon.top_files(rules.pattern_hits(src.lines(pages), _PAGE_PATTERNS)).drop("first_files")
+    return recon.top_files(rules.pattern_hits(src.lines(pages), _PAGE_PATTERNS)).withColumn("first_files", F.array_join("first_files", ","))
 
 
 @query("""
@@ -174,9 +158,14 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", t.cache_key(text, F.lit("v1"), F.col("source"), F.lit("investigation"), F.col("n_chars").cast("string")).alias("cache_key"), t.tokens_estimated(text).alias("tokens"), t.budget_tokens(F.col("n_chars")).alias("budget"))
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label per document: the highest, where it has several."""
+    return table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     """Documents as findings: equal texts are equal evidence."""
-    x, labels = _docs(spark, d), table(spark, d, "labels").dropDuplicates(["doc_id"])
+    x, labels = _docs(spark, d), _labels(spark, d)
     state = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "uncertain").otherwise("unvalidated")
     return x.join(labels, "doc_id", "left").select(
         F.format_string("F%07d", "doc_id").alias("finding_id"), F.lit("Repeat").alias("vulnerability_type"), F.concat(F.lit("cwe-"), F.col("lang")).alias("cwe"), F.lit("a.txt").alias("file"), F.lit(None).cast("string").alias("function"),
@@ -190,7 +179,7 @@ SELECT 'F' || lpad(CAST(d.doc_id AS VARCHAR), 7, '0') AS finding_id, coalesce(te
   CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 3 WHEN quality = 0 THEN 1 ELSE 2 END AS rank,
   CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'validated' WHEN quality = 0 THEN 'uncertain' ELSE 'unvalidated' END AS status,
   substr(sha256('repeat:' || upper('cwe-' || lang) || ':a.txt::' || CAST(((n_chars % 40) // 10) * 10 AS VARCHAR) || ':sink:' || CASE WHEN coalesce(text, '') = '' THEN '' ELSE substr(md5({_STRIP.format("text")}), 1, 8) END), 1, 16) AS dedup_key
-FROM documents d LEFT JOIN (SELECT DISTINCT ON (doc_id) * FROM labels) l ON d.doc_id = l.doc_id),
+FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
 best AS (SELECT *, row_number() OVER w AS place, first_value(finding_id) OVER w AS first_id FROM fnd WINDOW w AS (PARTITION BY dedup_key ORDER BY rank DESC, confidence DESC, length(evidence) DESC, finding_id))"""
 
 
@@ -221,15 +210,18 @@ def status_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    """A reviewed case per tenth document: its first 60 characters, in its source's file."""
-    x = _docs(spark, d).where("doc_id % 10 = 0")
-    return x.select(F.format_string("GT-%d", "doc_id").alias("ground_truth_id"), F.concat(F.lit("noise in "), F.col("lang")).alias("vulnerability_type"), F.concat(F.lit("CWE-"), F.col("lang")).alias("cwe"), F.array(F.format_string("%d.txt", "doc_id"), F.format_string("%d.txt", F.col("doc_id") + 1)).alias("relevant_files"), F.substring("text", 1, 60).alias("validation_evidence"), F.when(F.col("doc_id") % 20 == 0, "reviewed").otherwise("heuristic").alias("review_status"))
+    """A case per labelled document, reviewed if it is of quality: its last line is the evidence, in its own file and the next."""
+    x = _docs(spark, d).join(_labels(spark, d), "doc_id")
+    lines = F.filter(t.lines_of(F.coalesce("text", F.lit(""))), lambda l: t.strip(l) != "")
+    return x.select(F.format_string("GT-%d", "doc_id").alias("ground_truth_id"), F.concat(F.lit("noise in "), F.col("lang")).alias("vulnerability_type"), F.concat(F.lit("CWE-"), F.col("lang")).alias("cwe"), F.array(F.format_string("%d.txt", "doc_id"), F.format_string("%d.txt", F.col("doc_id") + 1)).alias("relevant_files"), F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")).alias("validation_evidence"), F.when(F.col("quality") == 1, "reviewed").otherwise("heuristic").alias("review_status"))
 
 
-@query(rf"""
-WITH tr AS (SELECT doc_id, {_STRIP.format("coalesce(substr(text, 1, 60), '')")} AS evidence FROM documents WHERE doc_id % 20 = 0)
-SELECT DISTINCT 'GT-' || tr.doc_id AS ground_truth_id FROM tr JOIN documents d ON d.doc_id IN (tr.doc_id, tr.doc_id + 1)
-WHERE evidence <> '' AND NOT starts_with(evidence, '* SPDX-') AND NOT starts_with(evidence, '//') AND NOT starts_with(evidence, '/*') AND NOT starts_with(evidence, 'import ') AND contains(d.text, evidence)""")
+_TR = rf"""lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+tr AS (SELECT d.doc_id, {_STRIP.format("coalesce(ls[len(ls)], '')")} AS evidence FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda x: {_STRIP.format("x")} <> '') AS ls FROM documents) d JOIN lab USING (doc_id) WHERE quality = 1),
+code AS (SELECT * FROM tr WHERE evidence <> '' AND NOT starts_with(evidence, '* SPDX-') AND NOT starts_with(evidence, '//') AND NOT starts_with(evidence, '/*') AND NOT starts_with(evidence, 'import '))"""
+
+
+@query(rf"WITH {_TR} SELECT DISTINCT 'GT-' || code.doc_id AS ground_truth_id FROM code JOIN documents d ON d.doc_id IN (code.doc_id, code.doc_id + 1) WHERE contains(d.text, evidence)")
 def evidence_check(spark: SparkSession, d: str) -> DataFrame:
     """Reviewed cases whose evidence stands in one of their files."""
     files = _docs(spark, d).select(F.format_string("%d.txt", "doc_id").alias("file"), F.col("text").alias("content"))
@@ -237,14 +229,11 @@ def evidence_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str, complete: bool) -> DataFrame:
-    labels = table(spark, d, "labels").dropDuplicates(["doc_id"])
-    x = _docs(spark, d).join(labels, "doc_id").select(F.format_string("F%07d", "doc_id").alias("finding_id"), F.format_string("%d.txt", "doc_id").alias("file"), F.concat(F.lit("CWE-"), F.col("lang")).alias("cwe"), F.lit("Noise").alias("vulnerability_type"), F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "validated").otherwise("uncertain").alias("validation_status"))
+    x = _docs(spark, d).join(_labels(spark, d), "doc_id").select(F.format_string("F%07d", "doc_id").alias("finding_id"), F.format_string("%d.txt", "doc_id").alias("file"), F.concat(F.lit("CWE-"), F.col("lang")).alias("cwe"), F.lit("Noise").alias("vulnerability_type"), F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "validated").otherwise("uncertain").alias("validation_status"))
     return findings.labelled(x, findings.standing_truth(_truth(spark, d)), complete)
 
 
-_OUT = rf"""WITH tr AS (SELECT doc_id, {_STRIP.format("coalesce(substr(text, 1, 60), '')")} AS evidence FROM documents WHERE doc_id % 20 = 0),
-ok AS (SELECT DISTINCT doc_id + k AS doc_id FROM tr, (VALUES (0), (1)) v(k) WHERE evidence <> '' AND NOT starts_with(evidence, '* SPDX-') AND NOT starts_with(evidence, '//') AND NOT starts_with(evidence, '/*') AND NOT starts_with(evidence, 'import ')),
-lab AS (SELECT DISTINCT ON (doc_id) * FROM labels),
+_OUT = rf"""WITH {_TR}, ok AS (SELECT DISTINCT doc_id + k AS doc_id FROM code, (VALUES (0), (1)) v(k)),
 o AS (SELECT 'F' || lpad(CAST(d.doc_id AS VARCHAR), 7, '0') AS finding_id, CASE WHEN toxic = 1 THEN 'fp' WHEN ok.doc_id IS NOT NULL AND quality = 1 THEN 'tp' WHEN quality <> 1 OR ok.doc_id IS NOT NULL THEN 'uncertain' ELSE 'fp' END AS outcome
  FROM documents d JOIN lab USING (doc_id) LEFT JOIN ok USING (doc_id))"""
 
@@ -302,13 +291,14 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(name("C", "l_suppkey", 7).alias("caller_class"), name("m", "l_suppkey", 60).alias("caller_method"), name("m", "l_partkey", 97).alias("callee_method"), name("f", "l_suppkey", 7).alias("file"))
 
 
-@query(_EDGE + """, one AS (SELECT 'm96' AS method, caller_class, caller_method, file FROM e WHERE callee_method = 'm96'),
-two AS (SELECT DISTINCT 'm96' AS method, e.caller_class, e.caller_method, e.file FROM one JOIN e ON e.callee_method = one.caller_method)
+@query(_EDGE + """, one AS (SELECT DISTINCT callee_method AS method, caller_class, caller_method, file FROM e),
+two AS (SELECT DISTINCT one.method, e.caller_class, e.caller_method, e.file FROM one JOIN e ON e.callee_method = one.caller_method)
 SELECT method, 0 AS depth, caller_class, caller_method, file FROM one UNION ALL
-SELECT method, 1 AS depth, caller_class, caller_method, file FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.caller_class = two.caller_class AND one.caller_method = two.caller_method)""")
+SELECT method, 1 AS depth, caller_class, caller_method, file FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.method = two.method AND one.caller_class = two.caller_class AND one.caller_method = two.caller_method)""")
 def callers_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Callers up to two calls away."""
-    return symbols.callers(_edges(spark, d), spark.createDataFrame([("m96",)], "method string"))
+    """Callers of every method, up to two calls away."""
+    e = _edges(spark, d)
+    return symbols.callers(e, e.select(F.col("callee_method").alias("method")))
 
 
 @query(_EDGE + " SELECT caller_class, caller_method, count(*) AS n_calls, array_to_string(list_sort(list(callee_method)), ',') AS calls FROM e GROUP BY caller_class, caller_method")
@@ -328,11 +318,14 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return context.running_sections(c, "conv_id", "turn", F.col("role"), F.coalesce("text", F.lit("")), 1500)
 
 
-@query("SELECT c_custkey, s_suppkey, same FROM (SELECT c_custkey, s_suppkey, c_nationkey = s_nationkey AS same, row_number() OVER (PARTITION BY c_custkey ORDER BY c_nationkey = s_nationkey DESC, s_suppkey) AS place FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey % 10) WHERE place = 1")
+@query("""WITH own AS (SELECT s_nationkey, min(s_suppkey) AS s FROM supplier GROUP BY s_nationkey), any_ AS (SELECT s_suppkey % 10 AS g, min(s_suppkey) AS s FROM supplier GROUP BY 1)
+SELECT c_custkey, coalesce(own.s, any_.s) AS s_suppkey, own.s IS NOT NULL AS same FROM customer LEFT JOIN own ON s_nationkey = c_nationkey LEFT JOIN any_ ON g = c_custkey % 10 WHERE coalesce(own.s, any_.s) IS NOT NULL""")
 def prefer_same_group(spark: SparkSession, d: str) -> DataFrame:
-    """A match of the own group first, else any."""
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    j = c.join(s, F.col("c_custkey") % 10 == F.col("s_suppkey") % 10).withColumn("same", F.col("c_nationkey") == F.col("s_nationkey"))
+    """A match of the own group first, else any; groups are cut to their first row before they are joined."""
+    c, s = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier")
+    own = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    other = s.groupBy((F.col("s_suppkey") % 10).alias("g")).agg(F.min("s_suppkey").alias("s_suppkey"))
+    j = c.join(own, c["c_nationkey"] == own["s_nationkey"]).select("c_custkey", "s_suppkey", F.lit(True).alias("same")).unionByName(c.join(other, c["c_custkey"] % 10 == other["g"]).select("c_custkey", "s_suppkey", F.lit(False).alias("same")))
     return symbols.first_preferring(j, "c_custkey", F.col("same"), "s_suppkey").select("c_custkey", "s_suppkey", "same")
 
 
@@ -380,13 +373,6 @@ def json_import(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("finding_id").cast("bigint").alias("o_orderkey"), "tool", "cwe", "severity", "confidence", "start_line", "end_line", F.size("data_flow").alias("steps"))
 
 
-@query("SELECT event_type AS experiment, count(*) AS unique_findings, format('{:.3f}', round(count(*) FILTER (user_id % 3 = 0) / CAST(count(*) AS DOUBLE), 3)) AS precision_text FROM events GROUP BY event_type")
-def experiment_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """One line per experiment, in order."""
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("experiment")).agg(F.count("*").alias("unique_findings"), F.count_if(F.col("user_id") % 3 == 0).alias("tp"))
-    return e.select("experiment", "unique_findings", F.format_string("%.3f", F.round(F.col("tp") / F.col("unique_findings"), 3)).alias("precision_text")).orderBy("experiment")
-
-
 @query("SELECT 'event_type' AS of, event_type AS value, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'day', CAST(CAST(ts AS DATE) AS VARCHAR), count(*) FROM events GROUP BY ALL UNION ALL SELECT 'total', NULL, count(*) FROM events")
 def recon_totals(spark: SparkSession, d: str) -> DataFrame:
     """A1, A2: counts by each column and in all, in one pass."""
@@ -411,10 +397,11 @@ def telling_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH c AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS ls FROM documents), k AS (SELECT doc_id, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls)-1] ELSE ls END AS ls FROM c)
-SELECT doc_id, md5(array_to_string(ls[2:least(4, len(ls))], chr(10)) || CASE WHEN least(6, len(ls)) - 1 > 3 THEN chr(10) || '// ... [truncated]' ELSE '' END) AS part FROM k""")
+SELECT doc_id, md5(array_to_string(ls[2:least(4, len(ls))], chr(10)) || CASE WHEN least(6, len(ls)) - 1 > 3 THEN chr(10) || '// ... [truncated]' ELSE '' END) AS part, md5(array_to_string(ls[1:least(4, len(ls))], chr(10)) || CASE WHEN len(ls) > 4 THEN chr(10) || '// ... [file truncated]' ELSE '' END) AS head FROM k""")
 def line_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Bounded ranges of lines with a mark."""
-    return _docs(spark, d).select("doc_id", F.md5(t.line_range(t.lines_of(F.coalesce("text", F.lit(""))), 2, 6, 3)).alias("part"))
+    lines = t.lines_of(F.coalesce("text", F.lit("")))
+    return _docs(spark, d).select("doc_id", F.md5(t.line_range(lines, 2, 6, 3)).alias("part"), F.md5(t.head(lines, 4)).alias("head"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'validated' WHEN 1 THEN 'rejected' WHEN 2 THEN 'validated' ELSE 'uncertain' END AS status, CASE event_id % 4 WHEN 0 THEN 0.75 WHEN 3 THEN 0.5 ELSE 0.8 END AS confidence FROM events")
@@ -449,12 +436,10 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
     """Extension: events appended by a stream (exactly once, from a checkpoint), then counted."""
-    import tempfile
-
+    from ..sources.scratch import new_path
     from ..streaming.usage import event_stream, run_once
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     schema = table(spark, d, "events").schema
     run_once(event_stream(spark, f"{d}/events.parquet*", schema), f"{at}/out", f"{at}/state")
     return spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

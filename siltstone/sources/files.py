@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, path_parts
-from ..schemas import FINDING, GROUND_TRUTH, SARIF, USAGE
+from ..functions.findings import sarif_cwe, sarif_severity
+from ..functions.text import blank_to, lines_of, path_parts
+from ..schemas import CLASS, EDGE, FINDING, GROUND_TRUTH, RAW_FINDING, SARIF, USAGE
 
 
 @dataclass(frozen=True)
@@ -43,21 +45,41 @@ def policy_table(spark: SparkSession, rules: list[ExclusionRule]) -> DataFrame:
     return spark.createDataFrame([(k, r.pattern, r.category, r.reason) for k, r in enumerate(rules)], "rule_ord int, pattern string, category string, reason string")
 
 
+def _glob(suffixes: tuple[str, ...], any_case: bool) -> str:
+    each = ["".join(f"[{c.lower()}{c.upper()}]" if any_case and c.isalpha() else c for c in s) for s in suffixes]
+    return "*{" + ",".join(each) + "}" if len(each) > 1 else "*" + each[0]
+
+
 def read_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), rules: list[ExclusionRule] | None = None, any_case: bool = False) -> DataFrame:
     """file (path below root), content (UTF-8, bad bytes replaced), excluded files left out.
 
-    Paths are filtered before contents are read.
+    Suffixes are checked while files are listed. Folders that a rule excludes whole are found
+    from paths alone and never opened; the driver gets the folders that are left. What a rule
+    says about a file's own name is checked last.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    base = unquote(root.removeprefix("file:")).rstrip("/") + "/"
-    f = raw.withColumn("file", F.when(F.position(F.lit(base), full) > 0, F.substring(full, F.position(F.lit(base), full) + len(base), F.length(full))).otherwise(full))
-    name = F.lower(F.col("file")) if any_case else F.col("file")
+    reader = spark.read.format("binaryFile")
     if suffixes:
-        hit = F.lit(False)
-        for s in suffixes:
-            hit = hit | name.endswith(s)
-        f = f.where(hit)
+        reader = reader.option("pathGlobFilter", _glob(suffixes, any_case))
+    base = unquote(re.sub("^file:/+", "/", root)).rstrip("/") + "/"
+
+    def below(d: DataFrame) -> Column:
+        full = F.regexp_replace(d["path"], "^file:/+", "/")
+        at = F.position(F.lit(base), full)
+        return F.when(at > 0, F.substring(full, at + len(base), F.length(full))).otherwise(full)
+
+    raw = reader.option("recursiveFileLookup", "true").load(root)
+    whole = [r for r in rules or [] if r.match != "suffix"]
+    if whole:
+        name = F.element_at(F.split("path", "/"), -1)
+        folder = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(name))
+        in_folder = F.substring(below(raw), F.lit(1), F.length(below(raw)) - F.length(name))
+        folders = raw.select(folder.alias("folder"), (matching_rule(in_folder, whole).isNull()).alias("kept")).distinct().collect()  # a row per folder, without contents
+        if not all(r["kept"] for r in folders):
+            kept = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", r["folder"]) for r in folders if r["kept"]]
+            if not kept:
+                return spark.createDataFrame([], "file string, content string")
+            raw = reader.option("recursiveFileLookup", "false").load(kept)
+    f = raw.withColumn("file", below(raw))
     if rules:
         f = f.where(matching_rule(F.col("file"), rules).isNull())
     return f.select("file", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
@@ -99,10 +121,10 @@ def poms(files: DataFrame) -> DataFrame:
 
 
 def lesson_modules(files: DataFrame, marker: str = "lessons") -> DataFrame:
-    """Folders below the marker, with their files."""
+    """Folders below the marker, and how many files each has."""
     parts = path_parts(F.col("file"))
     at = F.array_position(parts, marker).cast("int")
-    return files.where((at > 0) & (F.size(parts) > at + 1)).groupBy(F.element_at(parts, at + 1).alias("name")).agg(F.array_sort(F.collect_set("file")).alias("files"))
+    return files.where((at > 0) & (F.size(parts) > at + 1)).groupBy(F.element_at(parts, at + 1).alias("name")).agg(F.count_distinct("file").alias("files"))
 
 
 def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -130,38 +152,57 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(f"{path}/*/metrics.json")
 
 
+# What an imported finding says where its report says nothing.
+SARIF_KIND, SARIF_TEXT, SARIF_ATTACK, SARIF_ADVICE = "Vulnerability", "SARIF vulnerability detection", "Potentially exploitable security flaw", "Review and remediate according to security guidelines"
+
+
 def sarif_results(reports: DataFrame, column: str = "report", tool: str = "sarif-tool") -> DataFrame:
-    """A raw finding row for each result of SARIF reports (a JSON text per row)."""
-    r = reports.select(F.explode(F.from_json(F.col(column), SARIF)["runs"]).alias("run"))
-    # A rule is looked up inside its own run; of equal ids the last counts.
-    rules = F.coalesce(F.col("run.tool.driver.rules"), F.array())
-    r = r.select(F.coalesce("run.tool.driver.name", F.lit(tool)).alias("tool"), F.reverse(rules).alias("rules"), F.explode("run.results").alias("r"))
-    rule = F.try_element_at(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(1))
-    r = r.select("tool", "r", rule.alias("rule"))
-    from ..functions.findings import sarif_cwe, sarif_severity
-    from ..functions.text import blank_to
+    """A raw finding row for each result of SARIF reports (a JSON text per row).
 
+    Rules and results of a run become rows of their own and meet by run and rule id. A rule is
+    looked up inside its own run; of equal ids the last counts.
+    """
+    runs = reports.select(F.posexplode(F.from_json(F.col(column), SARIF)["runs"]).alias("nth", "run"), F.xxhash64(column).alias("of"), F.md5(column).alias("of2"))
+    names = ["of", "of2", "nth"]
+    rules = runs.select(*names, F.posexplode("run.tool.driver.rules").alias("k", "rule")).groupBy(*names, F.col("rule.id").alias("rule_id")).agg(F.max_by("rule", "k").alias("rule"))
+    results = runs.select(*names, F.coalesce("run.tool.driver.name", F.lit(tool)).alias("tool"), F.explode("run.results").alias("r")).withColumn("rule_id", F.col("r.ruleId"))
+    r = results.join(rules, [*names, "rule_id"], "left")
     message = blank_to(F.col("r.message.text"), F.col("rule.shortDescription.text"))
     place = F.try_element_at(F.col("r.locations"), F.lit(1))["physicalLocation"]
     return r.select(
-        F.col("r.id").alias("finding_id"), "tool", blank_to(F.coalesce("rule.name", "r.ruleId"), "Vulnerability").alias("vulnerability_type"),
+        F.col("r.id").alias("finding_id"), "tool", blank_to(F.coalesce("rule.name", "r.ruleId"), SARIF_KIND).alias("vulnerability_type"),
         sarif_cwe(F.col("rule.properties.tags"), F.col("r.ruleId")).alias("cwe"), sarif_severity(F.col("r.level")).alias("severity"), F.lit("0.85").alias("confidence"),
         place["artifactLocation"]["uri"].alias("file"), place["region"]["startLine"].alias("start_line"), F.coalesce(place["region"]["endLine"], place["region"]["startLine"]).alias("end_line"),
-        blank_to(message, "SARIF vulnerability detection").alias("description"), message.alias("evidence"),
-        F.lit("Potentially exploitable security flaw").alias("attack_scenario"), F.lit("Review and remediate according to security guidelines").alias("recommendation"),
+        blank_to(message, SARIF_TEXT).alias("description"), message.alias("evidence"),
+        F.lit(SARIF_ATTACK).alias("attack_scenario"), F.lit(SARIF_ADVICE).alias("recommendation"),
         F.lit("sarif-import-v1.0").alias("prompt_version"),
     )
 
 
 def json_results(reports: DataFrame, column: str = "report") -> DataFrame:
-    """A raw finding row for each finding of JSON texts: an array, an object with findings, or one object."""
-    from ..schemas import RAW_FINDING
-
-    one = RAW_FINDING.replace("data_flow array<string>", "data_flow string")
-    item = "struct<" + ", ".join(x.replace(" ", ":", 1) for x in one.split(", ")) + ">"
-    text = F.col(column)
-    many = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{item}>"))
-    inside = F.from_json(text, f"struct<findings:array<{item}>>")["findings"]
-    d = reports.select(F.explode(F.coalesce(many, inside, F.array(F.from_json(text, item)))).alias("x")).where("x IS NOT NULL").select("x.*")
-    flow = F.coalesce(F.from_json("data_flow", "array<string>"), F.when(F.col("data_flow") != "", F.array("data_flow")))
-    return d.withColumn("data_flow", flow).withColumn("tool", F.coalesce("tool", F.lit("json-tool"))).withColumn("prompt_version", F.coalesce("prompt_version", F.lit("json-import-v1.0")))
+    """A raw finding row for each finding of JSON texts: an array, an object with findings, or one object.
+
+    A text is parsed once, to a variant; its shape says which part of it holds the findings.
+    """
+    fields = [(x.split(" ")[0], "boolean" if x.endswith(" boolean") else "string") for x in RAW_FINDING.split(", ")]
+    v = reports.select(F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
+    inside = F.try_variant_get("v", "$.findings", "array<variant>")
+    v = v.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), inside, F.array("v"))).alias("x")).where(F.schema_of_variant("x").startswith("OBJECT"))
+    d = v.select(*[F.try_variant_get("x", f"$.{c}", kind).alias(c) for c, kind in fields if c != "data_flow"], F.try_variant_get("x", "$.data_flow", "array<string>").alias("steps"), F.try_variant_get("x", "$.data_flow", "string").alias("step"))
+    flow = F.coalesce("steps", F.when(F.col("step") != "", F.array("step")))
+    d = d.withColumn("data_flow", flow).drop("steps", "step").withColumn("tool", F.coalesce("tool", F.lit("json-tool"))).withColumn("prompt_version", F.coalesce("prompt_version", F.lit("json-import-v1.0")))
+    return d.select(*[c for c, _ in fields])
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(types with their methods, call edges) that `index` wrote below path."""
+    return spark.read.schema(CLASS).json(f"{path}/classes"), spark.read.schema(EDGE).json(f"{path}/edges")
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, skill, text) of PROMPT.md files and of SKILL.md files in folders of their name."""
+    f = read_files(spark, path, (".md",))
+    parts = F.split("file", "/")
+    skill = F.element_at(parts, -1) == "SKILL.md"
+    name = F.when(skill, F.try_element_at(parts, F.lit(-2))).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.md$", ""))
+    return f.select(name.alias("name"), skill.alias("skill"), F.col("content").alias("text"))

@@ -37,3 +37,8 @@ def cached_first(responses: DataFrame, cache: DataFrame) -> DataFrame:
 
 def put_cache(entries: DataFrame, path: str, clear: bool = False) -> None:
     entries.write.mode("overwrite" if clear else "append").parquet(path)
+
+
+def write_responses(responses: DataFrame, path: str) -> None:
+    """Raw model responses (request_id and what else there is), a folder per request."""
+    responses.withColumn("request", F.col("request_id")).write.mode("append").partitionBy("request").option("ignoreNullFields", "false").json(path)
