@@ -8,7 +8,8 @@ hash in it, which depends on the string alone. So:
    only are dropped there, since no string around them repeats (exact, nothing is lost);
 2. every pack sends each remaining anchor with 25 bytes on both sides: all strings that it
    is the anchor of, in 75 bytes. Equal contexts of a pack are sent once, for the document
-   with the least doc_id; an anchor of very many documents is sent string by string, dealt
+   with the least doc_id, however often it says them (the other places stay behind as
+   numbers, so a text of one byte is one context); an anchor of very many documents is sent string by string, dealt
    by their own hashes, so that no task gets a hot one whole;
 3. where they meet, all suffixes of the contexts are sorted by the difference-cover method
    modulo 3: triples at two of three positions are sorted and named, the string of names is
@@ -302,7 +303,7 @@ def _contexts(buckets: int):
         keep = hashes[at] == h
         h, place, row, first, last, at = (x[keep] for x in (h, place, row, first, last, at))
         padded = np.concatenate([np.zeros(SIDE, np.uint8), p.bytes, np.zeros(CONTEXT, np.uint8)])
-        doc, begin = p.ids[row], np.append(0, p.ends)[row]
+        doc = p.ids[row]
         # A hot anchor's strings go one by one: no anchor, no sides.
         single = np.repeat(np.flatnonzero(hot[at] > 0), (last - first + 1)[hot[at] > 0])
         runs = (last - first + 1)[hot[at] > 0]
@@ -312,27 +313,34 @@ def _contexts(buckets: int):
         pos = np.concatenate([place[cold], start + SIDE])
         low = np.concatenate([place[cold] - last[cold], np.full(len(start), SIDE)]).astype(np.int64)
         high = np.concatenate([place[cold] - first[cold], np.full(len(start), SIDE)]).astype(np.int64)
-        docs, origin = np.concatenate([doc[cold], doc[single]]), np.concatenate([begin[cold], begin[single]])
-        text = window[pos].copy()  # the context begins SIDE before the anchor
-        # Bytes that none of its strings has are no part of a context.
-        column = np.arange(CONTEXT)
-        text[(column < (SIDE - high)[:, None]) | (column >= (SIDE - low + LENGTH)[:, None])] = 0
-        keys = np.ascontiguousarray(np.concatenate([text, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)], axis=1)).view(f"V{CONTEXT + 2}").ravel()
+        docs = np.concatenate([doc[cold], doc[single]])
+        mark = np.concatenate([_mark(_cut(window, pos[a:z], low[a:z], high[a:z]), low[a:z], high[a:z]) for a, z in _steps(len(pos))]) if len(pos) else np.zeros(0, np.uint64)
+        # Of equal contexts one stands for all: that of the least document, at its first place. Marks only suggest which are equal.
         order = np.lexsort((pos, docs))
-        _, which, inverse = np.unique(keys[order], return_index=True, return_inverse=True)
-        least = docs[order][which][inverse]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        least = least[back]
-        covered = docs > least  # by a smaller document of this pack
+        _, which, inverse = np.unique(mark[order], return_index=True, return_inverse=True)
+        of = np.empty(len(pos), np.int64)
+        of[order] = order[which][inverse.ravel()]
+        other = np.flatnonzero(of != np.arange(len(pos)))
+        for a, z in _steps(len(other)):
+            i, j = other[a:z], of[other[a:z]]
+            same = (low[i] == low[j]) & (high[i] == high[j])
+            same &= (_cut(window, pos[i], low[i], high[i]) == _cut(window, pos[j], low[j], high[j])).all(1)
+            of[i] = np.where(same, j, i)
+        covered = docs > docs[of]  # by a smaller document of this pack
+        echo = ~covered & (of != np.arange(len(pos)))  # the same document says it again: its places stay here
         out = []
         if covered.any():
             spans = np.stack([pos - high, pos - low + LENGTH], axis=1)[covered]
             out.append((-1 - int(spans[0, 0]) % buckets, name, len(spans), _zip(spans.astype("<i8"))))
-        rest = ~covered
-        code = np.concatenate([h[cold], _string_hash(text[len(cold) :])])
+        if echo.any():
+            again = [_planes((pos - high)[of[echo]]), _planes((pos - high)[echo]), (high - low + 1)[echo].astype(np.uint8)]
+            out.append((-1 - int(pos[echo][0]) % buckets, name, -int(echo.sum()), _zip(np.concatenate([x.ravel() for x in again]))))
+        send = np.flatnonzero(~covered & ~echo)
+        text, pos, low, high, docs = _cut(window, pos[send], low[send], high[send]), pos[send], low[send], high[send], docs[send]
+        n_cold = int(np.searchsorted(send, len(cold)))
+        code = np.concatenate([h[cold][send[:n_cold]], _string_hash(text[n_cold:])])
         bucket = _dealt(code, buckets)
-        order = np.flatnonzero(rest)[np.argsort(bucket[rest], kind="stable")]
+        order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
             part = order[a:z]
@@ -343,6 +351,29 @@ def _contexts(buckets: int):
     return run
 
 
+def _steps(n: int) -> list[tuple[int, int]]:
+    """Slices of n rows that are handled at a time."""
+    return [(a, min(a + SLICE, n)) for a in range(0, n, SLICE)]
+
+
+def _cut(window: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Contexts, which begin SIDE before their anchor; bytes that none of its strings has are no part of one."""
+    text, column = window[pos], np.arange(CONTEXT)
+    text[(column < (SIDE - high)[:, None]) | (column >= (SIDE - low + LENGTH)[:, None])] = 0
+    return text
+
+
+def _mark(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64-bit hashes of contexts: of their bytes in words of eight, and of which strings they have."""
+    words = np.zeros((len(text), -(-CONTEXT // 8) * 8), np.uint8)
+    words[:, :CONTEXT] = text
+    h = (low << 8 | high).astype(np.uint64) + np.uint64(BASE)
+    for w in words.view("<u8").T:
+        h = (h ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 def _string_hash(text: np.ndarray) -> np.ndarray:
     """48-bit hashes of rows of bytes."""
     h = np.zeros(len(text), np.uint64)
@@ -372,8 +403,8 @@ def _first_documents(text: np.ndarray, low: np.ndarray, high: np.ndarray, docs:
 
 def _compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     """Of the contexts that met, for each pack the spans that a smaller document has too."""
-    if key[0] < 0:  # spans that are known already
-        return pd.DataFrame({"pack": b["pack"], "spans": b["data"]})
+    if key[0] < 0:  # spans that are known already, and places that say what another place says
+        return pd.DataFrame({"pack": b["pack"], "spans": b["data"].where(b["many"] > 0, None), "echo": b["data"].where(b["many"] < 0, None)})
     docs, places, low, high, text = [], [], [], [], []
     for many, data in zip(b["many"], b["data"], strict=True):
         raw = _unzip(data, "u1")
@@ -420,7 +451,7 @@ def _compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
             new = np.append(True, s[1:] > s[:-1] + 1)
             ends = np.append(np.flatnonzero(new)[1:], len(s)) - 1
             out.append((pack, _zip(np.stack([s[new], s[ends] + LENGTH], axis=1).astype("<i8"))))
-    return pd.DataFrame(out, columns=["pack", "spans"])
+    return pd.DataFrame([(*x, None) for x in out], columns=["pack", "spans", "echo"])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -431,11 +462,21 @@ def _remove(texts: bool):
         p = Texts(packs.iloc[0])
         n = len(p.bytes)
         change = np.zeros(n + 1, np.int32)
-        for x in spans["spans"]:
+        for x in spans["spans"].dropna():
             s = _unzip(x, "<i8").reshape(-1, 2)
             np.add.at(change, s[:, 0], 1)
-            np.add.at(change, s[:, 1], -1)
-        gone = np.cumsum(change[:n]) > 0
+            np.add.at(change, s[:, 1] - LENGTH + 1, -1)
+        starts = np.cumsum(change[:n]) > 0  # of strings that a smaller document has
+        again = np.zeros(n, bool)
+        for x in spans["echo"].dropna():
+            raw = _unzip(x, "u1")
+            k = len(raw) // 17
+            of, to, many = _whole(raw[: 8 * k]), _whole(raw[8 * k : 16 * k]), raw[16 * k :]
+            for j in range(int(many.max())):
+                more = many > j
+                again[to[more] + j] |= starts[of[more] + j]
+        before = np.append(0, np.cumsum(starts | again))
+        gone = before[1:] > before[np.maximum(np.arange(n) - LENGTH + 1, 0)]
         out, a = [], 0
         for doc_id, known, z in zip(p.ids.tolist(), p.known.tolist(), p.ends.tolist(), strict=True):
             g = gone[a:z]
@@ -456,10 +497,12 @@ def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFra
     packs = stored(packed(docs), "packs")
     size = packs.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
-    prints = packs.mapInPandas(_prints(buckets), "bucket int, pack string, hashes binary, many binary")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (lambda d: d.repartition(buckets, "bucket")) if buckets > tasks else (lambda d: d)  # a range of hashes per task at most
+    prints = dealt(packs.mapInPandas(_prints(buckets), "bucket int, pack string, hashes binary, many binary"))
     shared = prints.groupBy("bucket").applyInPandas(_shared(hot), "pack string, hashes binary, hot binary")
     met = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInPandas(_contexts(buckets), CONTEXTS)
-    spans = stored(met.groupBy("bucket").applyInPandas(_compare, "pack string, spans binary"), "spans")
+    spans = stored(dealt(met).groupBy("bucket").applyInPandas(_compare, "pack string, spans binary, echo binary"), "spans")
     found = packs.groupBy("pack").cogroup(spans.groupBy("pack")).applyInPandas(_remove(texts), RESULT)
     return found if texts else found.drop("kept")
 

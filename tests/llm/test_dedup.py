@@ -160,6 +160,34 @@ def test_repeats_against_brute_force(spark, hot):
     assert suffixes.deduplicated(d.limit(0)).count() == 0
 
 
+def test_repeats_inside_documents(spark):
+    """Texts that say one thing over and over: a context is sent once, its other places follow."""
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rule, ring, other = "-" * 700, line(61) * 12, line(90)
+    docs = [(1, rule), (2, line(60) + rule + line(20) + rule[:300]), (3, ring + other), (4, line(30) + ring + ring[:200]), (5, ring[7:400] + line(9) + rule[:55]), (6, (other + "|") * 9), (7, other * 3), (8, rule * 2)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert sorted([tuple(r) for r in suffixes.deduplicated(d).collect()], key=str) == brute_removal(docs)
+    assert sorted([tuple(r) for r in suffixes.deduplicated(d.repartition(8), hot=1).collect()], key=str) == brute_removal(docs)
+
+
+def test_contexts_of_one_byte_stay_small():
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 1 << 21
+    raw = b"-" * (2 * n)
+    pack = {"pack": "p", "bytes": suffixes._zip(np.frombuffer(raw, np.uint8)), "ends": np.array([n, 2 * n], "<i8").tobytes(), "ids": np.array([5, 6], "<i8").tobytes(), "known": np.array([1, 1], bool).tobytes()}
+    h = np.unique(suffixes.Texts(pack).anchors()[0])
+    shared = pd.DataFrame([{"hashes": suffixes._zip(suffixes._columns(h)), "hot": suffixes._zip(np.zeros(len(h), np.uint8))}])
+    tracemalloc.start()
+    out = suffixes._contexts(8)(("p",), pd.DataFrame([pack]), shared)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert sum(m for m in out["many"] if m > 0) <= n + 4 and sum(len(x) for x in out["data"]) < 1 << 23
+
+
 def test_pq_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 24))
