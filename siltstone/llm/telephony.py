@@ -23,6 +23,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -30,15 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, stored, table
+from .common import delete, made, new_path, spread, stored, table
 
 UNIT, PAD, TAIL = 192, b"\x20", 16
 RATE, UP, DOWN = 8000, 2, 1
 ALAW, MULAW, ADPCM = 6, 7, 0x11  # format tags of WAV
 BLOCK_HEADER = 4
-SLICE = 1 << 19  # coded bytes of a part
+SLICE = 1 << 17  # coded bytes of a part
+BATCH_ROWS, WAVES = 64, 4  # rows of audio that go to Python at a time; shares that PCM is measured in
 #: Audio compresses better in large pages.
-PAGES = {"parquet.page.size": str(1 << 23), "parquet.compression.codec.zstd.level": "9"}
+PAGES = {"parquet.page.size": str(1 << 23), "parquet.block.size": str(1 << 25), "parquet.compression.codec.zstd.level": "9"}
 #: Index changes of IMA ADPCM, fixed values of the format.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 #: Step sizes of IMA ADPCM, fixed values of the format.
@@ -163,7 +165,7 @@ def slices(parsed: tuple[int, int, bytes], size: int = SLICE, down: int = DOWN)
         yield (tag, block, data[at : min(at + step, end)]), after
 
 
-def _chunks(values: Iterable[tuple], size_of, limit: int = 4_000_000) -> Iterator[list]:
+def _chunks(values: Iterable[tuple], size_of, limit: int = 1 << 20) -> Iterator[list]:
     """Lists of values of about `limit` bytes, so that a batch of long media is worked on in parts."""
     part, size = [], 0
     for v in values:
@@ -257,10 +259,41 @@ def features(pcm: DataFrame) -> DataFrame:
     return g.select(*about[1:8], F.when(name.isNotNull(), shown).alias("feature"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, jobs of this session send `rows` rows at a time to Python: rows of audio are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def heard(docs: DataFrame) -> DataFrame:
-    """Texts stored as telephony audio, read back and decoded to stored PCM: features of each document."""
-    media = stored(stored_payloads(docs).withColumn("id", F.monotonically_increasing_id()), "media", **PAGES)
-    return features(stored(decoded(media), "pcm", **PAGES))
+    """Texts stored as telephony audio, read back and decoded to stored PCM: features of each document.
+
+    PCM is four to eight times as long as its text. It is written, read back and measured in
+    WAVES, and goes once its features are kept, so the shared folder holds a wave of it at a
+    time. A wave is a share of the tasks that wrote media, found by its folder.
+    """
+    spark = docs.sparkSession
+    at, kept = new_path(spark, "media"), []
+    media = stored_payloads(docs).select(F.monotonically_increasing_id().alias("id"), "doc_id", "n_bytes", "media", (F.spark_partition_id() % WAVES).alias("wave"))
+    media.write.options(**PAGES).partitionBy("wave").parquet(at, compression="zstd")
+    media = spark.read.schema(media.schema).parquet(at)
+    with small_batches(spark):
+        for wave in range(WAVES):
+            pcm = stored(decoded(media.where(F.col("wave") == wave)), "pcm", **PAGES)
+            path = made[-1]
+            kept.append(stored(features(pcm), "features"))
+            delete(spark, [path])
+    delete(spark, [at])
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
