@@ -21,7 +21,7 @@ from ..sources.tables import spread, table
 from . import pipeline, reports
 from .registry import query
 
-_TYPE = """package org.lessons.l{n};
+JAVA_TYPE = """package org.lessons.l{n};
 
 import java.util.List;
 import static org.util.Tools.*;
@@ -50,7 +50,7 @@ interface I{k} {
     void only{k}(int a);
 }
 """
-_TEST = """package org.lessons.l{n};
+JAVA_TEST = """package org.lessons.l{n};
 class C{k}Test {
     @Test
     void checks{k}() {
@@ -73,8 +73,8 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
 def _java(spark: SparkSession, d: str) -> DataFrame:
     """file, content: a type for each customer, a test for each one with an even key."""
     c = _customers(spark, d)
-    one = c.select(_filled("app/lessons/l{n}/C{k}.java").alias("file"), _filled(_TYPE).alias("content"))
-    return one.unionByName(c.where("k % 2 = 0").select(_filled("checks/test/t{n}/C{k}Test.java").alias("file"), _filled(_TEST).alias("content")))
+    one = c.select(_filled("app/lessons/l{n}/C{k}.java").alias("file"), _filled(JAVA_TYPE).alias("content"))
+    return one.unionByName(c.where("k % 2 = 0").select(_filled("checks/test/t{n}/C{k}Test.java").alias("file"), _filled(JAVA_TEST).alias("content")))
 
 
 _C = "c AS (SELECT c_custkey AS k, c_nationkey AS n, 'app/lessons/l' || c_nationkey || '/C' || c_custkey || '.java' AS file, 'checks/test/t' || c_nationkey || '/C' || c_custkey || 'Test.java' AS test_file FROM customer)"
@@ -301,7 +301,7 @@ def context_sections(spark: SparkSession, d: str) -> DataFrame:
     return x.select("candidate_id", F.array_join(F.transform("sections", lambda s: s["label"]), " ").alias("labels"), "budget_exceeded")
 
 
-_SKEL_SQL = " || chr(10) || ".join(_quote(_TYPE.split("\n")[k - 1]).replace("{k}", "' || k || '").replace("{n}", "' || n || '") for k in _SKELETON)
+_SKEL_SQL = " || chr(10) || ".join(_quote(JAVA_TYPE.split("\n")[k - 1]).replace("{k}", "' || k || '").replace("{n}", "' || n || '") for k in _SKELETON)
 
 
 @query(f"WITH {_C} SELECT file, md5({_SKEL_SQL}) AS skeleton FROM c")
