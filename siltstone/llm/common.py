@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import running  # noqa: F401
 from ..sources.scratch import delete, made, new_path, shared_dir, stored  # noqa: F401
 
 
@@ -26,25 +27,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
-    """df with, per entry of sums, the total of a value over all rows before this one in `order`.
-
-    Rows are range-sorted and stored; totals of the ranges (one row each) are summed, then the
-    rows of a range, so no task sees more than a range. order must tell rows apart. Values are
-    taken as they are (null counts as 0).
-    """
-    value = {k: F.col(v) if isinstance(v, str) else v for k, v in sums.items()}
-    part = fresh(df, "run_part")
-    d = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
-    zero = {k: F.coalesce(v, F.lit(0)) for k, v in value.items()}
-    totals = d.groupBy(part).agg(*[F.sum(v).alias(f"{k}_t") for k, v in zero.items()])
-    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    begin = totals.select(F.col(part), *[F.coalesce(F.sum(f"{k}_t").over(w), F.lit(0)).alias(f"{k}_b") for k in sums])
-    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.join(begin, part)
-    return out.select(*df.columns, *[(F.col(f"{k}_b") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in zero.items()])
-
-
 #: Names a row by its content, so that it can be found again.
 KEY = "_row_key"
 
