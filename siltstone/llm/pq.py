@@ -14,7 +14,8 @@ queries, so a list of a third of all vectors is many groups of bounded size.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, or
 have no label, link with nothing and are their own component; vectors of different lengths
-never link; repeated rows link with each other; a null vec_id never names a component; an
+never link; repeated rows link with each other; a null vec_id never names a component, but its
+row links like any other (a component without ids has a null component_id); an
 empty table gives an empty result; other columns play no part.
 """
 
@@ -118,7 +119,7 @@ def unit(vectors: pd.Series, width: int) -> np.ndarray:
 def entries(embeddings: DataFrame) -> DataFrame:
     """Rows with usable, the 128-bit key of label and vector, and what they are compared by."""
     v = F.col("embedding")
-    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull()
     e = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), sound.alias("usable"))
     return e.select("vec_id", "label", "v", "usable", F.when(F.col("usable"), F.xxhash64("label", "v")).alias("k1"), F.when(F.col("usable"), F.xxhash64("v", F.lit("second"), "label")).alias("k2"))
 
@@ -132,13 +133,15 @@ def fitted(vectors: DataFrame, n: int) -> tuple[Index, int]:
 
 
 def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their keys, entries (k1, k2, rep, n), and per entry and group its links: k1, rep, root, m).
+    """(rows with their keys, entries (k1, k2, rep, least, n), and per entry and group its links: k1, rep, root, m).
 
     m counts the vectors an entry links with, root is an entry that links lead to.
     """
     spark = embeddings.sparkSession
     rows = stored(entries(spread(embeddings)), "vectors")
-    reps = stored(rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "entries")
+    found = rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # Entries are numbered, so one without ids links like any other, and an id with two vectors is two.
+    reps = stored(found.withColumn("rep", F.monotonically_increasing_id()), "entries")
     n = reps.count()
     if not n:
         return rows, reps, spark.createDataFrame([], "k1 long, rep long, root long, m long")
@@ -197,7 +200,7 @@ def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
                 i, j = np.nonzero(np.sqrt(d) <= reach + error + SLACK)
                 q, e = at + i, len(queries) + j
                 # Each pair is met from both sides; it counts once.
-                once = (reps[q] < reps[e]) | (reps[q] == reps[e]) & (keys[q] < keys[e])
+                once = reps[q] < reps[e]
                 linked = once & (np.einsum("ij,ij->i", z[i], y[j]) >= cosine)
                 found.append((q[linked], e[linked]))
         if not any(len(q) for q, _ in found):
@@ -222,9 +225,12 @@ def links(embeddings: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of embeddings: vec_id, n_links, component_id, kept."""
     rows, reps, linked = links(embeddings, cosine)
-    many = linked.groupBy("k1", "rep").agg(F.sum("m").alias("m"))
+    many = linked.groupBy("rep").agg(F.sum("m").alias("m"))
     found = components(linked, "rep", "root").withColumnRenamed("node", "rep")
-    told = reps.select("k1", "k2", "rep", "n").join(many, ["k1", "rep"], "left").join(found, "rep", "left").select("k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = reps.select("k1", "k2", "rep", "least", "n").join(many, "rep", "left").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = stored(told, "joined")
+    first = stored(told.groupBy("component").agg(F.min("least").alias("component_id")), "first")
+    told = told.join(first, "component").select("k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
     told = stored(told, "told")  # plain shuffles on both sides of the join: a vector with many copies is split
     sound = rows.where("usable").select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

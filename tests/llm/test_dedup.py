@@ -206,6 +206,16 @@ def test_pq_against_brute_force(spark):
     assert pq.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_vectors_without_or_with_shared_ids(spark):
+    """Links go through rows without ids; an id with two vectors is two; a group without ids has no component_id."""
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0]
+    far = [0.0, 0.0, 1.0]
+    rows = [(7, turn(0.0), 1), (None, turn(0.15), 1), (3, turn(0.3), 1), (9, turn(1.5), 1), (9, far, 1), (None, turn(-2.0), 1), (None, turn(-2.05), 1), (4, turn(0.3), 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in pq.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(7, 1, 3, False), (None, 2, 3, False), (3, 1, 3, True), (9, 0, 9, True), (9, 0, 9, True), (None, 1, None, False), (None, 1, None, False), (4, 0, 4, True)], key=str)
+
+
 def test_anchors_by_slices(monkeypatch):
     """Every string has one anchor, wherever the slices are cut, and the anchor depends on the string alone."""
     rng = random.Random(6)
