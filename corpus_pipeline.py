@@ -48,7 +48,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
-#: A trained classifier and a tokenizer are no SQL; tests/llm/test_pipeline.py holds run() against a plain version of each stage.
+#: A trained classifier and a tokenizer are no SQL; tests/llm/test_pipeline.py holds each
+#: stage after the classifier against a plain version of it, and the classifier against labels of a held-out fold.
 ORACLE_SQL = None
 
 
