@@ -14,7 +14,8 @@ Of the nodes that meet in a band, each is first held against one, the hub. Links
 between components, so after that only pairs from different components are left to check:
 a large group around one text costs a number of pairs that grows with its size. Of the
 other pairs those whose sketches (SKETCH bits, a share of (1 - similarity) / 2 differs) are
-over 4.75 standard deviations from a similarity of 0.8 are left out, 1 in 10^6 wrongly.
+over 4.75 standard deviations from a similarity of 0.8 are left out, 1 in 10^6 wrongly; the
+rest is taken once, in the first band that both share.
 
 Defined cases: words are cut at ASCII space and A-Z are folded; a text of one to four words is
 one shingle; null and blank texts have the empty set and are one node that links to no other.
@@ -164,7 +165,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     hubs = stored(ranked.groupBy("band", "value").agg(F.max(F.struct("company", "fp"))["fp"].alias("hub")), "hubs")
     met = stored(ranked.join(hubs, ["band", "value"]).select("band", "value", "hub", "fp"), "members")
     some = met.select("fp").union(near.select("a")).union(near.select("b")).distinct()
-    texts = stored(rows.select("fp", "text").join(some, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    texts = stored(rows.select("fp", "text", "bands").join(some, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
     tried = met.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).union(near)
     edges = verified(tried.distinct(), texts)
     # What is in another component than its hub is held against the others that it meets.
@@ -174,11 +175,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     met = stored(met.select("band", "value", "fp", "component", (F.col("component") != F.col("main")).alias("apart")), "parted")
     open_ = met.groupBy("band", "value").agg(F.max("apart").alias("any")).where("any").drop("any")
     met = stored(met.join(stored(open_, "open"), ["band", "value"]), "left")
-    drawn = stored(spread(texts.join(met.select("fp").distinct(), "fp", "left_semi")).select("fp", sketches("text").alias("bits")), "sketches")
+    drawn = stored(spread(texts.join(met.select("fp").distinct(), "fp", "left_semi")).select("fp", sketches("text").alias("bits"), F.col("bands").alias("all")), "sketches")
     met = stored(met.join(drawn, "fp"), "sketched")
-    side = lambda fp, bits, of: met.select("band", "value", F.col("fp").alias(fp), F.col("bits").alias(bits), F.col("component").alias(of), F.col("apart").alias(f"{of}_apart"))
+    side = lambda fp, bits, of: met.select("band", "value", F.col("fp").alias(fp), F.col("bits").alias(bits), F.col("all").alias(f"{bits}_all"), F.col("component").alias(of), F.col("apart").alias(f"{of}_apart"))
     differ = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    both = side("b", "p", "c").where("c_apart").join(side("a", "q", "d"), ["band", "value"]).where((F.col("c") != F.col("d")) & (~F.col("d_apart") | (F.col("a") < F.col("b"))) & (differ <= DIFFER))
+    # Two nodes that are apart are so in every band that they share: they count in the first one.
+    before = F.exists(F.zip_with(F.slice("p_all", F.lit(1), F.col("band")), F.slice("q_all", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
+    both = side("b", "p", "c").where("c_apart").join(side("a", "q", "d"), ["band", "value"]).where((F.col("c") != F.col("d")) & (~F.col("d_apart") | (F.col("a") < F.col("b"))) & (differ <= DIFFER) & ~before)
     more = verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
     return rows.select(KEY, "doc_id", "fp").join(stored(_named(rows.select("fp").distinct(), edges.union(more)), "components"), "fp").select(KEY, "doc_id", "fp", "component")
 
