@@ -314,7 +314,9 @@ def _contexts(buckets: int):
         low = np.concatenate([place[cold] - last[cold], np.full(len(start), SIDE)]).astype(np.int64)
         high = np.concatenate([place[cold] - first[cold], np.full(len(start), SIDE)]).astype(np.int64)
         docs = np.concatenate([doc[cold], doc[single]])
-        mark = np.concatenate([_mark(_cut(window, pos[a:z], low[a:z], high[a:z]), low[a:z], high[a:z]) for a, z in _steps(len(pos))]) if len(pos) else np.zeros(0, np.uint64)
+        whole = _cut(window, pos, low, high) if len(pos) <= SLICE else None  # more of them are cut anew where they are needed
+        cut = lambda i: _cut(window, pos[i], low[i], high[i]) if whole is None else whole[i]
+        mark = np.concatenate([_mark(cut(slice(a, z)), low[a:z], high[a:z]) for a, z in _steps(len(pos))]) if len(pos) else np.zeros(0, np.uint64)
         # Of equal contexts one stands for all: that of the least document, at its first place. Marks only suggest which are equal.
         order = np.lexsort((pos, docs))
         _, which, inverse = np.unique(mark[order], return_index=True, return_inverse=True)
@@ -324,7 +326,7 @@ def _contexts(buckets: int):
         for a, z in _steps(len(other)):
             i, j = other[a:z], of[other[a:z]]
             same = (low[i] == low[j]) & (high[i] == high[j])
-            same &= (_cut(window, pos[i], low[i], high[i]) == _cut(window, pos[j], low[j], high[j])).all(1)
+            same &= (cut(i) == cut(j)).all(1)
             of[i] = np.where(same, j, i)
         covered = docs > docs[of]  # by a smaller document of this pack
         echo = ~covered & (of != np.arange(len(pos)))  # the same document says it again: its places stay here
@@ -336,7 +338,7 @@ def _contexts(buckets: int):
             again = [_planes((pos - high)[of[echo]]), _planes((pos - high)[echo]), (high - low + 1)[echo].astype(np.uint8)]
             out.append((-1 - int(pos[echo][0]) % buckets, name, -int(echo.sum()), _zip(np.concatenate([x.ravel() for x in again]))))
         send = np.flatnonzero(~covered & ~echo)
-        text, pos, low, high, docs = _cut(window, pos[send], low[send], high[send]), pos[send], low[send], high[send], docs[send]
+        text, pos, low, high, docs = cut(send), pos[send], low[send], high[send], docs[send]
         n_cold = int(np.searchsorted(send, len(cold)))
         code = np.concatenate([h[cold][send[:n_cold]], _string_hash(text[n_cold:])])
         bucket = _dealt(code, buckets)
@@ -461,11 +463,8 @@ def _remove(texts: bool):
     def run(key: tuple, packs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         p = Texts(packs.iloc[0])
         n = len(p.bytes)
-        change = np.zeros(n + 1, np.int32)
-        for x in spans["spans"].dropna():
-            s = _unzip(x, "<i8").reshape(-1, 2)
-            np.add.at(change, s[:, 0], 1)
-            np.add.at(change, s[:, 1] - LENGTH + 1, -1)
+        s = np.concatenate([np.zeros((0, 2), "<i8"), *[_unzip(x, "<i8").reshape(-1, 2) for x in spans["spans"].dropna()]])
+        change = np.bincount(s[:, 0], minlength=n + 1) - np.bincount(s[:, 1] - LENGTH + 1, minlength=n + 1)
         starts = np.cumsum(change[:n]) > 0  # of strings that a smaller document has
         again = np.zeros(n, bool)
         for x in spans["echo"].dropna():
@@ -475,8 +474,8 @@ def _remove(texts: bool):
             for j in range(int(many.max())):
                 more = many > j
                 again[to[more] + j] |= starts[of[more] + j]
-        before = np.append(0, np.cumsum(starts | again))
-        gone = before[1:] > before[np.maximum(np.arange(n) - LENGTH + 1, 0)]
+        so_far = np.cumsum(starts | again, dtype=np.int64)
+        gone = so_far > np.concatenate([np.zeros(min(n, LENGTH), np.int64), so_far[:-LENGTH]])
         out, a = [], 0
         for doc_id, known, z in zip(p.ids.tolist(), p.known.tolist(), p.ends.tolist(), strict=True):
             g = gone[a:z]
