@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -47,14 +47,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class Pieces(dict):
-    """ids of a piece; those that were not met yet are encoded."""
+class Remembered(dict):
+    """ids of pieces; those that were not met yet are encoded. Holds REMEMBERED short pieces at most."""
 
-    def __init__(self, encode):
+    def __init__(self, encode: Callable[[str], Iterable[int]]):
         self.encode = encode
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
+        ids = tuple(self.encode(piece))
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -88,7 +88,7 @@ class ByteBPE:
             self.longest.add_word(token[::-1].decode("latin-1"), rank)
         self.longest.make_automaton()
         self.cut = regex.compile(pattern)
-        self.pieces = Pieces(self.piece)
+        self.pieces = Remembered(lambda piece: self.piece(piece.encode("utf-8", "surrogatepass")))
 
     def _merged_of(self, token: bytes, rank: int) -> tuple[int, int]:
         for k in range(1, len(token)):

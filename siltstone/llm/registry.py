@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_alignment
 from .byte_bpe import op11_byte_bpe
 from .chat import OP8_SQL, op8_chat
 from .mixing import OP7_SQL, op7_mixing
@@ -21,7 +22,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_warc, op3_suffixes, op4_pq, op5_toxicity, op6_telephony, op7_mixing, op8_chat, op9_simhash, op10_packing, op11_byte_bpe, op12_negatives]
+    found = [op1_pii, op2_warc, op3_suffixes, op4_pq, op5_toxicity, op6_telephony, op7_mixing, op8_chat, op9_simhash, op10_packing, op11_byte_bpe, op12_negatives, op13_alignment]
     return {f.__name__: f for f in found}
 
 
