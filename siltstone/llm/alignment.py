@@ -26,9 +26,9 @@ worked on whole, in one task.
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .byte_bpe import ByteBPE, Remembered
 from .common import fresh, spread, stored, table
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -70,44 +69,35 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
-        import regex
         import sentencepiece
+        import tiktoken
 
         with open(a_path, encoding="utf-8") as f:
             known = json.load(f)
         special = {t["content"] for t in known["added_tokens"]}
         back = bytes_of()
+        # Ids of byte-level BPE are in the order of its merges, so they are the ranks.
         ranks = {bytes(back[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
-        self.a = ByteBPE(ranks, public_tokenizers.PATTERN)
-        self.a_bytes = [t or b"" for t in self.a.raw]
-        model = self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        pieces = [model.id_to_piece(i) for i in range(len(model))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # If no piece holds a space behind another character, words with the spaces before them are encoded by themselves.
-        self.by_words = not any(regex.search("[^▁]▁", p) for p in pieces)
-        self.words = regex.compile(" +[^ ]*")
-        space = model.piece_to_id("▁")
-        self.remembered = Remembered(lambda w: model.encode(w[1:]) if len(w) > 1 else [space])
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.a_bytes[i] = t
+        pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         #: Decimal ids with what may follow them: another of the group, the other vocabulary, the next group.
         n, m = range(len(self.a_bytes)), range(len(self.b_bytes))
         self.shown = [f"{i}," for i in n] + [f"{i}|" for i in n] + [f"{i}," for i in m] + [f"{i};" for i in m]
 
-    def __call__(self, text: str | None) -> tuple[array, array]:
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
         """ids of A and B; none if they don't spell the text behind a space."""
-        a, b = array("i"), array("i")
-        if text:
-            whole = " " + text
-            a.extend(self.a.encode(whole))
-            if self.by_words:
-                for w in self.words.findall(whole):
-                    b.extend(self.remembered[w])
-            else:
-                b.extend(self.model.encode(text))
-            spelt = whole.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.b_bytes.__getitem__, b)) != spelt or b"".join(map(self.a_bytes.__getitem__, a)) != spelt:
-                return array("i"), array("i")
-        return a, b
+        if not text:
+            return [], []
+        whole = " " + text
+        a, b, spelt = self.a.encode_ordinary(whole), self.b.encode(text), whole.encode("utf-8", "surrogatepass")
+        sound = b"".join(map(self.a_bytes.__getitem__, a)) == spelt == b"".join(map(self.b_bytes.__getitem__, b))
+        return (a, b) if sound else ([], [])
 
 
 @cache
@@ -156,7 +146,7 @@ def pack(texts: list[str | None], encode: Both, db) -> dict[str, pa.Array]:
     """Columns of MADE for the texts of a pack; its pairs are in the first row."""
     tokens = [encode(t) for t in texts]
     n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-    a, b = (np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(t[k], np.int32) for t in tokens]]) for k in (0, 1))
+    a, b = (np.array(list(chain.from_iterable(t[k] for t in tokens)), np.int32) for k in (0, 1))
     a_size = encode.a_size[a]
     a_end, b_end = np.cumsum(a_size), np.cumsum(encode.b_size[b])
     a_group, b_group, links = overlaps(db, np.repeat(np.arange(len(texts)), n_a), a, a_end, a_size, b, b_end)

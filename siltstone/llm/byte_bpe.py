@@ -24,7 +24,6 @@ import base64
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from .common import fresh, spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most pieces and borders that a worker remembers, and the longest piece (in characters).
-REMEMBERED, LONGEST_PIECE = 200_000, 64
+REMEMBERED, LONGEST_PIECE = 400_000, 64
 #: Texts longer than this (characters) are cut into pieces one by one; batches are returned by about GROUP bytes.
 STREAMED, GROUP = 1 << 20, 1 << 23
 
@@ -48,13 +47,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Remembered(dict):
-    """ids of pieces; those that were not met yet are encoded. Holds REMEMBERED short pieces at most."""
+    """ids of pieces, as the bytes of an array; those that were not met yet are encoded. Holds REMEMBERED short pieces at most."""
 
     def __init__(self, encode: Callable[[str], Iterable[int]]):
         self.encode = encode
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(piece))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.encode(piece)).tobytes()
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -128,25 +127,34 @@ class ByteBPE:
         for end, token in self.longest.iter(b[::-1].decode("latin-1")):  # of one end the longest comes first
             if longest[n - 1 - end] < 0:
                 longest[n - 1 - end] = token
-        out: list[int] = []
+        shorter, known = self.shorter, self.borders.get
+        token = longest[0]
+        out = [token]
         left = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at = size[token]
         while at < n:
-            if not left[at + size[token]] and (not out or self.holds(out[-1], token)):
-                out.append(token)
-                at += size[token]
-                token = longest[at] if at < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
-            else:
+            last, token = out[-1], longest[at]
+            while token >= 0 and (left[at + size[token]] or not (self.holds(last, token) if (held := known((last, token))) is None else held)):
+                token = shorter[token]
+            # Nothing follows `last`: the place is left, and so is each token before that has no shorter one that goes on.
+            while token < 0:
                 left[at] = 1
                 token = out.pop()
                 at -= size[token]
+                token = shorter[token]
+                while token >= 0 and (left[at + size[token]] or out and not self.holds(out[-1], token)):
+                    token = shorter[token]
+            out.append(token)
+            at += size[token]
         return out
 
-    def encode(self, text: str) -> Iterable[int]:
+    def packed(self, text: str) -> bytes:
+        """ids as the bytes of an array of ints."""
         found = self.cut.findall(text) if len(text) <= STREAMED else (m.group() for m in self.cut.finditer(text))
-        return chain.from_iterable(map(self.pieces.__getitem__, found))
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes | None:
         try:
@@ -178,11 +186,9 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for i, j in slices(pc.binary_length(texts)):
-                ids, ends = array("i"), [0]
-                for t in texts.slice(i, j - i):
-                    ids.extend(bpe.encode(t.as_py() or ""))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32), pa.int32()))
+                ids = [bpe.packed(t or "") for t in texts.slice(i, j - i).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32()))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=schema.names)
 

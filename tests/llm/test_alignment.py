@@ -12,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from siltstone.llm import alignment
-from siltstone.llm.alignment import Both, aligned, both, bytes_of, op13_alignment, pack, pair_counts
+from siltstone.llm.alignment import aligned, both, bytes_of, op13_alignment, pack, pair_counts
 
 from .test_sql import CASES, FOLDER, written
 
@@ -93,20 +93,12 @@ def test_whole_table(spark, libraries):
     assert packs.columns[:2] == ["lang", "pack"]
 
 
-def test_remembered_words_are_the_tokenizers(libraries):
+def test_encoders_are_the_tokenizers(libraries):
     rng, encode = random.Random(8), both()
     some = ["a", "the", "ing", " ", "  ", "   ", "\n", "\t", "é", "中", "本", "1", "!", "😀", "\xa0", "　", "<s>", "</s>", "<|endoftext|>", "'s", "\x00", "ﬁ", "Å"]
     for _ in range(3000):
         text = "".join(rng.choice(some) for _ in range(rng.randint(1, 12)))
-        a, b = encode(text)
-        assert a.tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids and b.tolist() == libraries[1].encode(text), text
-
-
-def test_model_with_spaces_inside_pieces(libraries, monkeypatch):
-    """Such a model gets whole texts."""
-    encode = Both(public_tokenizers.path(alignment.A_VOCABULARY), public_tokenizers.path(alignment.B_VOCABULARY))
-    encode.by_words = False
-    assert encode("two words")[1].tolist() == libraries[1].encode("two words")
+        assert encode(text) == (libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)), text
 
 
 def test_pack_of_nothing():
