@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from siltstone.plans import join_queries  # noqa: F401
 from siltstone.plans import queries as tables  # noqa: F401
 from siltstone.plans import registry as queries
 from siltstone.plans import source_queries  # noqa: F401
