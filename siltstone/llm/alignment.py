@@ -5,8 +5,8 @@ which adds that space itself. Where the joined bytes of both are that space and
 tokens of both cover the same bytes. In a task, DuckDB holds the tokens of a pack of texts as
 interval tables on one axis of bytes:
 
-* a full join on the ends tells the cuts, where tokens of both end; a window sum of them over
-  the axis numbers the groups between two cuts;
+* a full join on the ends tells the cuts, where tokens of both end; a window that counts them
+  along the axis numbers the groups between two cuts;
 * every end is the end of one overlap of an A and a B token. At a cut both are known. An end
   of A alone lies in the B token with the nearest end behind it (ASOF join), an end of B alone
   in the A token whose range holds it (range join).
@@ -28,7 +28,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +42,24 @@ from .common import fresh, spread, stored, table
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a pack's texts, and A tokens of a slice.
 PACK, SLICE = 1 << 22, 1 << 19
+#: Words of B that a worker remembers, and what stands for one that its tokens don't spell.
+WORDS, MISSPELT = 200_000, -1
 MADE = "n_a long, n_b long, n_groups long, n_links long, groups string, keys array<int>, times array<int>, pairs array<struct<a: int, b: int, n: bigint>>"
 
-#: The tokens of a slice: ta (d, i, s, e) and tb (i, e), with document, id, start and end. All ends, with the ids of the tokens that end there.
-ENDS = "SELECT coalesce(x.e, y.e) AS e, x.i AS a, y.i AS b, x.d, x.s FROM ta x FULL JOIN tb y ON x.e = y.e"
-GROUPS = "SELECT *, CAST(sum(cut) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cut AS INTEGER) AS g FROM (SELECT *, CAST(a IS NOT NULL AND b IS NOT NULL AS INTEGER) AS cut FROM ends)"
-ODD = "SELECT * FROM tokens WHERE cut = 0"
+#: The tokens of a slice: ta (d, i, e) and tb (i, e), with document, id and end. All ends in order, with the ids of the tokens that end there
+#: (d: of A's) and the group: the cuts up to here, this one left out.
+TOKENS = """
+SELECT e, a, b, d, CAST(count(a + b) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) - CAST(a IS NOT NULL AND b IS NOT NULL AS INTEGER) AS g
+FROM (SELECT coalesce(x.e, y.e) AS e, x.i AS a, y.i AS b, x.d FROM ta x FULL JOIN tb y ON x.e = y.e)"""
+ODD = "SELECT * FROM tokens WHERE a IS NULL OR b IS NULL"
+#: Groups with an end of one vocabulary alone, and their tokens of A with their starts (or the last end before, of such a group; none of those ends is between).
 NEAR = "SELECT * FROM tokens SEMI JOIN odd USING (g)"
+RANGES = "SELECT *, lag(e, 1, -1) OVER (ORDER BY e) AS s FROM near WHERE a IS NOT NULL"
 LINKS = """
 SELECT d, a, b, CAST(count(*) AS INTEGER) AS n FROM (
-  SELECT d, a, b FROM tokens WHERE cut = 1
+  SELECT d, a, b FROM tokens WHERE a IS NOT NULL AND b IS NOT NULL
   UNION ALL SELECT o.d, o.a, n.b FROM (SELECT * FROM odd WHERE b IS NULL) o ASOF JOIN (SELECT * FROM near WHERE b IS NOT NULL) n ON o.e <= n.e
-  UNION ALL SELECT n.d, n.a, o.b FROM (SELECT * FROM odd WHERE a IS NULL) o JOIN (SELECT * FROM near WHERE a IS NOT NULL) n ON n.s < o.e AND o.e < n.e)
+  UNION ALL SELECT n.d, n.a, o.b FROM (SELECT * FROM odd WHERE a IS NULL) o JOIN ranges n ON n.s < o.e AND o.e < n.e)
 GROUP BY ALL"""
 
 
@@ -69,6 +74,7 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
+        import regex
         import sentencepiece
         import tiktoken
 
@@ -80,24 +86,47 @@ class Both:
         ranks = {bytes(back[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes = [b""] * (max(ranks.values()) + 1)
-        for t, i in ranks.items():
-            self.a_bytes[i] = t
+        self.none = np.zeros(0, np.int32)
+        self.a_size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.a_size[list(ranks.values())] = [len(t) for t in ranks]
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
+        # If no piece holds a space behind another character, words with the spaces before them are encoded by themselves.
+        self.by_words = not any(regex.search("[^▁]▁", p) for p in pieces)
+        self.cut, self.space, self.remembered = regex.compile(" +[^ ]*"), self.b.piece_to_id("▁"), {}
         #: Decimal ids with what may follow them: another of the group, the other vocabulary, the next group.
-        n, m = range(len(self.a_bytes)), range(len(self.b_bytes))
+        n, m = range(len(self.a_size)), range(len(self.b_size))
         self.shown = [f"{i}," for i in n] + [f"{i}|" for i in n] + [f"{i}," for i in m] + [f"{i};" for i in m]
 
-    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+    def words_of(self, whole: str) -> bytes:
+        """ids of B of a text, the space before it included, as the bytes of an array. New words are encoded together and remembered."""
+        words = self.cut.findall(whole)
+        if len(self.remembered) > WORDS:
+            self.remembered.clear()
+        new = [w for w in {*words} if w not in self.remembered]
+        if new:
+            for w, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1), strict=True):
+                ids = ids if len(w) > 1 else [self.space]
+                self.remembered[w] = self.spelling(w, ids)
+        return b"".join(map(self.remembered.__getitem__, words))
+
+    def spelling(self, whole: str, ids: list[int]) -> bytes:
+        """ids of B as bytes, or a mark if they don't spell the text."""
+        sound = b"".join(map(self.b_bytes.__getitem__, ids)) == whole.encode("utf-8", "surrogatepass")
+        return np.array(ids if sound else [MISSPELT], np.int32).tobytes()
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """ids of A and B; none if they don't spell the text behind a space."""
         if not text:
-            return [], []
+            return self.none, self.none
         whole = " " + text
-        a, b, spelt = self.a.encode_ordinary(whole), self.b.encode(text), whole.encode("utf-8", "surrogatepass")
-        sound = b"".join(map(self.a_bytes.__getitem__, a)) == spelt == b"".join(map(self.b_bytes.__getitem__, b))
-        return (a, b) if sound else ([], [])
+        b = np.frombuffer(self.words_of(whole) if self.by_words else self.spelling(whole, self.b.encode(text)), np.int32)
+        a = self.a.encode_to_numpy(whole, disallowed_special=()).astype(np.int32)
+        # Words of B are spelt by their tokens, and bytes of A are never changed; together they must be as long as the text.
+        n = len(whole.encode("utf-8", "surrogatepass"))
+        sound = b.min() >= 0 and self.a_size[a].sum() == n == self.b_size[b].sum()
+        return (a, b) if sound else (self.none, self.none)
 
 
 @cache
@@ -124,15 +153,15 @@ def slices(a_end: np.ndarray, b_end: np.ndarray) -> Iterator[tuple[slice, slice]
         i, j = ni, nj
 
 
-def overlaps(db, doc: np.ndarray, a: np.ndarray, a_end: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+def overlaps(db, doc: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Group of each A token and of each B token, and the links: d, a, b, and how often (n)."""
     a_group, b_group, links, groups = [], [], [], 0
     for x, y in slices(a_end, b_end):
-        begin = a_end[x.start] - a_size[x.start]
+        begin = a_end[x.start - 1] if x.start else 0
         small = lambda v, off=0: pa.array((v - off).astype(np.int32))
-        db.register("ta", pa.table({"d": small(doc[x]), "i": small(a[x]), "s": small(a_end[x] - a_size[x], begin), "e": small(a_end[x], begin)}))
+        db.register("ta", pa.table({"d": small(doc[x]), "i": small(a[x]), "e": small(a_end[x], begin)}))
         db.register("tb", pa.table({"i": small(b[y]), "e": small(b_end[y], begin)}))
-        for name, sql in (("ends", ENDS), ("tokens", GROUPS), ("odd", ODD), ("near", NEAR)):
+        for name, sql in (("tokens", TOKENS), ("odd", ODD), ("near", NEAR), ("ranges", RANGES)):
             db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS {sql}")
         links.append(db.execute(LINKS).fetchnumpy())
         for group, side in ((a_group, "a"), (b_group, "b")):
@@ -146,17 +175,16 @@ def pack(texts: list[str | None], encode: Both, db) -> dict[str, pa.Array]:
     """Columns of MADE for the texts of a pack; its pairs are in the first row."""
     tokens = [encode(t) for t in texts]
     n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-    a, b = (np.array(list(chain.from_iterable(t[k] for t in tokens)), np.int32) for k in (0, 1))
-    a_size = encode.a_size[a]
-    a_end, b_end = np.cumsum(a_size), np.cumsum(encode.b_size[b])
-    a_group, b_group, links = overlaps(db, np.repeat(np.arange(len(texts)), n_a), a, a_end, a_size, b, b_end)
+    a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
+    a_end, b_end = np.cumsum(encode.a_size[a]), np.cumsum(encode.b_size[b])
+    a_group, b_group, links = overlaps(db, np.repeat(np.arange(len(texts)), n_a), a, a_end, b, b_end)
 
     # The tokens of both, group by group.
     last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
     order = np.empty(len(a) + len(b), np.int64)
-    many = len(encode.a_bytes)
+    many = len(encode.a_size)
     order[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + many * last(a_group)
-    order[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 2 * many + b + len(encode.b_bytes) * last(b_group)
+    order[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 2 * many + b + len(encode.b_size) * last(b_group)
     cuts = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
     groups = ["".join(map(encode.shown.__getitem__, order[x:y].tolist()))[:-1] for x, y in zip(cuts, cuts[1:], strict=False)]
     a_cuts = np.cumsum(n_a)

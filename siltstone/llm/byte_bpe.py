@@ -72,6 +72,7 @@ class ByteBPE:
         self.raw: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.raw[rank] = token
+        self.bytes = pa.array(self.raw, pa.binary())
         #: By id: length, longest shorter token that it begins with, the two it was merged of (none: a byte).
         self.size = [len(t or b"") for t in self.raw]
         self.shorter = [-1] * len(self.raw)
@@ -162,6 +163,17 @@ class ByteBPE:
         except KeyError:  # a null or unknown id
             return None
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list: tokens are taken from the vocabulary one behind the other, and cut where lists end."""
+        flat, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        known = flat.null_count == 0 and (not len(flat) or 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(self.raw))
+        taken = pc.take(self.bytes, flat) if known else None
+        if taken is None or taken.null_count:
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.binary())
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(flat) + 1][np.concatenate(([0], np.cumsum(n)))]
+        whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), taken.buffers()[2]])
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary())) if lists.null_count else whole
+
 
 @cache
 def codec(path: str | None = None) -> ByteBPE:
@@ -204,8 +216,7 @@ def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             for i, j in slices(pc.multiply(pc.list_value_length(lists), 4)):
-                got = [None if not x.is_valid else bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if not x.values.null_count else x.as_py()) for x in lists.slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(got, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, bpe.decode_lists(lists.slice(i, j - i))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -1,16 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams of a text in lower case (A-Z), present or not, hashed to 2^20
-numbers. From the training rows every feature gets its naive Bayes log-count ratio; the
-features that tell the classes apart best (by chi-square) are kept, and a logistic
-regression is fitted over them, each scaled by its ratio.
+Features are the byte n-grams of a text in lower case (A-Z), hashed to 2^20 numbers, on
+levels: that it occurs at least once, twice, four times. From the training rows every feature
+gets its naive Bayes log-count ratio. Those that occur in LEAST_ROWS rows and tell the
+classes apart beyond chance (chi-square of SIGNIFICANT, one in a thousand) are kept, however
+many they are, and a logistic regression with an L1 penalty is fitted over them, each scaled
+by its ratio. The penalty is that of PENALTIES with the least loss on a fold of the training rows.
 
 The fit is on a bounded sample: at most TRAIN_ROWS labelled documents, those with the least
-md5 of their doc_id, a text each (of a doc_id with several the least). Of their n-grams those
-in fewer than LEAST_ROWS of these documents are left out, and of the rest the FEATURES with the
-highest chi-square are kept: a document whose toxic words are all rarer than these is not
-found (README has held-out figures for several values). Scores cover whole texts of all rows.
-Weights are one array of 2^20 numbers, so what is broadcast is bounded.
+md5 of their doc_id, a text each (of a doc_id with several the least). Scores cover whole texts
+of all rows. What is broadcast is a number per hash and a weight per kept n-gram and level.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept;
 a doc_id with several labels is toxic if any says so; null labels are no labels; without
@@ -29,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import fresh, spread, stored, table
 
-SIZES = (3, 4, 5)
+SIZES = (3, 5, 7)
+#: Occurrences from which on a level of an n-gram is a feature.
+LEVELS = (1, 2, 4)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES, LEAST_ROWS = 2048, 3
+SIGNIFICANT, LEAST_ROWS = 10.83, 3
 FOLDS = 5
 SMOOTHING = 1.0
-PENALTY, STEPS, RATE = 1e-3, 400, 0.05
+PENALTIES, STEPS = (2.5e-4, 5e-4, 1e-3), 100
 #: Bytes that are hashed at a time; a batch of longer texts is cut into such groups.
 GROUP = 1 << 20
 
@@ -45,7 +46,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def grams(texts: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct wanted n-grams of each text. wanted: number by hash, or -1."""
+    """(text, feature) of the wanted n-grams of each text, a feature per level: number * len(LEVELS) + level. wanted: number by hash, or -1."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     whole = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8).astype(np.uint32)
     found = []
@@ -60,8 +61,12 @@ def grams(texts: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
             found.append(row[inside].astype(np.int64) << 32 | f[at[inside]])
         if len(h) <= 1:
             break
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    pairs, many = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    on = [many >= least for least in LEVELS]
+    row = np.concatenate([pairs[x] >> 32 for x in on])
+    feature = np.concatenate([(pairs[x] & 0xFFFFFFFF) * len(LEVELS) + level for level, x in enumerate(on)])
+    order = np.argsort(row, kind="stable")
+    return row[order], feature[order]
 
 
 def grouped(texts: Iterable) -> Iterator[list[bytes]]:
@@ -87,67 +92,111 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    every = np.arange(1 << BITS, dtype=np.int32)
-    n = np.zeros((2, 1 << BITS), np.int64)
+    every, size = np.arange(1 << BITS, dtype=np.int32), len(LEVELS) << BITS
+    n = np.zeros((2, size), np.int64)
     for batch in batches:
         toxic, at = batch["toxic"].to_numpy(), 0
         for group in grouped(batch["text"]):
             row, feature = grams(group, every)
             kind = toxic[at + row]
             for c in (0, 1):
-                n[c] += np.bincount(feature[kind == c], minlength=1 << BITS)
+                n[c] += np.bincount(feature[kind == c], minlength=size)
             at += len(group)
     f = np.flatnonzero(n.sum(axis=0))
     yield pd.DataFrame({"feature": f, "clean": n[0, f], "toxic": n[1, f]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
-    """(number of each hash or -1, weight by number, intercept)."""
+def telling(train: DataFrame, clean: int, toxic: int) -> DataFrame:
+    """(feature, toxic, clean): features that tell the classes apart, with the training rows of each class that have them."""
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
+    chi = F.pow(a * d - b * c, 2) * (toxic + clean) / ((a + b) * F.greatest(F.lit(1.0), c + d) * toxic * clean)
+    counts = train.mapInPandas(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return counts.where((F.col("clean") + F.col("toxic") >= LEAST_ROWS) & (chi >= SIGNIFICANT)).select("feature", "toxic", "clean")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(number of each hash or -1, weight by number and level, intercept)."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     train = stored(training_rows(docs, labels, rows).repartition(cores), "training")
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     wanted = np.full(1 << BITS, -1, np.int32)
     if not clean or not toxic:
-        return wanted, np.zeros(1), np.inf if toxic else -np.inf
-    a, b = F.col("toxic"), F.col("clean")
-    c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
-    chi = F.pow(a * d - b * c, 2) / ((a + b) * (c + d + 1.0))
-    best = train.mapInPandas(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"clean + toxic >= {LEAST_ROWS}").select("feature", a, b, chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(features).collect()
-    p = np.array([r["toxic"] for r in best], float) + SMOOTHING
-    q = np.array([r["clean"] for r in best], float) + SMOOTHING
+        return wanted, np.zeros(len(LEVELS)), np.inf if toxic else -np.inf
+    best = telling(train, clean, toxic).orderBy("feature").toPandas()  # at most one row per hash and level, some thousands as a rule
+    feature = best["feature"].to_numpy(np.int64)
+    p, q = best["toxic"].to_numpy(float) + SMOOTHING, best["clean"].to_numpy(float) + SMOOTHING
     ratio = np.log(p / (toxic + 2 * SMOOTHING)) - np.log(q / (clean + 2 * SMOOTHING))
-    wanted[[r["feature"] for r in best]] = np.arange(len(best), dtype=np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    hashes = np.unique(feature // len(LEVELS))
+    wanted[hashes] = np.arange(len(hashes), dtype=np.int32)
+    # Levels of an n-gram that weren't kept have no column.
+    column = np.full(len(hashes) * len(LEVELS), -1, np.int64)
+    place = wanted[feature // len(LEVELS)].astype(np.int64) * len(LEVELS) + feature % len(LEVELS)
+    column[place] = np.arange(len(feature))
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, column))
 
     def rows_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, column = shared.value
         for batch in batches:
             toxic, at = batch["toxic"].to_numpy(), 0
             for group in grouped(batch["text"]):
-                row, feature = grams(group, shared.value)
+                row, feature = grams(group, wanted)
+                row, feature = row[column[feature] >= 0], column[feature][column[feature] >= 0]
                 cuts = np.searchsorted(row, np.arange(1, len(group)))
-                yield pd.DataFrame({"toxic": toxic[at : at + len(group)], "features": [x.tobytes() for x in np.split(feature.astype("<i2"), cuts)]})
+                yield pd.DataFrame({"toxic": toxic[at : at + len(group)], "features": [np.sort(x).astype("<i4").tobytes() for x in np.split(feature, cuts)]})
                 at += len(group)
 
-    got = train.mapInPandas(rows_of, "toxic int, features binary").toPandas()  # `rows` rows of FEATURES numbers at most
+    got = train.mapInPandas(rows_of, "toxic int, features binary").toPandas()  # `rows` rows of the kept features that each has
     got = got.sort_values(["toxic", "features"], kind="stable")  # the order of rows doesn't depend on partitions
-    each = [np.frombuffer(x, "<i2") for x in got["features"]]
+    each = [np.frombuffer(x, "<i4") for x in got["features"]]
     row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    col = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    return wanted, *logistic(row, col, got["toxic"].to_numpy(float), ratio)
-
-
-def logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (times ratio) and intercept by full gradient steps with moments; classes weigh alike in sum."""
-    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    scale = ratio[col]
-    w, m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
-    for k in range(1, STEPS + 1):
-        z = np.bincount(row, w[col] * scale, minlength=len(y)) + w[-1]
-        e = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(col, e[row] * scale, minlength=len(ratio)) + PENALTY * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+    col = np.concatenate(each).astype(np.int64)
+    w, intercept = chosen(row, col, got["toxic"].to_numpy(float), ratio)
+    weights = np.zeros(len(column))
+    weights[place] = w
+    return wanted, weights, intercept
+
+
+def chosen(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """The fit with the penalty that does best on every fourth row when fitted on the others; rows of a class follow each other."""
+    apart = np.arange(len(y)) % 4 == 3
+    losses = []
+    if 0 < (y[apart] > 0).sum() < apart.sum() and 0 < (y[~apart] > 0).sum() < (~apart).sum():
+        number = np.cumsum(~apart) - 1
+        own = ~apart[row]
+        for penalty in PENALTIES:
+            w, intercept = logistic(number[row[own]], col[own], y[~apart], ratio, penalty)
+            z = (np.bincount(row, w[col], minlength=len(y)) + intercept)[apart]
+            losses.append(float((balanced(y[apart]) * np.logaddexp(0, np.where(y[apart] > 0, -z, z))).sum()))
+    return logistic(row, col, y, ratio, PENALTIES[int(np.argmin(losses))] if losses else PENALTIES[len(PENALTIES) // 2])
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights of rows: both classes weigh alike in sum."""
+    return np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+
+
+def logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights (times ratio) and intercept: logistic loss of features scaled by ratio, with an L1 penalty, by accelerated proximal gradient steps."""
+    share, scale, n = balanced(y), ratio[col], len(ratio)
+    margin = lambda w: np.bincount(row, w[col] * scale, minlength=len(y)) + w[-1]
+    loss = lambda z: (share * np.logaddexp(0, np.where(y > 0, -z, z))).sum()
+    w = ahead = np.zeros(n + 1)
+    t = curve = 1.0
+    for _ in range(STEPS):
+        z = margin(ahead)
+        e = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        slope, here = np.append(np.bincount(col, e[row] * scale, minlength=n), e.sum()), loss(z)
+        while True:  # until the step is short enough for the curvature
+            new = ahead - slope / curve
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - penalty / curve, 0)
+            step = new - ahead
+            if loss(margin(new)) <= here + slope @ step + curve / 2 * (step @ step) + 1e-12:
+                break
+            curve *= 2
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        w, ahead, t, curve = new, new + (t - 1) / later * (new - w), later, curve * 0.9
     return w[:-1] * ratio, float(w[-1])
 
 
@@ -163,7 +212,8 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float], spark: SparkSession) ->
                 row, feature = grams(group, wanted)
                 z.append(np.bincount(row, weights[feature], minlength=len(group)) + intercept)
             z = np.concatenate(z) if z else np.zeros(0)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            with np.errstate(over="ignore"):
+                yield pd.Series(1 / (1 + np.exp(-z)))
 
     return score
 
