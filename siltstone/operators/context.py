@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from ..functions.text import head, line_range, lines_of
+from ..sources.scratch import stored
+from .order import running
 from .recon import first_few
-from .symbols import callees, callers, related_tests
+from .symbols import at_line, callees, callers, related_tests
 
 BUDGET = 32_000
 LEAST_ROOM, MARGIN, MARK = 200, 50, "\n... [truncated to fit budget]"
@@ -22,25 +27,47 @@ SECTION = "struct<label:string,file:string,start_line:int,end_line:int,content:s
 
 
 def fit(sections: Column, budget: int = BUDGET, room: int = LEAST_ROOM) -> Column:
-    """struct(sections, chars, exceeded) of an ordered array of sections.
+    """struct(taken, chars, exceeded) of an ordered array of sections with their lengths n.
 
     Each is taken whole, cut to what is left, or skipped if too little is left; a skipped
-    one doesn't end the fold, a later short one may still fit.
+    one doesn't end the fold, a later short one may still fit. taken: tid and keep, the
+    characters of the text that stay (all n, or fewer before a mark), with nth, its place.
     """
-    start = F.struct(F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit(0).alias("chars"), F.lit(False).alias("exceeded"))
+    start = F.struct(F.array().cast("array<struct<nth:int,tid:string,label:string,file:string,start_line:int,end_line:int,n:int,keep:int>>").alias("taken"), F.lit(0).alias("chars"), F.lit(False).alias("exceeded"))
 
     def step(s: Column, x: Column) -> Column:
         left = F.lit(budget) - s["chars"]
-        fits = F.length(x["content"]) <= left
-        cut = F.concat(F.substring(x["content"], F.lit(1), left - MARGIN), F.lit(MARK))
-        content = F.when(fits, x["content"]).otherwise(cut)
+        fits = x["n"] <= left
         skip = ~fits & (left < room)
-        taken = F.struct(x["label"].alias("label"), x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), content.alias("content"))
-        return F.struct(F.when(skip, s["sections"]).otherwise(F.concat(s["sections"], F.array(taken))).alias("sections"), (s["chars"] + F.when(skip, 0).otherwise(F.length(content))).alias("chars"), (s["exceeded"] | skip).alias("exceeded"))
+        keep = F.when(fits, x["n"]).otherwise(F.greatest(F.lit(0), left - MARGIN)).cast("int")
+        one = F.struct(F.size(s["taken"]).alias("nth"), x["tid"].alias("tid"), x["label"].alias("label"), x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["n"].alias("n"), keep.alias("keep"))
+        used = F.when(skip, 0).when(fits, x["n"]).otherwise(keep + len(MARK))
+        return F.struct(F.when(skip, s["taken"]).otherwise(F.concat(s["taken"], F.array(one))).alias("taken"), (s["chars"] + used).cast("int").alias("chars"), (s["exceeded"] | skip).alias("exceeded"))
 
     return F.aggregate(sections, start, step)
 
 
+def within_budget(rows: DataFrame, key: list[str], order: list[str], n: str = "n", budget: int = BUDGET, room: int = LEAST_ROOM) -> DataFrame:
+    """The rows of each key that a fold over them, in order, can take or must know of, whatever was taken before.
+
+    Rows that begin within the budget stay. Behind the first that doesn't fit less than `room`
+    is left (it was skipped for that, or cut), so of the rows behind the budget only shorter
+    ones can be taken: of a length l the first (room - 1) / l, as greed takes equal lengths in
+    order. One more of each length, and one long row, stay to be skipped, so that the fold
+    says the budget was exceeded. What is kept per key is bounded by budget and room; no key's
+    rows meet in one task (prefix sums over ranges, ranks that are cut before the shuffle).
+    """
+    by, places = [*key, n], [*key, *order]
+    r = running(rows.where(F.col(n) > 0), places, {"wb_before": n})
+    first = r.groupBy(*key).agg(F.min("wb_before").alias("wb_first"))
+    r = stored(r.join(first, key).withColumn("wb_at", F.col("wb_before") - F.col("wb_first")).drop("wb_before", "wb_first"), "within")
+    near, far = r.where(F.col("wb_at") <= budget), r.where(F.col("wb_at") > budget)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    short = far.where(F.col(n) < room).withColumn("wb_nth", nth).where(F.col("wb_nth") <= room).where(F.col("wb_nth") <= F.floor((room - 1) / F.col(n)) + 1).drop("wb_nth")
+    long = far.where(F.col(n) >= room).withColumn("wb_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("wb_nth = 1").drop("wb_nth")
+    return near.unionByName(short).unionByName(long).drop("wb_at")
+
+
 def prompt_text(sections: Column) -> Column:
     """All sections as one text, each under its label and place."""
 
@@ -82,24 +109,22 @@ def skeletons(classes: DataFrame, files: DataFrame) -> DataFrame:
     return d.join(files.select("file", lines_of(F.col("content")).alias("lines")), "file").mapInPandas(run, "file string, class_ord int, skeleton string")
 
 
-def _section(label: Column, file: Column, first: Column, last: Column, content: Column) -> Column:
-    return F.struct(label.alias("label"), file.alias("file"), first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), content.alias("content"))
-
-
-def method_text(lines: Column, first: Column, last: Column, annotations: Column, visibility: Column, returned: Column, name: Column, parameters: Column) -> Column:
-    """Lines of a method; where its file has none of them, what the index knows of it."""
+def method_text(code: Column, annotations: Column, visibility: Column, returned: Column, name: Column, parameters: Column) -> Column:
+    """A method's lines; where its file has none of them, what the index knows of it."""
     marks = F.when(F.size(annotations) > 0, F.concat(F.array_join(F.transform(annotations, lambda a: a["raw"]), " "), F.lit("\n"))).otherwise("")
     known = F.concat(F.lit("// [source file unavailable on disk]\n"), marks, visibility, F.lit(" "), returned, F.lit(" "), name, F.lit("("), parameters, F.lit(") { /* ... */ }"))
-    code = F.coalesce(line_range(lines, first, last), F.lit(""))
-    return F.when(code != "", code).otherwise(known)
+    return F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(known)
 
 
-def _code(rows: DataFrame, texts: DataFrame, ms: DataFrame, file: str = "m_file") -> DataFrame:
-    """rows (a method each: m_class, m_ord, m_from, m_to in `file`) with its code."""
-    t = texts.select(F.col("file").alias(file), "lines")
-    about = ms.select(F.col("file").alias(file), F.col("class_ord").alias("m_class"), F.col("method_ord").alias("m_ord"), F.struct("annotations", "visibility", "return_type", "name", "parameters").alias("about"))
-    code = method_text(F.col("lines"), F.col("m_from"), F.col("m_to"), *[F.col(f"about.{c}") for c in ("annotations", "visibility", "return_type", "name", "parameters")])
-    return rows.join(about, [file, "m_class", "m_ord"]).join(t, file, "left").withColumn("code", code).drop("lines", "about")
+def sliced(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tid, text) of spans (tid, file, first, last), each tid once: a file's spans are cut in one go, so its lines are read once."""
+    of_file = spans.groupBy("file").agg(F.collect_set(F.struct("tid", "first", "last")).alias("spans"))  # distinct ranges of one file
+    cut = F.transform("spans", lambda s: F.struct(s["tid"].alias("tid"), line_range(F.col("lines"), s["first"], s["last"]).alias("text")))
+    return of_file.join(texts, "file").select(F.inline(cut))
+
+
+def _tid(kind: str, *parts: Column | str) -> Column:
+    return F.concat_ws("|", F.lit(kind), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def assembled(candidates: DataFrame, files: DataFrame, classes: DataFrame, ms: DataFrame, edge: DataFrame, recon: DataFrame | None = None, budget: int = BUDGET, room: int = LEAST_ROOM) -> DataFrame:
@@ -109,63 +134,101 @@ def assembled(candidates: DataFrame, files: DataFrame, classes: DataFrame, ms: D
     skeleton, callers, callees, endpoints that lead here, endpoint data, architecture,
     configuration, tests. recon: one row with the text of an architecture summary per
     category (category, summary).
+
+    Two phases. Every text that some section may show is made once and stored with its length;
+    sections are names of texts. The budget is folded over lengths, and texts are fetched for
+    the sections that it takes. Callers depend on a method's name alone, so they are cut to
+    what a budget can take per name, before they meet the candidates in methods of that name.
     """
     texts = files.select("file", lines_of(F.col("content")).alias("lines"))
-    c = candidates.select("candidate_id", "file", "line", "category")
-    inside = ms.select(F.col("file").alias("m_file"), F.struct("class_ord", "method_ord", "name", "class_name", "start_line", "end_line", "endpoint").alias("m"))
-    here = (F.col("file") == F.col("m_file")) & F.col("line").between(F.col("m.start_line"), F.col("m.end_line"))
-    c = c.join(inside, here, "left").groupBy("candidate_id", "file", "line", "category").agg(F.min("m").alias("m"))
-    types = classes.select(F.col("file").alias("t_file"), F.struct("class_ord", "name", "start_line", "end_line").alias("t"))
+    methods_ = ms.select("file", "class_ord", "method_ord", F.struct("class_ord", "method_ord", F.col("name").alias("name"), "class_name", "start_line", "end_line", "endpoint").alias("m"), "start_line", "end_line").withColumnRenamed("m", "name")
+    types = classes.select("file", "class_ord", F.struct("class_ord", F.col("name").alias("name"), "start_line", "end_line").alias("t"), "start_line", "end_line").withColumnRenamed("t", "name")
+    c = at_line(candidates.select("candidate_id", "file", "line", "category"), methods_, "line", "m")
+    c = at_line(c, types, "line", "own_t", ("class_ord",))
     # The type at the line, else the first of the file.
-    c = c.join(types, F.col("file") == F.col("t_file"), "left").groupBy("candidate_id", "file", "line", "category", "m").agg(F.min(F.struct((~F.col("line").between(F.col("t.start_line"), F.col("t.end_line"))).alias("away"), "t")).alias("best"))
-    c = c.select("candidate_id", "file", "line", "category", "m", F.col("best.t").alias("t")).checkpoint()
-    none = F.lit(None)
-    parts = []
-
-    def add(order: int, d: DataFrame, sub: Column, section: Column) -> None:
-        parts.append(d.select("candidate_id", F.lit(order).alias("o"), sub.cast("string").alias("sub"), section.alias("section")))
-
-    own = c.join(texts, "file", "left")
-    region = F.col("m").isNull()
-    first = F.when(region, F.greatest(F.lit(1), F.col("line") - 10)).otherwise(F.col("m.start_line"))
-    last = F.when(region, F.least(F.size("lines"), F.col("line") + 20)).otherwise(F.col("m.end_line"))
-    add(0, own.where("line IS NOT NULL AND lines IS NOT NULL"), F.lit(""), _section(F.when(region, "code_region").otherwise("sink_function"), F.col("file"), first, last, line_range(F.col("lines"), first, last)))
-    bones = skeletons(classes, files)
-    add(1, c.where("t IS NOT NULL").join(bones.withColumnRenamed("file", "b_file"), (F.col("file") == F.col("b_file")) & (F.col("t.class_ord") == F.col("class_ord"))), F.lit(""), _section(F.concat(F.lit("class_skeleton_"), F.col("t.name")), F.col("file"), F.col("t.start_line"), F.col("t.end_line"), F.col("skeleton")))
+    first_type = types.groupBy("file").agg(F.min("name").alias("first_t"))
+    c = stored(c.join(first_type, "file", "left").withColumn("t", F.coalesce("own_t", "first_t")).drop("own_t", "first_t"), "places")
     named = c.where("m IS NOT NULL")
+
+    # What is referred to. A row: what it is for, and the text's name (tid).
     spot = ms.groupBy("class_name", "name").agg(F.min(F.struct("file", "class_ord", "method_ord", "start_line", "end_line")).alias("d"))
-    up = callers(edge, named.select(F.col("m.name").alias("method"))).join(spot, (F.col("caller_class") == F.col("class_name")) & (F.col("caller_method") == F.col("name")))
-    up = _code(up.select("method", "depth", "caller_class", "caller_method", F.col("d.file").alias("m_file"), F.col("d.class_ord").alias("m_class"), F.col("d.method_ord").alias("m_ord"), F.col("d.start_line").alias("m_from"), F.col("d.end_line").alias("m_to")), texts, ms)
-    up = named.join(up, F.col("m.name") == F.col("method"))
-    add(2, up, F.format_string("%02d %s.%s", "depth", "caller_class", "caller_method"), _section(F.format_string("caller_L%d_%s.%s", "depth", "caller_class", "caller_method"), F.col("m_file"), F.col("m_from"), F.col("m_to"), F.col("code")))
+    up = callers(edge, named.select(F.col("m.name").alias("method"))).select("method", "depth", "caller_class", "caller_method").distinct()
+    up = up.join(spot, (F.col("caller_class") == F.col("class_name")) & (F.col("caller_method") == F.col("name"))).select("method", "depth", "caller_class", "caller_method", "d.*")
+    up = stored(up.withColumn("tid", _tid("m", "file", "class_ord", "method_ord")), "callers")
     down = callees(edge, ms, named.select(F.col("t.name").alias("class_name"), F.col("m.name").alias("method")))
-    down = _code(down.select("class_name", "method", "callee", "in_class", F.col("file").alias("m_file"), F.col("class_ord").alias("m_class"), F.col("method_ord").alias("m_ord"), F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to")), texts, ms)
-    down = named.join(down, (F.col("t.name") == F.col("class_name")) & (F.col("m.name") == F.col("method")))
-    add(3, down, F.col("callee"), _section(F.format_string("callee_L0_%s.%s", "in_class", "callee"), F.col("m_file"), F.col("m_from"), F.col("m_to"), F.col("code")))
-    ends = ms.where("endpoint IS NOT NULL").select(F.col("file").alias("m_file"), F.col("class_ord").alias("e_class"), F.col("method_ord").alias("e_ord"), F.col("name").alias("e_name"), "calls", "endpoint", F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to"))
-    mine = (F.col("file") == F.col("m_file")) & (F.col("t.class_ord") == F.col("e_class"))
-    lead = named.join(ends, mine & (F.col("e_name") != F.col("m.name")) & F.array_contains("calls", F.col("m.name")))
-    lead = _code(lead.withColumn("m_class", F.col("e_class")).withColumn("m_ord", F.col("e_ord")), texts, ms)
-    add(4, lead, F.format_string("%05d", "e_ord"), _section(F.concat(F.lit("source_endpoint_"), F.col("e_name")), F.col("file"), F.col("m_from"), F.col("m_to"), F.col("code")))
-    add(5, named.where("m.endpoint IS NOT NULL"), F.lit(""), _section(F.lit("endpoint_info"), F.col("file"), F.col("m.start_line"), F.col("m.start_line"), F.format_string("HTTP %s %s (%s)", "m.endpoint.http_method", "m.endpoint.path", "m.endpoint.annotation")))
-    listed = c.where("m.endpoint IS NULL").join(ends, mine).groupBy("candidate_id", "file", "t").agg(F.array_sort(F.collect_list(F.struct("e_ord", F.format_string("  %s %s → %s()", "endpoint.http_method", "endpoint.path", "e_name").alias("x")))).alias("all"))
-    add(5, listed, F.lit(""), _section(F.lit("class_endpoints"), F.col("file"), F.col("t.start_line"), F.col("t.start_line"), F.concat(F.lit("Class endpoints for "), F.col("t.name"), F.lit(":\n"), F.array_join(F.transform("all", lambda x: x["x"]), "\n"))))
+    down = stored(down.withColumn("tid", _tid("m", "file", "class_ord", "method_ord")), "callees")
+    ends = ms.where("endpoint IS NOT NULL").select("file", "class_ord", "method_ord", F.col("name").alias("e_name"), "calls", "endpoint", "start_line", "end_line")
+    places = named.select("file", "t.class_ord", F.col("m.name").alias("m_name")).distinct()
+    lead = places.join(ends, ["file", "class_ord"]).where((F.col("e_name") != F.col("m_name")) & F.array_contains("calls", F.col("m_name"))).drop("calls", "endpoint")
+    lead = stored(lead.withColumn("tid", _tid("m", "file", "class_ord", "method_ord")), "leads")
+    tests = stored(related_tests(classes, c.where("t IS NOT NULL").select(F.col("t.name").alias("name"), "file"), TESTS), "tests")
+
+    # Texts, each once.
+    here = named.select("file", "m.class_ord", "m.method_ord")
+    of_methods = here.unionByName(up.select(*here.columns)).unionByName(down.select(*here.columns)).unionByName(lead.select(*here.columns)).distinct()
+    wanted = ms.join(of_methods, ["file", "class_ord", "method_ord"], "left_semi").withColumn("tid", _tid("m", "file", "class_ord", "method_ord"))
+    codes = sliced(wanted.select("tid", "file", F.col("start_line").alias("first"), F.col("end_line").alias("last")), texts)
+    codes = wanted.join(codes, "tid", "left").select("tid", method_text(F.col("text"), *[F.col(x) for x in ("annotations", "visibility", "return_type", "name", "parameters")]).alias("text"))
+    regions = c.where("m IS NULL AND line IS NOT NULL").select("file", F.greatest(F.lit(1), F.col("line") - 10).alias("first"), (F.col("line") + 20).alias("last")).distinct()
+    bones = skeletons(classes.join(c.select("file", "t.class_ord").distinct(), ["file", "class_ord"], "left_semi"), files).select(_tid("s", "file", "class_ord").alias("tid"), F.col("skeleton").alias("text"))
+    lists = ends.join(c.where("m.endpoint IS NULL").select("file", "t.class_ord").distinct(), ["file", "class_ord"], "left_semi").join(classes.select("file", "class_ord", F.col("name").alias("t_name")), ["file", "class_ord"])
+    lists = lists.groupBy("file", "class_ord", "t_name").agg(F.array_sort(F.collect_list(F.struct("method_ord", F.format_string("  %s %s → %s()", "endpoint.http_method", "endpoint.path", "e_name").alias("x")))).alias("all"))
+    lists = lists.select(_tid("e", "file", "class_ord").alias("tid"), F.concat(F.lit("Class endpoints for "), F.col("t_name"), F.lit(":\n"), F.array_join(F.transform("all", lambda x: x["x"]), "\n")).alias("text"))
+    data = named.where("m.endpoint IS NOT NULL").select(_tid("i", "file", F.col("m.class_ord"), F.col("m.method_ord")).alias("tid"), F.format_string("HTTP %s %s (%s)", "m.endpoint.http_method", "m.endpoint.path", "m.endpoint.annotation").alias("text")).distinct()
+    heads = texts.join(tests.select(F.col("test_file").alias("file")).distinct(), "file", "left_semi").select(_tid("h", "file").alias("tid"), head(F.col("lines")).alias("text"))
+    units = codes.unionByName(sliced(regions.withColumn("tid", _tid("r", "file", "first")), texts)).unionByName(bones).unionByName(lists).unionByName(data).unionByName(heads)
     if recon is not None:
-        add(6, c.join(recon.select("category", "summary"), "category"), F.lit(""), _section(F.lit("architecture_summary"), F.lit(""), none, none, F.col("summary")))
+        units = units.unionByName(recon.select(_tid("a", "category").alias("tid"), F.col("summary").alias("text")))
     # Configuration is a handful of rows: annotated types, then property files; the first few for every candidate.
-    marked = classes.where(F.exists("annotations", lambda a: a["name"].isin("Configuration", "EnableWebSecurity"))).select("file", "class_ord").join(bones, ["file", "class_ord"]).select(F.lit(0).alias("k"), "file", F.col("skeleton").alias("text"))
-    props = texts.where(F.element_at(F.split("file", "/"), -1).isin(CONFIG_FILES)).select(F.lit(1).alias("k"), "file", head(F.col("lines")).alias("text"))
-    config = marked.union(props).where("text <> ''").orderBy("k", "file").limit(CONFIGS)
-    add(7, c.crossJoin(F.broadcast(config.withColumnRenamed("file", "cfg"))), F.format_string("%d %s", "k", "cfg"), _section(F.concat(F.lit("config_"), F.col("cfg")), F.col("cfg"), none, none, F.col("text")))
-    tests = related_tests(classes, c.where("t IS NOT NULL").select(F.col("t.name").alias("name"), "file"), TESTS).join(texts.withColumnRenamed("file", "test_file"), "test_file")
-    add(8, c.join(tests, (F.col("t.name") == F.col("target")) & (F.col("file") == F.col("target_file"))), F.format_string("%02d", "place"), _section(F.concat(F.lit("test_"), F.col("test_file")), F.col("test_file"), F.lit(1), none, head(F.col("lines"))))
-    all_parts = parts[0]
+    marked = classes.where(F.exists("annotations", lambda a: a["name"].isin("Configuration", "EnableWebSecurity")))
+    shown = skeletons(marked, files).select(F.lit(0).alias("k"), "file", "class_ord", F.col("skeleton").alias("text"))
+    props = texts.where(F.element_at(F.split("file", "/"), -1).isin(CONFIG_FILES)).select(F.lit(1).alias("k"), "file", F.lit(0).alias("class_ord"), head(F.col("lines")).alias("text"))
+    config = stored(shown.union(props).where("text <> ''").orderBy("k", "file", "class_ord").limit(CONFIGS).withColumn("tid", _tid("c", "k", "file", "class_ord")), "configuration")
+    units = stored(units.unionByName(config.select("tid", "text")).withColumn("n", F.length("text")), "texts")
+    n = units.select("tid", "n")
+
+    # Sections of each candidate, as names of texts.
+    parts = []
+
+    def add(order: int, d: DataFrame, sub: Column, label: Column, tid: Column, file: Column, first: Column | None = None, last: Column | None = None) -> None:
+        line = lambda x: (F.lit(None) if x is None else x).cast("int")
+        parts.append(d.select("candidate_id", F.lit(order).alias("o"), sub.cast("string").alias("sub"), label.alias("label"), file.alias("file"), line(first).alias("start_line"), line(last).alias("end_line"), tid.alias("tid"), *([F.col("n")] if "n" in d.columns else [F.lit(None).cast("int").alias("n")])))
+
+    blank, own = F.lit(""), F.col("file")
+    add(0, named.where("line IS NOT NULL"), blank, F.lit("sink_function"), _tid("m", "file", F.col("m.class_ord"), F.col("m.method_ord")), own, F.col("m.start_line"), F.col("m.end_line"))
+    sizes = texts.join(regions.select("file").distinct(), "file", "left_semi").select("file", F.size("lines").alias("n_lines"))
+    first = F.greatest(F.lit(1), F.col("line") - 10)
+    add(0, c.where("m IS NULL AND line IS NOT NULL").join(sizes, "file"), blank, F.lit("code_region"), _tid("r", own, first), own, first, F.least(F.col("n_lines"), F.col("line") + 20))
+    add(1, c.where("t IS NOT NULL"), blank, F.concat(F.lit("class_skeleton_"), F.col("t.name")), _tid("s", "file", F.col("t.class_ord")), own, F.col("t.start_line"), F.col("t.end_line"))
+    called = up.join(n, "tid").withColumn("sub", F.format_string("%02d %s.%s", "depth", "caller_class", "caller_method"))
+    called = within_budget(called, ["method"], ["sub"], "n", budget, room).withColumnsRenamed({"file": "m_file", "start_line": "m_from", "end_line": "m_to"})
+    add(2, named.withColumn("method", F.col("m.name")).join(called, "method"), F.col("sub"), F.format_string("caller_L%d_%s.%s", "depth", "caller_class", "caller_method"), F.col("tid"), F.col("m_file"), F.col("m_from"), F.col("m_to"))
+    called = down.withColumnsRenamed({"file": "m_file", "start_line": "m_from", "end_line": "m_to"}).select("class_name", "method", "callee", "in_class", "m_file", "m_from", "m_to", "tid")
+    add(3, named.withColumn("class_name", F.col("t.name")).withColumn("method", F.col("m.name")).join(called, ["class_name", "method"]), F.col("callee"), F.format_string("callee_L0_%s.%s", "in_class", "callee"), F.col("tid"), F.col("m_file"), F.col("m_from"), F.col("m_to"))
+    add(4, named.withColumn("class_ord", F.col("t.class_ord")).withColumn("m_name", F.col("m.name")).join(lead, ["file", "class_ord", "m_name"]), F.format_string("%05d", "method_ord"), F.concat(F.lit("source_endpoint_"), F.col("e_name")), F.col("tid"), own, F.col("start_line"), F.col("end_line"))
+    add(5, named.where("m.endpoint IS NOT NULL"), blank, F.lit("endpoint_info"), _tid("i", "file", F.col("m.class_ord"), F.col("m.method_ord")), own, F.col("m.start_line"), F.col("m.start_line"))
+    add(5, c.where("m.endpoint IS NULL AND t IS NOT NULL"), blank, F.lit("class_endpoints"), _tid("e", "file", F.col("t.class_ord")), own, F.col("t.start_line"), F.col("t.start_line"))
+    if recon is not None:
+        add(6, c, blank, F.lit("architecture_summary"), _tid("a", "category"), blank)
+    add(7, c.crossJoin(F.broadcast(config.select("k", F.col("file").alias("cfg"), "tid", F.length("text").alias("n")))), F.format_string("%d %s", "k", "cfg"), F.concat(F.lit("config_"), F.col("cfg")), F.col("tid"), F.col("cfg"))  # CONFIGS rows at most
+    near = tests.select(F.col("target").alias("t_name"), F.col("target_file").alias("file"), "test_file", "place")
+    add(8, c.where("t IS NOT NULL").withColumn("t_name", F.col("t.name")).join(near, ["t_name", "file"]), F.format_string("%02d", "place"), F.concat(F.lit("test_"), F.col("test_file")), _tid("h", "test_file"), F.col("test_file"), F.lit(1))
+    plan = parts[0]
     for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    folded = all_parts.where("length(section.content) > 0").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("o", "sub", "section"))).alias("all")).select("candidate_id", fit(F.transform("all", lambda x: x["section"]), budget, room).alias("f"))
-    out = candidates.join(folded, "candidate_id", "left")
-    chars = F.coalesce("f.chars", F.lit(0))
-    return out.select(*candidates.columns, F.coalesce("f.sections", F.array().cast(f"array<{SECTION}>")).alias("sections"), chars.alias("total_chars"), F.floor(chars / 4.0).cast("int").alias("total_estimated_tokens"), F.coalesce("f.exceeded", F.lit(False)).alias("budget_exceeded")).withColumn("prompt", prompt_text(F.col("sections")))
+        plan = plan.unionByName(p)
+
+    # Phase one: lengths and the fold. Phase two: texts of what it takes.
+    known = plan.where("n IS NOT NULL").unionByName(plan.where("n IS NULL").drop("n").join(n, "tid").select(*plan.columns)).where("n > 0")
+    folded = known.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("o", "sub", "label", "file", "start_line", "end_line", "tid", "n"))).alias("all")).select("candidate_id", fit(F.col("all"), budget, room).alias("f"))
+    folded = stored(folded, "folded")
+    taken = folded.select("candidate_id", F.explode("f.taken").alias("x")).select("candidate_id", "x.*").join(units.select("tid", "text"), "tid")
+    content = F.when(F.col("keep") == F.col("n"), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), F.col("keep")), F.lit(MARK)))
+    section = F.struct("nth", F.struct("label", "file", "start_line", "end_line", content.alias("content")).alias("x"))
+    told = taken.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(section)), lambda s: s["x"]).alias("sections"))  # of `budget` characters at most
+    totals = folded.select("candidate_id", F.col("f.chars").alias("chars"), F.col("f.exceeded").alias("over"))
+    out = candidates.join(totals, "candidate_id", "left").join(told, "candidate_id", "left")
+    chars = F.coalesce("chars", F.lit(0))
+    return out.select(*candidates.columns, F.coalesce("sections", F.array().cast(f"array<{SECTION}>")).alias("sections"), chars.alias("total_chars"), F.floor(chars / 4.0).cast("int").alias("total_estimated_tokens"), F.coalesce("over", F.lit(False)).alias("budget_exceeded")).withColumn("prompt", prompt_text(F.col("sections")))
 
 
 def architecture(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: DataFrame) -> DataFrame:
@@ -181,41 +244,91 @@ def architecture(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: Da
 def running_sections(rows: DataFrame, key: str, order: str, label: Column, content: Column, budget: int, room: int = LEAST_ROOM) -> DataFrame:
     """The same fold over the ordered rows of each key of any table, counts only.
 
-    Rows are sorted by key and order (then label and content) and streamed past as lengths, so
-    a key may have any number of them; those of one key pass through one task. A null content
+    Rows are range-sorted by key and order (then label, length and a hash), so a key of any
+    size lies in one or many ranges. A key inside a range is folded there. The rows of a key
+    at a range's begin or end are a chunk: a function from what is left before it to what is
+    left after it, made for all values up to the budget at once, whatever came before. A
+    key's chunks are then applied one after the other, a table look-up each. A null content
     counts as empty.
     """
-    kept = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), label.alias("label"), content.alias("content")).repartition("key").sortWithinPartitions("key", "order", "label", "content").select("key", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
+    kept = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), label.alias("label"), F.coalesce(F.length(content), F.lit(0)).alias("n"), F.xxhash64(content).alias("h"))
+    places = ["key", "order", "label", "n", "h"]
+    ranged = kept.repartitionByRange(*places).sortWithinPartitions(*places).select("key", "n")
+    kind = kept.schema["key"].dataType
+    out = StructType([StructField("key", kind), StructField("part", IntegerType()), *[StructField(c, IntegerType()) for c in ("n_sections", "n_kept", "total_chars")], StructField("budget_exceeded", BooleanType()), StructField("chunk", BinaryType())])
+    names = [f.name for f in out.fields]
+
+    def batch_of(done: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [key_type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], t) for c, t in enumerate(kinds)], names)
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
+        part, runs, last, sizes, first = TaskContext.get().partitionId(), [], None, None, True
         for batch in batches:
-            done = []
+            key_type, runs = batch.schema.field(0).type, []
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sizes is None or k != last:
+                    if sizes is not None:
+                        runs.append((last, part, *(_chunk(sizes, budget, room) if first else _whole(sizes, budget, room))))
+                        first = False
+                    last, sizes = k, array("q")
+                sizes.append(n)
+            yield batch_of(runs, key_type)
+        if sizes is not None:
+            yield batch_of([(last, part, *_chunk(sizes, budget, room))], key_type)
+
+    def compose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            key_type, done = batch.schema.field(0).type, []
+            for k, n, chunk in zip(*[batch.column(c).to_pylist() for c in (0, 2, 6)], strict=True):
                 if state is None or k != last:
                     if state:
-                        done.append((last, *state))
-                    last, state = k, [0, 0, 0, False]
-                left = budget - state[2]
-                state[0] += 1
-                if n > left and left < room:
-                    state[3] = True
-                else:
-                    state[1] += 1
-                    state[2] += n if n <= left else max(0, left - MARGIN) + len(MARK)
-            kind = batch.schema.field(0).type
-            yield _rows(done, kind)
+                        done.append((last, 0, state[0], state[1], budget - state[2], state[3], None))
+                    last, state = k, [0, 0, budget, False]
+                after, took, over = np.frombuffer(chunk, np.int32).reshape(3, -1)
+                left = state[2]
+                state = [state[0] + n, state[1] + int(took[left]), int(after[left]), state[3] or bool(over[left])]
+            yield batch_of(done, key_type)
         if state:
-            yield _rows([(last, *state)], kind)
-
-    def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        kinds = [kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], t) for c, t in enumerate(kinds)], ["key", "n_sections", "n_kept", "total_chars", "budget_exceeded"])
+            yield batch_of([(last, 0, state[0], state[1], budget - state[2], state[3], None)], key_type)
+
+    folded = stored(ranged.mapInArrow(fold, out), "chunks")
+    whole = folded.where("chunk IS NULL")
+    met = folded.where("chunk IS NOT NULL").repartition("key").sortWithinPartitions("key", "part").mapInArrow(compose, out)
+    return whole.unionByName(met).drop("part", "chunk").withColumnRenamed("key", key)
+
+
+def _whole(sizes: array, budget: int, room: int) -> tuple:
+    """Rows, rows kept, characters, whether one was skipped; no chunk."""
+    left, took, over = budget, 0, False
+    for n in sizes:
+        if n > left and left < room:
+            over = True
+        else:
+            took += 1
+            left -= n if n <= left else max(0, left - MARGIN) + len(MARK)
+    return len(sizes), took, budget - left, over, None
+
+
+def _chunk(sizes: array, budget: int, room: int) -> tuple:
+    """Rows, and for each number of characters left before them (0 to budget): those left after, rows kept, whether one was skipped."""
+    left = np.arange(budget + 1, dtype=np.int32)
+    took, over = np.zeros((2, budget + 1), np.int32)
+    for n in sizes:
+        fits = n <= left
+        skip = ~fits & (left < room)
+        took += ~skip
+        over |= skip
+        left = np.where(fits, left - n, np.where(skip, left, left - np.maximum(0, left - MARGIN) - len(MARK))).astype(np.int32)
+    return len(sizes), None, None, None, np.concatenate((left, took, over)).astype(np.int32).tobytes()
 
-    out = StructType([StructField("key", kept.schema["key"].dataType), *[StructField(c, IntegerType()) for c in ("n_sections", "n_kept", "total_chars")], StructField("budget_exceeded", BooleanType())])
-    return kept.mapInArrow(fold, out).withColumnRenamed("key", key)
 
+def with_hits(rows: DataFrame, key: str, order: str, name: str = "is_cached") -> DataFrame:
+    """rows with `name`: true where an earlier row (by order) has the same key, a cache hit. Null keys are one key.
 
-def previous(rows: DataFrame, key: str, order: str) -> Column:
-    """True where an earlier row has the same key: a cache hit."""
-    return F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1
+    The first of each key is a minimum, joined back; no key's rows are sorted in one task.
+    """
+    first = rows.groupBy(F.col(key).alias("hit_key")).agg(F.min(order).alias("hit_first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("hit_key")))
+    return joined.withColumn(name, F.coalesce(F.col(order) > F.col("hit_first"), F.lit(False))).drop("hit_key", "hit_first")

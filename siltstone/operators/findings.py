@@ -90,6 +90,7 @@ def validator_result(response: Column) -> Column:
     low = F.lower(response)
     said = F.lower(parsed["status"])
     told = shape(F.when(said.isin(f.DECISIONS), said).otherwise("uncertain"), F.coalesce(parsed["confidence"].try_cast("double"), F.lit(0.5)), F.coalesce(parsed["reason"], F.lit("Validation parsed successfully")), F.coalesce(parsed["missing_evidence"], none), F.coalesce(parsed["recommended_manual_check"], F.lit("")))
+    # What is said of answers that aren't JSON.
     words = lambda s, c, r, m, k: shape(F.lit(s), F.lit(c), F.lit(r), m, F.lit(k))
     return (
         F.when(parsed["status"].isNotNull(), told)
@@ -130,13 +131,18 @@ def labelled(findings: DataFrame, truth: DataFrame, coverage_complete: bool = Fa
     truth: standing cases. A finding matches a case in its file by CWE, or if its kind is
     part of the case's.
     """
-    cases = truth.select(F.explode("relevant_files").alias("file"), F.col("cwe").alias("t_cwe"), F.lower("vulnerability_type").alias("t_type")).distinct()
-    by_file = cases.groupBy("file").agg(F.collect_list(F.struct("t_cwe", "t_type")).alias("cases"))
+    cases = truth.select(F.explode("relevant_files").alias("t_file"), F.col("cwe").alias("t_cwe"), F.lower("vulnerability_type").alias("t_type"))
     kind = F.lower(F.coalesce("vulnerability_type", F.lit("")))
-    match = F.exists(F.coalesce("cases", F.array()), lambda x: ((F.coalesce("cwe", F.lit("")) != "") & F.coalesce(F.col("cwe") == x["t_cwe"], F.lit(False))) | x["t_type"].contains(kind))
+    # Two joins on finer keys than the file: its weakness, and its kind of finding (of which a file has few different ones).
+    by_cwe = cases.where("t_cwe <> ''").select("t_file", "t_cwe").distinct().withColumn("same_cwe", F.lit(True))
+    kinds = findings.select(F.col("file").alias("t_file"), kind.alias("t_kind")).distinct()
+    by_kind = kinds.join(cases.select("t_file", "t_type").distinct(), "t_file").where(F.col("t_type").contains(F.col("t_kind"))).select("t_file", "t_kind").distinct().withColumn("same_kind", F.lit(True))
+    d = findings.join(by_cwe, (F.col("file") == F.col("t_file")) & (F.col("cwe") == F.col("t_cwe")), "left").drop("t_file", "t_cwe")
+    d = d.join(by_kind, (F.col("file") == F.col("t_file")) & (kind == F.col("t_kind")), "left").drop("t_file", "t_kind")
+    match = F.coalesce("same_cwe", "same_kind", F.lit(False))
     status = F.col("validation_status")
     outcome = F.when(status == "rejected", "fp").when(match & (status == "validated"), "tp").when((status == "uncertain") | match, "uncertain").otherwise("fp" if coverage_complete else "uncertain")
-    return findings.join(by_file, "file", "left").withColumn("outcome", outcome).select(*findings.columns, "outcome")
+    return d.withColumn("outcome", outcome).select(*findings.columns, "outcome")
 
 
 def evaluation(outcomes: DataFrame, coverage_complete: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings import SEVERITIES, STATUSES
 from ..functions.text import strip
+from .order import running
 
 # Fields that a record must have.
 CANDIDATE_FIELDS = ("candidate_id", "category", "file", "line", "matched_rule", "snippet")
@@ -52,5 +53,12 @@ def file_is_array(text: Column) -> Column:
 
 
 def repeated_ids(rows: DataFrame, ident: str, order: str) -> DataFrame:
-    """Rows whose id an earlier row has."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(ident).orderBy(order))).where("nth > 1")
+    """Rows whose id an earlier row has, with their place among its rows (nth, from 2).
+
+    Places are differences of prefix counts over ranges sorted by id and order, so the rows of
+    an id may be spread over many tasks. Null ids are one id; order tells rows apart.
+    """
+    d = running(rows, [ident, order], {"rep_before": F.lit(1)})
+    first = d.groupBy(F.col(ident).alias("rep_id")).agg(F.min("rep_before").alias("rep_first"))
+    nth = (F.col("rep_before") - F.col("rep_first") + 1).cast("int")
+    return d.join(first, F.col(ident).eqNullSafe(F.col("rep_id"))).withColumn("nth", nth).where("nth > 1").drop("rep_id", "rep_first", "rep_before")

@@ -115,9 +115,9 @@ def usage_rows(contexts: DataFrame, model: str = "stub") -> DataFrame:
     """A usage row for each candidate that is asked about; a prompt asked before is a cache hit."""
     version = prompt_version(F.col("category"))
     d = contexts.where(~F.col("is_rejected")).withColumn("cache_key", cache_key(F.sha2("prompt", 256), version, F.lit(model), F.lit("investigation"), F.sha2("prompt", 256)))
-    cached = context.previous(d, "cache_key", "candidate_id")
+    d = context.with_hits(d, "cache_key", "candidate_id", "cached")
     asked = tokens_estimated(F.col("prompt")).cast("long")
-    return d.select(F.col("candidate_id").alias("request_id"), F.lit(model).alias("model"), F.lit("investigation").alias("phase"), F.lit("investigator").alias("agent"), asked.alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), (asked + 1).alias("total_tokens"), F.lit(0.0).alias("latency_seconds"), F.lit(0).cast("long").alias("retry_count"), F.lit("character_estimate").alias("token_measurement"), cached.alias("is_cached"))
+    return d.select(F.col("candidate_id").alias("request_id"), F.lit(model).alias("model"), F.lit("investigation").alias("phase"), F.lit("investigator").alias("agent"), asked.alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), (asked + 1).alias("total_tokens"), F.lit(0.0).alias("latency_seconds"), F.lit(0).cast("long").alias("retry_count"), F.lit("character_estimate").alias("token_measurement"), F.col("cached").alias("is_cached"))
 
 
 def run(

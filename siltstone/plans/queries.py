@@ -251,9 +251,8 @@ def precision_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    hit = context.previous(e, "props", "event_id")
-    return e.select(F.col("event_type").alias("phase"), F.length("props").cast("long").alias("input_tokens"), (F.col("user_id") % 5).alias("output_tokens"), (F.length("props") + F.col("user_id") % 5).cast("long").alias("total_tokens"), hit.alias("is_cached"), (F.col("event_id") % 3).alias("retry_count"), (F.col("event_id") % 8 / 8).alias("latency_seconds"), F.when(F.col("user_id") % 2 == 0, "provider").alias("token_measurement"))
+    e = context.with_hits(table(spark, d, "events"), "props", "event_id", "hit")
+    return e.select(F.col("event_type").alias("phase"), F.length("props").cast("long").alias("input_tokens"), (F.col("user_id") % 5).alias("output_tokens"), (F.length("props") + F.col("user_id") % 5).cast("long").alias("total_tokens"), F.col("hit").alias("is_cached"), (F.col("event_id") % 3).alias("retry_count"), (F.col("event_id") % 8 / 8).alias("latency_seconds"), F.when(F.col("user_id") % 2 == 0, "provider").alias("token_measurement"))
 
 
 _USE = "WITH u AS (SELECT event_type AS phase, length(props) AS i, user_id % 5 AS o, row_number() OVER (PARTITION BY props ORDER BY event_id) > 1 AS hit, event_id % 3 AS retries, (event_id % 8) / 8 AS latency, CASE WHEN user_id % 2 = 0 THEN 'provider' ELSE 'character_estimate' END AS m FROM events)"
@@ -433,6 +432,24 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed(table(spark, d, "events"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM e)
+SELECT user_id, min(ts) AS begin, max(ts) AS last, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, nth""")
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """2.12 session windows: runs of a user's events, as the streaming job has them, over the table at rest."""
+    from ..streaming.usage import sessions
+
+    return sessions(table(spark, d, "events"), gap="6 hours")
+
+
+@query("""SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, range(4) r(k) GROUP BY ALL""")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """2.12 sliding windows: an hour every quarter of an hour."""
+    from ..streaming.usage import sliding
+
+    return sliding(table(spark, d, "events"))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
     """Extension: events appended by a stream (exactly once, from a checkpoint), then counted."""

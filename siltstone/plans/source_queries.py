@@ -301,7 +301,46 @@ def context_sections(spark: SparkSession, d: str) -> DataFrame:
     return x.select("candidate_id", F.array_join(F.transform("sections", lambda s: s["label"]), " ").alias("labels"), "budget_exceeded")
 
 
-_SKEL_SQL = " || chr(10) || ".join(_quote(JAVA_TYPE.split("\n")[k - 1]).replace("{k}", "' || k || '").replace("{n}", "' || n || '") for k in _SKELETON)
+def _lines_sql(template: str, numbers: list[int] | range) -> str:
+    """SQL for lines of a template, filled from k and n."""
+    return " || chr(10) || ".join(_quote(template.split("\n")[k - 1]).replace("{k}", "' || k || '").replace("{n}", "' || n || '") for k in numbers)
+
+
+_SKEL_SQL = _lines_sql(JAVA_TYPE, _SKELETON)
+_LIST_SQL, _SAVE_SQL, _TEST_SQL = _lines_sql(JAVA_TYPE, range(10, 14)), _lines_sql(JAVA_TYPE, range(17, 24)), _lines_sql(JAVA_TEST, range(1, 8))
+_LEFT = 500
+#: What each candidate's context holds, by its line: place, sub-order, label, file, first and last line, text; only some customers have a test.
+_PLAN = [
+    ((11,), 0, "''", "'sink_function'", "file", "10", "13", _LIST_SQL, "true"), ((19, 21), 0, "''", "'sink_function'", "file", "17", "23", _SAVE_SQL, "true"), ((16,), 0, "''", "'code_region'", "file", "6", "28", _lines_sql(JAVA_TYPE, range(6, 29)), "true"),
+    ((11, 16, 19, 21), 1, "''", "'class_skeleton_C' || k", "file", "8", "24", _SKEL_SQL, "true"),
+    ((11,), 2, "'00 C' || k || '.list' || k", "'caller_L0_C' || k || '.list' || k", "file", "10", "13", _LIST_SQL, "true"), ((11, 19, 21), 2, "'00 C' || k || '.save' || k", "'caller_L0_C' || k || '.save' || k", "file", "17", "23", _SAVE_SQL, "true"),
+    ((11,), 2, "'00 C' || k || 'Test.checks' || k", "'caller_L0_C' || k || 'Test.checks' || k", "test_file", "4", "6", _lines_sql(JAVA_TEST, range(4, 7)), "k % 2 = 0"),
+    ((11, 19, 21), 3, "'list' || k", "'callee_L0_C' || k || '.list' || k", "file", "10", "13", _LIST_SQL, "true"), ((19, 21), 3, "'save' || k", "'callee_L0_C' || k || '.save' || k", "file", "17", "23", _SAVE_SQL, "true"),
+    ((11,), 4, "''", "'source_endpoint_save' || k", "file", "17", "23", _SAVE_SQL, "true"),
+    ((11,), 5, "''", "'endpoint_info'", "file", "10", "10", "'HTTP GET /api/c' || k || '/list (@GetMapping)'", "true"), ((19, 21), 5, "''", "'endpoint_info'", "file", "17", "17", "'HTTP POST /api/c' || k || '/save (@PostMapping)'", "true"),
+    ((16,), 5, "''", "'class_endpoints'", "file", "8", "8", "'Class endpoints for C' || k || ':' || chr(10) || '  GET /api/c' || k || '/list → list' || k || '()' || chr(10) || '  POST /api/c' || k || '/save → save' || k || '()'", "true"),
+    ((11, 16, 19, 21), 8, "''", "'test_' || test_file", "test_file", "1", "NULL", _TEST_SQL, "k % 2 = 0"),
+]
+_PLAN_SQL = " UNION ALL ".join(f"SELECT file AS at_file, line, {o} AS o, {sub} AS sub, {label} AS label, {f_} AS file, {a} AS start_line, {z} AS end_line, {text} AS text FROM known WHERE line IN {(*lines, -1)} AND {when}" for lines, o, sub, label, f_, a, z, text, when in _PLAN)
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, known AS (SELECT cand.*, c.test_file FROM cand JOIN c USING (file, k, n)), plan AS ({_PLAN_SQL}),
+s AS (SELECT nth, row_number() OVER (PARTITION BY nth ORDER BY o, sub) AS i, label, plan.file, start_line, end_line, text, length(text) AS n FROM plan JOIN cand ON plan.at_file = cand.file AND plan.line = cand.line),
+r(nth, i, used, took, over) AS (SELECT DISTINCT nth, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false FROM s UNION ALL
+SELECT s.nth, s.i, used + CASE WHEN n <= {_LEFT} - used THEN n WHEN {_LEFT} - used < 200 THEN 0 ELSE {_LEFT} - used - 50 + {len(context.MARK)} END,
+ CASE WHEN n <= {_LEFT} - used THEN n WHEN {_LEFT} - used < 200 THEN -1 ELSE {_LEFT} - used - 50 END, over OR (n > {_LEFT} - used AND {_LEFT} - used < 200) FROM r JOIN s ON s.nth = r.nth AND s.i = r.i + 1),
+t AS (SELECT nth, max(used) AS total_chars, bool_or(over) AS budget_exceeded FROM r GROUP BY nth)
+SELECT {_CAND_ID} AS candidate_id, row_number() OVER (PARTITION BY nth ORDER BY i) AS place, label, file, start_line, end_line, took < s.n AS is_cut,
+ md5(CASE WHEN took = s.n THEN text ELSE substring(text, 1, took) || chr(10) || '... [truncated to fit budget]' END) AS content, total_chars, total_chars // 4 AS tokens, budget_exceeded
+FROM r JOIN s USING (nth, i) JOIN t USING (nth) WHERE took >= 0""")
+def context_texts(spark: SparkSession, d: str) -> DataFrame:
+    """E17 and its parts, A12, A13: texts of all sections, under a budget that takes, cuts and skips."""
+    j, classes, m, cands = _indexed(spark, d)
+    m = stored(m, "methods")
+    x = context.assembled(cands, j, classes, m, symbols.edges(m), budget=_LEFT)
+    x = x.select("candidate_id", F.posexplode("sections").alias("nth", "x"), "total_chars", "total_estimated_tokens", "budget_exceeded")
+    marked = F.col("x.content").endswith(context.MARK)
+    return x.select("candidate_id", (F.col("nth") + 1).alias("place"), "x.label", "x.file", "x.start_line", "x.end_line", marked.alias("is_cut"), F.md5("x.content").alias("content"), "total_chars", F.col("total_estimated_tokens").alias("tokens"), "budget_exceeded")
 
 
 @query(f"WITH {_C} SELECT file, md5({_SKEL_SQL}) AS skeleton FROM c")
@@ -317,7 +356,7 @@ def methods_without_files(spark: SparkSession, d: str) -> DataFrame:
     """What stands for a method whose file has no such lines."""
     m = symbols.methods(symbols.index(_java(spark, d)))
     raw = F.array_join(F.transform("annotations", lambda a: a["raw"]), " ")
-    text = context.method_text(F.array().cast("array<string>"), F.col("start_line"), F.col("end_line"), *[F.col(c) for c in ("annotations", "visibility", "return_type", "name", "parameters")])
+    text = context.method_text(F.lit(None).cast("string"), *[F.col(c) for c in ("annotations", "visibility", "return_type", "name", "parameters")])
     return m.select("name", F.when(raw != "", F.concat(raw, F.lit("\n"))).otherwise("").alias("marks"), F.md5(text).alias("text"))
 
 
@@ -414,7 +453,7 @@ def written_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id % 2 = 0 AS is_cached, CASE WHEN user_id % 2 = 0 THEN 'r' || user_id END AS response FROM events")
 def cached_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Responses put into a cache (an old one cleared), and looked up by key; raw responses kept by request."""
+    """Responses put into a cache (an old one cleared), and looked up by key; raw responses of every request kept by a hash of it."""
     e = spread(table(spark, d, "events"))
     at, raw = new_path(spark, "cache"), new_path(spark, "raw")
     entry = e.select(F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("response"), "user_id")
@@ -422,8 +461,8 @@ def cached_responses(spark: SparkSession, d: str) -> DataFrame:
     sinks.put_cache(entry.where("user_id % 4 = 0").select("cache_key", "response").distinct(), at, clear=True)
     sinks.put_cache(entry.where("user_id % 4 = 2").select("cache_key", "response").distinct(), at)
     found = sinks.cached_first(e.select("event_id", F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key")), spark.read.parquet(at))
-    sinks.write_responses(found.select((F.col("event_id") % 7).alias("request_id"), "event_id", "is_cached", F.col("cached_response").alias("response")), raw)
-    return spark.read.schema("event_id long, is_cached boolean, response string").json(raw).select("event_id", "is_cached", "response")
+    sinks.write_responses(found.select(F.col("event_id").alias("request_id"), "is_cached", F.col("cached_response").alias("response")), raw)
+    return spark.read.schema("request_id long, is_cached boolean, response string").json(raw).select(F.col("request_id").alias("event_id"), "is_cached", "response")
 
 
 @query(f"WITH {_METHODS} SELECT 'method' AS what, class_name AS owner, name, coalesce(path, '') AS detail FROM m UNION ALL SELECT 'edge', class_name, name, unnest(calls) FROM m")
@@ -437,6 +476,29 @@ def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return m.unionByName(edge.select(F.lit("edge").alias("what"), F.col("caller_class").alias("owner"), F.col("caller_method").alias("name"), F.col("callee_method").alias("detail")))
 
 
+#: Shapes of a POM, chosen by the key: plain with a parent; dependencies first; a commented artifact, a namespace and a profile's modules; prefixed names; broken; without an artifact.
+_POMS = [
+    "<project><parent><artifactId>up</artifactId></parent><artifactId>own{k}</artifactId><modules><module>a{k}</module><module>b</module></modules><dependencies><dependency><artifactId>spring-boot-x</artifactId></dependency></dependencies></project>",
+    "<project>\n<dependencies><dependency><groupId>org.Hibernate</groupId><artifactId>dep</artifactId></dependency></dependencies>\n<artifactId>\n  own{k}\n</artifactId><name>JUnit helper</name></project>",
+    '<?xml version="1.0"?>\n<project xmlns="http://maven.example/4"><!-- <artifactId>old</artifactId><module>gone</module> --><artifactId>own{k}</artifactId><description>thymeleaf</description><profiles><profile><modules><module>p{k}</module></modules></profile></profiles></project>',
+    '<m:project xmlns:m="u"><m:build><m:artifactId>thymeleaf-y</m:artifactId></m:build><m:artifactId>own{k}</m:artifactId><m:artifactId>second</m:artifactId><m:modules><m:module>a{k}</m:module><m:module> a{k} </m:module></m:modules></m:project>',
+    "<project><artifactId>own{k}</artifactId><modules><module>a</module>",
+    "<project><artifactId> </artifactId><parent><artifactId>up</artifactId></parent><groupId>spring-security</groupId></project>",
+]
+_POM_FACTS = ["('own' || k, 'a' || k || ',b', 'Spring Boot')", "('own' || k, '', 'Hibernate,JUnit')", "('own' || k, 'p' || k, '')", "('own' || k, 'a' || k, 'Thymeleaf')", "(NULL, '', '')", "(NULL, '', 'Spring Security')"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k FROM part), x AS (SELECT k, CASE k % 6 {" ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(_POM_FACTS))} END AS f FROM p)
+SELECT 'm' || k || '/pom.xml' AS file, struct_extract_at(f, 1) AS artifact, struct_extract_at(f, 2) AS modules, struct_extract_at(f, 3) AS frameworks, CASE k % 6 WHEN 1 THEN 'dep' WHEN 2 THEN 'old' WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE 'own' || k END AS first_named FROM x""")
+def pom_projects(spark: SparkSession, d: str) -> DataFrame:
+    """A POM per part, of six shapes, read as XML (own artifact, modules, frameworks) and as text (the first artifact outside a parent)."""
+    k = spread(table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.lit(0).alias("n")))
+    shape = F.element_at(F.array(*[_filled(x) for x in _POMS]), (F.col("k") % len(_POMS)).cast("int") + 1)
+    files = k.select(_filled("m{k}/pom.xml").alias("file"), shape.alias("content"))
+    x = src.poms(files).join(src.pom_artifacts(files).select("file", F.col("artifact").alias("first_named")), "file")
+    return x.select("file", "artifact", F.array_join("modules", ",").alias("modules"), F.array_join("frameworks", ",").alias("frameworks"), "first_named")
+
+
 _POM = "<project><parent><artifactId>up</artifactId></parent><artifactId>own</artifactId><modules><module>a</module><module>b</module></modules><dependencies><dependency><artifactId>spring-boot-x</artifactId></dependency></dependencies></project>"
 _TREE = {
     "pom.xml": _POM, "src/main/java/A.java": "class A {\n}\n", "src/main/java/B.JAVA": "class B {\n}", "src/main/js/a.js": "x\ny\nz\n", "src/test/java/ATest.java": "class ATest {\n}\n", "target/C.java": "class C {\n}\n", "deep/target/x/D.java": "class D { }\n",

@@ -110,14 +110,37 @@ def tree_roots(files: DataFrame, marker: str) -> DataFrame:
     return files.where(at > 0).select(F.when(prefix != "", F.concat(prefix, F.lit("/" + mark))).otherwise(F.lit(mark)).alias("root")).distinct()
 
 
-def poms(files: DataFrame) -> DataFrame:
-    """Of each pom.xml: artifact (its own, not its parent's), modules, frameworks it names."""
+# What a POM's names tell about frameworks.
+FRAMEWORKS = {"spring-boot": "Spring Boot", "spring-security": "Spring Security", "thymeleaf": "Thymeleaf", "hibernate": "Hibernate", "junit": "JUnit"}
+
+
+def _pom_files(files: DataFrame) -> DataFrame:
+    return files.where(F.element_at(F.split("file", "/"), -1) == "pom.xml")
+
+
+def pom_artifacts(files: DataFrame) -> DataFrame:
+    """Of each pom.xml, read as text: the first artifact outside <parent>."""
     own = F.regexp_replace(F.col("content"), r"(?s)<parent>.*?</parent>", "")
-    direct = F.regexp_extract(own, r"<artifactId>\s*([^<]+?)\s*</artifactId>", 1)
-    modules = F.transform(F.regexp_extract_all(F.col("content"), F.lit(r"<module>\s*([^<]+?)\s*</module>"), F.lit(1)), F.trim)
-    hints = {"spring-boot": "Spring Boot", "spring-security": "Spring Security", "thymeleaf": "Thymeleaf", "hibernate": "Hibernate", "junit": "JUnit"}
-    frameworks = F.array_sort(F.filter(F.array(*[F.when(F.lower("content").contains(k), F.lit(v)) for k, v in hints.items()]), lambda x: x.isNotNull()))
-    return files.where(F.element_at(F.split("file", "/"), -1) == "pom.xml").select("file", F.when(direct != "", direct).alias("artifact"), modules.alias("modules"), frameworks.alias("frameworks"))
+    first = F.trim(F.regexp_extract(own, r"<artifactId>\s*([^<]+?)\s*</artifactId>", 1))
+    return _pom_files(files).select("file", F.when(first != "", first).alias("artifact"))
+
+
+def poms(files: DataFrame) -> DataFrame:
+    """Of each pom.xml, read as XML: its own artifact (a child of the root), modules at any depth, frameworks that artifacts, groups and names tell of.
+
+    Comments are no elements, prefixes of names don't matter, and a file that isn't XML has nothing.
+    """
+    d = _pom_files(files).withColumn("x", F.from_xml("content", "broken string", {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}))
+    sound = F.col("x").isNotNull() & F.col("x.broken").isNull()
+    named = lambda *names: " or ".join(f"local-name()='{n}' or name()='{n}' or substring-after(name(), ':')='{n}'" for n in names)
+
+    def texts(path: str) -> Column:
+        found = F.when(sound, F.xpath("content", F.lit(path))).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+
+    told = F.lower(F.array_join(texts(f"//*[{named('artifactId', 'groupId', 'name')}]/text()"), "\n"))
+    frameworks = F.array_sort(F.filter(F.array(*[F.when(told.contains(k), F.lit(v)) for k, v in FRAMEWORKS.items()]), lambda x: x.isNotNull()))
+    return d.select("file", F.get(texts(f"/*/*[{named('artifactId')}]/text()"), F.lit(0)).alias("artifact"), F.array_distinct(texts(f"//*[{named('module')}]/text()")).alias("modules"), frameworks.alias("frameworks"))
 
 
 def lesson_modules(files: DataFrame, marker: str = "lessons") -> DataFrame:

@@ -39,6 +39,13 @@ def put_cache(entries: DataFrame, path: str, clear: bool = False) -> None:
     entries.write.mode("overwrite" if clear else "append").parquet(path)
 
 
-def write_responses(responses: DataFrame, path: str) -> None:
-    """Raw model responses (request_id and what else there is), a folder per request."""
-    responses.withColumn("request", F.col("request_id")).write.mode("append").partitionBy("request").option("ignoreNullFields", "false").json(path)
+def write_responses(responses: DataFrame, path: str, folders: int = 64) -> None:
+    """Raw model responses (request_id and what else there is), dealt by a hash of the request over a fixed number of folders (part)."""
+    part = F.pmod(F.xxhash64(F.col("request_id").cast("string")), F.lit(folders)).cast("int")
+    responses.withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").option("ignoreNullFields", "false").json(path)
+
+
+def response_of(responses: DataFrame, request_id: str, folders: int = 64) -> DataFrame:
+    """The rows of one request; only its folder is read."""
+    part = F.pmod(F.xxhash64(F.lit(request_id)), F.lit(folders)).cast("int")
+    return responses.where((F.col("part") == part) & (F.col("request_id").cast("string") == request_id))

@@ -20,6 +20,24 @@ def windowed(events: DataFrame, time: str = "ts", by: str = "event_type", width:
     return d.select(F.col("w.start").alias("window_start"), by, "n", F.round("total", 2).alias("total"))
 
 
+def sessions(events: DataFrame, by: str = "user_id", time: str = "ts", gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Runs of a user's events that follow each other in less than `gap`: begin, last event, count, total.
+
+    As a stream, a session is given once the watermark has passed its end, and rows behind the
+    watermark are left out.
+    """
+    e = events.withWatermark(time, late) if events.isStreaming else events
+    d = e.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.max(time).alias("last"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    return d.select(by, F.col("w.start").alias("begin"), "last", "n", F.round("total", 2).alias("total"))
+
+
+def sliding(events: DataFrame, time: str = "ts", by: str = "event_type", width: str = "1 hour", step: str = "15 minutes", late: str = "1 day") -> DataFrame:
+    """Counts and sums per window of `width` that begins every `step`; a row counts in width / step windows."""
+    e = events.withWatermark(time, late) if events.isStreaming else events
+    d = e.groupBy(F.window(time, width, step).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return d.select(F.col("w.start").alias("window_start"), by, "n", F.round("total", 2).alias("total"))
+
+
 def first_seen(events: DataFrame, keys: list[str], time: str = "ts", late: str = "1 day") -> DataFrame:
     """Each key once within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)

@@ -50,7 +50,7 @@ def tree(tmp_path):
     (tmp_path / "src/main/resources/application.properties").write_text(CONFIG)
     (tmp_path / "target").mkdir()
     (tmp_path / "target/Built.java").write_text(JAVA)
-    (tmp_path / "pom.xml").write_text("<project><parent><artifactId>p</artifactId></parent><artifactId>own</artifactId><modules><module>a</module></modules>spring-boot</project>")
+    (tmp_path / "pom.xml").write_text("<project><parent><artifactId>p</artifactId></parent><artifactId>own</artifactId><modules><module>a</module></modules><name>spring-boot</name></project>")
     return str(tmp_path)
 
 
@@ -195,3 +195,108 @@ def test_pipeline_end_to_end(spark, tmp_path):
     sinks.write_partitioned(got.findings.select(*[x.split(" ")[0] for x in FINDING.split(", ")]), out)
     assert spark.read.json(out).select("bucket").distinct().collect()[0][0] == "validated"
     assert got.usage.count() == got.candidates.where("NOT is_rejected").count()
+
+
+def fold(lengths, left, room=200, margin=50, mark=len(context.MARK)):
+    """Plain fold: what is taken of each (None: skipped), and whether something was skipped."""
+    out = []
+    for n in lengths:
+        if n <= left:
+            out.append(n)
+            left -= n
+        elif left < room:
+            out.append(None)
+        else:
+            out.append(left - margin)
+            left -= left - margin + mark
+    return out
+
+
+def test_cut_to_what_a_budget_can_take(spark):
+    """Rows that within_budget leaves out are never taken, however much was used before; what it keeps is bounded."""
+    import random
+
+    rng = random.Random(1)
+    sizes = {
+        "few": [rng.randint(1, 300) for _ in range(20)], "short": [rng.randint(1, 60) for _ in range(1500)], "mixed": [rng.choice([1, 3, 50, 150, 199, 200, 201, 500, 2000]) for _ in range(900)],
+        "long": [rng.randint(400, 900) for _ in range(300)], "equal": [70] * 2000,
+    }
+    d = spark.createDataFrame([(k, i, n) for k, v in sizes.items() for i, n in enumerate(v)], "k string, i int, n int")
+    kept = {}
+    for r in context.within_budget(d, ["k"], ["i"], budget=1000).collect():
+        kept.setdefault(r.k, []).append((r.i, r.n))
+    for k, v in sizes.items():
+        some = sorted(kept[k])
+        for left in range(0, 1001, 7):
+            want, got = fold(v, left), fold([n for _, n in some], left)
+            assert [(i, t) for i, t in enumerate(want) if t is not None] == [(i, t) for (i, _), t in zip(some, got, strict=True) if t is not None]
+            assert (None in want) == (None in got)
+    assert len(kept["equal"]) < 20 and len(kept["long"]) < 6 and len(kept["few"]) <= 20
+
+
+def test_contexts_of_a_hot_name(spark, monkeypatch):
+    """n files whose method `get` holds a candidate and is called once: names of texts that meet candidates grow with the candidates, not with their square."""
+    seen = {}
+    keep = context.within_budget
+
+    def counted(rows, key, order, *a):
+        out = keep(rows, key, order, *a)
+        seen[n] = (rows.count(), out.count())
+        return out
+
+    monkeypatch.setattr(context, "within_budget", counted)
+    for n in (20, 40, 80):
+        text = "package p;\nclass C{k} {\n  void get() {\n    run({k});\n  }\n  void use{k}() {\n    get();\n  }\n}\n"
+        files = spark.createDataFrame([(f"p/C{k:03}.java", text.replace("{k}", str(k))) for k in range(n)], "file string, content string")
+        classes = symbols.index(files)
+        ms = symbols.methods(classes)
+        cands = spark.createDataFrame([(f"c{k}", f"p/C{k:03}.java", 4, "x") for k in range(n)], "candidate_id string, file string, line int, category string")
+        out = context.assembled(cands, files, classes, ms, symbols.edges(ms), budget=500).collect()
+        assert len(out) == n and all(r.total_chars <= 500 for r in out)
+        for r in out:
+            labels = [s.label for s in r.sections]
+            assert labels[0] == "sink_function" and r.sections[0].content == f"  void get() {{\n    run({int(r.candidate_id[1:])});\n  }}"
+            assert r.budget_exceeded or n == 20
+    assert seen[80][0] > 80 and seen[80][1] <= seen[40][1] + 3 and seen[40][1] < 40
+
+
+def test_budget_of_a_key_over_many_ranges(spark, request):
+    """Chunks of a hot key are functions that are put together; the answer is that of a plain fold."""
+    import random
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rng = random.Random(5)
+    for sizes in ([rng.choice([0, 1, 2, 30, 190, 210, 400]) for _ in range(3000)], [3] * 900, [5000] * 50 + [1] * 400):
+        d = spark.createDataFrame([("hot", k, "x" * n) for k, n in enumerate(sizes)] + [(f"k{k:02}", 1, "y" * 20 * k) for k in range(60)] + [(None, 1, None)], "g string, k int, c string")
+        got = {r.g: tuple(r)[1:] for r in context.running_sections(d, "g", "k", F.lit("s"), F.col("c"), 1000).collect()}
+        assert len(got) == 62
+        taken = fold(sizes, 1000)
+        used = sum(t if t == n else t + len(context.MARK) for t, n in zip(taken, sizes, strict=True) if t is not None)
+        assert got["hot"] == (len(sizes), sum(t is not None for t in taken), used, None in taken)
+        assert got["k07"] == (1, 1, 140, False) and got[None] == (1, 1, 0, False) and got["k59"] == (1, 1, 950 + len(context.MARK), False)
+
+
+def test_cache_hits_and_repeated_ids(spark):
+    d = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 5), (None, 4), ("a", 9)], "k string, o int")
+    assert sorted((r.o, r.is_cached) for r in context.with_hits(d, "k", "o").collect()) == [(1, False), (2, False), (3, True), (4, False), (5, True), (9, True)]
+    assert sorted((r.k or "-", r.o, r.nth) for r in records.repeated_ids(d, "k", "o").collect()) == [("-", 5, 2), ("a", 3, 2), ("a", 9, 3)]
+
+
+def test_responses_by_hash(spark, tmp_path):
+    """A fixed number of folders, however many requests; one request's rows come from its folder alone."""
+    import os
+
+    at = f"file://{tmp_path}/raw"
+    sinks.write_responses(spark.range(500).select(F.col("id").alias("request_id"), F.lit("r").alias("response")), at, folders=8)
+    assert len([x for x in os.listdir(tmp_path / "raw") if x.startswith("part=")]) == 8
+    back = spark.read.schema("request_id long, response string, part int").json(at)
+    one = sinks.response_of(back, "77", folders=8)
+    assert [r.request_id for r in one.collect()] == [77] and back.count() == 500
+
+
+def test_pom_of_a_dependency_first(spark):
+    """The artifact is a child of the root; a comment's is none."""
+    shape = "<project><dependencies><dependency><artifactId>dep</artifactId></dependency></dependencies><!--<artifactId>no</artifactId>--><artifactId>own</artifactId></project>"
+    d = spark.createDataFrame([("pom.xml", shape), ("x/pom.xml", "<broken"), ("y/pom.xml", None), ("z/pom.xml", ""), ("other.xml", shape)], "file string, content string")
+    assert sorted((r.file, r.artifact, r.modules, r.frameworks) for r in src.poms(d).collect()) == [("pom.xml", "own", [], []), ("x/pom.xml", None, [], []), ("y/pom.xml", None, [], []), ("z/pom.xml", None, [], [])]
