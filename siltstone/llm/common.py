@@ -48,7 +48,7 @@ def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(keep, KEY, "left_semi").dropDuplicates([KEY])
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, per_part: int | None = None) -> DataFrame:
     """Connected components of an undirected edge list of long ids: (node, component).
 
     Alternating large and small stars: every round joins each edge to the least neighbour of
@@ -56,21 +56,28 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     neighbours are stored before they are joined, so that both sides of the join are plain
     shuffles and AQE can split a hub. component is the least node of the component; nodes
     without an edge (or with null ends, or only a loop) are not in the result.
+
+    per_part: edges of a partition, about. A few edges in very many partitions are else as many
+    files of each of a round's shuffles.
     """
     spark = edges.sparkSession
     shared_dir(spark)
     lo, hi = F.least(a, b), F.greatest(a, b)
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(lo.alias("u"), hi.alias("v")).where("u < v").distinct().checkpoint()
-    seen = None
+    seen, few = None, lambda d: d
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
+        if per_part:
+            few = lambda d, n=1 + state[0] // per_part: d.coalesce(n)
+            e = few(e)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct().checkpoint()
-        least = large.groupBy("v").agg(F.min("u").alias("m")).checkpoint()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = few(least).checkpoint()
+        large = few(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()).checkpoint()
+        least = few(large.groupBy("v").agg(F.min("u").alias("m"))).checkpoint()
         star = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("x"))
-        e = star.select("x.u", "x.v").where("u < v").distinct().checkpoint()
+        e = few(star.select("x.u", "x.v").where("u < v").distinct()).checkpoint()
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

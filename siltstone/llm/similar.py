@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import KEY, components, least_rows, spread, stored, with_key
+from .common import KEY, components, delete, least_rows, made, spread, stored, with_key
 from .simhash import links
 
 SHINGLE, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS = 32, 5
+#: Edges of a partition while components are found.
+EDGES = 100_000
 #: Bits of a sketch, and how many may differ: the mean and 4.75 standard deviations at LEAST.
 SKETCH = 2048
 DIFFER = int(SKETCH * 0.1 + 4.75 * (SKETCH * 0.1 * 0.9) ** 0.5)
@@ -137,7 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with component: the least fp of what the edges join, else their own."""
-    return nodes.join(components(edges, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return nodes.join(components(edges, "a", "b", EDGES).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def _covered(rows: DataFrame) -> DataFrame:
@@ -155,6 +157,7 @@ def _covered(rows: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """Per row of docs (key, doc_id, text): key, doc_id, fp, component."""
+    begin = len(made)
     rows = stored(spread(docs).select(KEY, "doc_id", "text", prints("text").alias("p")).select(KEY, "doc_id", "text", "p.fp", "p.bits", "p.bands"), "prints")
     near = stored(_covered(rows), "covered")
     reached = stored(rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("band", "value")), "reached")
@@ -183,7 +186,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     before = F.exists(F.zip_with(F.slice("p_all", F.lit(1), F.col("band")), F.slice("q_all", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
     both = side("b", "p", "c").where("c_apart").join(side("a", "q", "d"), ["band", "value"]).where((F.col("c") != F.col("d")) & (~F.col("d_apart") | (F.col("a") < F.col("b"))) & (differ <= DIFFER) & ~before)
     more = verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
-    return rows.select(KEY, "doc_id", "fp").join(stored(_named(rows.select("fp").distinct(), edges.union(more)), "components"), "fp").select(KEY, "doc_id", "fp", "component")
+    named = stored(_named(rows.select("fp").distinct(), edges.union(more)), "components")
+    delete(docs.sparkSession, made[begin + 1 : -1])  # all but the rows and their components
+    return rows.select(KEY, "doc_id", "fp").join(named, "fp").select(KEY, "doc_id", "fp", "component")
 
 
 def without_similar(docs: DataFrame) -> DataFrame:
