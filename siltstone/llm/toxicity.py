@@ -3,12 +3,12 @@
 Features are the byte n-grams of a text in lower case (A-Z), hashed to 2^20 numbers, on
 levels: that it occurs at least once, twice, four times. From the training rows every feature
 gets its naive Bayes log-count ratio. Those that occur in LEAST_ROWS rows and tell the
-classes apart beyond chance (chi-square of SIGNIFICANT, one in a thousand) are kept, however
-many they are, and a logistic regression with an L1 penalty is fitted over them, each scaled
+classes apart beyond chance (chi-square of SIGNIFICANT, one in a thousand) and by a factor of
+FACTOR or more are kept, however many they are, and a logistic regression with an L1 penalty is fitted over them, each scaled
 by its ratio. The penalty is that of PENALTIES with the least loss on a fold of the training rows.
 
 The fit is on a bounded sample: at most TRAIN_ROWS labelled documents, those with the least
-md5 of their doc_id, a text each (of a doc_id with several the least). Scores cover whole texts
+md5 of their doc_id, a text each (of a doc_id with several the least), equal texts of a class once. Scores cover whole texts
 of all rows. What is broadcast is a number per hash and a weight per kept n-gram and level.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept;
@@ -33,10 +33,10 @@ SIZES = (3, 5, 7)
 LEVELS = (1, 2, 4)
 BITS = 20
 TRAIN_ROWS = 20_000
-SIGNIFICANT, LEAST_ROWS = 10.83, 3
+SIGNIFICANT, FACTOR, LEAST_ROWS = 10.83, 4, 3
 FOLDS = 5
 SMOOTHING = 1.0
-PENALTIES, STEPS = (2.5e-4, 5e-4, 1e-3), 100
+PENALTIES, STEPS = (2.5e-4, 5e-4, 1e-3), 80
 #: Bytes that are hashed at a time; a batch of longer texts is cut into such groups.
 GROUP = 1 << 20
 
@@ -88,7 +88,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     few = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
     # At most `rows` ids are broadcast; of repeated ids one text comes back, so the sample is bounded in rows.
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "text")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "text").distinct()
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +112,8 @@ def telling(train: DataFrame, clean: int, toxic: int) -> DataFrame:
     c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
     chi = F.pow(a * d - b * c, 2) * (toxic + clean) / ((a + b) * F.greatest(F.lit(1.0), c + d) * toxic * clean)
     counts = train.mapInPandas(_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    return counts.where((F.col("clean") + F.col("toxic") >= LEAST_ROWS) & (chi >= SIGNIFICANT)).select("feature", "toxic", "clean")
+    ratio = F.log((a + SMOOTHING) / (toxic + 2 * SMOOTHING)) - F.log((b + SMOOTHING) / (clean + 2 * SMOOTHING))
+    return counts.where((F.col("clean") + F.col("toxic") >= LEAST_ROWS) & (chi >= SIGNIFICANT) & (F.abs(ratio) >= float(np.log(FACTOR)))).select("feature", "toxic", "clean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
