@@ -462,6 +462,23 @@ def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query(_USE + " SELECT phase, hit AS is_cached, count(*) AS n FROM u GROUP BY phase, hit")
+def streamed_cache(spark: SparkSession, d: str) -> DataFrame:
+    """2.12, S20, K13, W6: cache hits of a stream in two parts with a restart between them; the same as at rest."""
+    from ..sources.scratch import new_path
+    from ..streaming.cache import hits
+    from ..streaming.usage import event_stream, run_once
+
+    at = new_path(spark, "requests")
+    e = table(spark, d, "events").select("event_id", "event_type", "props", F.timestamp_seconds(F.col("event_id") + 946684800).alias("at"))
+    half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        e.where(part).write.mode("append").parquet(f"{at}/in")
+        run_once(hits(event_stream(spark, f"{at}/in", e.schema), "props", "event_id", "at", ttl="36500 days"), f"{at}/out", f"{at}/state")
+    found = spark.read.schema("props string, event_id long, at timestamp, is_cached boolean").parquet(f"{at}/out")
+    return found.join(e.select("event_id", F.col("event_type").alias("phase")), "event_id").groupBy("phase", "is_cached").agg(F.count("*").alias("n"))
+
+
 @query(_DEDUP + """, u AS (SELECT count(*) AS calls, CAST(sum(length(props)) AS BIGINT) AS tokens FROM events)
 SELECT count(*) AS raw_findings, count(*) FILTER (place > 1) AS duplicates, count(*) FILTER (place = 1) AS unique_findings, count(*) FILTER (place = 1 AND status = 'validated') AS validated_findings,
  round(count(*) FILTER (place > 1) / CAST(count(*) AS DOUBLE), 4) AS duplicate_rate, any_value(u.calls) AS llm_calls, round(count(*) FILTER (place = 1) / CAST(0.5 AS DOUBLE), 2) AS findings_per_minute FROM best, u""")

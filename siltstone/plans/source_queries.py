@@ -58,6 +58,7 @@ class C{k}Test {
     }
 }
 """
+_quote = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 _SKELETON = [8, 9, 10, 13, 14, 15, 16, 17, 23, 24]
 
 
@@ -94,6 +95,38 @@ def java_types(spark: SparkSession, d: str) -> DataFrame:
     return x.select("file", "class_ord", "name", "qualified_name", "kind", "visibility", "start_line", "end_line", "extends", F.array_join("implements", ",").alias("implements"), _marks("annotations").alias("marks"), F.array_join(F.transform("imports", lambda i: i["statement"]), ";").alias("imports"), F.size("methods").alias("n_methods"))
 
 
+#: Shapes of a Java file, chosen by the key, and what is in each: order, name, kind, visibility, lines, extends, implements, annotations, methods with their lines.
+_SHAPES = [
+    ("package a.b;\npublic enum E{k} implements Runnable {\n    ONE, TWO;\n    public void run() {\n        x.go{k}();\n    }\n}\n", [(0, "E{k}", "a.b.E{k}", "enum", "public", 2, 7, None, "Runnable", "", "run@4-6")]),
+    # Braces in strings, characters and comments; what follows a generic name up to the last > belongs to it.
+    ('class G{k}<T extends Comparable<T>> extends Base<T> {\n    private String s = "}{";\n    char c = \'}\';\n    // } not a close\n    T first{k}(List<T> in) {\n        return in.get(0); // {\n    }\n}\n', [(0, "G{k}", "G{k}", "class", "package", 1, 8, None, "", "", "first{k}@5-7")]),
+    ('public interface I{k} extends A, B {\n    int one(String a);\n    default void two() {\n        x.one("x");\n    }\n}\n', [(0, "I{k}", "I{k}", "interface", "public", 1, 6, "A", "", "", "one@2-2 two@3-5")]),
+    # A nested type's methods are the outer one's too.
+    ("public class O{k} {\n    static class In{k} {\n        void deep() { x.run(); }\n    }\n    protected abstract int up{k}(int a);\n}\n", [(0, "O{k}", "O{k}", "class", "public", 1, 6, None, "", "", "deep@3-3 up{k}@5-5"), (1, "In{k}", "In{k}", "class", "package", 2, 4, None, "", "", "deep@3-3")]),
+    ('@Retention(RUNTIME)\npublic @interface N{k} {\n    String value() default "a";\n}\n', [(0, "N{k}", "N{k}", "annotation_type", "public", 2, 4, None, "", "@Retention(RUNTIME)@1", "")]),
+    # An annotation over two lines isn't one right above the method.
+    ('package p.q;\n\n@Service\n@RequestMapping("/x{k}")\nfinal class A{k} {\n    @GetMapping(\n        "/multi")\n    public int f{k}() {\n        return 1;\n    }\n}\nsealed interface S{k} permits A{k}, B {\n}\n', [(0, "A{k}", "p.q.A{k}", "class", "package", 5, 11, None, "", '@Service@3 @RequestMapping("/x{k}")@4', "f{k}@8-10"), (1, "S{k}", "p.q.S{k}", "interface", "package", 12, 13, None, "", "", "")]),
+    # A record with its parameters is no type to the pattern.
+    ("public record R{k}(int a) {\n}\nabstract class Z{k} extends java.util.ArrayList implements X, Y {\n}\n", [(0, "Z{k}", "Z{k}", "class", "package", 3, 4, "java.util.ArrayList", "X,Y", "", "")]),
+    ("// nothing {k}\n", []),
+    # A block that never closes ends with the file; CRLF line ends.
+    ("class Q{k} {\r\n    long left{k}() {\r\n        return 2;\r\n", [(0, "Q{k}", "Q{k}", "class", "package", 1, 3, None, "", "", "left{k}@2-3")]),
+]
+_SHAPE_FACTS = ", ".join(f"({n}, {', '.join(str(v) if isinstance(v, int) else _quote(v) for v in row)})" for n, (_, found) in enumerate(_SHAPES) for row in found)
+
+
+@query(f"""WITH facts(shape, class_ord, name, qualified_name, kind, visibility, start_line, end_line, extends, implements, marks, methods) AS (VALUES {_SHAPE_FACTS}),
+c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS t, c_custkey % {len(_SHAPES)} AS shape FROM customer)
+SELECT 'a/F' || t || '.java' AS file, class_ord, replace(name, '{{k}}', t) AS name, replace(qualified_name, '{{k}}', t) AS qualified_name, kind, visibility, start_line, end_line, extends, implements, replace(marks, '{{k}}', t) AS marks, replace(methods, '{{k}}', t) AS methods FROM c JOIN facts USING (shape)""")
+def java_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Types and methods of files of nine shapes (enum, generic, nested, annotation type, several types, never closed, none)."""
+    k = _customers(spark, d)
+    shape = F.element_at(F.array(*[_filled(x) for x, _ in _SHAPES]), (F.col("k") % len(_SHAPES)).cast("int") + 1)
+    x = symbols.index(k.select(_filled("a/F{k}.java").alias("file"), shape.alias("content")))
+    methods = F.array_join(F.transform("methods", lambda m: F.format_string("%s@%d-%d", m["name"], m["start_line"], m["end_line"])), " ")
+    return x.select("file", "class_ord", "name", "qualified_name", "kind", "visibility", "start_line", "end_line", "extends", F.array_join("implements", ",").alias("implements"), _marks("annotations").alias("marks"), methods.alias("methods"))
+
+
 _METHODS = rf"""{_C}, m AS (
 SELECT file, 0 AS class_ord, 0 AS method_ord, k, n, 'list' || k AS name, 'C' || k AS class_name, 10 AS start_line, 13 AS end_line, 'public' AS visibility, 'String' AS return_type, 'String name' AS parameters, '@GetMapping("/list")@9' AS marks, 'GET' AS verb, '/api/c' || k || '/list' AS path, ['list' || k, 'run' || n] AS calls FROM c
 UNION ALL SELECT file, 0, 1, k, n, 'save' || k, 'C' || k, 17, 23, 'protected', 'void', 'int x', '@PostMapping(value = "/save")@15 @Secured("ADMIN")@16', 'POST', '/api/c' || k || '/save', ['info', 'list' || k, 'make', 'save' || k] FROM c
@@ -229,7 +262,6 @@ _RULE_LINES = [
     ("password: hunter2", "config_hardcoded_secret", None), ("// new RestTemplate();", "", None), ("", "", None), ("* new RestTemplate();", "", None),
 ]
 _SUFFIXES = [".java", ".js", ".mjs", ".html", ".htm", ".xml", ".xhtml", ".properties", ".yml", ".yaml", ".txt"]
-_quote = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 _RULE_ROWS = ", ".join(f"({k}, {_quote(r)}, {_quote(why and rules.REASONS[why])})" for k, (_, names, why) in enumerate(_RULE_LINES, 1) for r in names.split())
 _CATALOG = ", ".join(f"({_quote(r.id)}, {_quote(r.category)}, {_quote(r.priority)}, [{', '.join(map(_quote, r.suffixes))}])" for r in rules.SOURCE_RULES)
 
@@ -246,6 +278,34 @@ def source_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.rejected(rules.scan(src.lines(s), rules.SOURCE_RULES)).select("file", "line_no", "matched_rule", "category", "priority", "rejection_reason")
 
 
+#: A line of code for each security pattern or several of them, and lines that only look like one. {k} is the file's key.
+_PATTERN_LINES = [
+    "Statement s{k} = connection.createStatement();", "String q = \"SELECT a FROM t{k} WHERE b = \" + name;", "em.createNativeQuery(q{k});", "private JdbcTemplate template{k};", "DriverManager.getConnection(url{k});",
+    "Object o = in{k}.readObject();", "new XMLDecoder(in{k});", "XStream x{k};", "class V{k} implements Base, Serializable {", "Runtime.getRuntime().exec(c{k});", "new ProcessBuilder(c{k});",
+    "Files.readString(p{k});", "void put(MultipartFile f{k}) {", "Path p = Paths.get(a{k});", "ZipEntry e{k};", "SAXParser p{k};", "DocumentBuilder b{k};", "XMLReader r{k};", "TransformerFactory t{k};",
+    "UserDetails u{k};", "BCryptPasswordEncoder e{k};", "AuthenticationProvider p{k};", "http.formLogin().loginPage(\"/in{k}\");", "@PreAuthorize(\"x{k}\")", "@Secured(\"ROLE_{k}\")", ".hasAnyRole(\"A{k}\")", ".requestMatchers(\"/a{k}\")",
+    "HttpSession s{k};", "response.addCookie(c{k});", "http.csrf().disable(); // {k}", "MessageDigest.getInstance(a{k});", "Cipher.getInstance(a{k});", "SecureRandom r{k};", "KeyPairGenerator g{k};", "String SECRET = \"abc{k}\";",
+    "response.sendRedirect(u{k});", "return \"redirect:/a{k}\";", "return \"forward:/a{k}\";", "new RedirectView(u{k});", "<p th:text=\"{k}\">", "model.addAttribute(\"a{k}\", b);", "HttpURLConnection c{k};", "WebClient c{k};", "new URL(a{k});",
+    "Jwts.parser(); // {k}", "header(\"Authorization\", \"bearer x{k}\");", "logger.warn(\"x{k}\" + userInput);", "Class.forName(n{k});", "m.invoke(o{k});", "c.newInstance(); // {k}",
+    "int select{k} = 1;", "redirect(a{k});", "", "   ", "return key{k};", "password = {k};", "update({k} + 1)", "String key=\"ab\";",
+]
+_FLAT = [(k, c, n, r) for k, (c, n, r) in enumerate((c, n, r) for c, group in rules.SECURITY_PATTERNS.items() for n, r in group)]
+_FLAT_SQL = ", ".join(f"({k}, {_quote(c)}, {_quote(n)}, {_quote(r)})" for k, c, n, r in _FLAT)
+_PATTERN_SQL = ", ".join(f"({k}, {_quote(x)})" for k, x in enumerate(_PATTERN_LINES))
+
+
+@query(f"""WITH catalog(ord, category, pattern, regex) AS (VALUES {_FLAT_SQL}), code(nth, line) AS (VALUES {_PATTERN_SQL}),
+l AS (SELECT 'k' || s_suppkey || '.java' AS file, (nth + s_suppkey) % {len(_PATTERN_LINES)} + 1 AS line, trim(replace(line, '{{k}}', CAST(s_suppkey AS VARCHAR))) AS text FROM supplier, code)
+SELECT file, line, category, pattern, text AS snippet FROM l, catalog WHERE regexp_matches(text, regex)""")
+def pattern_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Every security pattern over a file per supplier, whose lines begin elsewhere in each."""
+    n, k = len(_PATTERN_LINES), F.col("k")
+    code = F.array(*[F.replace(F.lit(x), F.lit("{k}"), k.cast("string")) for x in _PATTERN_LINES])
+    turned = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(code, (F.pmod(i - k, F.lit(n)) + 1).cast("int")))
+    files = spread(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))).select(F.format_string("k%d.java", "k").alias("file"), F.array_join(turned, "\n").alias("content"))
+    return rules.pattern_hits(src.lines(files)).select("file", F.col("line").cast("bigint").alias("line"), "category", "pattern", "snippet")
+
+
 _CANDIDATES = f"""{_C}, cand AS (SELECT *, row_number() OVER (ORDER BY string_split(file, '/'), line) AS nth FROM (
 SELECT file, k, n, 11 AS line, 'database' AS category, 'sqli_string_concat' AS matched_rule, 'high' AS priority, 'list' || k AS symbol, CAST(NULL AS VARCHAR) AS reason FROM c
 UNION ALL SELECT file, k, n, 16, 'authorization', 'access_control_annotation', 'low', 'C' || k, {_quote(rules.REASONS["constant"])} FROM c
@@ -476,6 +536,38 @@ def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return m.unionByName(edge.select(F.lit("edge").alias("what"), F.col("caller_class").alias("owner"), F.col("caller_method").alias("name"), F.col("callee_method").alias("detail")))
 
 
+_KEPT_LANG = "coalesce(lang, '__HIVE_DEFAULT_PARTITION__')"
+
+
+@query(f"""WITH t AS (SELECT {_KEPT_LANG} AS lang, length(coalesce(text, '')) + 1 AS chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS feeds FROM documents),
+b AS (SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1) AS feeds FROM benchmark)
+SELECT 'characters' AS what, 'app/src/main/lang=' || lang AS name, CAST(sum(chars) AS BIGINT) AS n FROM t GROUP BY lang UNION ALL SELECT 'lines', '.txt', CAST(sum(feeds) AS BIGINT) FROM t UNION ALL SELECT 'lines', '.json', count(*) FROM labels
+UNION ALL SELECT 'any', '.txt', CAST((SELECT sum(feeds) FROM t) + (SELECT feeds FROM b) AS BIGINT) UNION ALL SELECT 'any', '.json', count(*) FROM labels UNION ALL SELECT 'any', '.csv', count(*) FROM nation
+UNION ALL SELECT 'java', '.json', count(*) FROM labels UNION ALL SELECT 'root', 'app/src/main', 0 UNION ALL SELECT 'root', 'app/src/test', 0 UNION ALL SELECT 'rule', 'target/', 1 UNION ALL SELECT 'rule', 'ops/', 0""")
+def written_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written as a tree of files, read with and without suffixes and an exclusion file."""
+    root, policy_at = new_path(spark, "written-tree"), new_path(spark, "policy")
+    text = F.coalesce("text", F.lit("")).alias("value")
+    table(spark, d, "documents").select("lang", text).write.partitionBy("lang").text(f"{root}/app/src/main")
+    table(spark, d, "labels").write.json(f"{root}/app/src/test/labels")
+    table(spark, d, "benchmark").select(text).write.text(f"{root}/app/target/bench")
+    table(spark, d, "nation").write.csv(f"{root}/ops/nation")
+    listed = [("target/", "directory_segment", "target"), ("ops/", "path_prefix", "ops")]
+    told = {"rules": [{"pattern": p, "match": m, "value": v, "category": "made", "reason": "not source"} for p, m, v in listed]}
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(policy_at)
+    policy = src.read_policy(spark, policy_at)
+    some, every, one = src.read_files(spark, root, (".txt", ".json", ".csv"), policy), src.read_files(spark, root), src.read_files(spark, root, (".JSON",), policy, any_case=True)
+    row = lambda df, what, name, n: df.select(F.lit(what).alias("what"), name.alias("name"), n.cast("long").alias("n"))
+    lines = lambda df, what: row(src.inventory(df).where("lines > 0"), what, F.col("extension"), F.col("lines"))
+    folder = F.array_join(F.slice(F.split("file", "/"), 1, 4), "/")
+    sizes = some.where(F.col("file").endswith(".txt")).groupBy(folder.alias("folder")).agg(F.sum(F.length("content")).alias("chars"))
+    roots = src.tree_roots(some, "src/main/").unionByName(src.tree_roots(some, "src/test/"))
+    return (
+        row(sizes, "characters", F.col("folder"), F.col("chars")).unionByName(lines(some, "lines")).unionByName(lines(every, "any")).unionByName(lines(one, "java"))
+        .unionByName(row(roots, "root", F.col("root"), F.lit(0))).unionByName(row(src.policy_table(spark, policy), "rule", F.col("pattern"), 1 - F.col("rule_ord")))
+    )
+
+
 #: Shapes of a POM, chosen by the key: plain with a parent; dependencies first; a commented artifact, a namespace and a profile's modules; prefixed names; broken; without an artifact.
 _POMS = [
     "<project><parent><artifactId>up</artifactId></parent><artifactId>own{k}</artifactId><modules><module>a{k}</module><module>b</module></modules><dependencies><dependency><artifactId>spring-boot-x</artifactId></dependency></dependencies></project>",

@@ -182,14 +182,12 @@ SARIF_KIND, SARIF_TEXT, SARIF_ATTACK, SARIF_ADVICE = "Vulnerability", "SARIF vul
 def sarif_results(reports: DataFrame, column: str = "report", tool: str = "sarif-tool") -> DataFrame:
     """A raw finding row for each result of SARIF reports (a JSON text per row).
 
-    Rules and results of a run become rows of their own and meet by run and rule id. A rule is
-    looked up inside its own run; of equal ids the last counts.
+    A result looks its rule up inside its own run (of equal ids the last counts), before it
+    becomes a row, so nothing is shuffled.
     """
-    runs = reports.select(F.posexplode(F.from_json(F.col(column), SARIF)["runs"]).alias("nth", "run"), F.xxhash64(column).alias("of"), F.md5(column).alias("of2"))
-    names = ["of", "of2", "nth"]
-    rules = runs.select(*names, F.posexplode("run.tool.driver.rules").alias("k", "rule")).groupBy(*names, F.col("rule.id").alias("rule_id")).agg(F.max_by("rule", "k").alias("rule"))
-    results = runs.select(*names, F.coalesce("run.tool.driver.name", F.lit(tool)).alias("tool"), F.explode("run.results").alias("r")).withColumn("rule_id", F.col("r.ruleId"))
-    r = results.join(rules, [*names, "rule_id"], "left")
+    runs = reports.select(F.explode(F.from_json(F.col(column), SARIF)["runs"]).alias("run"))
+    ruled = F.transform("run.results", lambda r: F.struct(r.alias("r"), F.try_element_at(F.filter("run.tool.driver.rules", lambda x: x["id"] == r["ruleId"]), F.lit(-1)).alias("rule")))
+    r = runs.select(F.coalesce("run.tool.driver.name", F.lit(tool)).alias("tool"), F.explode(ruled).alias("x")).select("tool", "x.r", "x.rule")
     message = blank_to(F.col("r.message.text"), F.col("rule.shortDescription.text"))
     place = F.try_element_at(F.col("r.locations"), F.lit(1))["physicalLocation"]
     return r.select(

@@ -39,3 +39,22 @@ def test_sessions_at_rest(spark, tmp_path):
     got = sorted(((r.user_id, r.n, r.total) for r in sessions(spark.read.parquet(at), gap="10 minutes").collect()), key=str)
     assert got == [(1, 1, 4.0), (1, 2, 3.0), (None, 2, 16.0)]
     assert sessions(spark.read.parquet(at).limit(0)).count() == 0
+
+
+def test_cache_over_restarts(spark, tmp_path):
+    """A key seen before a restart is a hit after it; one that wasn't asked for longer than the ttl is not."""
+    from siltstone.streaming.cache import hits
+
+    at, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    kind = "k string, n long, ts timestamp"
+
+    def run(rows):
+        spark.createDataFrame([(k, n, DAY + dt.timedelta(hours=h)) for k, n, h in rows], kind).coalesce(1).write.mode("append").parquet(at)
+        run_once(hits(event_stream(spark, at, kind), "k", "n", ttl="10 hours", late="1 hour"), out, state)
+
+    run([("a", 1, 0), ("a", 2, 0), ("b", 3, 1), (None, 4, 1)])
+    run([("a", 5, 2), ("c", 6, 2), (None, 7, 2)])
+    run([("z", 8, 40)])
+    run([("a", 9, 41), ("b", 10, 41), ("b", 11, 42)])
+    got = {r.n: r.is_cached for r in spark.read.parquet(out).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: False, 9: False, 10: False, 11: True}
