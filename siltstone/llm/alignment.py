@@ -42,8 +42,6 @@ from .common import fresh, spread, stored, table
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a pack's texts, and A tokens of a slice.
 PACK, SLICE = 1 << 22, 1 << 19
-#: Words of B that a worker remembers, and what stands for one that its tokens don't spell.
-WORDS, MISSPELT = 200_000, -1
 MADE = "n_a long, n_b long, n_groups long, n_links long, groups string, keys array<int>, times array<int>, pairs array<struct<a: int, b: int, n: bigint>>"
 
 #: The tokens of a slice: ta (d, i, e) and tb (i, e), with document, id and end. All ends in order, with the ids of the tokens that end there
@@ -74,7 +72,6 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
-        import regex
         import sentencepiece
         import tiktoken
 
@@ -92,41 +89,20 @@ class Both:
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
-        # If no piece holds a space behind another character, words with the spaces before them are encoded by themselves.
-        self.by_words = not any(regex.search("[^▁]▁", p) for p in pieces)
-        self.cut, self.space, self.remembered = regex.compile(" +[^ ]*"), self.b.piece_to_id("▁"), {}
         #: Decimal ids with what may follow them: another of the group, the other vocabulary, the next group.
         n, m = range(len(self.a_size)), range(len(self.b_size))
         self.shown = [f"{i}," for i in n] + [f"{i}|" for i in n] + [f"{i}," for i in m] + [f"{i};" for i in m]
 
-    def words_of(self, whole: str) -> bytes:
-        """ids of B of a text, the space before it included, as the bytes of an array. New words are encoded together and remembered."""
-        words = self.cut.findall(whole)
-        if len(self.remembered) > WORDS:
-            self.remembered.clear()
-        new = [w for w in {*words} if w not in self.remembered]
-        if new:
-            for w, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1), strict=True):
-                ids = ids if len(w) > 1 else [self.space]
-                self.remembered[w] = self.spelling(w, ids)
-        return b"".join(map(self.remembered.__getitem__, words))
-
-    def spelling(self, whole: str, ids: list[int]) -> bytes:
-        """ids of B as bytes, or a mark if they don't spell the text."""
-        sound = b"".join(map(self.b_bytes.__getitem__, ids)) == whole.encode("utf-8", "surrogatepass")
-        return np.array(ids if sound else [MISSPELT], np.int32).tobytes()
-
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """ids of A and B; none if they don't spell the text behind a space."""
         if not text:
             return self.none, self.none
-        whole = " " + text
-        b = np.frombuffer(self.words_of(whole) if self.by_words else self.spelling(whole, self.b.encode(text)), np.int32)
-        a = self.a.encode_to_numpy(whole, disallowed_special=()).astype(np.int32)
-        # Words of B are spelt by their tokens, and bytes of A are never changed; together they must be as long as the text.
-        n = len(whole.encode("utf-8", "surrogatepass"))
-        sound = b.min() >= 0 and self.a_size[a].sum() == n == self.b_size[b].sum()
-        return (a, b) if sound else (self.none, self.none)
+        whole, b = " " + text, self.b.encode(text)
+        spelt = whole.encode("utf-8", "surrogatepass")
+        a = np.array(self.a.encode_ordinary(whole), np.int32)  # byte-level: bytes are never changed, so their number tells
+        if self.a_size[a].sum() != len(spelt) or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
+            return self.none, self.none
+        return a, np.array(b, np.int32)
 
 
 @cache
@@ -164,8 +140,9 @@ def overlaps(db, doc: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarra
         for name, sql in (("tokens", TOKENS), ("odd", ODD), ("near", NEAR), ("ranges", RANGES)):
             db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS {sql}")
         links.append(db.execute(LINKS).fetchnumpy())
+        told = db.execute("SELECT g, a IS NOT NULL AS a, b IS NOT NULL AS b FROM tokens ORDER BY e").fetchnumpy()
         for group, side in ((a_group, "a"), (b_group, "b")):
-            group.append(db.execute(f"SELECT g FROM tokens WHERE {side} IS NOT NULL ORDER BY e").fetchnumpy()["g"].astype(np.int64) + groups)
+            group.append(told["g"][told[side]].astype(np.int64) + groups)
         groups = int(a_group[-1][-1]) + 1
     join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
     return join(a_group), join(b_group), {c: join([np.asarray(x[c]) for x in links]).astype(np.int64) for c in ("d", "a", "b", "n")}

@@ -102,12 +102,6 @@ def test_encoders_are_the_tokenizers(libraries):
         assert a.tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids and b.tolist() == libraries[1].encode(text), text
 
 
-def test_model_with_spaces_inside_pieces(libraries, monkeypatch):
-    """Such a model gets whole texts."""
-    monkeypatch.setattr(both(), "by_words", False)
-    assert both()("two words")[1].tolist() == libraries[1].encode("two words") and len(both()("a▁b")[1]) == 0
-
-
 def test_pack_of_nothing():
     made = pack([None, ""], both(), duckdb.connect())
     assert made["n_links"].to_pylist() == [0, 0] and made["groups"].to_pylist() == ["", ""] and made["pairs"].to_pylist() == [[], None]
