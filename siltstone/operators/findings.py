@@ -202,6 +202,7 @@ def truth_candidates(files: DataFrame) -> DataFrame:
     """Cases that lesson, assignment and challenge sources suggest: SQL injection, else deserialization."""
     from ..functions.text import module_of, telling_line
 
+    # The words that are looked for, and the texts of a case.
     has = lambda w: F.col("content").contains(w)
     low = F.lower("file")
     sql = has("SELECT") & has("+") & (has("executeQuery") | has("createNativeQuery"))
