@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 
 #: A bin is FINER times as wide as one a level below.
 BITS = 4
@@ -106,7 +106,7 @@ def sharing(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
     rows (equal ones of a side are one set each, and are returned as often as they pair).
     """
     clean = lambda d, k, s: d.select(F.col(k).alias("key"), F.array_distinct(F.filter(s, lambda x: x.isNotNull())).alias("set")).where(F.size("set") >= least)
-    a, b = (stored(clean(*x).withColumn("n", F.monotonically_increasing_id()), "sets") for x in ((left, left_key, left_set), (right, right_key, right_set)))
+    a, b = (apart(stored(clean(*x).withColumn("n", F.monotonically_increasing_id()), "sets")) for x in ((left, left_key, left_set), (right, right_key, right_set)))
     members = lambda d: d.select("n", F.explode("set").alias("member"))
     rare = stored(members(a).select("member").unionByName(members(b).select("member")).groupBy("member").agg(F.count("*").alias("sets")), "members")
 

@@ -25,5 +25,5 @@ def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column | s
     w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     begin = totals.select(F.col(part), *[F.coalesce(F.sum(f"{k}_t").over(w), F.lit(0)).alias(f"{k}_b") for k in sums])
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.join(begin, part)
+    out = d.join(F.broadcast(begin), part)
     return out.select(*df.columns, *[(F.col(f"{k}_b") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in zero.items()])

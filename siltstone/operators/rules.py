@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings import starts_with_any
 from ..functions.text import path_parts, strip
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 from .order import running
 
 
@@ -170,7 +170,7 @@ def numbered(hits: DataFrame, prefix: str = "CAND-WG-", file: str = "file") -> D
     the counts of the files before it, range-sorted, so no task sees all hits or all files. Hits
     are stored first, since both need them.
     """
-    found = stored(hits, "hits")
+    found = apart(stored(hits, "hits"))
     begin = running(found.groupBy(file).agg(F.count("*").alias("n")), [path_parts(F.col(file)), F.col(file)], {"before": "n"}).drop("n")
     inside = F.row_number().over(Window.partitionBy(file).orderBy("line_no", "rule_ord"))
     return found.join(begin, file).withColumn("candidate_id", F.format_string(f"{prefix}%04d", F.col("before") + inside)).drop("before")

@@ -46,6 +46,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for joins that deal both sides out by key, unless the other side is to be broadcast.
+
+    Spark takes a table's size on disk for its size in memory. Texts, names and line numbers
+    that repeat are a tenth of it or less there (Parquet's dictionaries, zstd), and columns made from
+    a key have no size at all, so such a table would go through the driver whole.
+    """
+    return df.hint("merge")
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Remove folders that nothing reads any more."""
     for path in paths:

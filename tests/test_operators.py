@@ -300,3 +300,12 @@ def test_pom_of_a_dependency_first(spark):
     shape = "<project><dependencies><dependency><artifactId>dep</artifactId></dependency></dependencies><!--<artifactId>no</artifactId>--><artifactId>own</artifactId></project>"
     d = spark.createDataFrame([("pom.xml", shape), ("x/pom.xml", "<broken"), ("y/pom.xml", None), ("z/pom.xml", ""), ("other.xml", shape)], "file string, content string")
     assert sorted((r.file, r.artifact, r.modules, r.frameworks) for r in src.poms(d).collect()) == [("pom.xml", "own", [], []), ("x/pom.xml", None, [], []), ("y/pom.xml", None, [], []), ("z/pom.xml", None, [], [])]
+
+
+def test_lines_meet_spans_without_a_broadcast(spark):
+    """Stored tables are small on disk and large in memory; a join by key deals both sides out."""
+    files = spark.createDataFrame([(f"a/F{k}.java", f"class F{k} {{\n    void go{k}() {{\n        new RestTemplate();\n    }}\n}}\n") for k in range(20)], "file string, content string")
+    classes = symbols.index(files)
+    hits = symbols.at_line(rules.scan(src.lines(files), rules.SOURCE_RULES), symbols.methods(classes))
+    assert sorted((r.file, r.symbol) for r in hits.collect()) == sorted((f"a/F{k}.java", f"go{k}") for k in range(20))
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
