@@ -17,9 +17,12 @@ METHOD_NAME = r"(?:public|protected|private)?\s*\w[\w<>\[\], ]*\s+(\w+)\s*\("
 MAPPINGS = {"RequestMapping": None, "GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
 
 
-def _numbered(files: DataFrame) -> DataFrame:
-    d = files.withColumn("lines", lines_of(F.col("content")))
-    return d.select(*files.columns, "lines", F.posexplode("lines").alias("pos", "line"))
+def _numbered(files: DataFrame, word: str, pattern: str | None = None) -> DataFrame:
+    """files with lines, pos and line of each line that holds a word (and matches a pattern): only those lines meet their file's text."""
+    holds = lambda x: x.contains(word) & x.rlike(pattern) if pattern else x.contains(word)
+    d = files.where(F.col("content").contains(word)).withColumn("lines", lines_of(F.col("content")))
+    hits = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("pos"), x.alias("line"))), lambda x: holds(x["line"]))
+    return d.select(*files.columns, "lines", F.explode(hits).alias("hit")).select(*files.columns, "lines", "hit.pos", "hit.line")
 
 
 def _first(lines: Column, pattern: str) -> Column:
@@ -32,7 +35,7 @@ def components(files: DataFrame) -> DataFrame:
     """file, line, kind, class_name (within five lines), annotation, package."""
     kind = F.lower(F.regexp_extract("line", COMPONENT, 1))
     near = F.slice(F.col("lines"), F.col("pos") + 1, F.lit(5))
-    d = _numbered(files).where(F.col("line").rlike(COMPONENT))
+    d = _numbered(files, "@", COMPONENT)
     return d.select("file", (F.col("pos") + 1).alias("line"), F.when(kind == "restcontroller", "controller").otherwise(kind).alias("kind"), _first(near, CLASS_NAME).alias("class_name"), F.regexp_extract("line", COMPONENT, 0).alias("annotation"), F.regexp_extract("content", PACKAGE, 1).alias("package"))
 
 
@@ -44,7 +47,7 @@ def endpoints(files: DataFrame) -> DataFrame:
     """
     top = F.try_element_at(F.filter(F.slice("lines", 1, 50), lambda x: x.contains("@RequestMapping")), F.lit(1))
     base = F.coalesce(F.regexp_extract(top, PATH_VALUE, 1), F.lit(""))
-    d = _numbered(files).where(F.col("line").contains("Mapping")).withColumn("base", base)
+    d = _numbered(files, "Mapping").withColumn("base", base)
     names = F.filter(F.array(*[F.when(F.col("line").contains("@" + n), F.lit(n)) for n in MAPPINGS]), lambda x: x.isNotNull())
     d = d.withColumn("annotation", F.explode(names))
     more = F.slice("lines", F.col("pos") + 2, F.lit(4))

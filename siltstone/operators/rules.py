@@ -7,6 +7,11 @@ one for every row). Matches come out in the catalog's order.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+import re._constants as sre
+import re._parser as sre_parse
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,26 +128,84 @@ def spoken(line: Column) -> Column:
     return (s != "") & ~starts_with_any(s, ("//", "*"))
 
 
-def scan(lines: DataFrame, rules: list[Rule], file: str = "file", snippet: int = 200) -> DataFrame:
+def _best(sets: list[frozenset[str]]) -> frozenset[str]:
+    """The set whose shortest word is longest; empty if there is none."""
+    return max((s for s in sets if s), key=lambda s: (min(map(len, s)), -len(s)), default=frozenset())
+
+
+def _words(parts: list) -> frozenset[str]:
+    """Words of which a match of a parsed pattern holds at least one; empty if nothing is known."""
+    runs, found = [""], []
+    for op, value in parts:
+        if op is sre.LITERAL:
+            runs[-1] += chr(value)
+            continue
+        runs.append("")
+        if op is sre.SUBPATTERN and not value[1] and not value[2]:
+            found.append(_words(value[3]))
+        elif op is sre.BRANCH:
+            each = [_words(x) for x in value[1]]
+            found.append(frozenset().union(*each) if all(each) else frozenset())
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            found.append(_words(value[2]))
+    return _best([*found, *[frozenset([r]) for r in runs if r]])
+
+
+@functools.cache
+def needed(pattern: str) -> tuple[frozenset[str], bool]:
+    """Words of which a text that matches holds at least one (none: not known), and whether case doesn't matter (words are lower then)."""
+    if re.search(r"\\0|\(\?(?!i\))-?[a-zA-Z]", pattern):  # means something else to Java, or may
+        return frozenset(), False
+    try:
+        parsed = sre_parse.parse(pattern)
+    except Exception:  # syntax that only Java knows
+        return frozenset(), False
+    any_case = bool(parsed.state.flags & sre.SRE_FLAG_IGNORECASE)
+    words = _words(list(parsed))
+    if not all(w.isascii() for w in words):
+        return frozenset(), False
+    return frozenset(w.lower() for w in words) if any_case else words, any_case
+
+
+def _may_match(line: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """False only where no pattern matches: a search for the words they need, and the patterns that need none. low: the line in lower case, if it is a column."""
+    plain, lower, rest = set(), set(), []
+    for p in patterns:
+        words, any_case = needed(p)
+        (lower if any_case else plain).update(words)
+        if not words:
+            rest.append(p)
+    short = lambda words: [w for w in sorted(words) if not any(x != w and x in w for x in words)]
+    low = F.lower(line) if low is None else low
+    return functools.reduce(operator.or_, [*[line.contains(w) for w in short(plain)], *[low.contains(w) for w in short(lower)], *[line.rlike(p) for p in rest]])
+
+
+def scan(lines: DataFrame, rules: list[Rule], file: str = "file", snippet: int = 200, bare: bool = False) -> DataFrame:
     """A row per line and rule that matches: the columns of lines, rule_ord, matched_rule, category, priority, snippet.
 
-    lines: `file`, line_no, line; patterns see the raw line. The suffix gate compares in lower case.
+    lines: `file`, line_no, line; patterns see the raw line, or, if bare, the stripped one, which
+    is given back as well. The suffix gate compares in lower case.
+    Lines without any word that some pattern needs go before a pattern is tried.
     """
-    name = F.lower(F.col(file))
-    hits = []
+    name, hits = F.lower(F.col(file)), []
+    low = "line_low"
+    while low in lines.columns:
+        low += "_"
     for k, r in enumerate(rules):
         hit = F.col("line").rlike(r.pattern)
+        if needed(r.pattern)[0]:
+            hit = _may_match(F.col("line"), [r.pattern], F.col(low)) & hit
         if r.suffixes != ("",):
             hit = _ends(name, r.suffixes) & hit
         hits.append(F.when(hit, F.struct(F.lit(k).alias("rule_ord"), F.lit(r.id).alias("matched_rule"), F.lit(r.category).alias("category"), F.lit(r.priority).alias("priority"))))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return lines.where(spoken(F.col("line"))).select(*lines.columns, F.explode(found).alias("hit")).select(*lines.columns, "hit.*", F.substring(strip(F.col("line")), 1, snippet).alias("snippet"))
+    tried = lines.where(_may_match(F.col("line"), [r.pattern for r in rules])).where(spoken(F.col("line")))
+    tried = tried.withColumn("line", strip(F.col("line"))) if bare else tried
+    return tried.withColumn(low, F.lower("line")).select(*lines.columns, F.explode(found).alias("hit")).select(*lines.columns, "hit.*", F.substring(strip(F.col("line")), 1, snippet).alias("snippet"))
 
 
 def _ends(name: Column, suffixes: tuple[str, ...]) -> Column:
-    from functools import reduce
-
-    return reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes])
+    return functools.reduce(operator.or_, [name.endswith(s) for s in suffixes])
 
 
 def rejected(hits: DataFrame, annotations: Column | None = None) -> DataFrame:
@@ -179,5 +242,4 @@ def numbered(hits: DataFrame, prefix: str = "CAND-WG-", file: str = "file") -> D
 def pattern_hits(lines: DataFrame, patterns: dict[str, list[tuple[str, str]]] | None = None, file: str = "file") -> DataFrame:
     """A row per line and security pattern; patterns see the stripped line."""
     flat = [Rule(name, category, regex, suffixes=("",)) for category, group in (patterns or SECURITY_PATTERNS).items() for name, regex in group]
-    stripped = lines.withColumn("line", strip(F.col("line")))
-    return scan(stripped, flat, file).select(file, F.col("line_no").alias("line"), "category", F.col("matched_rule").alias("pattern"), "snippet", "rule_ord")
+    return scan(lines, flat, file, bare=True).select(file, F.col("line_no").alias("line"), "category", F.col("matched_rule").alias("pattern"), "snippet", "rule_ord")

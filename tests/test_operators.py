@@ -317,3 +317,17 @@ def test_index_holds_few_files_at_a_time(spark):
     many = pa.RecordBatch.from_pydict({"file": [f"F{k}.java" for k in range(1000)], "content": [f"class F{k} {{\n}}\n" for k in range(1000)]})
     made = [b.num_rows for b in symbols.types_in([many], pa.schema(list(symbols._arrow(StructType.fromDDL(CLASS)))))]
     assert sum(made) == 1000 and max(made) <= symbols.FILES_HELD
+
+
+def test_needed_words_lose_no_match(spark):
+    """A word that every match holds, in any case where the pattern says so; unknown where Java may mean something else."""
+    assert rules.needed(r"new\s+ProcessBuilder\s*\(") == ({"ProcessBuilder"}, False)
+    assert rules.needed(r"(?i)(?:password|KEY)\s*=") == ({"password", "key"}, True)
+    assert rules.needed(r"x(?:abc)?y*")[0] == {"x"}
+    assert all(rules.needed(p)[0] == set() for p in (r"[0-9]{16}", r"(?:abc|[0-9]+)", r"(?iu)task", r"\Qa.b\E", r"a\0101", r"(?:abc)*"))
+    flat = [rules.Rule(n, c, p, suffixes=("",)) for c, group in rules.SECURITY_PATTERNS.items() for n, p in group] + [rules.Rule(r.id, r.category, r.pattern, suffixes=("",)) for r in rules.SOURCE_RULES + rules.TEXT_RULES]
+    texts = ["sElEcT a + b", "PASSWORD = 'hunter22'", 'key="abcd"', "new XMLDecoder(x)", "1234567812345678", "a@b.co", "##%", "LICENCED UNDER x", "1.2.3.4", "Paths.get(a)", "new\tURL (a)", "<!doctype a SYSTEM>", "plain", "csrf()", "Jwts.parser()", "LOG.info(userInput)"]
+    lines = spark.createDataFrame([("f.java", k, x) for k, x in enumerate(texts)], "file string, line_no int, line string")
+    got = sorted((r.line_no, r.rule_ord) for r in rules.scan(lines, flat).collect())
+    tried = lines.select("line_no", *[F.col("line").rlike(r.pattern).alias(str(n)) for n, r in enumerate(flat)]).collect()
+    assert got == sorted((r.line_no, n) for r in tried for n in range(len(flat)) if r[str(n)]) and got
