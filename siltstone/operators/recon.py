@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import endpoint_path, lines_of
+from ..sources.scratch import stored
 
 # Fixed values.
 COMPONENT = r"@(RestController|Controller|Service|Repository|Configuration|Component)\b"
@@ -102,6 +103,7 @@ def top_files(hits: DataFrame, most: int = 5) -> DataFrame:
 
 def document(modules: DataFrame, comps: DataFrame, ends: DataFrame, hits: DataFrame) -> DataFrame:
     """What reconnaissance found as one table of JSON records: section (lesson, component, endpoint, pattern, total) and record."""
+    comps, ends, hits = (stored(d, "found") for d in (comps, ends, hits))  # read twice, found once
     part = lambda d, name: d.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
     sums = comps.select(F.lit("components").alias("of")).unionByName(ends.select(F.lit("endpoints").alias("of"))).unionByName(hits.select(F.lit("patterns").alias("of"))).groupBy("of").agg(F.count("*").alias("n"))
     return part(modules, "lesson").unionByName(part(comps, "component")).unionByName(part(ends, "endpoint")).unionByName(part(hits, "pattern")).unionByName(part(sums, "total"))

@@ -331,3 +331,11 @@ def test_needed_words_lose_no_match(spark):
     got = sorted((r.line_no, r.rule_ord) for r in rules.scan(lines, flat).collect())
     tried = lines.select("line_no", *[F.col("line").rlike(r.pattern).alias(str(n)) for n, r in enumerate(flat)]).collect()
     assert got == sorted((r.line_no, n) for r in tried for n in range(len(flat)) if r[str(n)]) and got
+
+
+def test_document_finds_once(spark):
+    """Records and totals come from what was found, not from a second search of the files."""
+    files = spark.createDataFrame([("a/lessons/x/C.java", JAVA)], "file string, content string")
+    d = recon.document(src.lesson_modules(files), recon.components(files), recon.endpoints(files), rules.pattern_hits(src.lines(files)))
+    assert {r["section"] for r in d.collect()} >= {"component", "endpoint", "pattern", "total"}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
