@@ -29,6 +29,8 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     Both sides are put together and range-sorted by key, time and side; in a range the last
     row of right is carried on by a window, and into a range by a prefix over the last rows
     of the ranges before it (one each). So a key's rows may be spread over any number of ranges.
+    Rows are stored with their places, so a range's last row is the greatest of a number and
+    no task sorts what it reads of the stored rows to find it.
 
     Of rows of right with equal key and time that with the greatest `ties` counts (all its
     columns, if None). Null keys and times match nothing; repeated rows of left stay; a row
@@ -44,12 +46,14 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     none = lambda c: F.lit(None).cast(r.schema[c].dataType).alias(c)
     mine = left.select(key.alias("key"), F.col(f"`{left_time}`").alias("t"), F.lit(sides[1]).alias("side"), none("rank"), F.xxhash64(*_sortable(left)).alias("h"), _struct(left).alias("l"), none("r"))
     order = ["t", "side", "rank", "h"]
-    rows = stored(r.unionByName(mine).repartitionByRange("key", *order).withColumn("part", F.spark_partition_id()), "as-of")
+    ranged = r.unionByName(mine).repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+    rows = stored(ranged.select("key", "side", "l", "r", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "as-of")
     is_right = F.col("side") == sides[0]
-    ends = rows.groupBy("part").agg(F.max_by(F.when(is_right, F.struct("key", "r")), F.when(is_right, F.struct("key", "t", "rank"))).alias("end"))
+    last_at = rows.groupBy("part").agg(F.max(F.when(is_right, F.col("at"))).alias("at"))  # a row per range
+    ends = last_at.join(rows.where(is_right).select("at", F.struct("key", "r").alias("end")).join(F.broadcast(last_at.select("at")), "at"), "at", "left").select("part", "end")
     carried = ends.select("part", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))  # a row per range
-    inside = Window.partitionBy("part", "key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("here", F.last("r", ignorenulls=True).over(inside)).where(F.col("side") == sides[1]).join(carried, "part", "left")
+    inside = Window.partitionBy("part", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("here", F.last("r", ignorenulls=True).over(inside)).where(F.col("side") == sides[1]).join(F.broadcast(carried), "part", "left")
     last = F.coalesce("here", F.when(F.col("carry.key") == F.col("key"), F.col("carry.r")))
     return found.select("l.*", last.alias(name))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, sketches, symbols
-from ..sources.scratch import stored
+from ..sources.scratch import apart, stored
 from ..sources.tables import spread, table
 from .registry import query
 
@@ -27,7 +27,7 @@ _SENT = "sent AS (SELECT o_custkey AS c, l_shipdate AS ts, max((l_orderkey, l_li
 SELECT o_orderkey, struct_extract_at(s.line, 1) AS sent_order, struct_extract_at(s.line, 2) AS sent_line FROM orders ASOF LEFT JOIN sent s ON o_custkey = s.c AND o_orderdate >= s.ts""")
 def shipped_before_order(spark: SparkSession, d: str) -> DataFrame:
     """2.12 as-of join of two tables: for every order the line last shipped to its customer up to the order's date."""
-    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    o = apart(spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c")), "l_orderkey")
     x = joins.as_of(o.withColumn("c", F.col("o_custkey")), lines, ["c"], "o_orderdate", "l_shipdate", ties=["l_orderkey", "l_linenumber"])
     return x.select("o_orderkey", F.col("last.l_orderkey").alias("sent_order"), F.col("last.l_linenumber").alias("sent_line"))
@@ -60,7 +60,7 @@ def open_together(spark: SparkSession, d: str) -> DataFrame:
     """2.12 interval-overlap join: orders of a customer that were open at once, and for how many days."""
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(day("l_shipdate")).alias("z"))
-    o = table(spark, d, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), day("o_orderdate").alias("a"), "z")
+    o = apart(table(spark, d, "orders")).join(last, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), day("o_orderdate").alias("a"), "z")
     o = stored(o, "open")
     span = (F.col("a"), F.col("z"))
     x = joins.overlaps(o, o, ["c"], span, span).where("l.k < r.k")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import joins, sketches, symbols
+from siltstone.plans import join_queries
 
 
 def brute_as_of(left, right, strict):
@@ -43,6 +44,27 @@ def test_as_of_spreads_a_hot_key(spark, request):
     assert joins.as_of(left.limit(0), right, ["k"], "t", "t").count() == 0 and joins.as_of(left, right.limit(0), ["k"], "t", "t").where("last IS NULL").count() == 20_000
 
 
+def test_as_of_sorts_no_stored_rows_for_the_ends_of_ranges(spark):
+    """A maximum over structs would sort whatever a task reads."""
+    left, right = spark.range(50).select("id", F.lit("k").alias("k")), spark.range(50).select("id", F.lit("k").alias("k"))
+    got = joins.as_of(left, right, ["k"], "id", "id", ties=["id"])
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("last.id = id").count() == 50
+
+
+def test_orders_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Their size on disk is a small part of that in memory."""
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 3 AS o_custkey", "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(80).selectExpr("id % 40 AS l_orderkey", "1 AS l_linenumber", "TIMESTAMP_NTZ '2020-01-02 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    met = []
+    for name in ("as_of", "overlaps"):
+        monkeypatch.setattr(joins, name, lambda left, right, *rest, f=getattr(joins, name), **more: met.append(right) or f(left, right, *rest, **more))
+    monkeypatch.setattr(join_queries, "stored", lambda df, name: df)
+    assert join_queries.shipped_before_order(spark, str(tmp_path)).where("sent_order IS NULL").count() == 40
+    assert join_queries.open_together(spark, str(tmp_path)).count() == sum(len(range(k, 40, 3)) * (len(range(k, 40, 3)) - 1) // 2 for k in range(3))
+    assert len(met) == 2 and not any("Broadcast" in d._jdf.queryExecution().executedPlan().toString() for d in met)
+
+
 @pytest.mark.parametrize("top", [0, 2, 5])
 def test_overlaps(spark, top):
     rng = random.Random(top)
