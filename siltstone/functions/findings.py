@@ -21,7 +21,9 @@ SEVERITY_OF = {
 
 
 def choose(c: Column, table: dict[str, object], default: object) -> Column:
-    """The table's value for c, else the default."""
+    """The table's value for c, else the default. A text is looked up in a map, so c is worked out once and not per entry."""
+    if all(isinstance(k, str) for k in table):
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for entry in table.items() for x in entry]), c), F.lit(default))
     found = F.lit(default)
     for k, v in reversed(table.items()):
         found = F.when(c == k, F.lit(v)).otherwise(found)
@@ -50,9 +52,7 @@ def status(raw: Column) -> Column:
 
 def line(raw: Column) -> Column:
     """A whole number from 1 on, else null."""
-    text = strip(raw.cast("string"))
-    n = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
-    return F.when(n >= 1, n)
+    return F.regexp_extract(raw.cast("string"), r"^\s*\+?0*([1-9][0-9]*)\s*\z", 1).try_cast("int")
 
 
 def line_number(raw: Column) -> Column:

@@ -67,7 +67,8 @@ def path_parts(c: Column) -> Column:
 def clean_path(c: Column, root: str = "") -> Column:
     """Path relative to root: '/' separators, no '.', no empty parts, '..' resolved; empty stays empty.
 
-    A '..' that would leave the start stays in front, as in a normalised relative path.
+    A '..' that would leave the start stays in front, as in a normalised relative path. Paths
+    without any '..' (and without a root to compare) go without the fold over their parts.
     """
     absolute = c.startswith("/")
     start = F.struct(F.array().cast("array<string>").alias("p"))
@@ -86,6 +87,9 @@ def clean_path(c: Column, root: str = "") -> Column:
         parts = F.when(under, F.slice(parts, F.lit(len(base) + 1), F.size(parts))).when(absolute, outside).otherwise(parts)
         absolute = F.lit(False)
     joined = F.array_join(parts, "/")
+    if not root:
+        plain = F.rtrim(F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"(?:^|(?<=/))(?:\.?(?:/|\z))+", ""), F.lit("/"))
+        joined = F.when(c.contains(".."), joined).otherwise(plain)
     full = F.when(absolute, F.concat(F.lit("/"), joined)).otherwise(blank_to(joined, "."))
     return F.when(c == "", c).otherwise(full)
 

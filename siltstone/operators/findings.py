@@ -17,7 +17,7 @@ def normalised(raw: DataFrame, experiment: str, root: str = "", tool: str = "cus
     get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     text = lambda c: F.coalesce(get(c), F.lit(""))
     start, end = f.line(get("start_line")), f.line(get("end_line"))
-    swap = start.isNotNull() & end.isNotNull() & (end < start)
+    swap = end < start
     first, last = F.when(swap, end).otherwise(start), F.when(swap, start).otherwise(end)
     kind, file, cwe = strip(text("vulnerability_type")), clean_path(text("file"), root), f.cwe(get("cwe"))
     made = {

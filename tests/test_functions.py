@@ -62,3 +62,12 @@ def test_fenced_json(spark):
 
 def test_tokens(spark):
     assert values(spark, t.tokens_estimated, "", "abc", "a" * 9) == [1, 1, 2]
+
+
+def test_fields_are_worked_out_once(spark):
+    """A severity's or a line's text is stripped once and not per entry or use; a path without '..' needs no fold to be cleaned."""
+    d = spark.createDataFrame([("/a/./b//c.java", " 7 ", " NOTE"), ("./.x/", "+007", "odd"), ("a/../b", "0", None), ("..a/./", "1.5", "crit"), ("//", "-1", "")], "file string, line string, severity string")
+    plan = d.select(f.severity(F.col("severity")).alias("s"), f.line(F.col("line")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == 2
+    got = d.select(t.clean_path(F.col("file")), f.line(F.col("line")), f.severity(F.coalesce("severity", F.lit("")))).collect()
+    assert list(map(tuple, got)) == [("/a/b/c.java", 7, "low"), (".x", 7, "medium"), ("b", None, "medium"), ("..a", None, "critical"), ("/", None, "medium")]
