@@ -44,7 +44,8 @@ def claimed(raw: DataFrame) -> DataFrame:
 def verified(raw: DataFrame, files: DataFrame) -> DataFrame:
     """Raw findings whose texts are there and whose evidence stands in their file; lines are set to where it stands.
 
-    files: file, content. Source and data flow may be absent for access control.
+    files: file, content. Source and data flow may be absent for access control. Findings of a
+    file stay in the order they came in.
     """
     filled = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) != ""
     access = F.upper(F.coalesce(F.col("cwe"), F.lit(""))).isin(ACCESS_CONTROL)
@@ -55,8 +56,12 @@ def verified(raw: DataFrame, files: DataFrame) -> DataFrame:
     at = F.position(evidence, F.col("content"))
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     first = breaks(F.substring(F.col("content"), F.lit(1), at - 1)) + 1
-    kept = raw.where(sound & safe).withColumn("file", clean_path(F.col("file"))).join(files.select("file", "content"), "file").where(at > 0)
-    return kept.withColumn("start_line", first.cast("string")).withColumn("end_line", (first + breaks(evidence)).cast("string")).drop("content").select(*raw.columns)
+    nth = "nth"
+    while nth in raw.columns:
+        nth += "_"
+    kept = raw.where(sound & safe).withColumn("file", clean_path(F.col("file"))).withColumn(nth, F.monotonically_increasing_id()).join(files.select("file", "content"), "file").where(at > 0)
+    placed = kept.withColumn("start_line", first.cast("string")).withColumn("end_line", (first + breaks(evidence)).cast("string")).drop("content")
+    return placed.sortWithinPartitions("file", nth).select(*raw.columns)
 
 
 def deduplicated(findings: DataFrame, order: str | Column = "finding_id") -> DataFrame:
