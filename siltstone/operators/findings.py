@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import findings as f
 from ..functions.text import blank_to, clean_path, strip
 from ..schemas import FINDING_COLUMNS
+from ..sources.scratch import apart
 from .order import running
 
 
@@ -76,7 +77,7 @@ def deduplicated(findings: DataFrame, order: str | Column = "finding_id") -> Dat
     steps = F.size(F.coalesce("data_flow", F.array().cast("array<string>")))
     by = F.col(order) if isinstance(order, str) else order
     best = F.struct((-rank).alias("a"), F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("b"), (-F.length(F.coalesce("evidence", F.lit("")))).alias("c"), (-steps).alias("d"), by.alias("e"), F.col("finding_id").alias("id"))
-    d = findings.withColumn("dedup_key", key).withColumn("dedup_best", best)
+    d = apart(findings).withColumn("dedup_key", key).withColumn("dedup_best", best)
     first = d.groupBy("dedup_key").agg(F.min("dedup_best").alias("dedup_first"))
     d = d.join(first, "dedup_key")
     here = F.col("dedup_best") == F.col("dedup_first")

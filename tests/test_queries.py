@@ -32,3 +32,10 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, db, name):
     assert rows(queries.QUERIES[name](spark, FOLDER).toPandas()) == rows(db.execute(queries.SQL[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_flagship_scans_once(spark):
+    """Hits are read three times; the documents behind them are searched once, and no finding goes through the driver."""
+    plan = queries.QUERIES["flagship"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "Broadcast" not in plan
