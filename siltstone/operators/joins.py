@@ -122,5 +122,5 @@ def sharing(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
 
     before = lambda role: F.slice(f"{role}_all", F.lit(1), F.col(f"{role}_at"))
     shared = F.size(F.array_intersect("l_all", "r_all"))
-    met = prefix(a, "l").join(prefix(b, "r"), "member").where(~F.arrays_overlap(before("l"), before("r")) & (shared >= least))
+    met = prefix(a, "l").join(apart(prefix(b, "r")), "member").where(~F.arrays_overlap(before("l"), before("r")) & (shared >= least))
     return met.select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key), shared.alias("shared"))

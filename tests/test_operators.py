@@ -339,3 +339,25 @@ def test_document_finds_once(spark):
     d = recon.document(src.lesson_modules(files), recon.components(files), recon.endpoints(files), rules.pattern_hits(src.lines(files)))
     assert {r["section"] for r in d.collect()} >= {"component", "endpoint", "pattern", "total"}
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+
+
+def test_contexts_without_a_broadcast_of_rows(spark, monkeypatch):
+    """Texts, callers and sections that are small tables are dealt out too; what is broadcast is a row per range."""
+    met = []
+
+    def kept(df, name, keep=context.stored):
+        df.collect()
+        met.append(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(context, "stored", kept)
+    text = "package p;\n@Service\nclass C{k} {\n  void get{k}() {\n    run();\n  }\n  void use{k}() {\n    get{k}();\n  }\n}\n"
+    files = spark.createDataFrame([(f"p/lessons/a/C{k:03}.java", text.replace("{k}", str(k))) for k in range(20)], "file string, content string")
+    classes = symbols.index(files)
+    ms = symbols.methods(classes)
+    cands = spark.createDataFrame([(f"c{k}", f"p/lessons/a/C{k:03}.java", 5, "x") for k in range(20)], "candidate_id string, file string, line int, category string")
+    about = context.architecture(src.lesson_modules(files), recon.components(files), recon.endpoints(files), rules.pattern_hits(src.lines(files)))
+    out = context.assembled(cands, files, classes, ms, symbols.edges(ms), about)
+    assert len(out.collect()) == 20
+    joined = [x for d in [*met, out] for x in d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in x]
+    assert joined and not [x for x in joined if "run_part" not in x]
