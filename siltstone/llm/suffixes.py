@@ -44,7 +44,8 @@ WIDTH = LENGTH - GRAM + 1  # grams in a string
 SIDE = LENGTH - GRAM  # bytes on either side of an anchor that its strings reach
 CONTEXT = GRAM + 2 * SIDE
 PACK_BYTES = 1 << 22
-SLICE = 1 << 19  # strings whose anchors are found at a time
+CUT = 1 << 19  # contexts that are cut at a time
+SLICE = 65_000  # strings whose anchors are found at a time: a hash and a place among them are 64 bits
 BUCKET_BYTES = 1 << 23  # of text for each range of hashes
 SORT_BYTES = 1 << 19  # of contexts whose suffixes are sorted at a time
 HASH_BITS, BASE = 48, 0x9E3779B97F4A7C15
@@ -191,6 +192,7 @@ class Texts:
         n = z - a
         if n <= 0:
             return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+        low = np.uint64(64 - HASH_BITS)
         x = self.bytes[a : z + LENGTH - 1].astype(np.uint64) + np.uint64(1)
         h8, power, width = x, BASE, 1
         for _ in range(3):  # hashes of 2, 4, 8 bytes
@@ -201,25 +203,24 @@ class Texts:
         g = g[: len(x) - GRAM + 1] * np.uint64(BASE) + x[GRAM - 1 :]
         g ^= g >> np.uint64(29)
         g *= np.uint64(0xBF58476D1CE4E5B9)
-        g = (g ^ (g >> np.uint64(32))) >> np.uint64(64 - HASH_BITS)
+        # A hash with its place behind it, so that the least one says where it is, the first of equal ones.
+        g = (g ^ (g >> np.uint64(32))) >> low << low | np.arange(len(g), dtype=np.uint64)
         least, width = g, 1
         while 2 * width <= WIDTH:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[:n], least[WIDTH - width : WIDTH - width + n])
-        offset = np.zeros(n, np.int64)
-        for o in range(WIDTH - 1, -1, -1):
-            offset[g[o : o + n] == least] = o
         start = np.arange(a, z)
-        row = np.searchsorted(self.ends, start, side="right")
+        row, last = np.searchsorted(self.ends, [a, z - 1], side="right")
+        row = np.repeat(np.arange(row, last + 1), np.diff(np.minimum(self.ends[row : last + 1], z), prepend=a))
         i = np.flatnonzero((start + LENGTH <= self.ends[row]) & self.known[row])
         if not len(i):
             return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
-        place, own = i + offset[i], row[i]
+        place, own = (least[i] & np.uint64((1 << 64 - HASH_BITS) - 1)).astype(np.int64), row[i]
         first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (own[1:] != own[:-1]) | (i[1:] != i[:-1] + 1)))
         last = np.append(first[1:], len(i)) - 1
         # Least hashes are small; dealt anew they are even over all ranges.
-        h = least[i[first]] * np.uint64(BASE) & np.uint64((1 << HASH_BITS) - 1)
+        h = (least[i[first]] >> low) * np.uint64(BASE) & np.uint64((1 << HASH_BITS) - 1)
         return h, place[first] + a, own[first], i[first] + a, i[last] + a
 
 
@@ -314,7 +315,7 @@ def _contexts(buckets: int):
         low = np.concatenate([place[cold] - last[cold], np.full(len(start), SIDE)]).astype(np.int64)
         high = np.concatenate([place[cold] - first[cold], np.full(len(start), SIDE)]).astype(np.int64)
         docs = np.concatenate([doc[cold], doc[single]])
-        whole = _cut(window, pos, low, high) if len(pos) <= SLICE else None  # more of them are cut anew where they are needed
+        whole = _cut(window, pos, low, high) if len(pos) <= CUT else None  # more of them are cut anew where they are needed
         cut = lambda i: _cut(window, pos[i], low[i], high[i]) if whole is None else whole[i]
         mark = np.concatenate([_mark(cut(slice(a, z)), low[a:z], high[a:z]) for a, z in _steps(len(pos))]) if len(pos) else np.zeros(0, np.uint64)
         # Of equal contexts one stands for all: that of the least document, at its first place. Marks only suggest which are equal.
@@ -355,7 +356,7 @@ def _contexts(buckets: int):
 
 def _steps(n: int) -> list[tuple[int, int]]:
     """Slices of n rows that are handled at a time."""
-    return [(a, min(a + SLICE, n)) for a in range(0, n, SLICE)]
+    return [(a, min(a + CUT, n)) for a in range(0, n, CUT)]
 
 
 def _cut(window: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

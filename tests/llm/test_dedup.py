@@ -237,3 +237,18 @@ def test_anchors_by_slices(monkeypatch):
     for start, (h, place, _) in seen[0].items():
         by.setdefault(raw[start : start + 50], set()).add((h, place - start))
     assert all(len(x) == 1 for x in by.values())
+
+
+def test_anchors_of_texts_longer_than_a_slice(monkeypatch):
+    """A place within a slice stands behind the hash in the same 64 bits; texts of several slices have the anchors that they have by short ones."""
+    assert suffixes.SLICE + suffixes.WIDTH - 1 <= 1 << 64 - suffixes.HASH_BITS
+    raw = np.random.default_rng(5).integers(97, 99, 200_000).astype(np.uint8)
+    raw[70_000:140_000] = 97
+    row = {"bytes": suffixes._zip(raw), "ends": np.array([66_000, 66_010, 200_000], "<i8").tobytes(), "ids": np.arange(3).astype("<i8").tobytes(), "known": np.ones(3, bool).tobytes()}
+    seen = []
+    for size in (suffixes.SLICE, 997):
+        monkeypatch.setattr(suffixes, "SLICE", size)
+        h, place, own, first, last = suffixes.Texts(row).anchors()
+        many = last - first + 1
+        seen.append(np.stack([np.repeat(h.astype(np.int64), many), np.repeat(place, many), np.repeat(own, many), np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)])]))
+    assert (seen[0] == seen[1]).all() and seen[0].shape[1] == 66_000 - 49 + 133_990 - 49
