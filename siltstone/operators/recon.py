@@ -96,8 +96,9 @@ def first_few(rows: DataFrame, by: list[str], value: str, most: int, name: str =
 
 def top_files(hits: DataFrame, most: int = 5) -> DataFrame:
     """Per pattern: hits, distinct files, the first few of them and how many more there are."""
-    n = hits.groupBy("category", "pattern").agg(F.count("*").alias("hits"))
-    d = n.join(first_few(hits, ["category", "pattern"], "file", most, "first_files"), ["category", "pattern"])
+    of_file = stored(hits.groupBy("category", "pattern", "file").agg(F.count("*").alias("n")), "pattern-files")  # read three times, found once
+    n = of_file.groupBy("category", "pattern").agg(F.sum("n").alias("hits"))
+    d = n.join(first_few(of_file, ["category", "pattern"], "file", most, "first_files"), ["category", "pattern"])
     return d.select("category", "pattern", "hits", F.col("n_values").alias("n_files"), "first_files", F.greatest(F.lit(0), F.col("n_values") - most).alias("more"))
 
 

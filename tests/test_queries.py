@@ -39,3 +39,10 @@ def test_flagship_scans_once(spark):
     """Hits are read three times; the documents behind them are searched once, and no finding goes through the driver."""
     plan = queries.QUERIES["flagship"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_pattern_summary_scans_once(spark):
+    """Hits are counted and their first files found from what is stored; pages are searched once."""
+    plan = queries.QUERIES["pattern_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "pages.parquet" not in plan
