@@ -1,6 +1,7 @@
 """Every query with SQL against another engine, over the smallest tables."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -46,3 +47,11 @@ def test_pattern_summary_scans_once(spark):
     """Hits are counted and their first files found from what is stored; pages are searched once."""
     plan = queries.QUERIES["pattern_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "pages.parquet" not in plan
+
+
+def test_lookups_without_a_broadcast(spark, tmp_path):
+    """Types, methods and the names that are looked for are dealt out by key, however small their tables are on disk."""
+    spark.range(30).selectExpr("id AS c_custkey", "id % 5 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.QUERIES["method_lookups"](spark, str(tmp_path))
+    assert Counter(r.how for r in found.collect()) == {"by name": 30, "by class": 20, "endpoint": 30, "verb": 30, "file": 3, "class": 30}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
