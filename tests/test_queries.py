@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from siltstone.operators import order, rules, symbols
 from siltstone.plans import join_queries  # noqa: F401
 from siltstone.plans import queries as tables  # noqa: F401
 from siltstone.plans import registry as queries
@@ -55,3 +56,20 @@ def test_lookups_without_a_broadcast(spark, tmp_path):
     found = queries.QUERIES["method_lookups"](spark, str(tmp_path))
     assert Counter(r.how for r in found.collect()) == {"by name": 30, "by class": 20, "endpoint": 30, "verb": 30, "file": 3, "class": 30}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_without_a_broadcast_of_rows(spark, tmp_path, monkeypatch):
+    """Hits, spans and counts of files are dealt out by key; what is broadcast is a row per range."""
+    spark.range(30).selectExpr("id AS c_custkey", "id % 5 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    met = []
+
+    def kept(df, name, keep=order.stored):
+        df.collect()
+        met.append(df)
+        return keep(df, name)
+
+    for module in (order, rules, symbols, source_queries):
+        monkeypatch.setattr(module, "stored", kept)
+    assert queries.QUERIES["source_candidates"](spark, str(tmp_path)).count() == 120
+    joined = [x for d in met for x in d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x]
+    assert joined and not [x for x in joined if "Broadcast" in x and "run_part" not in x]
