@@ -11,16 +11,25 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def trimmed(c: Column) -> Column:
+    """As strip, without a pattern: for what is done per line of a file."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def blank_to(c: Column, default: Column | str) -> Column:
     """c, or the default where c is null or empty."""
     return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, c).otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
 def lines_of(c: Column) -> Column:
-    """Lines of a text; the empty piece after a last line end is none."""
-    parts = F.split(c, r"\r\n|\n|\r", -1)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+    """Lines of a text; the empty piece after a last line end is none.
+
+    The text is split once: what ends it is cut off before, not looked for in the pieces.
+    """
+    less = lambda n: F.substring(c, F.lit(1), F.length(c) - n)
+    plain = F.split(F.when(c.endswith("\n"), less(1)).otherwise(c), "\n", -1)
+    mixed = F.split(F.when(c.endswith("\r\n"), less(2)).when(c.endswith("\n") | c.endswith("\r"), less(1)).otherwise(c), r"\r\n|\n|\r", -1)
+    return F.when(c == "", F.array().cast("array<string>")).when(c.contains("\r"), mixed).otherwise(plain)
 
 
 def line_range(lines: Column, start: Column | int, stop: Column | int, most: int = 200, mark: str = "// ... [truncated]") -> Column:

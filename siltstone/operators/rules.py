@@ -12,13 +12,18 @@ import operator
 import re
 import re._constants as sre
 import re._parser as sre_parse
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.findings import starts_with_any
-from ..functions.text import path_parts, strip
+from ..functions.text import path_parts, trimmed
+from ..sources.files import lines
 from ..sources.scratch import apart, stored
 from .order import running
 
@@ -124,7 +129,7 @@ TEXT_RULES = [
 
 def spoken(line: Column) -> Column:
     """False for blank lines and lines of comments."""
-    s = strip(line)
+    s = trimmed(line)
     return (s != "") & ~starts_with_any(s, ("//", "*"))
 
 
@@ -151,6 +156,10 @@ def _words(parts: list) -> frozenset[str]:
     return _best([*found, *[frozenset([r]) for r in runs if r]])
 
 
+#: Texts whose lines are held as an Arrow array at a time.
+SCANNED = 256
+
+
 @functools.cache
 def needed(pattern: str) -> tuple[frozenset[str], bool]:
     """Words of which a text that matches holds at least one (none: not known), and whether case doesn't matter (words are lower then)."""
@@ -180,12 +189,12 @@ def _may_match(line: Column, patterns: list[str], low: Column | None = None) ->
     return functools.reduce(operator.or_, [*[line.contains(w) for w in short(plain)], *[low.contains(w) for w in short(lower)], *[line.rlike(p) for p in rest]])
 
 
-def scan(lines: DataFrame, rules: list[Rule], file: str = "file", snippet: int = 200, bare: bool = False) -> DataFrame:
+def scan(lines: DataFrame, rules: list[Rule], file: str = "file", snippet: int = 200, bare: bool = False, likely: bool = False) -> DataFrame:
     """A row per line and rule that matches: the columns of lines, rule_ord, matched_rule, category, priority, snippet.
 
     lines: `file`, line_no, line; patterns see the raw line, or, if bare, the stripped one, which
     is given back as well. The suffix gate compares in lower case.
-    Lines without any word that some pattern needs go before a pattern is tried.
+    Lines without any word that some pattern needs go before a pattern is tried (likely: they are gone).
     """
     name, hits = F.lower(F.col(file)), []
     low = "line_low"
@@ -193,15 +202,46 @@ def scan(lines: DataFrame, rules: list[Rule], file: str = "file", snippet: int =
         low += "_"
     for k, r in enumerate(rules):
         hit = F.col("line").rlike(r.pattern)
-        if needed(r.pattern)[0]:
-            hit = _may_match(F.col("line"), [r.pattern], F.col(low)) & hit
         if r.suffixes != ("",):
             hit = _ends(name, r.suffixes) & hit
+        if needed(r.pattern)[0]:
+            hit = _may_match(F.col("line"), [r.pattern], F.col(low)) & hit
         hits.append(F.when(hit, F.struct(F.lit(k).alias("rule_ord"), F.lit(r.id).alias("matched_rule"), F.lit(r.category).alias("category"), F.lit(r.priority).alias("priority"))))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    tried = lines.where(_may_match(F.col("line"), [r.pattern for r in rules])).where(spoken(F.col("line")))
-    tried = tried.withColumn("line", strip(F.col("line"))) if bare else tried
-    return tried.withColumn(low, F.lower("line")).select(*lines.columns, F.explode(found).alias("hit")).select(*lines.columns, "hit.*", F.substring(strip(F.col("line")), 1, snippet).alias("snippet"))
+    tried = lines if likely else lines.where(_may_match(F.col("line"), [r.pattern for r in rules]))
+    tried = tried.where(spoken(F.col("line")))
+    tried = tried.withColumn("line", trimmed(F.col("line"))) if bare else tried
+    return tried.withColumn(low, F.lower("line")).select(*lines.columns, F.explode(found).alias("hit")).select(*lines.columns, "hit.*", F.substring(trimmed(F.col("line")), 1, snippet).alias("snippet"))
+
+
+def likely_lines(files: DataFrame, rules: list[Rule], file: str = "file", content: str = "content") -> DataFrame:
+    """`file`, line_no, line of the lines that hold a word some pattern needs: all that a scan needs to see.
+
+    All words are looked for at once (one automaton over the lines of an Arrow batch). If a
+    pattern needs no word that is known, all lines come.
+    """
+    plain, lower = set(), set()
+    for words, any_case in (needed(r.pattern) for r in rules):
+        if not words:
+            return lines(files, file, content)
+        (lower if any_case else plain).update(words)
+    either = lambda words: "|".join(re.escape(w) for w in sorted(words))
+    wanted = "|".join(x for x in (either(plain), f"(?i:{either(lower)})" if lower else "") if x)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCANNED):
+                names, texts = batch.slice(at, SCANNED).columns
+                if pc.any(pc.match_substring(texts, "\r")).as_py():
+                    texts = pc.replace_substring(pc.replace_substring(texts, "\r\n", "\n"), "\r", "\n")
+                pieces = pc.split_pattern(texts, "\n")
+                flat, owner = pc.list_flatten(pieces), pc.list_parent_indices(pieces)
+                hit = np.flatnonzero(pc.match_substring_regex(flat, wanted).to_numpy(zero_copy_only=False))
+                of = owner.to_numpy()[hit]
+                number = hit - np.searchsorted(owner.to_numpy(), of) + 1  # owners are in order
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(number, pa.int32()), flat.take(pa.array(hit))], [file, "line_no", "line"])
+
+    return files.select(file, content).mapInArrow(run, f"`{file}` string, line_no int, line string")
 
 
 def _ends(name: Column, suffixes: tuple[str, ...]) -> Column:
@@ -239,7 +279,15 @@ def numbered(hits: DataFrame, prefix: str = "CAND-WG-", file: str = "file") -> D
     return found.join(begin, file).withColumn("candidate_id", F.format_string(f"{prefix}%04d", F.col("before") + inside)).drop("before")
 
 
-def pattern_hits(lines: DataFrame, patterns: dict[str, list[tuple[str, str]]] | None = None, file: str = "file") -> DataFrame:
+def _flat(patterns: dict[str, list[tuple[str, str]]] | None) -> list[Rule]:
+    return [Rule(name, category, regex, suffixes=("",)) for category, group in (patterns or SECURITY_PATTERNS).items() for name, regex in group]
+
+
+def pattern_hits(lines: DataFrame, patterns: dict[str, list[tuple[str, str]]] | None = None, file: str = "file", likely: bool = False) -> DataFrame:
     """A row per line and security pattern; patterns see the stripped line."""
-    flat = [Rule(name, category, regex, suffixes=("",)) for category, group in (patterns or SECURITY_PATTERNS).items() for name, regex in group]
-    return scan(lines, flat, file, bare=True).select(file, F.col("line_no").alias("line"), "category", F.col("matched_rule").alias("pattern"), "snippet", "rule_ord")
+    return scan(lines, _flat(patterns), file, bare=True, likely=likely).select(file, F.col("line_no").alias("line"), "category", F.col("matched_rule").alias("pattern"), "snippet", "rule_ord")
+
+
+def pattern_hits_of(files: DataFrame, patterns: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """pattern_hits of the lines of files (file, content); lines without any word that a pattern needs are left behind first."""
+    return pattern_hits(likely_lines(files, _flat(patterns)), patterns, likely=True)

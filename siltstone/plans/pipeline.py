@@ -45,11 +45,11 @@ class Scan:
 
 def discover(spark: SparkSession, files: DataFrame, ms: DataFrame | None = None, classes: DataFrame | None = None, catalog: list[rules.Rule] = rules.SOURCE_RULES) -> DataFrame:
     """Candidates of files (file, content), numbered, weak ones rejected; symbols if an index is given."""
-    hits = rules.scan(lines(files), catalog)
+    hits = rules.scan(rules.likely_lines(files, catalog), catalog, likely=True)
     names = F.lit(None).cast("array<string>")
     if ms is not None and classes is not None:
-        hits = symbols.at_line(hits, ms.select("file", "class_ord", "method_ord", F.struct("name", F.transform("annotations", lambda a: a["name"]).alias("marks")).alias("name"), "start_line", "end_line"), name="method")
-        hits = symbols.at_line(hits, classes.select("file", "class_ord", "name", "start_line", "end_line"), name="type", order=("class_ord",))
+        marked = ms.select("file", "class_ord", "method_ord", F.struct("name", F.transform("annotations", lambda a: a["name"]).alias("marks")).alias("name"), "start_line", "end_line")
+        hits = symbols.in_blocks(hits, "line_no", method=(marked, ("class_ord", "method_ord")), type=(classes, ("class_ord",)))
         hits = hits.withColumn("symbol", F.coalesce("method.name", "type"))
         names = F.col("method.marks")
     else:

@@ -361,3 +361,48 @@ def test_contexts_without_a_broadcast_of_rows(spark, monkeypatch):
     assert len(out.collect()) == 20
     joined = [x for d in [*met, out] for x in d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in x]
     assert joined and not [x for x in joined if "run_part" not in x]
+
+
+def test_two_regions_at_a_file_s_begin(spark):
+    """Candidates near the first line have regions that begin alike and end apart; each gets its own, once."""
+    files = spark.createDataFrame([("a.html", "".join(f"line {k}\n" for k in range(1, 61)))], "file string, content string")
+    classes = symbols.index(files)
+    ms = symbols.methods(classes)
+    cands = spark.createDataFrame([(f"c{k}", "a.html", k, "x") for k in (2, 5, 40)] + [("c0", "a.html", None, "x"), ("d", "gone.html", 3, "x")], "candidate_id string, file string, line int, category string")
+    got = {r.candidate_id: [(s.label, s.start_line, s.end_line, len(s.content.splitlines())) for s in r.sections] for r in context.assembled(cands, files, classes.where("false"), ms, symbols.edges(ms)).collect()}
+    assert got == {"c2": [("code_region", 1, 22, 22)], "c5": [("code_region", 1, 25, 25)], "c40": [("code_region", 30, 60, 31)], "c0": [], "d": []}
+
+
+def test_contexts_are_a_row_per_candidate(spark):
+    """What is referred to meets candidates as arrays: the plan of sections has no row per section to put together again."""
+    text = "package p;\nclass C{k} {\n  void get{k}() {\n    x.run();\n  }\n  void use{k}() {\n    x.get{k}();\n  }\n}\n"
+    files = spark.createDataFrame([(f"p/C{k}.java", text.replace("{k}", str(k))) for k in range(5)], "file string, content string")
+    classes = symbols.index(files)
+    ms = symbols.methods(classes)
+    cands = spark.createDataFrame([(f"c{k}", f"p/C{k}.java", 4, "x") for k in range(5)], "candidate_id string, file string, line int, category string")
+    found, _ = context.planned(cands, files, classes, ms, symbols.edges(ms))
+    assert {r.candidate_id: [s.label for s in r.taken] for r in found.collect()} == {f"c{k}": ["sink_function", f"class_skeleton_C{k}", f"caller_L0_C{k}.get{k}", f"caller_L0_C{k}.use{k}", f"callee_L0_C{k}.get{k}"] for k in range(5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [candidate_id" in x or "Generate explode(taken" in x]
+
+
+def test_likely_lines_lose_no_hit(spark):
+    """Lines that hold a needed word, found at once for all patterns: every line end, null and empty texts; nothing else is left behind."""
+    texts = ["", None, "plain\n\nnew XMLDecoder(x)\r\nkey = 1\rPASSWORD = \"hunter22\"\n", "a\n" * 3, "x\r\n\r\nJwts.parser()", "ſelect + b\nSELECT a + b", "log.info(userInput)\x0bnew File (a)"]
+    files = spark.createDataFrame([(f"f{k}.java", x) for k, x in enumerate(texts)], "file string, content string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for found in (rules.SOURCE_RULES, rules._flat(None)):
+        near = rules.likely_lines(files, found)
+        assert rows(rules.scan(near, found, likely=True)) == rows(rules.scan(src.lines(files), found)) != []
+        assert near.where("line IN ('plain', 'a', '')").isEmpty()
+    assert rows(rules.pattern_hits_of(files)) == rows(rules.pattern_hits(src.lines(files)))
+    odd = [rules.Rule("digits", "x", "[0-9]{2}", suffixes=("",))]
+    assert rows(rules.likely_lines(files, odd)) == rows(src.lines(files))
+
+
+def test_first_span_in_blocks(spark):
+    """As at_line, over blocks: the first in order, spans over several blocks, lines outside and null."""
+    spans = spark.createDataFrame([("f", 0, 0, "a", 5, 900), ("f", 0, 1, "b", 250, 260), ("f", 1, 0, "c", 1, 300), ("g", 0, 0, "d", 7, 6), ("g", 0, 1, "e", 512, 512)], "file string, class_ord int, method_ord int, name string, start_line int, end_line int")
+    hits = spark.createDataFrame([("f", 3), ("f", 255), ("f", 256), ("f", 900), ("f", 901), ("f", None), ("g", 7), ("g", 512), ("h", 1)], "file string, line_no int")
+    got = sorted(map(str, symbols.in_blocks(hits, "line_no", symbol=(spans, ("class_ord", "method_ord"))).collect()))
+    assert got == sorted(map(str, symbols.at_line(hits, spans).collect())) and "symbol='c'" in "".join(got)
