@@ -406,3 +406,25 @@ def test_first_span_in_blocks(spark):
     hits = spark.createDataFrame([("f", 3), ("f", 255), ("f", 256), ("f", 900), ("f", 901), ("f", None), ("g", 7), ("g", 512), ("h", 1)], "file string, line_no int")
     got = sorted(map(str, symbols.in_blocks(hits, "line_no", symbol=(spans, ("class_ord", "method_ord"))).collect()))
     assert got == sorted(map(str, symbols.at_line(hits, spans).collect())) and "symbol='c'" in "".join(got)
+
+
+def test_files_are_read_once_for_contexts(spark, tmp_path, monkeypatch):
+    """Codes, skeletons, regions and what tests show come from one pass over the files; configuration looks for its few by name."""
+    text = "package p;\nclass C{k} {\n  void get{k}() {\n    x.run();\n  }\n}\n"
+    spark.createDataFrame([(f"p/C{k}.java", text.replace("{k}", str(k))) for k in range(3)] + [("p/C0Test.java", "class C0Test {\n}\n")], "file string, content string").write.parquet(f"{tmp_path}/files.parquet")
+    files, met = spark.read.parquet(f"{tmp_path}/files.parquet"), []
+
+    def kept(df, name, keep=context.stored):
+        met.append(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(context, "stored", kept)
+    classes = context.stored(symbols.index(files), "classes")
+    ms = symbols.methods(classes)
+    cands = spark.createDataFrame([(f"c{k}", f"p/C{k}.java", line, "x") for k, line in enumerate((4, 1, 4))], "candidate_id string, file string, line int, category string")
+    met.clear()
+    out = context.assembled(cands, files, classes, ms, symbols.edges(ms))
+    got = {r.candidate_id: [(s.label, s.content) for s in r.sections] for r in out.collect()}
+    assert got["c0"][0] == ("sink_function", "  void get0() {\n    x.run();\n  }") and got["c0"][-1] == ("test_p/C0Test.java", "class C0Test {\n}") and got["c1"][0][1] == text.replace("{k}", "1").rstrip("\n")
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in [*met, out]]
+    assert sum(x.count("content#") > 0 for x in plans) <= 2
